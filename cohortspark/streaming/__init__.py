@@ -1,0 +1,22 @@
+"""Streaming.
+
+The surveyed study is batch only: it has no watermark, event-time window, stateful or
+late-data logic, so there is no streaming operator to rebuild. The batch operators are
+lazy DataFrame functions; they can be applied per micro-batch with ``foreachBatch`` when
+stays arrive continuously (see ``foreach_batch_sink``).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+
+def foreach_batch_sink(operator: Callable[[DataFrame], DataFrame], path: str):
+    """A ``foreachBatch`` function that appends ``operator(batch)`` to a Parquet table."""
+
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        operator(batch).write.mode("append").parquet(path)
+
+    return sink

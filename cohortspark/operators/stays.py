@@ -42,15 +42,12 @@ def flag_mentions(mentions: DataFrame, method: str = "full") -> DataFrame:
 
 
 def stay_rollup(mentions: DataFrame, params: StudyParams = StudyParams()) -> DataFrame:
-    """A1 + A2 + P15: mentions (with stay columns) to one row per stay.
+    """A1 + A2 + P15: flagged mentions to one row per stay.
 
-    Stay attributes are constant per stay; the first non-null by smallest note id keeps the
-    choice deterministic. All aggregates are partial-aggregation friendly (map-side combine),
-    so a stay with very many mentions does not move them all through one task.
-    """
-    first_cols = ["patient_num", "visit_start_date", "visit_end_date", "discharge_mode"]
-    aggs = [F.min_by(F.col(c), F.col("note_id")).alias(c) for c in first_cols]
-    aggs += [
+    Stay attributes (patient, dates, modes) are joined afterwards, 1:1 on the stay, instead of
+    being carried through the aggregate. Count and boolean aggregates combine map-side; the
+    term arrays are bounded by the stay's mentions."""
+    aggs = [
         F.sort_array(F.collect_set("note_id")).alias("note_ids"),
         F.sort_array(F.collect_set("std_lexical_variant")).alias("std_lexical_variants"),
         F.count(F.lit(1)).alias("n_mentions"),

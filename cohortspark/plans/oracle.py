@@ -72,3 +72,94 @@ OUTCOME = """ep.positive_visit AND sex_cd NOT IN ('Unknown', 'U') AND age_cat <>
 
 MONTHLY_TAIL = """, n_sa, death, mean_duration, CAST(month(date) AS INTEGER) AS month, CAST(year(date) AS INTEGER) AS year,
   monthname(date) AS month_name, CASE WHEN n_sa = 0 THEN NULL ELSE death / n_sa END AS death_ratio"""
+
+
+# ---------------------------------------------------------------- text path
+# RE2 has no look-behind: whole words are found by consuming the left boundary character
+# (group 1) and checking the right one afterwards; offsets add the left boundary back.
+WB = r"[^\p{L}\p{N}_]"
+TOK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+LEX_WORDS = "with|from|pour|dans|avec"
+CUE_WORDS = {"negation": "pas|not|no|sans", "hypothesis": "for|if|si|may", "family": "family|mother|father|famille",
+             "history": "was|history", "rspeech": "that|says|dit"}
+ALL_CUES = "|".join(CUE_WORDS.values())
+SENT = r"[^.!?\n]+[.!?]*"
+HEAD = r"(?m)^[\p{L} ]{3,40}:"
+
+
+def _word_spans(text: str, words: str, name: str, src: str, keep: str) -> str:
+    pat = f"(?i)(^|{WB})({words})"
+    return f"""{name}0 AS (
+  SELECT {keep}, {text} AS _t, string_split_regex({text}, '{pat}') AS g,
+         regexp_extract_all({text}, '{pat}', 0) AS mf, regexp_extract_all({text}, '{pat}', 2) AS mw FROM {src}),
+{name}1 AS (
+  SELECT {keep}, _t, i, mw[i] AS word,
+         CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+           + coalesce(list_sum(list_transform(mf[1:i-1], lambda x: length(x))), 0)
+           + length(mf[i]) - length(mw[i]) AS BIGINT) AS start_char,
+         CAST(0 AS BIGINT) AS tok
+  FROM {name}0, unnest(range(1, len(mw) + 1)) r(i)),
+{name} AS (SELECT * EXCLUDE (tok), CAST(len(regexp_extract_all(substr(_t, 1, start_char), '{TOK}')) AS BIGINT) AS tok
+  FROM {name}1 WHERE NOT regexp_matches(substr(_t, start_char + length(word) + 1, 1), '[\\p{{L}}\\p{{N}}_]'))"""
+
+
+def _plain_starts(text: str, pat: str) -> str:
+    """list of 0-based starts of the matches of ``pat`` in ``text``."""
+    return f"""list_transform(range(1, len(regexp_extract_all({text}, '{pat}')) + 1), lambda j:
+      CAST(list_sum(list_transform(string_split_regex({text}, '{pat}')[1:j], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(regexp_extract_all({text}, '{pat}')[1:j-1], lambda x: length(x))), 0) AS BIGINT))"""
+
+
+SELECTED_NOTES = f"""
+{A['visits']},
+{A['notes']},
+sel0 AS (SELECT note_id, encounter_num, patient_num, note_category, document_datetime, note_text,
+   row_number() OVER (PARTITION BY encounter_num ORDER BY
+     CASE WHEN note_category IS NULL OR note_category = 'src0' THEN 0 ELSE 1 END DESC,
+     document_datetime DESC, note_id DESC) AS rn FROM notes),
+sel AS (SELECT * EXCLUDE (rn) FROM sel0 WHERE rn = 1
+        AND regexp_matches(note_text, '(?i)(^|{WB})({LEX_WORDS})({WB}|$)'))"""
+
+_CLS = " ".join(f"WHEN regexp_matches(lower(word), '^({w})$') THEN '{k}'" for k, w in CUE_WORDS.items())
+
+MENTIONS = SELECTED_NOTES + f""",
+{_word_spans('note_text', LEX_WORDS, 'lx', 'sel', 'note_id, encounter_num')},
+{_word_spans('note_text', ALL_CUES, 'cu', 'sel', 'note_id')},
+sst AS (SELECT note_id, {_plain_starts('note_text', SENT)} AS ss,
+               {_plain_starts('note_text', HEAD)} AS hs, regexp_extract_all(note_text, '{HEAD}') AS ht,
+               regexp_extract_all(note_text, '{TOK}') AS w FROM sel),
+cues AS (SELECT c.note_id, list({{'start': c.start_char, 'cls': CASE {_CLS} END,
+                 'sent': len(list_filter(s.ss, lambda b: b <= c.start_char)) - 1}}) AS cl
+         FROM cu c JOIN sst s USING (note_id) GROUP BY c.note_id),
+ments0 AS (
+  SELECT m.note_id, m.encounter_num, m.word AS lexical_variant, lower(m.word) AS std_lexical_variant,
+         CAST(m.start_char AS INTEGER) AS start_char, CAST(m.start_char + length(m.word) AS INTEGER) AS end_char,
+         CAST(m.tok AS INTEGER) AS start, CAST(m.tok + 1 AS INTEGER) AS "end",
+         CAST(len(list_filter(s.ss, lambda b: b <= m.start_char)) - 1 AS INTEGER) AS sent_id,
+         lower(regexp_replace(list_filter(list_zip(s.hs, s.ht), lambda h: h[1] <= m.start_char)[-1][2], ':$', ''))
+           AS section,
+         list_slice(s.w, greatest(m.tok - 35, 0) + 1, m.tok + 1 + 10) AS words,
+         CAST(m.tok - greatest(m.tok - 35, 0) AS INTEGER) AS word_index,
+         coalesce(c.cl, []) AS cl
+  FROM lx m JOIN sst s USING (note_id) LEFT JOIN cues c USING (note_id)),
+ments AS (
+  SELECT * EXCLUDE (cl, sent0, start0),
+  FROM (SELECT *, sent_id AS sent0, start_char AS start0,
+    len(list_filter(cl, lambda c: c.cls = 'negation' AND c.sent = sent_id AND c.start < start_char)) > 0 AS negation,
+    len(list_filter(cl, lambda c: c.cls = 'hypothesis' AND c.sent = sent_id AND c.start < start_char)) > 0 AS hypothesis,
+    len(list_filter(cl, lambda c: c.cls = 'family' AND c.sent = sent_id AND c.start < start_char)) > 0 AS family,
+    len(list_filter(cl, lambda c: c.cls = 'history' AND c.sent = sent_id AND c.start < start_char)) > 0
+      OR coalesce(section IN ('was', 'history'), false) AS history,
+    len(list_filter(cl, lambda c: c.cls = 'rspeech' AND c.sent = sent_id AND c.start < start_char)) > 0 AS rspeech
+  FROM ments0)),
+fm AS (SELECT *, NOT (negation OR family OR history OR hypothesis OR rspeech) AS instance_flag,
+              history AND NOT (negation OR family OR hypothesis) AS history_flag FROM ments),
+tstays AS (
+  SELECT encounter_num, list_sort(list_distinct(list(note_id))) AS note_ids,
+         list_sort(list_distinct(list(std_lexical_variant))) AS std_lexical_variants,
+         count(*) AS n_mentions, bool_or(instance_flag) AS has_instance, bool_or(history_flag) AS has_history,
+         count_if(instance_flag) AS n_positive_mentions,
+         CASE WHEN count_if(instance_flag) > 0 THEN list_sort(list(std_lexical_variant) FILTER (WHERE instance_flag)) END
+           AS std_positive_lexical_variants,
+         count_if(instance_flag) >= 1 AS nlp_positive
+  FROM fm GROUP BY encounter_num)"""

@@ -234,3 +234,221 @@ FROM claims WHERE substr(concept_cd, 7, 1) = 'T' AND TRY_CAST(substr(concept_cd,
 GROUP BY encounter_num""")
 def q_code_set(spark, d):
     return codes.code_set(adapters.claims(spark, d), "T", 0, 98)
+
+
+# ---------------------------------------------------------------- step 8: text
+
+from cohortspark.operators import stays as stay_ops  # noqa: E402
+from cohortspark.operators import text  # noqa: E402
+
+MENTION_COLS = ["note_id", "encounter_num", "lexical_variant", "std_lexical_variant", "start_char", "end_char",
+                "start", "end", "sent_id", "section", "words", "word_index",
+                "negation", "hypothesis", "family", "history", "rspeech"]
+
+
+@register("mentions", "WITH " + O.MENTIONS + "\nSELECT " + ", ".join(
+    f'"{c}"' for c in MENTION_COLS) + " FROM ments")
+def q_mentions(spark, d):
+    return study.text_mentions(spark, d).select(*MENTION_COLS)
+
+
+@register("qualifiers", "WITH " + O.MENTIONS + """
+SELECT note_id, start_char, negation, hypothesis, family, history, rspeech FROM ments""")
+def q_qualifiers(spark, d):
+    return study.text_mentions(spark, d).select("note_id", "start_char", *text.QUALIFIERS)
+
+
+@register("token_window", "WITH " + O.MENTIONS + """
+SELECT note_id, start_char, start, "end", words, word_index FROM ments""")
+def q_token_window(spark, d):
+    return study.text_mentions(spark, d).select("note_id", "start_char", "start", "end", "words", "word_index")
+
+
+REGEX_SPAN_PATTERN = r"[A-Z][a-z]+"
+
+
+@register("regex_spans", "WITH " + A["visits"] + ", " + A["notes"] + r""",
+s0 AS (SELECT note_id, note_text, string_split_regex(note_text, '[A-Z][a-z]+') AS g,
+              regexp_extract_all(note_text, '[A-Z][a-z]+') AS m FROM notes),
+s1 AS (SELECT note_id, note_text, CAST(i - 1 AS INTEGER) AS match_index, m[i] AS match,
+              CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+                   + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS start_char
+       FROM s0, unnest(range(1, len(m) + 1)) r(i))
+SELECT note_id, match_index, match, start_char, CAST(start_char + length(match) AS INTEGER) AS end_char,
+       substr(note_text, greatest(start_char - 35, 0) + 1, start_char + length(match) + 35 - greatest(start_char - 35, 0)) AS snippet
+FROM s1""")
+def q_regex_spans(spark, d):
+    return text.regex_spans(adapters.notes(spark, d), REGEX_SPAN_PATTERN)
+
+
+@register("normalise_text", "WITH " + A["visits"] + ", " + A["notes"] + """
+SELECT note_id, regexp_replace(translate(translate(lower(note_text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'),
+       '’‘«»“”', '''''""""'), '\\s+', ' ', 'g') AS norm_text FROM notes""")
+def q_normalise_text(spark, d):
+    return adapters.notes(spark, d).select("note_id", text.normalise_text(F.col("note_text")).alias("norm_text"))
+
+
+@register("sentences", "WITH " + A["visits"] + ", " + A["notes"] + r""",
+s0 AS (SELECT note_id, string_split_regex(note_text, '[^.!?\n]+[.!?]*') AS g,
+              regexp_extract_all(note_text, '[^.!?\n]+[.!?]*') AS m FROM notes),
+s1 AS (SELECT note_id, CAST(i - 1 AS INTEGER) AS sent_id, m[i] AS sentence,
+              CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+                   + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS start_char
+       FROM s0, unnest(range(1, len(m) + 1)) r(i))
+SELECT note_id, sent_id, start_char, CAST(start_char + length(sentence) AS INTEGER) AS end_char, sentence FROM s1""")
+def q_sentences(spark, d):
+    return text.sentences(adapters.notes(spark, d))
+
+
+@register("sections", "WITH " + A["visits"] + ", " + A["notes"] + r""",
+s0 AS (SELECT note_id, note_text, string_split_regex(note_text, '(?m)^[\p{L} ]{3,40}:') AS g,
+              regexp_extract_all(note_text, '(?m)^[\p{L} ]{3,40}:') AS m FROM notes),
+s1 AS (SELECT note_id, note_text, CAST(i - 1 AS INTEGER) AS section_index, regexp_replace(m[i], ':$', '') AS section,
+              CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+                   + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS start_char
+       FROM s0, unnest(range(1, len(m) + 1)) r(i))
+SELECT note_id, section_index, section, start_char,
+       CAST(coalesce(lead(start_char) OVER (PARTITION BY note_id ORDER BY section_index), length(note_text)) AS INTEGER) AS end_char
+FROM s1""")
+def q_sections(spark, d):
+    return text.sections(adapters.notes(spark, d))
+
+
+def _overlap_spans(spark, d):
+    """Two span families that overlap: capitalised words and the lexicon/cue words."""
+    n = adapters.notes(spark, d)
+    a = text.regex_spans(n, REGEX_SPAN_PATTERN).select("note_id", "start_char", "end_char", F.lit("cap").alias("label"))
+    b = text.regex_spans(n, r"[a-z]+[.!?] [A-Z][a-z]+").select(
+        "note_id", "start_char", "end_char", F.lit("pair").alias("label"))
+    return a.unionByName(b)
+
+
+@register("span_filter")
+def q_span_filter(spark, d):
+    return text.span_filter(_overlap_spans(spark, d))
+
+
+@register("mention_stats", "WITH " + O.MENTIONS + """
+SELECT avg(n) AS mean_mentions_per_note, count(*) AS n_notes, count(DISTINCT encounter_num) AS n_stays,
+       count(DISTINCT patient_num) AS n_patients
+FROM (SELECT m.note_id, count(*) AS n, any_value(m.encounter_num) AS encounter_num, any_value(s.patient_num) AS patient_num
+      FROM ments m JOIN sel s USING (note_id) GROUP BY m.note_id)""")
+def q_mention_stats(spark, d):
+    m = study.text_mentions(spark, d)
+    pat = adapters.visits(spark, d).select("encounter_num", "patient_num")
+    return text.mention_stats(m.join(pat, "encounter_num"))
+
+
+@register("stays_per_term", "WITH " + O.MENTIONS + """
+SELECT std_lexical_variant, count(DISTINCT encounter_num) AS n_stays FROM ments GROUP BY 1""")
+def q_stays_per_term(spark, d):
+    return text.stays_per_term(study.text_mentions(spark, d))
+
+
+@register("cooccurrence", "WITH " + O.MENTIONS + """,
+st AS (SELECT DISTINCT encounter_num, std_lexical_variant AS t FROM ments)
+SELECT a.t AS term_1, b.t AS term_2, count(*) AS n_stays FROM st a JOIN st b USING (encounter_num)
+WHERE a.t <= b.t GROUP BY 1, 2""")
+def q_cooccurrence(spark, d):
+    return text.cooccurrence(study.text_mentions(spark, d))
+
+
+@register("exclusive_terms", "WITH " + O.MENTIONS + """
+SELECT any_value(std_lexical_variant) AS std_lexical_variant, count(*) AS n_stays FROM (
+  SELECT encounter_num, any_value(std_lexical_variant) AS std_lexical_variant FROM ments
+  GROUP BY encounter_num HAVING count(DISTINCT std_lexical_variant) = 1) GROUP BY std_lexical_variant""")
+def q_exclusive_terms(spark, d):
+    return text.exclusive_terms(study.text_mentions(spark, d))
+
+
+# ---------------------------------------------------------------- step 3: stays
+
+@register("mention_flag", "WITH " + O.MENTIONS + """
+SELECT note_id, start_char, instance_flag, history_flag FROM fm""")
+def q_mention_flag(spark, d):
+    return study.flagged_mentions(spark, d).select("note_id", "start_char", "instance_flag", "history_flag")
+
+
+@register("stay_rollup", "WITH " + O.MENTIONS + "\nSELECT * FROM tstays")
+def q_stay_rollup(spark, d):
+    return study.text_stays(spark, d)
+
+
+@register("positive_terms", "WITH " + O.MENTIONS + """
+SELECT encounter_num, std_positive_lexical_variants FROM tstays""")
+def q_positive_terms(spark, d):
+    return study.text_stays(spark, d).select("encounter_num", "std_positive_lexical_variants")
+
+
+def mention_scores(spark, d):
+    """Stand-in model scores keyed like the mentions (derived from the mention rows)."""
+    m = study.text_mentions(spark, d)
+    return m.select("note_id", "start_char", "end_char", (((F.col("note_id") + F.col("start_char")) % 4) > 0).alias("prediction"))
+
+
+@register("score_join", "WITH " + O.MENTIONS + """
+SELECT note_id, start_char, end_char, std_lexical_variant, (note_id + start_char) % 4 > 0 AS prediction FROM ments""")
+def q_score_join(spark, d):
+    from cohortspark.operators.joins import checked_join
+
+    m = study.text_mentions(spark, d).select("note_id", "start_char", "end_char", "std_lexical_variant")
+    return checked_join(m, mention_scores(spark, d), ["note_id", "start_char", "end_char"], "left", "1:1")
+
+
+RF_NAMES = list(text.LEXICON)
+
+
+def rf_flag_stays(spark, d):
+    """Per stay one flag per risk factor; RF mentions are the lexicon labels kept by P9
+    (drop a mention when negated or hypothetical)."""
+    m = study.text_mentions(spark, d)
+    kept = m.where(~(F.col("negation") | F.col("hypothesis"))).select(
+        "encounter_num", F.col("std_lexical_variant").alias("rf_name"))
+    st = study.text_stays(spark, d).select("encounter_num")
+    return stay_ops.rf_flags(st, kept, RF_NAMES)
+
+
+RF_SQL = "WITH " + O.MENTIONS + """,
+rfk AS (SELECT DISTINCT encounter_num, std_lexical_variant AS rf FROM ments WHERE NOT (negation OR hypothesis)),
+rff AS (SELECT t.encounter_num, """ + ", ".join(
+    f"coalesce(bool_or(rf = '{r}'), false) AS \"{r}\"" for r in RF_NAMES) + """
+        FROM tstays t LEFT JOIN rfk USING (encounter_num) GROUP BY t.encounter_num)"""
+
+
+@register("rf_flags", RF_SQL + "\nSELECT * FROM rff")
+def q_rf_flags(spark, d):
+    return rf_flag_stays(spark, d)
+
+
+@register("rf_stays_long", RF_SQL + "\n" + "\nUNION ALL ".join(
+    f"SELECT encounter_num, '{r}' AS rf_name, \"{r}\" AS value, CAST(encounter_num AS VARCHAR) || '-{r}' AS stay_rf_id FROM rff"
+    for r in RF_NAMES))
+def q_rf_stays_long(spark, d):
+    return stay_ops.rf_stays_long(rf_flag_stays(spark, d), RF_NAMES)
+
+
+@register("rule_only_stays", "WITH " + O.MENTIONS + ", " + O.CLAIM_POS.strip() + """
+SELECT encounter_num, n_positive_mentions FROM tstays
+WHERE nlp_positive AND encounter_num NOT IN (SELECT encounter_num FROM claim_pos)""")
+def q_rule_only_stays(spark, d):
+    rule = study.text_stays(spark, d).where("nlp_positive").select("encounter_num", "n_positive_mentions")
+    other = study.claim_positive(spark, d).select("encounter_num", F.lit(True).alias("ml_positive"))
+    return stay_ops.rule_only(rule, other)
+
+
+@register("method_outer", "WITH " + O.MENTIONS + ", " + O.CLAIM_POS.strip() + """
+SELECT encounter_num, t.nlp_positive AS text_positive, c.encounter_num IS NOT NULL AND c.number_codes IS NOT NULL AS claim_positive_raw,
+       CASE WHEN c.encounter_num IS NULL THEN NULL ELSE true END AS claim_positive
+FROM (SELECT encounter_num, nlp_positive FROM tstays) t FULL JOIN (SELECT encounter_num, number_codes FROM claim_pos) c USING (encounter_num)""")
+def q_method_outer(spark, d):
+    a = study.text_stays(spark, d).select("encounter_num", F.col("nlp_positive").alias("text_positive"))
+    b = study.claim_positive(spark, d).select("encounter_num", F.lit(True).alias("claim_positive"))
+    out = stay_ops.method_outer(a, b)
+    return out.withColumn("claim_positive_raw", F.coalesce(F.col("claim_positive"), F.lit(False)))
+
+
+@register("outcome_stays", O.stays_source("claims") + """
+SELECT encounter_num, patient_num, sex_cd, age_cat, date, death FROM ep WHERE """ + O.OUTCOME)
+def q_outcome_stays(spark, d):
+    st = incidence.outcome_stays(study.stays_by_source(spark, d, "claims"))
+    return st.select("encounter_num", "patient_num", "sex_cd", "age_cat", "date", "death")

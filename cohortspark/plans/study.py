@@ -49,6 +49,39 @@ def stays_by_source(spark: SparkSession, d: str, source: str = "all", params: St
     elif source == "claims":
         pos = claim_positive(spark, d).select("encounter_num", F.lit(True).alias("positive_visit"))
         st = st.join(pos, "encounter_num", "left").fillna(False, subset=["positive_visit"])
+    elif source == "text":
+        pos = text_stays(spark, d).where("nlp_positive").select(
+            "encounter_num", F.lit(True).alias("positive_visit"), "has_history")
+        st = st.join(pos, "encounter_num", "left").fillna(False, subset=["positive_visit", "has_history"])
     else:
         raise ValueError(f"unknown source {source!r}")
     return tag_episodes(st, params)
+
+
+# ---------------------------------------------------------------- text path
+
+def selected_notes(spark: SparkSession, d: str, method: str = "keep_last") -> DataFrame:
+    """One note per stay (W1/W2), then the lexicon filter (P3): selection precedes the regex."""
+    from cohortspark.operators import cohort, text
+
+    one = cohort.select_one_note(adapters.notes(spark, d), method, P)
+    return cohort.regex_filter(one, text.LEXICON)
+
+
+def text_mentions(spark: SparkSession, d: str) -> DataFrame:
+    from cohortspark.operators import text
+
+    return text.mentions(selected_notes(spark, d), keep_cols=("encounter_num",))
+
+
+def flagged_mentions(spark: SparkSession, d: str) -> DataFrame:
+    from cohortspark.operators.stays import flag_mentions
+
+    return flag_mentions(text_mentions(spark, d))
+
+
+def text_stays(spark: SparkSession, d: str) -> DataFrame:
+    """Mention roll-up per stay."""
+    from cohortspark.operators.stays import stay_rollup
+
+    return stay_rollup(flagged_mentions(spark, d), P)

@@ -137,7 +137,8 @@ def incidence_grouping_sets(
     cols = ["sex_cd", "age_cat", "site_label"]
     sets = [[F.col(c) for c in g] + [F.col("date")] for g in GROUPINGS]
     agg = stays.groupingSets(sets, *[F.col(c) for c in cols], F.col("date")).agg(
-        F.grouping_id(*[F.col(c) for c in cols]).alias("grouping_level"),
+        (F.grouping("sex_cd") * 4 + F.grouping("age_cat") * 2 + F.grouping("site_label")).cast("int").alias(
+            "grouping_level"),
         *_monthly_aggs(weight_col, history_col, rf_cols),
     )
     return _finish_monthly(agg, history_col, rf_cols)

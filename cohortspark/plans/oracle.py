@@ -163,3 +163,8 @@ tstays AS (
            AS std_positive_lexical_variants,
          count_if(instance_flag) >= 1 AS nlp_positive
   FROM fm GROUP BY encounter_num)"""
+
+
+def outcome_cte(source: str = "claims") -> str:
+    """CTE chain ending in ``oc``: the stays an analysis counts."""
+    return stays_source(source) + f",\noc AS (SELECT * FROM ep WHERE {OUTCOME})"

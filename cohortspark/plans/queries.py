@@ -14,6 +14,7 @@ from cohortspark.plans import study
 from cohortspark.plans.study import P
 from cohortspark.sources import adapters
 from cohortspark.sources.adapters import SQL as A
+from cohortspark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -452,3 +453,261 @@ SELECT encounter_num, patient_num, sex_cd, age_cat, date, death FROM ep WHERE ""
 def q_outcome_stays(spark, d):
     st = incidence.outcome_stays(study.stays_by_source(spark, d, "claims"))
     return st.select("encounter_num", "patient_num", "sex_cd", "age_cat", "date", "death")
+
+
+# ---------------------------------------------------------------- step 4: incidence
+
+from cohortspark.operators import its, risk, survival  # noqa: E402
+
+
+def claim_outcomes(spark, d):
+    return incidence.outcome_stays(study.stays_by_source(spark, d, "claims"))
+
+
+MONTHLY_COLS_SQL = """, count(*) AS n_sa, count_if(death) AS death, avg(duration_seconds) / 86400.0 AS mean_duration,
+  CAST(month(date) AS INTEGER) AS month, CAST(year(date) AS INTEGER) AS year, monthname(date) AS month_name,
+  count_if(death) / count(*) AS death_ratio"""
+
+
+@register("month_grid", "WITH " + A["visits"] + """,
+b AS (SELECT CAST(date_trunc('month', min(visit_start_date)) AS DATE) AS lo,
+             CAST(date_trunc('month', max(visit_start_date)) AS DATE) AS hi FROM visits)
+SELECT CAST(m AS DATE) AS date, CAST(datediff('month', DATE '1995-01-01', CAST(m AS DATE)) AS INTEGER) AS t
+FROM b, unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) u(m)""")
+def q_month_grid(spark, d):
+    b = adapters.visits(spark, d).agg(F.min("visit_start_date").alias("lo"), F.max("visit_start_date").alias("hi"))
+    g = b.select(F.explode(F.sequence(F.trunc("lo", "MM"), F.trunc("hi", "MM"), F.expr("interval 1 month"))).alias("date"))
+    return g.withColumn("t", incidence.months_since("date", P.date_from))
+
+
+@register("incidence_grouping_sets", O.outcome_cte("claims") + """
+SELECT sex_cd, age_cat, site_label, date, CAST(GROUPING(sex_cd, age_cat, site_label) AS INTEGER) AS grouping_level"""
+          + MONTHLY_COLS_SQL + """
+FROM oc GROUP BY GROUPING SETS ((date), (sex_cd, date), (sex_cd, age_cat, date), (site_label, date),
+                                (sex_cd, age_cat, site_label, date))""")
+def q_incidence_grouping_sets(spark, d):
+    return incidence.incidence_grouping_sets(claim_outcomes(spark, d))
+
+
+def sex_and_all_monthly(spark, d):
+    st = claim_outcomes(spark, d)
+    by_sex = incidence.monthly_table(st, ["sex_cd"], P)
+    overall = incidence.monthly_table(st, [], P).withColumn("sex_cd", F.lit("all"))
+    return by_sex.unionByName(overall)
+
+
+@register("centered_mean", O.outcome_cte("claims") + """,
+m AS (SELECT s.sex_cd, mo.date, coalesce(a.n_sa, 0) AS n_sa
+      FROM (SELECT DISTINCT date FROM oc) mo CROSS JOIN (VALUES ('M'), ('W')) s(sex_cd)
+      LEFT JOIN (SELECT sex_cd, date, count(*) AS n_sa FROM oc GROUP BY ALL) a USING (sex_cd, date)
+      UNION ALL SELECT 'all', date, count(*) FROM oc GROUP BY date)
+SELECT sex_cd, date, n_sa,
+  CASE WHEN count(n_sa) OVER w = 3 THEN avg(n_sa) OVER w END AS n_sa_centered_mean
+FROM m WINDOW w AS (PARTITION BY sex_cd ORDER BY date ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+def q_centered_mean(spark, d):
+    return incidence.centered_mean(sex_and_all_monthly(spark, d), "n_sa", "sex_cd")
+
+
+@register("period_shares", O.outcome_cte("claims") + """,
+g AS (SELECT sex_cd, age_cat, count_if(date < DATE '1998-01-01') AS n_pre, count_if(date >= DATE '1998-01-01') AS n_post
+      FROM oc GROUP BY ALL)
+SELECT *, n_pre / sum(n_pre) OVER () AS share_pre, n_post / sum(n_post) OVER () AS share_post FROM g""")
+def q_period_shares(spark, d):
+    return incidence.period_shares(claim_outcomes(spark, d), ["sex_cd", "age_cat"], P)
+
+
+@register("stays_per_site", O.outcome_cte("claims") + """
+SELECT site_label, count(*) AS n_stays FROM oc GROUP BY site_label""")
+def q_stays_per_site(spark, d):
+    return incidence.stays_per_site(claim_outcomes(spark, d))
+
+
+@register("age_summary", O.outcome_cte("claims") + """
+SELECT avg(age) AS mean_age, stddev_samp(age) AS std_age, count(age) AS n FROM oc""")
+def q_age_summary(spark, d):
+    return incidence.age_summary(claim_outcomes(spark, d))
+
+
+def probe(spark, d):
+    """Completeness: a stay 'has a note' when its order has a returned line (flag 'R')."""
+    st = study.stays(spark, d).select("encounter_num", "date", "site_label")
+    li = read_table(spark, d, "lineitem", ["l_orderkey", "l_returnflag"])
+    has = li.groupBy(F.col("l_orderkey").alias("encounter_num")).agg(
+        F.bool_or(F.col("l_returnflag") == "R").alias("has_note"))
+    x = st.join(has, "encounter_num", "left").fillna(False, subset=["has_note"])
+    return incidence.completeness_probe(x)
+
+
+PROBE_SQL = "WITH " + O.STAYS + """,
+has AS (SELECT l_orderkey AS encounter_num, bool_or(l_returnflag = 'R') AS has_note FROM lineitem GROUP BY 1),
+pr AS (SELECT site_label, date, count(*) AS n_visit, count_if(coalesce(has_note, false)) AS n_note,
+              count_if(coalesce(has_note, false)) / count(*) AS rho
+       FROM stays LEFT JOIN has USING (encounter_num) GROUP BY site_label, date)"""
+
+
+@register("completeness_probe", PROBE_SQL + "\nSELECT * FROM pr")
+def q_completeness_probe(spark, d):
+    return probe(spark, d)
+
+
+@register("stay_weight", PROBE_SQL + """,
+w AS (SELECT site_label, date, CASE WHEN rho = 0 THEN NULL ELSE 1.0 / rho END AS stay_weight FROM pr
+      WHERE date >= DATE '1995-01-01' AND date < DATE '2001-08-01')
+SELECT encounter_num, date, site_label, stay_weight FROM stays LEFT JOIN w USING (date, site_label)""")
+def q_stay_weight(spark, d):
+    w = incidence.inverse_weights(probe(spark, d), P)
+    st = study.stays(spark, d).select("encounter_num", "date", "site_label")
+    return stay_ops.add_weights(st, w)
+
+
+GENERIC_TERMS = ["with"]
+
+
+def text_outcome_stays(spark, d):
+    ts = study.text_stays(spark, d)
+    st = study.stays(spark, d).select("encounter_num", "date", "sex_cd")
+    return ts.join(st, "encounter_num")
+
+
+@register("modality_mix", "WITH " + O.MENTIONS + """,
+ts AS (SELECT t.encounter_num, s.date, t.std_positive_lexical_variants AS l FROM tstays t
+       JOIN (SELECT o_orderkey AS encounter_num, CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM orders) s
+       USING (encounter_num)),
+ex AS (SELECT encounter_num, date, unnest(l) AS term FROM ts WHERE l IS NOT NULL),
+ps AS (SELECT encounter_num, date, term, count(*) AS n FROM ex WHERE term NOT IN ('with') GROUP BY ALL),
+pw AS (SELECT encounter_num, date, term, n / sum(n) OVER (PARTITION BY encounter_num) AS w FROM ps),
+unk AS (SELECT encounter_num, date, 'Unknown' AS term, 1.0 AS w FROM ts
+        WHERE len(l) > 0 AND encounter_num NOT IN (SELECT encounter_num FROM ps)),
+mo AS (SELECT date, term, sum(w) AS w FROM (SELECT * FROM pw UNION ALL SELECT * FROM unk) GROUP BY ALL)
+SELECT date, term, round(w / sum(w) OVER (PARTITION BY date), 9) AS share FROM mo""")
+def q_modality_mix(spark, d):
+    out = incidence.modality_mix(text_outcome_stays(spark, d), GENERIC_TERMS)
+    return out.withColumn("share", F.round("share", 9))
+
+
+@register("unpivot_flags", RF_SQL + """,
+j AS (SELECT r.*, CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM rff r JOIN orders ON r.encounter_num = o_orderkey),
+m AS (SELECT date, count(*) AS n, """ + ", ".join(f"count_if(\"{r}\") AS \"{r}\"" for r in RF_NAMES) + """ FROM j GROUP BY date)
+""" + "\nUNION ALL ".join(f"SELECT date, '{r}' AS rf_name, \"{r}\" / n AS prevalence FROM m" for r in RF_NAMES))
+def q_unpivot_flags(spark, d):
+    st = study.stays(spark, d).select("encounter_num", "date", "duration_seconds", "death")
+    x = rf_flag_stays(spark, d).join(st, "encounter_num")
+    monthly = incidence.monthly_table(x, [], P, rf_cols=RF_NAMES)
+    ratios = [f"{r}_ratio" for r in RF_NAMES]
+    long = monthly.select("date", *[F.col(c).alias(c[:-6]) for c in ratios]).unpivot(
+        ["date"], RF_NAMES, "rf_name", "prevalence")
+    return long
+
+
+# ---------------------------------------------------------------- step 5: ITS
+
+def its_design_df(spark, d, keys=()):
+    st = claim_outcomes(spark, d)
+    monthly = st.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("n_sa"))
+    return its.design(monthly, list(keys), P)
+
+
+def _its_sql(keys: list[str]) -> str:
+    """Closed-form minimum-norm OLS in SQL (same algebra, independent code)."""
+    k = ", ".join(keys)
+    kc = (k + ", ") if keys else ""
+    on = " AND ".join(f"x.{c} = g.{c}" for c in keys) if keys else "true"
+    grp = f"GROUP BY {k}" if keys else ""
+    return O.outcome_cte("claims") + f""",
+mo AS (SELECT {kc}date, count(*) AS n_sa FROM oc GROUP BY ALL),
+gr AS (SELECT DISTINCT {k if keys else "'all' AS series"} FROM {"mo" if keys else "(SELECT 1)"}),
+cal AS (SELECT CAST(m AS DATE) AS date FROM unnest(generate_series(DATE '1995-01-01', DATE '2001-07-01', INTERVAL 1 MONTH)) u(m)),
+des AS (SELECT gr.*, cal.date, CAST(coalesce(mo.n_sa, 0) AS DOUBLE) AS y, mo.n_sa IS NOT NULL AS observed,
+               CAST(datediff('month', DATE '1995-01-01', cal.date) AS INTEGER) AS t,
+               CASE WHEN cal.date >= DATE '1998-01-01' THEN datediff('month', DATE '1998-01-01', cal.date) ELSE 0 END AS delta_t,
+               month(cal.date) AS month_index
+        FROM gr CROSS JOIN cal LEFT JOIN mo ON {" AND ".join(f"mo.{c} = gr.{c}" for c in keys) + " AND " if keys else ""}mo.date = cal.date),
+pm AS (SELECT {kc}month_index, count(*) AS n_k, avg(t) AS mt, avg(delta_t) AS md, avg(y) AS my FROM des GROUP BY ALL),
+x AS (SELECT d.*, p.n_k, p.mt, p.md, p.my FROM des d JOIN pm p USING ({kc}month_index)),
+g0 AS (SELECT {kc}sum((t-mt)*(t-mt)) AS stt, sum((t-mt)*(delta_t-md)) AS std, sum((delta_t-md)*(delta_t-md)) AS sdd,
+              sum((t-mt)*(y-my)) AS sty, sum((delta_t-md)*(y-my)) AS sdy, count(*) AS n FROM x {grp}),
+g1 AS (SELECT *, (sdd*sty - std*sdy) / (stt*sdd - std*std) AS b_t, (stt*sdy - std*sty) / (stt*sdd - std*std) AS b_d,
+              stt*sdd - std*std AS det FROM g0),
+ak AS (SELECT p.*, g1.b_t, g1.b_d, p.my - g1.b_t*p.mt - g1.b_d*p.md AS a_k FROM pm p JOIN g1 {"USING (" + k + ")" if keys else "ON true"}),
+sa AS (SELECT {kc}sum(a_k) AS sum_a, sum(1.0/n_k) AS sum_inv_n, sum(mt) AS w_t, sum(md) AS w_d FROM ak {grp}),
+rs AS (SELECT {kc}sum(power(x.y - ak.a_k - ak.b_t*x.t - ak.b_d*x.delta_t, 2)) AS ssr
+       FROM x JOIN ak USING ({kc}month_index) {grp}),
+g AS (SELECT g1.*, sa.sum_a / 13.0 AS const, sa.sum_inv_n, sa.w_t, sa.w_d, rs.ssr, rs.ssr / (g1.n - 14) AS s2
+      FROM g1 {"JOIN sa USING (" + k + ") JOIN rs USING (" + k + ")" if keys else "CROSS JOIN sa CROSS JOIN rs"}),
+co AS (SELECT *, sqrt(s2*sdd/det) AS se_t, sqrt(s2*stt/det) AS se_d,
+              sqrt(s2/169.0*(sum_inv_n + (w_t*w_t*sdd - 2*w_t*w_d*std + w_d*w_d*stt)/det)) AS se_const FROM g)"""
+
+
+Q_ITS = its.t_ppf(0.975, its.window_months(P) - 14)
+_MN = "['January','February','March','April','May','June','July','August','September','October','November','December']"
+
+
+def _coef_sql(keys):
+    kc = ", ".join(keys) + ", " if keys else "'all' AS series, "
+    kk = ", ".join(keys) + ", " if keys else ""
+    return _its_sql(keys) + f""",
+lo AS (SELECT {kc}'const' AS term, const AS estimate, se_const AS std_error FROM co
+       UNION ALL SELECT {kc}'t', b_t, se_t FROM co
+       UNION ALL SELECT {kc}'delta_t', b_d, se_d FROM co
+       UNION ALL SELECT {kk.replace(", ", "") and ", ".join("ak." + c for c in keys) + ", " or "'all', "}{_MN}[ak.month_index], ak.a_k - co.const, NULL
+         FROM ak JOIN co {"USING (" + ", ".join(keys) + ")" if keys else "ON true"})
+SELECT {", ".join(keys) + ", " if keys else "series, "}term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error,
+       round(estimate - {Q_ITS!r} * std_error, 6) AS lower, round(estimate + {Q_ITS!r} * std_error, 6) AS upper FROM lo"""
+
+
+@register("its_design", _its_sql([]) + """
+SELECT series, date, y, observed, t, CAST(date >= DATE '1998-01-01' AS INTEGER) AS after_cutoff,
+       CAST(delta_t AS INTEGER) AS delta_t, CAST(month_index AS INTEGER) AS month_index FROM des""")
+def q_its_design(spark, d):
+    return its_design_df(spark, d)
+
+
+@register("its_coefficients", _coef_sql([]))
+def q_its_coefficients(spark, d):
+    return its.coefficients(its_design_df(spark, d), [], P)
+
+
+@register("its_fitted", _its_sql([]) + """
+SELECT x.series, x.date, x.y, x.t, CAST(x.delta_t AS INTEGER) AS delta_t,
+       round(ak.a_k + ak.b_t*x.t + ak.b_d*x.delta_t, 6) AS estimate,
+       round(x.y - (ak.a_k + ak.b_t*x.t + ak.b_d*x.delta_t), 6) AS residual,
+       round(ak.b_t*x.t + ak.b_d*x.delta_t + co.const, 6) AS linear_trend,
+       round(ak.b_t*x.t + co.const, 6) AS no_change_trend
+FROM x JOIN ak USING (month_index) CROSS JOIN co WHERE x.observed""")
+def q_its_fitted(spark, d):
+    return its.fitted(its_design_df(spark, d), [])
+
+
+@register("its_by_group", _coef_sql(["sex_cd"]))
+def q_its_by_group(spark, d):
+    return its.coefficients(its_design_df(spark, d, ["sex_cd"]), ["sex_cd"], P)
+
+
+@register("trend_change", _coef_sql(["site_label"]).rsplit("SELECT site_label, term", 1)[0] + """
+SELECT site_label, round(estimate, 6) AS delta_t, round(estimate - """ + repr(Q_ITS) + """ * std_error, 6) AS lower,
+       round(estimate + """ + repr(Q_ITS) + """ * std_error, 6) AS upper,
+       round(round(estimate, 6) - round(estimate - """ + repr(Q_ITS) + """ * std_error, 6), 6) AS lower_half_width,
+       round(round(estimate + """ + repr(Q_ITS) + """ * std_error, 6) - round(estimate, 6), 6) AS upper_half_width,
+       r_name AS site_type, n_stays
+FROM lo JOIN nation ON site_label = n_name JOIN region ON n_regionkey = r_regionkey
+JOIN (SELECT site_label, count(*) AS n_stays FROM oc GROUP BY 1) USING (site_label) WHERE term = 'delta_t'""")
+def q_trend_change(spark, d):
+    coefs = its.coefficients(its_design_df(spark, d, ["site_label"]), ["site_label"], P)
+    tc = its.trend_change(coefs, ["site_label"])
+    sites = adapters.site_dimension(spark, d)
+    n = incidence.stays_per_site(claim_outcomes(spark, d))
+    return tc.join(F.broadcast(sites), "site_label", "left").join(n, "site_label", "left")
+
+
+@register("table_trends", _coef_sql(["sex_cd"]).rsplit("SELECT sex_cd, term", 1)[0] + """
+SELECT sex_cd, n_stays, share, mean_age, round(estimate, 6) AS delta_t,
+       round(estimate - """ + repr(Q_ITS) + """ * std_error, 6) AS lower, round(estimate + """ + repr(Q_ITS) + """ * std_error, 6) AS upper
+FROM lo JOIN (SELECT sex_cd, count(*) AS n_stays, count(*) / sum(count(*)) OVER () AS share, avg(age) AS mean_age
+              FROM oc GROUP BY sex_cd) USING (sex_cd) WHERE term = 'delta_t'""")
+def q_table_trends(spark, d):
+    st = claim_outcomes(spark, d)
+    tc = its.trend_change(its.coefficients(its_design_df(spark, d, ["sex_cd"]), ["sex_cd"], P), ["sex_cd"])
+    g = st.groupBy("sex_cd").agg(F.count(F.lit(1)).alias("n_stays"), F.avg("age").alias("mean_age"))
+    from pyspark.sql import Window
+    g = g.withColumn("share", F.col("n_stays") / F.sum("n_stays").over(Window.partitionBy()))
+    return g.join(tc.select("sex_cd", "delta_t", "lower", "upper"), "sex_cd")

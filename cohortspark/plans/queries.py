@@ -711,3 +711,278 @@ def q_table_trends(spark, d):
     from pyspark.sql import Window
     g = g.withColumn("share", F.col("n_stays") / F.sum("n_stays").over(Window.partitionBy()))
     return g.join(tc.select("sex_cd", "delta_t", "lower", "upper"), "sex_cd")
+
+
+# ---------------------------------------------------------------- step 6: risk / survival
+
+def rf_stays_dated(spark, d):
+    st = study.stays(spark, d).select("encounter_num", "date", "sex_cd")
+    return rf_flag_stays(spark, d).join(st, "encounter_num")
+
+
+def contingency_df(spark, d):
+    x = rf_flag_stays_sex_all(spark, d)
+    return risk.contingency(x, RF_NAMES, ["sex_cd"], P)
+
+
+def rf_flag_stays_sex_all(spark, d):
+    x = rf_flag_stays_dated = rf_stays_dated(spark, d)
+    return x.unionByName(rf_flag_stays_dated.withColumn("sex_cd", F.lit("all")))
+
+
+CONTINGENCY_SQL = RF_SQL + """,
+j0 AS (SELECT r.*, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
+              CASE WHEN c_custkey % 10 = 0 THEN 'Unknown' WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'W' END AS sex_cd
+       FROM rff r JOIN orders ON r.encounter_num = o_orderkey JOIN customer ON o_custkey = c_custkey),
+j AS (SELECT * FROM j0 UNION ALL SELECT * REPLACE ('all' AS sex_cd) FROM j0),
+lg AS (""" + "\nUNION ALL ".join(f"SELECT sex_cd, '{r}' AS rf_name, \"{r}\" AS rf, date >= DATE '1998-01-01' AS post FROM j"
+                                 for r in RF_NAMES) + """),
+ct AS (SELECT sex_cd, rf_name, count_if(rf AND post) AS a, count_if(rf AND NOT post) AS b,
+              count_if(NOT rf AND post) AS c, count_if(NOT rf AND NOT post) AS d FROM lg GROUP BY ALL)"""
+
+
+@register("contingency", CONTINGENCY_SQL + "\nSELECT * FROM ct")
+def q_contingency(spark, d):
+    return contingency_df(spark, d)
+
+
+@register("risk_ratio", CONTINGENCY_SQL + """,
+rr AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN (a / (a + c)) / (b / (b + d)) END AS rr0,
+              CASE WHEN a > 0 AND b > 0 THEN sqrt(1.0/a - 1.0/(a + c) + 1.0/b - 1.0/(b + d)) END AS se FROM ct),
+hx AS (SELECT sex_cd, rf_name, a, x,
+              lgamma(a+b+1) - lgamma(x+1) - lgamma(a+b-x+1) + lgamma(c+d+1) - lgamma(a+c-x+1) - lgamma(c+d-a-c+x+1)
+              - (lgamma(a+b+c+d+1) - lgamma(a+c+1) - lgamma(b+d+1)) AS lp
+       FROM ct, unnest(generate_series(CAST(greatest(0, a+c-(c+d)) AS BIGINT), CAST(least(a+b, a+c) AS BIGINT))) g(x)),
+fp AS (SELECT h.sex_cd, h.rf_name, least(1.0, sum(CASE WHEN h.lp <= o.lp + ln(1 + 1e-7) THEN exp(h.lp) ELSE 0 END)) AS p
+       FROM hx h JOIN (SELECT sex_cd, rf_name, lp FROM hx WHERE x = a) o USING (sex_cd, rf_name) GROUP BY ALL)
+SELECT sex_cd, rf_name, a, b, c, d, round(rr0, 6) AS risk_ratio,
+       round(exp(ln(rr0) - 1.959963984540054 * se), 6) AS rr_lower, round(exp(ln(rr0) + 1.959963984540054 * se), 6) AS rr_upper,
+       round(p, 6) AS fisher_p
+FROM rr LEFT JOIN fp USING (sex_cd, rf_name)""")
+def q_risk_ratio(spark, d):
+    return risk.risk_ratio(contingency_df(spark, d), ["sex_cd", "rf_name"])
+
+
+def km_df(spark, d):
+    return survival.km_input(claim_outcomes(spark, d), P)
+
+
+KM_SQL = O.outcome_cte("claims") + """,
+km AS (SELECT encounter_num, CASE WHEN date < DATE '1998-01-01' THEN 'pre' ELSE 'post' END AS cohort,
+              (epoch(coalesce(visit_end_date, TIMESTAMP '2001-09-01')) - epoch(visit_start_date)) / 86400.0 AS duration,
+              visit_end_date IS NOT NULL AS event FROM oc),
+pt AS (SELECT cohort, duration, count_if(event) AS n_event, count_if(NOT event) AS n_censored FROM km GROUP BY ALL),
+pt2 AS (SELECT *, sum(n_event + n_censored) OVER (PARTITION BY cohort ORDER BY duration DESC
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_at_risk FROM pt)"""
+
+
+@register("km_input", KM_SQL + "\nSELECT * FROM km")
+def q_km_input(spark, d):
+    return km_df(spark, d)
+
+
+@register("km_curve", KM_SQL + """
+SELECT cohort, duration, n_event, n_censored, n_at_risk,
+  round(CASE WHEN max(CAST(n_event >= n_at_risk AS INTEGER)) OVER w = 1 THEN 0.0
+        ELSE exp(sum(CASE WHEN n_event >= n_at_risk THEN 0.0 ELSE ln(1 - n_event / n_at_risk) END) OVER w) END, 6) AS survival
+FROM pt2 WINDOW w AS (PARTITION BY cohort ORDER BY duration ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def q_km_curve(spark, d):
+    return survival.km_curve(km_df(spark, d))
+
+
+@register("km_at_risk", KM_SQL + """,
+days AS (SELECT DISTINCT cohort, unnest(generate_series(0, 30)) AS day FROM km)
+SELECT cohort, CAST(day AS INTEGER) AS day, CAST(count(k.encounter_num) AS BIGINT) AS n_at_risk
+FROM days LEFT JOIN km k USING (cohort) WHERE k.duration >= day OR k.duration IS NULL GROUP BY ALL""")
+def q_km_at_risk(spark, d):
+    return survival.at_risk_days(km_df(spark, d), P.km_days)
+
+
+@register("logrank", KM_SQL + """,
+times AS (SELECT DISTINCT duration FROM pt),
+nn AS (SELECT t.duration,
+         coalesce((SELECT n_event FROM pt2 WHERE cohort = 'pre' AND duration = t.duration), 0) AS d1,
+         coalesce((SELECT n_event FROM pt2 WHERE cohort = 'post' AND duration = t.duration), 0) AS d2,
+         (SELECT count(*) FROM km WHERE cohort = 'pre' AND duration >= t.duration) AS n1,
+         (SELECT count(*) FROM km WHERE cohort = 'post' AND duration >= t.duration) AS n2 FROM times t),
+agg AS (SELECT sum(d1) AS observed_1, sum((d1 + d2) * n1 / (n1 + n2)) AS expected_1,
+               sum(CASE WHEN n1 + n2 > 1 THEN (d1 + d2) * n1 * n2 * (n1 + n2 - d1 - d2) / ((n1 + n2) * (n1 + n2) * (n1 + n2 - 1.0)) ELSE 0 END) AS variance
+        FROM nn WHERE d1 + d2 > 0)
+SELECT CAST(observed_1 AS BIGINT) AS observed_1, round(expected_1, 6) AS expected_1,
+       round(power(observed_1 - expected_1, 2) / variance, 6) AS chi2 FROM agg""")
+def q_logrank(spark, d):
+    return survival.logrank(km_df(spark, d)).drop("p_value")
+
+
+@register("logrank_p")
+def q_logrank_p(spark, d):
+    return survival.logrank(km_df(spark, d))
+
+
+# ---------------------------------------------------------------- step 7: agreement / sampling
+
+from cohortspark.operators import agreement, sampling  # noqa: E402
+
+ANN = "WITH " + A["annotations"] + """,
+w AS (SELECT note_id, any_value(gold) FILTER (WHERE annotator = 'A') AS "A",
+             any_value(gold) FILTER (WHERE annotator = 'B') AS "B", any_value(rf_name) AS rf_name FROM annotations GROUP BY note_id)"""
+
+
+def ann_wide(spark, d):
+    a = adapters.annotations(spark, d)
+    return agreement.pair_wide(a, ("A", "B"), ["note_id", "rf_name"])
+
+
+@register("crosstab_margins", ANN + """
+SELECT "A" AS label_a, "B" AS label_b, GROUPING("A") = 1 AS is_margin_a, GROUPING("B") = 1 AS is_margin_b, count(*) AS n
+FROM w GROUP BY CUBE ("A", "B")""")
+def q_crosstab_margins(spark, d):
+    return agreement.crosstab_margins(ann_wide(spark, d))
+
+
+@register("annotator_disagreement", "WITH " + A["annotations"] + """
+SELECT note_id, count(DISTINCT annotator) AS n_annotators, count(DISTINCT gold) AS n_labels,
+       count(DISTINCT gold) > 1 AS disagreement FROM annotations GROUP BY note_id""")
+def q_annotator_disagreement(spark, d):
+    return agreement.disagreement(adapters.annotations(spark, d))
+
+
+@register("notes_per_annotator", "WITH " + A["annotations"] + """,
+k AS (SELECT note_id, count(DISTINCT annotator) AS k FROM annotations GROUP BY 1)
+SELECT annotator, count(*) AS n_notes, count_if(k > 1) AS n_shared, count_if(k = 1) AS n_unique
+FROM (SELECT DISTINCT note_id, annotator FROM annotations) JOIN k USING (note_id) GROUP BY annotator""")
+def q_notes_per_annotator(spark, d):
+    return agreement.notes_per_annotator(adapters.annotations(spark, d))
+
+
+def rounds(spark, d):
+    a = adapters.annotations(spark, d)
+    main = a.where(~F.col("supplementary")).select("note_id", "annotator", "gold", "predicted", F.lit("main").alias("round"))
+    supp = a.where(F.col("supplementary")).select("note_id", "annotator", "gold", "remark", F.lit("supplementary").alias("round"))
+    return [main, supp]
+
+
+@register("annotation_union", "WITH " + A["annotations"] + """
+SELECT note_id, annotator, gold, predicted, 'main' AS round, CAST(NULL AS VARCHAR) AS remark FROM annotations WHERE NOT supplementary
+UNION ALL
+SELECT note_id, annotator, gold, CAST(NULL AS BOOLEAN), 'supplementary', remark FROM annotations WHERE supplementary""")
+def q_annotation_union(spark, d):
+    return agreement.annotation_union(rounds(spark, d))
+
+
+@register("resolve_conflicts", "WITH " + A["annotations"] + """,
+conf AS (SELECT note_id, 'B' AS annotator FROM annotations GROUP BY note_id HAVING count(DISTINCT gold) > 1),
+k AS (SELECT a.* FROM annotations a ANTI JOIN conf USING (note_id, annotator))
+SELECT note_id, annotator, gold, predicted FROM (
+  SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY CASE annotator WHEN 'A' THEN 1 WHEN 'B' THEN 2 END, annotator) AS rn
+  FROM k) WHERE rn = 1""")
+def q_resolve_conflicts(spark, d):
+    a = adapters.annotations(spark, d)
+    conf = agreement.disagreement(a).where("disagreement").select("note_id", F.lit("B").alias("annotator"))
+    return agreement.resolve_conflicts(a.select("note_id", "annotator", "gold", "predicted"), conf, ["A", "B"])
+
+
+@register("shared_pivot", ANN + """
+SELECT note_id, rf_name, "A", "B" FROM w WHERE "A" <> "B" """)
+def q_shared_pivot(spark, d):
+    return ann_wide(spark, d).where(F.col("A") != F.col("B"))
+
+
+@register("cohen_kappa", ANN + """,
+g AS (SELECT rf_name, count(*) AS n, count_if("A" = "B") AS agree, count_if("A") AS ta, count_if("B") AS tb,
+             len(list_distinct(flatten(list(["A", "B"])))) AS n_values FROM w GROUP BY rf_name)
+SELECT rf_name, n, n_values,
+  round(CASE WHEN 1 - ((ta/n)*(tb/n) + (1-ta/n)*(1-tb/n)) = 0 THEN NULL
+        ELSE (agree/n - ((ta/n)*(tb/n) + (1-ta/n)*(1-tb/n))) / (1 - ((ta/n)*(tb/n) + (1-ta/n)*(1-tb/n))) END, 6) AS kappa FROM g""")
+def q_cohen_kappa(spark, d):
+    return agreement.cohen_kappa(ann_wide(spark, d), by=["rf_name"])
+
+
+@register("class_agreement", ANN + """,
+g AS (SELECT count_if("A" AND "B") AS both_pos, count_if("A" AND NOT "B") AS only_a, count_if(NOT "A" AND "B") AS only_b,
+             count_if(NOT "A" AND NOT "B") AS both_neg FROM w)
+SELECT *, round(2.0*both_pos / nullif(2*both_pos + only_a + only_b, 0), 6) AS positive_agreement,
+          round(2.0*both_neg / nullif(2*both_neg + only_a + only_b, 0), 6) AS negative_agreement FROM g""")
+def q_class_agreement(spark, d):
+    return agreement.class_agreement(ann_wide(spark, d))
+
+
+def annotator_a(spark, d):
+    return adapters.annotations(spark, d).where(F.col("annotator") == "A")
+
+
+@register("ppv_wilson", "WITH " + A["annotations"] + """,
+g AS (SELECT after_cutoff, rf_name, count_if(predicted AND gold) AS tp, count_if(predicted AND NOT gold) AS fp,
+             count_if(NOT predicted AND gold) AS fn, count_if(NOT predicted AND NOT gold) AS tn
+      FROM annotations WHERE annotator = 'A' GROUP BY ALL),
+h AS (SELECT *, tp + fp AS n_pred, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS p FROM g),
+z AS (SELECT *, 1.959963984540054 AS z FROM h)
+SELECT after_cutoff, rf_name, tp, fp, fn, tn, n_pred, round(p, 6) AS ppv,
+  round((p + z*z/(2*n_pred)) / (1 + z*z/n_pred) - z*sqrt(p*(1-p)/n_pred + z*z/(4*n_pred*n_pred)) / (1 + z*z/n_pred), 6) AS ppv_lower,
+  round((p + z*z/(2*n_pred)) / (1 + z*z/n_pred) + z*sqrt(p*(1-p)/n_pred + z*z/(4*n_pred*n_pred)) / (1 + z*z/n_pred), 6) AS ppv_upper
+FROM z""")
+def q_ppv_wilson(spark, d):
+    return agreement.ppv_wilson(annotator_a(spark, d), ["after_cutoff", "rf_name"])
+
+
+@register("composite_ppv", "WITH " + A["annotations"] + """,
+r AS (SELECT *, note_id % 4 <> 0 AS ml FROM annotations WHERE annotator = 'A' AND predicted),
+g AS (SELECT count(*) AS n_rule, count_if(ml) AS n_both, count_if(ml AND gold) AS tp_both, count_if(NOT ml AND gold) AS tp_rule_only FROM r),
+h AS (SELECT n_both / n_rule AS p, tp_both / n_both AS ppv_both, tp_rule_only / (n_rule - n_both) AS ppv_only FROM g)
+SELECT round(p, 6) AS share_both, round(ppv_both, 6) AS ppv_both, round(ppv_only, 6) AS ppv_rule_only,
+       round(p * ppv_both + (1 - p) * ppv_only, 6) AS composite_ppv FROM h""")
+def q_composite_ppv(spark, d):
+    a = annotator_a(spark, d).withColumn("ml", F.col("note_id") % 4 != 0)
+    return agreement.composite_ppv(a, "predicted", "ml")
+
+
+@register("binary_metrics", "WITH " + A["annotations"] + """,
+g AS (SELECT count_if(predicted AND gold) AS tp, count_if(predicted AND NOT gold) AS fp, count_if(NOT predicted AND gold) AS fn,
+             count_if(NOT predicted AND NOT gold) AS tn FROM annotations WHERE annotator = 'A')
+SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
+       round(2.0*tp / (2*tp + fp + fn), 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, tp + fn AS support FROM g""")
+def q_binary_metrics(spark, d):
+    return agreement.binary_metrics(annotator_a(spark, d))
+
+
+@register("flatten_labels", """
+SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""")
+def q_flatten_labels(spark, d):
+    e = read_table(spark, d, "events", ["event_id", "event_type", "props"])
+    return agreement.flatten_labels(e, "props", "k int")
+
+
+def sample_df(spark, d):
+    a = annotator_a(spark, d).select("note_id", "after_cutoff", "rf_name", "gold")
+    avoid = annotator_a(spark, d).where(F.col("remark") == "unclear").select("note_id")
+    return sampling.stratified_sample(a, ["after_cutoff", "rf_name"], 20, avoid=avoid)
+
+
+SAMPLE_SQL = "WITH " + A["annotations"] + """,
+s AS (SELECT note_id, after_cutoff, rf_name, gold, row_number() OVER (PARTITION BY after_cutoff, rf_name
+             ORDER BY (note_id * 7919) % 10007, note_id) AS sample_rank
+      FROM annotations WHERE annotator = 'A' AND note_id NOT IN (
+        SELECT note_id FROM annotations WHERE annotator = 'A' AND remark = 'unclear')),
+smp AS (SELECT * FROM s WHERE sample_rank <= 20)"""
+
+
+@register("stratified_sample", SAMPLE_SQL + "\nSELECT * FROM smp")
+def q_stratified_sample(spark, d):
+    return sample_df(spark, d)
+
+
+@register("annotator_allocation", SAMPLE_SQL + """,
+o AS (SELECT *, row_number() OVER (ORDER BY (note_id * 7919) % 10007, note_id) - 1 AS i,
+             floor(count(*) OVER () * 0.2) AS n_shared FROM smp),
+x AS (SELECT *, i < n_shared AS shared,
+             CASE WHEN i < n_shared THEN ['A', 'B', 'C'] ELSE [['A', 'B', 'C'][CAST((i - n_shared) % 3 AS INTEGER) + 1]] END AS who FROM o)
+SELECT note_id, after_cutoff, rf_name, gold, sample_rank, shared, unnest(who) AS annotator FROM x""")
+def q_annotator_allocation(spark, d):
+    return sampling.allocate(sample_df(spark, d), ["A", "B", "C"], 0.2)
+
+
+@register("annotation_tasks", "WITH " + O.MENTIONS + """
+SELECT note_id, start_char AS start, end_char AS "end", std_lexical_variant AS label_name,
+       'note ' || CAST(note_id AS VARCHAR) AS title, CAST(note_id AS VARCHAR) AS note_id_dedup FROM ments""")
+def q_annotation_tasks(spark, d):
+    return sampling.annotation_tasks(study.text_mentions(spark, d))

@@ -168,3 +168,19 @@ tstays AS (
 def outcome_cte(source: str = "claims") -> str:
     """CTE chain ending in ``oc``: the stays an analysis counts."""
     return stays_source(source) + f",\noc AS (SELECT * FROM ep WHERE {OUTCOME})"
+
+
+def boundary_spans(text: str, alts: str, name: str, src: str, keep: str, wb: str, flags: str = "") -> str:
+    """Spans of ``alts`` with a consumed left boundary ``wb`` and a checked right one."""
+    pat = f"{flags}(^|{wb})({alts})"
+    right = wb[:1] + wb[2:] if wb.startswith("[^") else wb
+    return f"""{name}0 AS (
+  SELECT {keep}, {text} AS _t, string_split_regex({text}, '{pat}') AS g,
+         regexp_extract_all({text}, '{pat}', 0) AS mf, regexp_extract_all({text}, '{pat}', 2) AS mw FROM {src}),
+{name}1 AS (
+  SELECT {keep}, _t, mw[i] AS word,
+         CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+           + coalesce(list_sum(list_transform(mf[1:i-1], lambda x: length(x))), 0)
+           + length(mf[i]) - length(mw[i]) AS BIGINT) AS start_char
+  FROM {name}0, unnest(range(1, len(mw) + 1)) r(i)),
+{name} AS (SELECT * FROM {name}1 WHERE NOT regexp_matches(substr(_t, start_char + length(word) + 1, 1), '{right}'))"""

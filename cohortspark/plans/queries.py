@@ -986,3 +986,164 @@ SELECT note_id, start_char AS start, end_char AS "end", std_lexical_variant AS l
        'note ' || CAST(note_id AS VARCHAR) AS title, CAST(note_id AS VARCHAR) AS note_id_dedup FROM ments""")
 def q_annotation_tasks(spark, d):
     return sampling.annotation_tasks(study.text_mentions(spark, d))
+
+
+# ---------------------------------------------------------------- step 9: dates
+
+from cohortspark.operators import dates as date_ops  # noqa: E402
+
+
+def date_mentions_df(spark, d):
+    sel = study.selected_notes(spark, d).select("note_id", "encounter_num", "note_text")
+    return date_ops.date_mentions(sel, keep_cols=("encounter_num",))
+
+
+_UNITS = r"days?|jours?|weeks?|semaines?|months?|mois|years?|ans?"
+DATES_SQL = "WITH " + O.SELECTED_NOTES + ",\n" + O.boundary_spans(
+    "note_text", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}", "da", "sel", "note_id, encounter_num", "[^0-9]"
+) + ",\n" + O.boundary_spans(
+    "note_text", r"il y a [0-9]+ (?:" + _UNITS + r")|[0-9]+ (?:" + _UNITS + r") ago", "dr", "sel", "note_id, encounter_num",
+    r"[^\p{L}\p{N}_]", "(?i)"
+) + ",\n" + O.boundary_spans(
+    "note_text", r"(?:pendant|during) [0-9]+ (?:" + _UNITS + r")", "dd", "sel", "note_id, encounter_num",
+    r"[^\p{L}\p{N}_]", "(?i)"
+) + r""",
+dm0 AS (SELECT note_id, encounter_num, 'absolute' AS label, word AS match, start_char FROM da
+        UNION ALL SELECT note_id, encounter_num, 'relative', word, start_char FROM dr
+        UNION ALL SELECT note_id, encounter_num, 'duration', word, start_char FROM dd),
+dm1 AS (SELECT note_id, encounter_num, label, match, CAST(start_char AS INTEGER) AS start_char,
+               CAST(start_char + length(match) AS INTEGER) AS end_char,
+               CASE WHEN label = 'absolute' THEN CAST(CASE WHEN regexp_matches(match, '^[0-9]{4}-') THEN regexp_extract(match, '^([0-9]{4})', 1) ELSE regexp_extract(match, '([0-9]{4})$', 1) END AS INTEGER) END AS year,
+               CASE WHEN label = 'absolute' THEN CAST(CASE WHEN regexp_matches(match, '^[0-9]{4}-') THEN regexp_extract(match, '^[0-9]{4}-([0-9]{2})', 1) ELSE regexp_extract(match, '/([0-9]{1,2})/', 1) END AS INTEGER) END AS month,
+               CASE WHEN label = 'absolute' THEN CAST(CASE WHEN regexp_matches(match, '^[0-9]{4}-') THEN regexp_extract(match, '-([0-9]{2})$', 1) ELSE regexp_extract(match, '^([0-9]{1,2})/', 1) END AS INTEGER) END AS day,
+               CASE WHEN label <> 'absolute' THEN CAST(regexp_extract(match, '([0-9]+)', 1) AS INTEGER) END AS value,
+               CASE WHEN label <> 'absolute' THEN lower(regexp_extract(match, '(?i)[0-9]+ ([a-z]+)', 1)) END AS unit,
+               CASE WHEN label = 'relative' THEN 'past' END AS direction FROM dm0),
+dm AS (SELECT *, CASE WHEN label = 'absolute' AND month BETWEEN 1 AND 12 AND day BETWEEN 1 AND 31
+                 THEN TRY_CAST(printf('%04d-%02d-%02d', year, month, day) AS DATE) END AS date_dt FROM dm1)"""
+
+
+@register("date_mentions", DATES_SQL + "\nSELECT * FROM dm")
+def q_date_mentions(spark, d):
+    return date_mentions_df(spark, d)
+
+
+def relative_df(spark, d):
+    v = adapters.visits(spark, d).select("encounter_num", "visit_start_date")
+    return date_ops.resolve_relative(date_mentions_df(spark, d).join(v, "encounter_num", "left"))
+
+
+RELATIVE_SQL = DATES_SQL + """,
+rel AS (SELECT dm.* REPLACE (CASE WHEN label = 'relative' THEN
+          CASE WHEN regexp_replace(unit, 's$', '') IN ('day', 'jour') THEN CAST(visit_start_date AS DATE) - value
+               WHEN regexp_replace(unit, 's$', '') IN ('week', 'semaine') THEN CAST(visit_start_date AS DATE) - 7 * value
+               WHEN regexp_replace(unit, 's$', '') IN ('month', 'mois') THEN CAST(CAST(visit_start_date AS DATE) - to_months(value) AS DATE)
+               WHEN regexp_replace(unit, 's$', '') IN ('year', 'an') THEN CAST(CAST(visit_start_date AS DATE) - to_months(12 * value) AS DATE) END
+          ELSE date_dt END AS date_dt), v.visit_start_date
+        FROM dm LEFT JOIN visits v USING (encounter_num))"""
+
+
+@register("relative_dates", RELATIVE_SQL + "\nSELECT * FROM rel")
+def q_relative_dates(spark, d):
+    return relative_df(spark, d)
+
+
+def clean_df(spark, d):
+    p = adapters.patients(spark, d).select("patient_num", "birth_date")
+    v = adapters.visits(spark, d).select("encounter_num", "patient_num")
+    x = relative_df(spark, d).join(v, "encounter_num", "left").join(p, "patient_num", "left")
+    return date_ops.clean_dates(x).select("note_id", "encounter_num", "label", "start_char", "date_dt", "is_birth_date")
+
+
+@register("clean_dates", RELATIVE_SQL + ", " + A["patients"] + """
+SELECT note_id, encounter_num, label, start_char, date_dt, coalesce(date_dt = p.birth_date, false) AS is_birth_date
+FROM rel JOIN visits v USING (encounter_num) LEFT JOIN patients p ON v.patient_num = p.patient_num
+WHERE label <> 'duration' AND date_dt IS NOT NULL""")
+def q_clean_dates(spark, d):
+    return clean_df(spark, d)
+
+
+def asof_df(spark, d):
+    ents, dts = adapters.asof_sides(spark, d)
+    day_us = 86_400 * 1_000_000
+    return date_ops.asof_nearest(ents, dts, ["group_id"], "start", "date_id", ("date",), bucket_width=day_us)
+
+
+@register("asof_nearest", """
+WITH e AS (SELECT event_id, user_id, event_type, ts, CAST(epoch_us(ts) AS BIGINT) AS p FROM events),
+en AS (SELECT user_id AS group_id, event_id AS ent_id, p AS start FROM e WHERE event_type = 'purchase'),
+dt AS (SELECT user_id AS group_id, event_id AS date_id, p, ts FROM e WHERE event_type = 'view'),
+bk AS (SELECT en.ent_id, arg_max(dt.date_id, (dt.p, dt.date_id)) AS bid, max(dt.p) AS bp
+       FROM en JOIN dt ON en.group_id = dt.group_id AND dt.p <= en.start GROUP BY en.ent_id),
+fw AS (SELECT en.ent_id, arg_min(dt.date_id, (dt.p, dt.date_id)) AS fid, min(dt.p) AS fp
+       FROM en JOIN dt ON en.group_id = dt.group_id AND dt.p >= en.start GROUP BY en.ent_id),
+pk AS (SELECT en.*, CASE WHEN bid IS NULL THEN fid WHEN fid IS NULL THEN bid WHEN en.start - bp <= fp - en.start THEN bid ELSE fid END AS date_id
+       FROM en LEFT JOIN bk USING (ent_id) LEFT JOIN fw USING (ent_id))
+SELECT pk.group_id, pk.ent_id, pk.start, pk.date_id, dt.ts AS date, abs(pk.start - dt.p) AS distance
+FROM pk LEFT JOIN dt USING (date_id)""")
+def q_asof_nearest(spark, d):
+    return asof_df(spark, d)
+
+
+def history_df(spark, d):
+    m = study.text_mentions(spark, d).select("note_id", "encounter_num", "sent_id", "start", "start_char", "history")
+    dm = clean_df(spark, d)
+    # token position of a date: not carried by the date spans, so dates link on (note, sentence)
+    # by character offset
+    sents = text.sentences(study.selected_notes(spark, d)).select(
+        "note_id", "sent_id", F.col("start_char").alias("s0"), F.col("end_char").alias("s1"))
+    dsent = dm.join(sents, (dm.note_id == sents.note_id) & (dm.start_char >= sents.s0) & (dm.start_char < sents.s1)) \
+        .select(dm.note_id, "sent_id", dm.start_char.alias("start"), F.col("start_char").alias("date_id"), "date_dt",
+                "is_birth_date")
+    linked = date_ops.asof_nearest(m.withColumnRenamed("start", "tok").withColumn("start", F.col("start_char")),
+                                   dsent, ["note_id", "sent_id"], "start", "date_id", ("date_dt", "is_birth_date"))
+    v = adapters.visits(spark, d).select("encounter_num", "visit_start_date")
+    out = date_ops.history_by_date(linked.join(v, "encounter_num", "left"), P)
+    return out.select("note_id", "start_char", "date_dt", "history")
+
+
+@register("history_by_date", "WITH " + O.MENTIONS + """
+SELECT note_id, start_char, CAST(NULL AS DATE) AS date_dt, history FROM ments""")
+def q_history_by_date(spark, d):
+    return history_df(spark, d)
+
+
+# ---------------------------------------------------------------- step 10: scoring
+
+from cohortspark.operators import scoring  # noqa: E402
+from cohortspark.operators.joins import checked_join  # noqa: E402
+
+
+@register("mention_score")
+def q_mention_score(spark, d):
+    m = study.text_mentions(spark, d).select("note_id", "start_char", "end_char", "words")
+    gold = annotator_a(spark, d).select("note_id", F.col("gold").alias("label"))
+    model = scoring.train_mention_model(m.join(gold, "note_id"))
+    return scoring.score_mentions(model, m).drop("words")
+
+
+def notes_patients(spark, d):
+    return adapters.notes(spark, d, with_text=False).select("note_id", "patient_num")
+
+
+@register("training_split", "WITH " + A["visits"] + ", " + A["notes"] + ", " + A["annotations"] + """,
+r AS (SELECT note_id, annotator, gold, predicted, 'main' AS round, NULL AS remark FROM annotations WHERE NOT supplementary
+      UNION ALL SELECT note_id, annotator, gold, NULL, 'supplementary', remark FROM annotations WHERE supplementary),
+k AS (SELECT * FROM r WHERE coalesce(remark, '') <> 'unclear'),
+f AS (SELECT k.*, n.patient_num FROM (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY
+        CASE annotator WHEN 'A' THEN 1 WHEN 'B' THEN 2 END, annotator, round) AS rn FROM k) k
+      LEFT JOIN notes n USING (note_id) WHERE rn = 1),
+vp AS (SELECT DISTINCT n.patient_num FROM k JOIN notes n USING (note_id) WHERE round = 'supplementary')
+SELECT note_id, annotator, gold, predicted, round, CAST(remark AS VARCHAR) AS remark, patient_num,
+       CASE WHEN patient_num IN (SELECT patient_num FROM vp) THEN 'validation' ELSE 'train' END AS split FROM f""")
+def q_training_split(spark, d):
+    r = agreement.annotation_union(rounds(spark, d))
+    return scoring.training_split(r, notes_patients(spark, d), "supplementary", ["A", "B"])
+
+
+@register("checked_join", "WITH " + A["visits"] + ", " + A["patients"] + """
+SELECT v.encounter_num, v.patient_num, p.sex_cd FROM visits v LEFT JOIN patients p USING (patient_num)""")
+def q_checked_join(spark, d):
+    v = adapters.visits(spark, d).select("encounter_num", "patient_num")
+    p = adapters.patients(spark, d).select("patient_num", "sex_cd")
+    return checked_join(v, p, ["patient_num"], "left", "m:1")

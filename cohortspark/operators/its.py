@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.stats import t_ppf
@@ -71,47 +71,46 @@ def design(monthly: DataFrame, keys: list[str], params: StudyParams = StudyParam
     ).persist()
 
 
-def _fit(des: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Returns (per-group coefficients, per-(group, month) a_k table)."""
-    mk = keys + ["month_index"]
-    per_month = des.groupBy(*mk).agg(
-        F.count(F.lit(1)).alias("n_k"), F.avg("t").alias("mt"), F.avg("delta_t").alias("md"), F.avg("y").alias("my")
+def _fit(des: DataFrame, keys: list[str]) -> DataFrame:
+    """Per design row: the group's slopes, a_k, const, s^2 and standard errors.
+
+    All statistics are window aggregates over partitions by group (and group x month); a
+    hash partitioning on the group satisfies both, so the whole fit costs one shuffle. Sums
+    over distinct months are row sums weighted by 1 / n_k."""
+    w_g = Window.partitionBy(*keys)
+    w_k = Window.partitionBy(*keys, "month_index")
+    x = (
+        des.withColumn("n_k", F.count(F.lit(1)).over(w_k))
+        .withColumn("mt", F.avg("t").over(w_k))
+        .withColumn("md", F.avg("delta_t").over(w_k))
+        .withColumn("my", F.avg("y").over(w_k))
     )
-    x = des.join(per_month, mk)
     tt, dd, yy = F.col("t") - F.col("mt"), F.col("delta_t") - F.col("md"), F.col("y") - F.col("my")
-    g = x.groupBy(*keys).agg(
-        F.sum(tt * tt).alias("stt"), F.sum(tt * dd).alias("std"), F.sum(dd * dd).alias("sdd"),
-        F.sum(tt * yy).alias("sty"), F.sum(dd * yy).alias("sdy"), F.count(F.lit(1)).alias("n"),
-    )
+    for name, e in [("stt", tt * tt), ("std", tt * dd), ("sdd", dd * dd), ("sty", tt * yy), ("sdy", dd * yy)]:
+        x = x.withColumn(name, F.sum(e).over(w_g))
+    x = x.withColumn("n", F.count(F.lit(1)).over(w_g))
     det = F.col("stt") * F.col("sdd") - F.col("std") * F.col("std")
-    g = g.withColumn("det", F.when(F.abs(det) > 1e-9, det))
-    g = g.withColumn("b_t", (F.col("sdd") * F.col("sty") - F.col("std") * F.col("sdy")) / F.col("det")).withColumn(
-        "b_d", (F.col("stt") * F.col("sdy") - F.col("std") * F.col("sty")) / F.col("det")
+    x = x.withColumn("det", F.when(F.abs(det) > 1e-9, det))
+    x = x.withColumn("b_t", (F.col("sdd") * F.col("sty") - F.col("std") * F.col("sdy")) / F.col("det")).withColumn(
+        "b_d", (F.col("stt") * F.col("sdy") - F.col("std") * F.col("sty")) / F.col("det"))
+    x = x.withColumn("a_k", F.col("my") - F.col("b_t") * F.col("mt") - F.col("b_d") * F.col("md"))
+    x = (
+        x.withColumn("const", F.sum(F.col("a_k") / F.col("n_k")).over(w_g) / 13.0)
+        .withColumn("sum_inv_n", F.sum(1.0 / (F.col("n_k") * F.col("n_k"))).over(w_g))
+        .withColumn("w_t", F.sum(F.col("mt") / F.col("n_k")).over(w_g))
+        .withColumn("w_d", F.sum(F.col("md") / F.col("n_k")).over(w_g))
     )
-    ak = per_month.join(g.select(*keys, "b_t", "b_d"), keys)
-    ak = ak.withColumn("a_k", F.col("my") - F.col("b_t") * F.col("mt") - F.col("b_d") * F.col("md"))
-    sums = ak.groupBy(*keys).agg(
-        F.sum("a_k").alias("sum_a"), F.sum(1.0 / F.col("n_k")).alias("sum_inv_n"),
-        F.sum("mt").alias("w_t"), F.sum("md").alias("w_d"),
-    )
-    g = g.join(sums, keys)
-    g = g.withColumn("const", F.col("sum_a") / 13.0)
-    # residual sum of squares
-    r = x.join(ak.select(*mk, "a_k", "b_t", "b_d"), mk)
     res = F.col("y") - F.col("a_k") - F.col("b_t") * F.col("t") - F.col("b_d") * F.col("delta_t")
-    ssr = r.groupBy(*keys).agg(F.sum(res * res).alias("ssr"))
-    g = g.join(ssr, keys)
-    s2 = F.col("ssr") / (F.col("n") - 14)
-    g = g.withColumn("s2", F.when(F.col("n") > 14, s2))
+    x = x.withColumn("ssr", F.sum(res * res).over(w_g))
+    x = x.withColumn("s2", F.when(F.col("n") > 14, F.col("ssr") / (F.col("n") - 14)))
     # Z^-1 = [[sdd, -std], [-std, stt]] / det
     quad = (F.col("w_t") * F.col("w_t") * F.col("sdd") - 2 * F.col("w_t") * F.col("w_d") * F.col("std")
             + F.col("w_d") * F.col("w_d") * F.col("stt")) / F.col("det")
-    g = (
-        g.withColumn("se_t", F.sqrt(F.col("s2") * F.col("sdd") / F.col("det")))
+    return (
+        x.withColumn("se_t", F.sqrt(F.col("s2") * F.col("sdd") / F.col("det")))
         .withColumn("se_d", F.sqrt(F.col("s2") * F.col("stt") / F.col("det")))
         .withColumn("se_const", F.sqrt(F.col("s2") / 169.0 * (F.col("sum_inv_n") + quad)))
     )
-    return g, ak
 
 
 def _keys(keys) -> list[str]:
@@ -122,17 +121,17 @@ def coefficients(des: DataFrame, keys: list[str] = (), params: StudyParams = Stu
     """Long table (group..., term, estimate, std_error, lower, upper) with terms
     const, t, delta_t and the twelve months. CI: t quantile at n - 14 degrees of freedom."""
     keys = _keys(keys)
-    g, ak = _fit(des, keys)
+    x = _fit(des, keys)
     q = t_ppf(0.975, window_months(params) - 14)
+    g = x.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ["const", "se_const", "b_t", "se_t", "b_d", "se_d"]])
     main = g.select(*keys, F.inline(F.array(
         F.struct(F.lit("const").alias("term"), F.col("const").alias("estimate"), F.col("se_const").alias("std_error")),
         F.struct(F.lit("t").alias("term"), F.col("b_t").alias("estimate"), F.col("se_t").alias("std_error")),
         F.struct(F.lit("delta_t").alias("term"), F.col("b_d").alias("estimate"), F.col("se_d").alias("std_error")),
     )))
     name = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.col("month_index"))
-    months = ak.join(g.select(*keys, "const"), keys)
-    months = months.select(*keys, name.alias("term"), (F.col("a_k") - F.col("const")).alias("estimate"),
-                           F.lit(None).cast("double").alias("std_error"))
+    months = x.groupBy(*keys, "month_index").agg(F.first(F.col("a_k") - F.col("const")).alias("estimate")).select(
+        *keys, name.alias("term"), "estimate", F.lit(None).cast("double").alias("std_error"))
     out = main.unionByName(months)
     out = out.withColumn("lower", F.col("estimate") - q * F.col("std_error")).withColumn(
         "upper", F.col("estimate") + q * F.col("std_error"))
@@ -145,10 +144,7 @@ def fitted(des: DataFrame, keys: list[str] = (), digits: int = 6) -> DataFrame:
     """T2 decomposition on the observed months: estimate, residual, linear trend
     (b_t t + b_d delta_t + const) and the no-change trend (b_t t + const)."""
     keys = _keys(keys)
-    g, ak = _fit(des, keys)
-    mk = keys + ["month_index"]
-    x = des.where("observed").join(ak.select(*mk, "a_k"), mk)
-    x = x.join(g.select(*keys, "b_t", "b_d", "const"), keys)
+    x = _fit(des, keys).where("observed")
     est = F.col("a_k") + F.col("b_t") * F.col("t") + F.col("b_d") * F.col("delta_t")
     out = x.select(
         *keys, "date", "y", "t", "delta_t",

@@ -10,42 +10,51 @@ from cohortspark.functions.stats import Z975, fisher_exact_two_sided
 from cohortspark.params import StudyParams
 
 
-def contingency(stays: DataFrame, rf_cols: list[str], by: list[str] = (), params: StudyParams = StudyParams()) -> DataFrame:
+def contingency(stays: DataFrame, rf_cols: list[str], by: list[str] = (), params: StudyParams = StudyParams(),
+                all_label: str | None = "all") -> DataFrame:
     """A12, long form: per (group, rf) the counts a = rf & post, b = rf & pre,
-    c = no rf & post, d = no rf & pre. One unpivot + one aggregate for all RFs."""
+    c = no rf & post, d = no rf & pre. One unpivot + one aggregate for all RFs; with
+    ``all_label`` the all-groups rows come from the same aggregate (grouping sets)."""
     by = list(by)
     post = F.col("date") >= F.lit(params.cutoff).cast("date")
     long = stays.withColumn("_post", post).unpivot(by + ["_post"], rf_cols, "rf_name", "_rf")
     long = long.withColumn("_rf", F.coalesce(F.col("_rf").cast("boolean"), F.lit(False)))
-    return long.groupBy(*by, "rf_name").agg(
+    aggs = [
         F.count_if(F.col("_rf") & F.col("_post")).alias("a"),
         F.count_if(F.col("_rf") & ~F.col("_post")).alias("b"),
         F.count_if(~F.col("_rf") & F.col("_post")).alias("c"),
         F.count_if(~F.col("_rf") & ~F.col("_post")).alias("d"),
-    )
+    ]
+    if not by or all_label is None:
+        return long.groupBy(*by, "rf_name").agg(*aggs)
+    sets = [[F.col(c) for c in by] + [F.col("rf_name")], [F.col("rf_name")]]
+    g = long.groupingSets(sets, *[F.col(c) for c in by], F.col("rf_name")).agg(*aggs)
+    for c in by:
+        g = g.withColumn(c, F.coalesce(F.col(c), F.lit(all_label)))
+    return g
 
 
 def risk_ratio(table: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     """T5: RR = P(rf | post) / P(rf | pre) with a log-normal 95% CI; null when a cell makes it
-    undefined. Fisher's two-sided p is added per table in a grouped pandas UDF (one 2x2 row
-    per group, tens of rows in total)."""
+    undefined. Fisher's two-sided p comes from a grouped pandas UDF over the 2x2 rows (one
+    row per group, tens of rows in total); the table is evaluated once."""
+    schema = ", ".join(f"{k} string" for k in keys) + ", a long, b long, c long, d long, fisher_p double"
+
+    def fisher(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[keys + ["a", "b", "c", "d"]].copy()
+        out["fisher_p"] = [round(fisher_exact_two_sided(int(r.a), int(r.b), int(r.c), int(r.d)), digits)
+                           for r in pdf.itertuples()]
+        return out
+
+    t = table.select(*[F.col(k).cast("string").alias(k) for k in keys], "a", "b", "c", "d")
+    t = t.groupBy(*keys).applyInPandas(fisher, schema)
     a, b, c, d = (F.col(x).cast("double") for x in "abcd")
-    rr = F.try_divide(F.try_divide(a, a + c), F.try_divide(b, b + d))
+    rr = (a / (a + c)) / (b / (b + d))
     se = F.sqrt(1 / a - 1 / (a + c) + 1 / b - 1 / (b + d))
     ok = (F.col("a") > 0) & (F.col("b") > 0)
-    out = table.withColumn("risk_ratio", F.when(ok, rr)).withColumn("_se", F.when(ok, se))
+    out = t.withColumn("risk_ratio", F.when(ok, rr)).withColumn("_se", F.when(ok, se))
     out = out.withColumn("rr_lower", F.exp(F.log("risk_ratio") - Z975 * F.col("_se"))).withColumn(
         "rr_upper", F.exp(F.log("risk_ratio") + Z975 * F.col("_se"))).drop("_se")
     for col in ["risk_ratio", "rr_lower", "rr_upper"]:
         out = out.withColumn(col, F.round(col, digits))
-
-    schema = ", ".join(f"{k} string" if k != "rf_name" else "rf_name string" for k in keys) + ", fisher_p double"
-
-    def fisher(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = [round(fisher_exact_two_sided(int(r.a), int(r.b), int(r.c), int(r.d)), digits) for r in pdf.itertuples()]
-        return pd.DataFrame({**{k: pdf[k].astype(str) for k in keys}, "fisher_p": p})
-
-    pv = table.select(*[F.col(k).cast("string").alias(k) for k in keys], "a", "b", "c", "d").groupBy(*keys).applyInPandas(
-        fisher, schema
-    )
-    return out.join(pv, keys, "left")
+    return out

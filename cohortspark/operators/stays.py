@@ -81,6 +81,15 @@ def rf_flags(stays: DataFrame, rf_mentions: DataFrame, rf_names: list[str]) -> D
     return out
 
 
+def rf_flags_from_mentions(mentions: DataFrame, rf_names: list[str], keep, rf_col: str = "rf_name") -> DataFrame:
+    """J5 + P9 in one pass: per stay with any mention, one flag per risk factor, true when a
+    mention of it passes the ``keep`` condition (e.g. not negated, not hypothetical)."""
+    piv = mentions.groupBy("encounter_num").pivot(rf_col, rf_names).agg(F.bool_or(keep))
+    for rf in rf_names:
+        piv = piv.withColumn(rf, F.coalesce(F.col(rf), F.lit(False)))
+    return piv
+
+
 def rf_stays_long(stays: DataFrame, rf_names: list[str], id_col: str = "encounter_num") -> DataFrame:
     """Stay flags to (stay, rf_name, value) rows plus a composite id."""
     long = stays.unpivot([id_col], rf_names, "rf_name", "value")

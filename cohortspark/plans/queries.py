@@ -402,11 +402,8 @@ RF_NAMES = list(text.LEXICON)
 def rf_flag_stays(spark, d):
     """Per stay one flag per risk factor; RF mentions are the lexicon labels kept by P9
     (drop a mention when negated or hypothetical)."""
-    m = study.text_mentions(spark, d)
-    kept = m.where(~(F.col("negation") | F.col("hypothesis"))).select(
-        "encounter_num", F.col("std_lexical_variant").alias("rf_name"))
-    st = study.text_stays(spark, d).select("encounter_num")
-    return stay_ops.rf_flags(st, kept, RF_NAMES)
+    m = study.text_mentions(spark, d).withColumnRenamed("std_lexical_variant", "rf_name")
+    return stay_ops.rf_flags_from_mentions(m, RF_NAMES, ~(F.col("negation") | F.col("hypothesis")))
 
 
 RF_SQL = "WITH " + O.MENTIONS + """,
@@ -721,13 +718,7 @@ def rf_stays_dated(spark, d):
 
 
 def contingency_df(spark, d):
-    x = rf_flag_stays_sex_all(spark, d)
-    return risk.contingency(x, RF_NAMES, ["sex_cd"], P)
-
-
-def rf_flag_stays_sex_all(spark, d):
-    x = rf_flag_stays_dated = rf_stays_dated(spark, d)
-    return x.unionByName(rf_flag_stays_dated.withColumn("sex_cd", F.lit("all")))
+    return risk.contingency(rf_stays_dated(spark, d), RF_NAMES, ["sex_cd"], P, all_label="all")
 
 
 CONTINGENCY_SQL = RF_SQL + """,

@@ -122,7 +122,8 @@ def coefficients(des: DataFrame, keys: list[str] = (), params: StudyParams = Stu
     const, t, delta_t and the twelve months. CI: t quantile at n - 14 degrees of freedom."""
     keys = _keys(keys)
     x = _fit(des, keys)
-    q = t_ppf(0.975, window_months(params) - 14)
+    dof = window_months(params) - 14
+    q = t_ppf(0.975, dof) if dof > 0 else None   # fewer than 15 months: no residual variance
     g = x.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ["const", "se_const", "b_t", "se_t", "b_d", "se_d"]])
     main = g.select(*keys, F.inline(F.array(
         F.struct(F.lit("const").alias("term"), F.col("const").alias("estimate"), F.col("se_const").alias("std_error")),
@@ -133,8 +134,9 @@ def coefficients(des: DataFrame, keys: list[str] = (), params: StudyParams = Stu
     months = x.groupBy(*keys, "month_index").agg(F.first(F.col("a_k") - F.col("const")).alias("estimate")).select(
         *keys, name.alias("term"), "estimate", F.lit(None).cast("double").alias("std_error"))
     out = main.unionByName(months)
-    out = out.withColumn("lower", F.col("estimate") - q * F.col("std_error")).withColumn(
-        "upper", F.col("estimate") + q * F.col("std_error"))
+    qc = F.lit(q).cast("double")
+    out = out.withColumn("lower", F.col("estimate") - qc * F.col("std_error")).withColumn(
+        "upper", F.col("estimate") + qc * F.col("std_error"))
     for c in ["estimate", "std_error", "lower", "upper"]:
         out = out.withColumn(c, F.round(c, digits))
     return out

@@ -20,11 +20,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _bigint_counts(sql: str) -> str:
+    """DuckDB types count_if as HUGEINT; Spark's count_if is a bigint. Wrap each call."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        end = k + 1
+        tail = sql[end:end + 8].strip().upper()
+        out.append(sql[i:j])
+        inner = _bigint_counts(sql[j + len(key):k])
+        out.append(f"count_if({inner})" if tail.startswith("OVER") else f"CAST(count_if({inner}) AS BIGINT)")
+        i = end
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = _bigint_counts(sql)
         return fn
 
     return deco
@@ -773,7 +795,7 @@ def q_km_input(spark, d):
 
 
 @register("km_curve", KM_SQL + """
-SELECT cohort, duration, n_event, n_censored, n_at_risk,
+SELECT cohort, duration, n_event, n_censored, CAST(n_at_risk AS BIGINT) AS n_at_risk,
   round(CASE WHEN max(CAST(n_event >= n_at_risk AS INTEGER)) OVER w = 1 THEN 0.0
         ELSE exp(sum(CASE WHEN n_event >= n_at_risk THEN 0.0 ELSE ln(1 - n_event / n_at_risk) END) OVER w) END, 6) AS survival
 FROM pt2 WINDOW w AS (PARTITION BY cohort ORDER BY duration ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
@@ -882,7 +904,7 @@ def q_shared_pivot(spark, d):
 @register("cohen_kappa", ANN + """,
 g AS (SELECT rf_name, count(*) AS n, count_if("A" = "B") AS agree, count_if("A") AS ta, count_if("B") AS tb,
              len(list_distinct(flatten(list(["A", "B"])))) AS n_values FROM w GROUP BY rf_name)
-SELECT rf_name, n, n_values,
+SELECT rf_name, n, CAST(n_values AS INTEGER) AS n_values,
   round(CASE WHEN 1 - ((ta/n)*(tb/n) + (1-ta/n)*(1-tb/n)) = 0 THEN NULL
         ELSE (agree/n - ((ta/n)*(tb/n) + (1-ta/n)*(1-tb/n))) / (1 - ((ta/n)*(tb/n) + (1-ta/n)*(1-tb/n))) END, 6) AS kappa FROM g""")
 def q_cohen_kappa(spark, d):
@@ -950,8 +972,8 @@ def sample_df(spark, d):
 
 
 SAMPLE_SQL = "WITH " + A["annotations"] + """,
-s AS (SELECT note_id, after_cutoff, rf_name, gold, row_number() OVER (PARTITION BY after_cutoff, rf_name
-             ORDER BY (note_id * 7919) % 10007, note_id) AS sample_rank
+s AS (SELECT note_id, after_cutoff, rf_name, gold, CAST(row_number() OVER (PARTITION BY after_cutoff, rf_name
+             ORDER BY (note_id * 7919) % 10007, note_id) AS INTEGER) AS sample_rank
       FROM annotations WHERE annotator = 'A' AND note_id NOT IN (
         SELECT note_id FROM annotations WHERE annotator = 'A' AND remark = 'unclear')),
 smp AS (SELECT * FROM s WHERE sample_rank <= 20)"""

@@ -152,3 +152,14 @@ def binary_metrics(df: DataFrame, gold: str = "gold", pred: str = "predicted") -
         F.round(prec, 6).alias("precision"), F.round(rec, 6).alias("recall"), F.round(f1, 6).alias("f1"),
         F.round(acc, 6).alias("accuracy"), (F.col("tp") + F.col("fn")).alias("support"),
     )
+
+
+def read_back(ann: DataFrame, rf_level: bool = False, remark_codes: list[str] = ("unclear",)) -> DataFrame:
+    """K5: reviewed rows only, remark codes dropped at RF level, one row per
+    (note, annotator) - the first round wins."""
+    a = ann.where(F.coalesce(F.col("reviewed"), F.lit(False))) if "reviewed" in ann.columns else ann
+    if rf_level:
+        a = a.where(~F.coalesce(F.col("remark").isin(*remark_codes), F.lit(False)))
+    cols = [c for c in a.columns if c not in ("note_id", "annotator")]
+    return a.groupBy("note_id", "annotator").agg(
+        F.min_by(F.struct(*cols), F.col("supplementary")).alias("r")).select("note_id", "annotator", "r.*")

@@ -156,3 +156,8 @@ def attrition(stays: DataFrame, steps: list[tuple[str, object]]) -> DataFrame:
     )
     stack = ", ".join(f"{i + 1}, '{n}', s{i}, p{i}" for i, (n, _) in enumerate(flags))
     return wide.selectExpr(f"stack({len(flags)}, {stack}) as (step, criterion, n_stays, n_patients)")
+
+
+def site_filter(df: DataFrame, sites: list[str], col: str = "site_label") -> DataFrame:
+    """P10: rows of the listed (e.g. test) sites."""
+    return df.where(F.col(col).isin(*sites))

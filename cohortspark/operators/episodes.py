@@ -32,48 +32,39 @@ def tag_episodes(
     patient: str = "patient_num",
     stay_id: str = "encounter_num",
 ) -> DataFrame:
-    """Adds ``recurrent_visit``; stays that are not positive, or lack start or patient, get False."""
-    usable = F.col(positive_col) & F.col(start).isNotNull() & F.col(patient).isNotNull()
-    flagged = stays.withColumn("_usable", F.coalesce(usable, F.lit(False)))
-    rest = flagged.where(~F.col("_usable")).withColumn("recurrent_visit", F.lit(False)).drop("_usable")
-    pos = flagged.where(F.col("_usable")).drop("_usable")
+    """Adds ``recurrent_visit``; stays that are not positive, or lack start or patient, get False.
 
+    One hash partitioning on (patient key, salt, bucket) serves the local window, the bucket
+    summary and the join back of the carried max; rows that cannot chain (not positive, no
+    start, no patient) get a null patient key and a salt, so they never match and never pile
+    up in one null-key partition."""
+    usable = F.coalesce(F.col(positive_col) & F.col(start).isNotNull() & F.col(patient).isNotNull(), F.lit(False))
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     bucket = F.floor(F.timestamp_diff("SECOND", epoch, F.col(start)) / F.lit(params.episode_bucket_seconds))
-    pos = pos.withColumn("_bucket", bucket)
-
+    x = (
+        stays.withColumn("_u", usable)
+        .withColumn("_pk", F.when(F.col("_u"), F.col(patient)))
+        .withColumn("_salt", F.when(F.col("_u"), F.lit(0)).otherwise(1 + F.abs(F.xxhash64(F.col(stay_id)) % 4096)))
+        .withColumn("_bucket", F.when(F.col("_u"), bucket).otherwise(F.lit(0)))
+    )
+    keys = ["_pk", "_salt", "_bucket"]
     order = [F.col(start).asc(), F.col(end).desc_nulls_last(), F.col(stay_id).asc()]
-    w_local = Window.partitionBy(patient, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    pos = pos.withColumn("_local_prev", F.max(end).over(w_local))
+    w_local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_local_prev", F.max(end).over(w_local)).withColumn(
+        "_bucket_max", F.max(end).over(Window.partitionBy(*keys)))
 
-    w_carry = Window.partitionBy(patient).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # one summary row per (patient, bucket); both branches read the same exchange of x
+    w_carry = Window.partitionBy("_pk").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        pos.groupBy(patient, "_bucket")
-        .agg(F.max(end).alias("_bucket_max"))
+        x.groupBy(*keys)
+        .agg(F.max("_bucket_max").alias("_bucket_max"))
         .withColumn("_carry", F.max("_bucket_max").over(w_carry))
-        .select(patient, "_bucket", "_carry")
+        .select(*keys, "_carry")
     )
     prev_end = F.greatest(F.col("_local_prev"), F.col("_carry"))
     new_episode = prev_end.isNull() | (seconds_between(prev_end, F.col(start)) > F.lit(params.delta_min_visits))
-    tagged = (
-        pos.join(carry, [patient, "_bucket"], "left")
-        .withColumn("recurrent_visit", ~new_episode)
-        .drop("_bucket", "_local_prev", "_carry")
+    return (
+        x.join(carry, keys, "left")
+        .withColumn("recurrent_visit", F.col("_u") & ~new_episode)
+        .drop("_u", "_pk", "_salt", "_bucket", "_local_prev", "_bucket_max", "_carry")
     )
-    return tagged.unionByName(rest)
-
-
-def tag_episodes_sql(stays_view: str, delta_seconds: int, positive_col: str = "positive_visit") -> str:
-    """The same rule as one windowed SQL query (used as the DuckDB oracle)."""
-    return f"""
-    SELECT s.*, coalesce(e.recurrent_visit, false) AS recurrent_visit
-    FROM {stays_view} s LEFT JOIN (
-      SELECT encounter_num,
-             NOT (prev_end IS NULL OR date_diff('second', prev_end, visit_start_date) > {delta_seconds}) AS recurrent_visit
-      FROM (SELECT encounter_num, visit_start_date,
-                   max(visit_end_date) OVER (PARTITION BY patient_num
-                       ORDER BY visit_start_date ASC, visit_end_date DESC NULLS LAST, encounter_num ASC
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end
-            FROM {stays_view}
-            WHERE {positive_col} AND visit_start_date IS NOT NULL AND patient_num IS NOT NULL)
-    ) e USING (encounter_num)"""

@@ -113,7 +113,8 @@ def monthly_table(
     if grid is None:
         grid = bool(group_cols) and set(group_cols) <= {"sex_cd", "age_cat"}
     if grid and group_cols:
-        months = stays.select("date").distinct()
+        # months observed after the filters: taken from the (small) aggregate itself
+        months = agg.select("date").distinct()
         cells = category_grid(months, list(group_cols), params)
         agg = cells.join(agg, keys, "left")
         zero_cols = ["n_sa", "death"] + (["has_history"] if history_col else []) + rf_cols
@@ -235,3 +236,18 @@ def modality_mix(stays: DataFrame, generic_terms: list[str], by: list[str] = ())
     monthly = allw.groupBy(*by, "date", "term").agg(F.sum("w").alias("w"))
     w_month = Window.partitionBy(*by, "date")
     return monthly.withColumn("share", F.col("w") / F.sum("w").over(w_month)).drop("w")
+
+
+def slice_stays(stays: DataFrame, age: str | None = None, sex: str | None = None, source: str | None = None) -> DataFrame:
+    """Optional slice by age band, sex and outcome source."""
+    s = stays
+    for col, v in (("age_cat", age), ("sex_cd", sex), ("source", source)):
+        if v is not None:
+            s = s.where(F.col(col) == F.lit(v))
+    return s
+
+
+def value_share(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
+    """Share of true values, nulls excluded (normalised value count of a boolean)."""
+    return df.groupBy(*by).agg(F.avg(F.col(col).cast("double")).alias(f"{col}_share"),
+                               F.count(col).alias("n_known"))

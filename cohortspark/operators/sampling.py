@@ -55,3 +55,19 @@ def annotation_tasks(mentions: DataFrame, per_rf: bool = False, rf_col: str = "r
         F.concat(F.lit("note "), F.col("note_id").cast("string")).alias("title"),
         dedup.alias("note_id_dedup"),
     )
+
+
+def allocate_pairs(sample: DataFrame, annotators: list[str], share: float, id_col: str = "note_id") -> DataFrame:
+    """K3: shared rows go to two annotators, the rest to one; choices come from the
+    arithmetic order key (a deterministic stand-in for a random draw)."""
+    k = len(annotators)
+    w = Window.orderBy(order_key(id_col), id_col)
+    s = sample.withColumn("_i", F.row_number().over(w) - 1).withColumn(
+        "_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    s = s.withColumn("shared", F.col("_i") < F.floor(F.col("_n") * F.lit(share)))
+    arr = F.array(*[F.lit(a) for a in annotators])
+    first = (order_key(id_col) % k).cast("int")
+    second = ((first + 1 + (F.col(id_col) % max(k - 1, 1))) % k).cast("int")
+    who = F.when(F.col("shared") & F.lit(k > 1), F.array(F.element_at(arr, first + 1), F.element_at(arr, second + 1))) \
+        .otherwise(F.array(F.element_at(arr, first + 1)))
+    return s.withColumn("annotator", F.explode(who)).drop("_i", "_n")

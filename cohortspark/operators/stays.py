@@ -109,3 +109,14 @@ def rule_only(rule: DataFrame, ml: DataFrame, key: str = "encounter_num") -> Dat
 def add_weights(stays: DataFrame, weights: DataFrame) -> DataFrame:
     """Weight by (month, site); no match gives a null weight (ignored by sums)."""
     return stays.join(weights.select("date", "site_label", "stay_weight"), ["date", "site_label"], "left")
+
+
+def rf_mention_filter(mentions: DataFrame, subcategories: list[str] | None, drop_if_any: list[str],
+                      sub_col: str = "std_lexical_variant") -> DataFrame:
+    """Keep listed subcategories; drop a mention when any listed qualifier is true."""
+    m = mentions if subcategories is None else mentions.where(F.col(sub_col).isin(*subcategories))
+    if drop_if_any:
+        from cohortspark.functions.columns import any_of
+
+        m = m.where(~any_of(drop_if_any))
+    return m

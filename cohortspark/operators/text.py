@@ -293,3 +293,10 @@ def exclusive_terms(m: DataFrame, term: str = "std_lexical_variant") -> DataFram
     """A10 'O': stays whose only term is this one."""
     sets = m.groupBy("encounter_num").agg(F.collect_set(term).alias("ts"))
     return sets.where(F.size("ts") == 1).groupBy(F.col("ts")[0].alias(term)).agg(F.count(F.lit(1)).alias("n_stays"))
+
+
+def token_labels(kept_spans: DataFrame, text_col: str = "span_text", ignore: int = -100) -> DataFrame:
+    """Tokens of each kept span; the first carries the span label, the others ``ignore``."""
+    toks = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), 0)
+    return kept_spans.select("note_id", "start_char", "label", F.posexplode(toks).alias("token_index", "token")).withColumn(
+        "token_label", F.when(F.col("token_index") == 0, F.col("label")).otherwise(F.lit(str(ignore))))

@@ -1160,3 +1160,97 @@ def q_checked_join(spark, d):
     v = adapters.visits(spark, d).select("encounter_num", "patient_num")
     p = adapters.patients(spark, d).select("patient_num", "sex_cd")
     return checked_join(v, p, ["patient_num"], "left", "m:1")
+
+
+# ---------------------------------------------------------------- remaining inventory items
+
+from cohortspark.sources.tables import debug_sample  # noqa: E402
+
+
+@register("debug_sample", "WITH " + A["visits"] + ", " + A["notes"] + """
+SELECT note_id, encounter_num, note_category FROM notes ORDER BY (note_id * 7919) % 10007, note_id LIMIT 300""")
+def q_debug_sample(spark, d):
+    n = adapters.notes(spark, d, with_text=False).select("note_id", "encounter_num", "note_category")
+    return debug_sample(n, 300, "note_id")
+
+
+@register("slice_incidence", O.outcome_cte("claims") + """
+SELECT date, count(*) AS n_sa FROM oc WHERE sex_cd = 'W' AND age_cat = '26-65' GROUP BY date""")
+def q_slice_incidence(spark, d):
+    st = incidence.slice_stays(claim_outcomes(spark, d), age="26-65", sex="W")
+    return st.groupBy("date").agg(F.count(F.lit(1)).alias("n_sa"))
+
+
+@register("value_share", O.outcome_cte("claims") + """
+SELECT site_label, avg(CAST(death AS DOUBLE)) AS death_share, count(death) AS n_known FROM oc GROUP BY site_label""")
+def q_value_share(spark, d):
+    return incidence.value_share(claim_outcomes(spark, d), "death", ["site_label"])
+
+
+@register("test_site_stays", O.outcome_cte("claims") + """
+SELECT encounter_num, site_label FROM oc WHERE site_label IN ('NATION_8','NATION_9','NATION_10','NATION_11','NATION_12')""")
+def q_test_site_stays(spark, d):
+    return cohort.site_filter(claim_outcomes(spark, d), study.TEST_SITES).select("encounter_num", "site_label")
+
+
+@register("rf_mention_filter", "WITH " + O.MENTIONS + """
+SELECT note_id, start_char, std_lexical_variant FROM ments
+WHERE std_lexical_variant IN ('with', 'dans') AND NOT (negation OR hypothesis OR family)""")
+def q_rf_mention_filter(spark, d):
+    m = stay_ops.rf_mention_filter(study.text_mentions(spark, d), ["with", "dans"], ["negation", "hypothesis", "family"])
+    return m.select("note_id", "start_char", "std_lexical_variant")
+
+
+@register("pair_allocation", SAMPLE_SQL + """,
+o AS (SELECT *, row_number() OVER (ORDER BY (note_id * 7919) % 10007, note_id) - 1 AS i, count(*) OVER () AS n FROM smp),
+x AS (SELECT *, i < floor(n * 0.3) AS shared, CAST(((note_id * 7919) % 10007) % 3 AS INTEGER) AS f FROM o),
+y AS (SELECT *, CASE WHEN shared THEN [['A','B','C'][f + 1], ['A','B','C'][CAST((f + 1 + note_id % 2) % 3 AS INTEGER) + 1]]
+                ELSE [['A','B','C'][f + 1]] END AS who FROM x)
+SELECT note_id, after_cutoff, rf_name, gold, sample_rank, shared, unnest(who) AS annotator FROM y""")
+def q_pair_allocation(spark, d):
+    return sampling.allocate_pairs(sample_df(spark, d), ["A", "B", "C"], 0.3)
+
+
+@register("annotation_read_back", "WITH " + A["annotations"] + """
+SELECT note_id, annotator, arg_min(predicted, supplementary) AS predicted, arg_min(after_cutoff, supplementary) AS after_cutoff,
+       arg_min(rf_name, supplementary) AS rf_name, arg_min(supplementary, supplementary) AS supplementary,
+       arg_min(remark, supplementary) AS remark, arg_min(gold, supplementary) AS gold
+FROM annotations WHERE NOT coalesce(remark IN ('unclear'), false) GROUP BY note_id, annotator""")
+def q_annotation_read_back(spark, d):
+    return agreement.read_back(adapters.annotations(spark, d), rf_level=True)
+
+
+@register("token_labels")
+def q_token_labels(spark, d):
+    kept = text.span_filter(_overlap_spans(spark, d))
+    n = adapters.notes(spark, d).select("note_id", "note_text")
+    k = kept.join(n, "note_id").withColumn(
+        "span_text", F.substring("note_text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")))
+    return text.token_labels(k.drop("note_text"))
+
+
+def weighted_text_stays(spark, d):
+    st = study.stays_by_source(spark, d, "text")
+    w = incidence.inverse_weights(probe(spark, d), P)
+    return stay_ops.add_weights(incidence.outcome_stays(st), w)
+
+
+@register("weighted_incidence", "WITH " + O.MENTIONS + ",\n" + O.STAYS.strip().replace(A["visits"] + ",", "", 1) + """,
+has AS (SELECT l_orderkey AS encounter_num, bool_or(l_returnflag = 'R') AS has_note FROM lineitem GROUP BY 1),
+pr AS (SELECT site_label, date, count(*) AS n_visit, count_if(coalesce(has_note, false)) AS n_note,
+              count_if(coalesce(has_note, false)) / count(*) AS rho
+       FROM stays LEFT JOIN has USING (encounter_num) GROUP BY site_label, date),
+wt AS (SELECT site_label, date, CASE WHEN rho = 0 THEN NULL ELSE 1.0 / rho END AS stay_weight FROM pr
+       WHERE date >= DATE '1995-01-01' AND date < DATE '2001-08-01'),
+pos AS (SELECT s.*, t.encounter_num IS NOT NULL AS positive_visit, coalesce(t.has_history, false) AS has_history
+        FROM stays s LEFT JOIN (SELECT encounter_num, has_history FROM tstays WHERE nlp_positive) t USING (encounter_num)),
+""" + O.episodes_cte("pos", "ep") + """,
+oc AS (SELECT ep.*, wt.stay_weight FROM ep LEFT JOIN wt USING (date, site_label) WHERE """ + O.OUTCOME + """)
+SELECT date, count(*) AS n_sa, count_if(death) AS death, count_if(has_history) AS has_history,
+       round(sum(stay_weight), 6) AS weighted_n_sa, count_if(has_history) / count(*) AS has_history_ratio
+FROM oc GROUP BY date""")
+def q_weighted_incidence(spark, d):
+    st = weighted_text_stays(spark, d)
+    t = incidence.monthly_table(st, [], P, weight_col="stay_weight", history_col="has_history")
+    return t.select("date", "n_sa", "death", "has_history", F.round("weighted_n_sa", 6).alias("weighted_n_sa"),
+                    "has_history_ratio")

@@ -21,16 +21,14 @@ TEST_SITES = ["NATION_8", "NATION_9", "NATION_10", "NATION_11", "NATION_12"]
 
 
 def patients_with_site(spark: SparkSession, d: str) -> DataFrame:
-    """Patients plus the site of their stays (customer nation and its region).
-    nation and region have a fixed size (25 / 5 rows): broadcast."""
-    c = read_table(spark, d, "customer", ["c_custkey", "c_nationkey"])
+    """Patients plus the site of their stays (customer nation and its region); one scan of
+    customer. nation and region have a fixed size (25 / 5 rows): broadcast."""
     n = read_table(spark, d, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     r = read_table(spark, d, "region", ["r_regionkey", "r_name"])
-    dim = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
-    site = c.join(F.broadcast(dim), c.c_nationkey == dim.n_nationkey).select(
-        F.col("c_custkey").alias("patient_num"), F.col("n_name").alias("site_label"), F.col("r_name").alias("site_type")
-    )
-    return adapters.patients(spark, d).join(site, "patient_num", "left")
+    dim = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
+        "n_nationkey", F.col("n_name").alias("site_label"), F.col("r_name").alias("site_type"))
+    return adapters.patients(spark, d, extra=["c_nationkey"]).join(
+        F.broadcast(dim), F.col("c_nationkey") == F.col("n_nationkey"), "left").drop("c_nationkey", "n_nationkey")
 
 
 def stays(spark: SparkSession, d: str, params: StudyParams = P) -> DataFrame:

@@ -50,10 +50,11 @@ def visits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def patients(spark: SparkSession, d: str) -> DataFrame:
+def patients(spark: SparkSession, d: str, extra: list[str] = ()) -> DataFrame:
     c = read_table(spark, d, "customer")
     key = F.col("c_custkey")
     return c.select(
+        *extra,
         key.alias("patient_num"),
         F.date_sub(F.lit("1993-01-01").cast("date"), (key * 37 % 30000).cast("int")).alias("birth_date"),
         F.when(key % 10 == 0, F.lit(None).cast("string"))

@@ -31,9 +31,10 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def debug_sample(df: DataFrame, n: int, key: str, seed: int = 7919) -> DataFrame:
-    """Deterministic 'random' sample of n rows: order by a hash of the key, then limit.
+    """Deterministic 'random' sample of n rows: order by an arithmetic scramble of the key
+    ((key * seed) % 10007, then key), then limit.
 
-    The limit is the feature here (a debug sample); a top-n over a hash is a
-    TakeOrderedAndProject, i.e. a per-partition top-n then a merge of n rows per partition.
+    The limit is the feature here (a debug sample); an ordered limit plans as a
+    TakeOrderedAndProject: a per-partition top-n, then a merge of n rows per partition.
     """
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy((F.col(key) * seed) % 10007, F.col(key)).limit(n)

@@ -5,12 +5,10 @@ the ordered windows run over distinct durations only (a bounded set), not over s
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.columns import seconds_between
+from cohortspark.functions.columns import erfc, seconds_between
 from cohortspark.params import SECONDS_PER_DAY, StudyParams
 
 
@@ -58,17 +56,19 @@ def at_risk_days(km: DataFrame, days: int = 30) -> DataFrame:
 
 
 def logrank(km: DataFrame, first: str = "pre", second: str = "post", digits: int = 6) -> DataFrame:
-    """Log-rank chi-square (1 df) of two cohorts and p = erfc(sqrt(chi2 / 2))."""
+    """Log-rank chi-square (1 df) of two cohorts and p = erfc(sqrt(chi2 / 2)).
+
+    At-risk counts of both cohorts are needed at every distinct time: the distinct times are
+    expanded to (cohort, time) cells by a generator, the per-cohort counts joined on, and the
+    suffix sum taken per cohort (windows partitioned by cohort over distinct times only)."""
     t = _per_time(km)
+    cells = t.select("duration").distinct().select(
+        F.explode(F.array(F.lit(first), F.lit(second))).alias("cohort"), "duration")
+    c = cells.join(t, ["cohort", "duration"], "left").fillna(0, subset=["n_event", "n_censored"])
     w_suffix = Window.partitionBy("cohort").orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("n_at", F.sum(F.col("n_event") + F.col("n_censored")).over(w_suffix))
-    # at-risk of a cohort at a time where it has no row = its at-risk at the next larger time
-    p = t.groupBy("duration").pivot("cohort", [first, second]).agg(
+    c = c.withColumn("n_at", F.sum(F.col("n_event") + F.col("n_censored")).over(w_suffix))
+    p = c.groupBy("duration").pivot("cohort", [first, second]).agg(
         F.first("n_event").alias("d"), F.first("n_at").alias("n"))
-    w_next = Window.orderBy("duration").rowsBetween(0, Window.unboundedFollowing)
-    for c in (first, second):
-        p = p.withColumn(f"{c}_n", F.coalesce(F.col(f"{c}_n"), F.first(f"{c}_n", ignorenulls=True).over(w_next), F.lit(0)))
-        p = p.withColumn(f"{c}_d", F.coalesce(F.col(f"{c}_d"), F.lit(0)))
     n1, n2, d1, d2 = (F.col(f"{first}_n"), F.col(f"{second}_n"), F.col(f"{first}_d"), F.col(f"{second}_d"))
     n, d = n1 + n2, d1 + d2
     e1 = d * n1 / n
@@ -78,5 +78,5 @@ def logrank(km: DataFrame, first: str = "pre", second: str = "post", digits: int
     return agg.select(
         F.col("observed_1"), F.round("expected_1", digits).alias("expected_1"),
         F.round(chi2, digits).alias("chi2"),
-        F.round(F.udf(lambda x: None if x is None else math.erfc(math.sqrt(x / 2)), "double")(chi2), digits).alias("p_value"),
+        F.round(erfc(F.sqrt(chi2 / 2.0)), digits).alias("p_value"),
     )

@@ -167,7 +167,7 @@ def sections(notes: DataFrame, text_col: str = "note_text", id_col: str = "note_
         lambda s, i: F.struct(
             F.regexp_replace(s["match"], ":$", "").alias("section"),
             s["start"].alias("start_char"),
-            F.when(i + 1 < n, h.getItem(i + 1)["start"]).otherwise(F.length(text)).alias("end_char"),
+            F.when(i + 1 < n, F.get(h, i + 1)["start"]).otherwise(F.length(text)).alias("end_char"),
         ),
     )
     return notes.select(id_col, F.posexplode(with_end).alias("section_index", "s")).select(id_col, "section_index", "s.*")
@@ -280,13 +280,14 @@ def stays_per_term(m: DataFrame, term: str = "std_lexical_variant") -> DataFrame
 def cooccurrence(m: DataFrame, term: str = "std_lexical_variant") -> DataFrame:
     """A10: for term pairs t1 <= t2 (diagonal included), the number of stays having both.
 
-    Pairs come from each stay's distinct term set (bounded by the lexicon size), so the
-    pair generation is per stay and never across all rows of a group."""
+    Stays are first counted per distinct sorted term set; pairs are expanded once per
+    distinct set (weighted by its stay count), never per stay and never by a self join."""
     sets = m.groupBy("encounter_num").agg(F.sort_array(F.collect_set(term)).alias("ts"))
-    pairs = sets.select(F.explode(F.flatten(F.transform(
+    combos = sets.groupBy("ts").agg(F.count(F.lit(1)).alias("n"))
+    pairs = combos.select("n", F.explode(F.flatten(F.transform(
         "ts", lambda a: F.transform(F.filter("ts", lambda b: b >= a), lambda b: F.struct(a.alias("term_1"), b.alias("term_2")))
     ))).alias("p"))
-    return pairs.groupBy("p.term_1", "p.term_2").agg(F.count(F.lit(1)).alias("n_stays"))
+    return pairs.groupBy("p.term_1", "p.term_2").agg(F.sum("n").alias("n_stays"))
 
 
 def exclusive_terms(m: DataFrame, term: str = "std_lexical_variant") -> DataFrame:

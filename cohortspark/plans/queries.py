@@ -827,7 +827,24 @@ def q_logrank(spark, d):
     return survival.logrank(km_df(spark, d)).drop("p_value")
 
 
-@register("logrank_p")
+def _erfc_sql(x: str) -> str:
+    from cohortspark.functions.columns import ERFC_COEFS
+
+    t = f"(1.0 / (1.0 + 0.5 * abs({x})))"
+    poly = repr(ERFC_COEFS[-1])
+    for c in reversed(ERFC_COEFS[:-1]):
+        poly = f"({c!r} + {t} * {poly})"
+    ans = f"({t} * exp(-({x}) * ({x}) + {poly}))"
+    return f"CASE WHEN {x} >= 0 THEN {ans} ELSE 2.0 - {ans} END"
+
+
+LOGRANK_SQL = ORACLE["logrank"]
+
+
+@register("logrank_p", LOGRANK_SQL.rsplit("SELECT CAST(observed_1", 1)[0] + """,
+st AS (SELECT observed_1, expected_1, power(observed_1 - expected_1, 2) / variance AS x2 FROM agg)
+SELECT CAST(observed_1 AS BIGINT) AS observed_1, round(expected_1, 6) AS expected_1, round(x2, 6) AS chi2,
+       round(""" + _erfc_sql("sqrt(x2 / 2.0)") + """, 6) AS p_value FROM st""")
 def q_logrank_p(spark, d):
     return survival.logrank(km_df(spark, d))
 

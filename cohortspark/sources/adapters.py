@@ -134,7 +134,8 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
 def asof_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Mentions and dates for the nearest as-of join: group = user, position = µs since epoch."""
     e = read_table(spark, d, "events", ["event_id", "ts", "user_id", "event_type"])
-    pos = F.unix_micros(F.col("ts").cast("timestamp"))
+    # microseconds since the epoch without any session time zone (ts is timestamp_ntz)
+    pos = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     ents = e.where(F.col("event_type") == "purchase").select(
         F.col("user_id").alias("group_id"), F.col("event_id").alias("ent_id"), pos.alias("start")
     )

@@ -91,3 +91,15 @@ def test_cooccurrence_and_exclusive(spark):
 def test_normalise(spark):
     df = spark.createDataFrame([("Élan  “ça”\n va",)], "t string")
     assert df.select(text.normalise_text(F.col("t")).alias("n")).first().n == 'elan "ca" va'
+
+
+def test_sections_and_history_section(spark):
+    t = "Motif:\nwith pain today.\nHistory:\nseen with care.\nPlan:\nnothing with it."
+    df = spark.createDataFrame([(1, 5, t)], "note_id long, encounter_num long, note_text string")
+    secs = [(r.section, r.start_char, r.end_char) for r in text.sections(df).orderBy("section_index").collect()]
+    assert secs == [("Motif", 0, t.find("History:")), ("History", t.find("History:"), t.find("Plan:")),
+                    ("Plan", t.find("Plan:"), len(t))]
+    m = {r.start_char: (r.section, r.history) for r in text.mentions(df).collect()}
+    assert m[t.find("with pain")] == ("motif", False)
+    assert m[t.find("with care")] == ("history", True)       # inside a history section
+    assert m[t.find("with it")] == ("plan", False)

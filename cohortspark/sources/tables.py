@@ -38,3 +38,14 @@ def debug_sample(df: DataFrame, n: int, key: str, seed: int = 7919) -> DataFrame
     TakeOrderedAndProject: a per-partition top-n, then a merge of n rows per partition.
     """
     return df.orderBy((F.col(key) * seed) % 10007, F.col(key)).limit(n)
+
+
+def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "encounter_num", path: str | None = None) -> None:
+    """S4 for production stage tables: bucketed and sorted by the stay key, so later joins and
+    aggregates on that key (notes x stays, mentions -> stays) read co-located buckets and
+    skip the shuffle. ``path`` places the table in a shared location (e.g. next to
+    ``spark.checkpoint.dir``) instead of the session warehouse."""
+    w = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)

@@ -48,3 +48,20 @@ def test_partition_independence(spark):
                     for name in ("episodes", "keep_last", "its_by_group", "asof_nearest")})
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert out[0] == out[1]
+
+
+def test_bucketed_stage_join_has_no_shuffle(spark):
+    from cohortspark.sources.tables import write_bucketed
+
+    d = tempfile.mkdtemp(prefix="cohortspark-bucket-", dir="/tmp")
+    a = spark.range(1000).selectExpr("id AS encounter_num", "id % 7 AS x")
+    b = spark.range(1000).selectExpr("id AS encounter_num", "id % 5 AS y")
+    write_bucketed(a, "stage_a", 8, path=os.path.join(d, "a"))
+    write_bucketed(b, "stage_b", 8, path=os.path.join(d, "b"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("stage_a").join(spark.table("stage_b"), "encounter_num")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert j.count() == 1000 and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

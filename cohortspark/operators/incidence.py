@@ -190,7 +190,8 @@ def stays_per_site(stays: DataFrame, weight_col: str | None = None) -> DataFrame
 
 def age_summary(stays: DataFrame) -> DataFrame:
     """Mean and sample std of age."""
-    return stays.agg(F.avg("age").alias("mean_age"), F.stddev_samp("age").alias("std_age"), F.count("age").alias("n"))
+    return stays.agg(F.round(F.avg("age"), 9).alias("mean_age"), F.round(F.stddev_samp("age"), 9).alias("std_age"),
+                     F.count("age").alias("n"))
 
 
 def completeness_probe(stays_with_notes: DataFrame) -> DataFrame:

@@ -542,7 +542,7 @@ def q_stays_per_site(spark, d):
 
 
 @register("age_summary", O.outcome_cte("claims") + """
-SELECT avg(age) AS mean_age, stddev_samp(age) AS std_age, count(age) AS n FROM oc""")
+SELECT round(avg(age), 9) AS mean_age, round(stddev_samp(age), 9) AS std_age, count(age) AS n FROM oc""")
 def q_age_summary(spark, d):
     return incidence.age_summary(claim_outcomes(spark, d))
 
@@ -1271,3 +1271,24 @@ def q_weighted_incidence(spark, d):
     t = incidence.monthly_table(st, [], P, weight_col="stay_weight", history_col="has_history")
     return t.select("date", "n_sa", "death", "has_history", F.round("weighted_n_sa", 6).alias("weighted_n_sa"),
                     "has_history_ratio")
+
+
+@register("report_order", O.outcome_cte("claims") + """,
+g AS (SELECT coalesce(sex_cd, 'all') AS sex_cd, coalesce(age_cat, 'all') AS age_cat, count(*) AS n_sa
+      FROM oc GROUP BY GROUPING SETS ((sex_cd, age_cat), (sex_cd), ()))
+SELECT sex_cd, age_cat, n_sa,
+       CAST(CASE sex_cd WHEN 'M' THEN 0 WHEN 'W' THEN 1 ELSE 2 END AS INTEGER) AS sex_order,
+       CAST(CASE age_cat WHEN '8-17' THEN 0 WHEN '18-25' THEN 1 WHEN '26-65' THEN 2 WHEN '66-120' THEN 3 ELSE 4 END AS INTEGER) AS age_order
+FROM g""")
+def q_report_order(spark, d):
+    """O1/O2: report rows by sex and age band with the 'all' margins, in the custom category
+    order (M, W, all; bands ascending, all last) carried as explicit order columns."""
+    from cohortspark.functions.columns import age_band_order
+
+    st = claim_outcomes(spark, d)
+    g = st.groupingSets([["sex_cd", "age_cat"], ["sex_cd"], []], "sex_cd", "age_cat").agg(
+        F.count(F.lit(1)).alias("n_sa"))
+    g = g.withColumn("sex_cd", F.coalesce("sex_cd", F.lit("all"))).withColumn("age_cat", F.coalesce("age_cat", F.lit("all")))
+    sex_order = F.when(F.col("sex_cd") == "M", 0).when(F.col("sex_cd") == "W", 1).otherwise(2).cast("int")
+    out = g.withColumn("sex_order", sex_order).withColumn("age_order", age_band_order("age_cat", P).cast("int"))
+    return out.orderBy("sex_order", "age_order")

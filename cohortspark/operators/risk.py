@@ -6,10 +6,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.functions import stats as _stats
 from cohortspark.functions.stats import Z975, fisher_exact_two_sided
 from cohortspark.params import StudyParams
 
 
+def _ship_by_value() -> None:
+    """Python workers may not have this package on their path (a driver-only install): the
+    grouped UDF and the statistics it calls are pickled by value, not by module reference."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    for mod in (_stats, sys.modules[__name__]):
+        try:
+            cloudpickle.register_pickle_by_value(mod)
+        except ValueError:
+            pass
+
+
+_ship_by_value()
+
+
 def contingency(stays: DataFrame, rf_cols: list[str], by: list[str] = (), params: StudyParams = StudyParams(),
                 all_label: str | None = "all") -> DataFrame:
     """A12, long form: per (group, rf) the counts a = rf & post, b = rf & pre,

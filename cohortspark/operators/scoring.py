@@ -1,6 +1,6 @@
 """Mention scoring (X13) and the training set build.
 
-The reference scores mentions with a fine-tuned transformer on GPUs; that model is not part
+The surveyed study scores mentions with a fine-tuned transformer on GPUs; that model is not part
 of this repository. Re-aimed: a distributed ``pyspark.ml`` pipeline on each mention's token
 window (hashed term counts + logistic regression), trained on annotated mentions and applied
 to all mentions as a Spark transform. Any other model plugs in with ``predict_batch_udf``."""

@@ -112,7 +112,7 @@ def notes(spark: SparkSession, d: str, with_text: bool = True) -> DataFrame:
         (F.col("visit_start_date") + _days(F.col("doc_id") % 5)).alias("document_datetime"),
     ]
     if with_text:
-        cols += [F.col("text").alias("note_text"), F.col("lang")]
+        cols += [F.col("text").alias("note_text")]
     return doc.join(v, F.floor(doc.doc_id / 3) == v.encounter_num).select(*cols)
 
 

@@ -51,3 +51,20 @@ def training_split(rounds: DataFrame, patients_of: DataFrame, validation_round:
     train = first.join(val_patients, "patient_num", "left_anti").withColumn("split", F.lit("train"))
     return val.unionByName(train)
 
+
+
+def score_with_batch_model(mentions: DataFrame, make_predict_fn, num_features: int = 1 << 12,
+                           words: str = "words", batch_size: int = 512) -> DataFrame:
+    """X13, pluggable model: hashed token-window features as dense float arrays, scored in
+    Arrow batches by ``predict_batch_udf``. ``make_predict_fn`` runs once per Python worker
+    and returns ``f(np.ndarray[batch, num_features]) -> np.ndarray[batch]`` (for example an
+    ONNX session's run). Adds ``ml_score``."""
+    from pyspark.ml.functions import predict_batch_udf, vector_to_array
+    from pyspark.sql.types import FloatType
+
+    x = mentions.withColumn("_w", F.transform(F.col(words), lambda w: F.lower(w)))
+    x = HashingTF(inputCol="_w", outputCol="_f", numFeatures=num_features).transform(x)
+    x = x.withColumn("_a", vector_to_array(F.col("_f"), "float32"))
+    udf = predict_batch_udf(make_predict_fn, return_type=FloatType(), batch_size=batch_size,
+                            input_tensor_shapes=[[num_features]])
+    return x.withColumn("ml_score", udf("_a")).drop("_w", "_f", "_a")

@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions import stats as _stats
-from cohortspark.functions.stats import Z975, fisher_exact_two_sided
+from cohortspark.functions.columns import fisher_two_sided
+from cohortspark.functions.stats import Z975
 from cohortspark.params import StudyParams
 
 
-def _ship_by_value() -> None:
-    """Python workers may not have this package on their path (a driver-only install): the
-    grouped UDF and the statistics it calls are pickled by value, not by module reference."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    for mod in (_stats, sys.modules[__name__]):
-        try:
-            cloudpickle.register_pickle_by_value(mod)
-        except ValueError:
-            pass
-
-
-_ship_by_value()
-
-
 def contingency(stays: DataFrame, rf_cols: list[str], by: list[str] = (), params: StudyParams = StudyParams(),
                 all_label: str | None = "all") -> DataFrame:
     """A12, long form: per (group, rf) the counts a = rf & post, b = rf & pre,
@@ -54,25 +36,16 @@ def contingency(stays: DataFrame, rf_cols: list[str], by: list[str] = (), params
 
 def risk_ratio(table: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     """T5: RR = P(rf | post) / P(rf | pre) with a log-normal 95% CI; null when a cell makes it
-    undefined. Fisher's two-sided p comes from a grouped pandas UDF over the 2x2 rows (one
-    row per group, tens of rows in total); the table is evaluated once."""
-    schema = ", ".join(f"{k} string" for k in keys) + ", a long, b long, c long, d long, fisher_p double"
-
-    def fisher(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[keys + ["a", "b", "c", "d"]].copy()
-        out["fisher_p"] = [round(fisher_exact_two_sided(int(r.a), int(r.b), int(r.c), int(r.d)), digits)
-                           for r in pdf.itertuples()]
-        return out
-
-    t = table.select(*[F.col(k).cast("string").alias(k) for k in keys], "a", "b", "c", "d")
-    t = t.groupBy(*keys).applyInPandas(fisher, schema)
+    undefined. Fisher's two-sided exact p is computed natively per 2x2 row
+    (``fisher_two_sided``), so the whole operator stays in the JVM."""
     a, b, c, d = (F.col(x).cast("double") for x in "abcd")
     rr = (a / (a + c)) / (b / (b + d))
     se = F.sqrt(1 / a - 1 / (a + c) + 1 / b - 1 / (b + d))
     ok = (F.col("a") > 0) & (F.col("b") > 0)
-    out = t.withColumn("risk_ratio", F.when(ok, rr)).withColumn("_se", F.when(ok, se))
+    out = table.select(*keys, "a", "b", "c", "d").withColumn("risk_ratio", F.when(ok, rr)).withColumn("_se", F.when(ok, se))
     out = out.withColumn("rr_lower", F.exp(F.log("risk_ratio") - Z975 * F.col("_se"))).withColumn(
         "rr_upper", F.exp(F.log("risk_ratio") + Z975 * F.col("_se"))).drop("_se")
-    for col in ["risk_ratio", "rr_lower", "rr_upper"]:
+    out = out.withColumn("fisher_p", fisher_two_sided("a", "b", "c", "d"))
+    for col in ["risk_ratio", "rr_lower", "rr_upper", "fisher_p"]:
         out = out.withColumn(col, F.round(col, digits))
     return out

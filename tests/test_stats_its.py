@@ -62,3 +62,17 @@ def test_cutoff_outside_window_is_null(spark):
     monthly = spark.createDataFrame([("x", m, 1.0) for m in _months(p)], "grp string, date date, n_sa double")
     c = {r.term: r.estimate for r in its.coefficients(its.design(monthly, ["grp"], p), ["grp"], p).collect()}
     assert c["delta_t"] is None
+
+
+def test_native_fisher_matches_python(spark):
+    import random
+
+    from cohortspark.functions.columns import fisher_two_sided
+
+    rng = random.Random(9)
+    rows = [(rng.randint(0, 30), rng.randint(0, 30), rng.randint(0, 30), rng.randint(0, 30)) for _ in range(200)]
+    rows += [(0, 0, 0, 0), (3, 1, 1, 3), (8, 2, 1, 5), (500, 20, 430, 60)]
+    df = spark.createDataFrame(rows, "a long, b long, c long, d long")
+    got = df.select("a", "b", "c", "d", fisher_two_sided("a", "b", "c", "d").alias("p")).collect()
+    for r in got:
+        assert abs(r.p - fisher_exact_two_sided(r.a, r.b, r.c, r.d)) < 1e-9

@@ -1,8 +1,9 @@
 """Scalar statistics helpers (pure Python, driver-side scalars of fixed size only).
 
-Used for constants that depend on parameters, not on data volume: Student t quantiles for a
-given number of degrees of freedom, the normal tail, and the two-sided Fisher exact p-value of
-one 2x2 table (evaluated inside a grouped pandas UDF, one row per table)."""
+Used for constants that depend on parameters, not on data volume (Student t quantiles for a
+given number of degrees of freedom, the normal tail), and as the exact reference
+implementation of the two-sided Fisher p-value that the native column version
+(``columns.fisher_two_sided``) is tested against."""
 
 from __future__ import annotations
 

@@ -27,3 +27,74 @@ def op6(spark, sf_dir):
     from cohortspark.llm.simhash import simhash_classes
 
     return simhash_classes(table(spark, sf_dir, "documents"), k=3, max_bits=3)
+
+
+#: all pairs of a label by SQL, then the smallest vec_id reachable
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT m.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links,
+       CAST(least(m.vec_id, coalesce(r.c, m.vec_id)) AS BIGINT) AS component_id,
+       m.vec_id <= coalesce(r.c, m.vec_id) AS kept
+FROM embeddings m
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = m.vec_id
+LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = m.vec_id"""
+
+
+@register("op1_cap_near_dedup", OP1_SQL)
+def op1(spark, sf_dir):
+    from cohortspark.llm.caps import cap_links
+
+    return cap_links(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@register("op9_token_counts")
+def op9(spark, sf_dir):
+    import public_tokenizers
+
+    from cohortspark.llm.tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@register("op8_best_fit_packing")
+def op8(spark, sf_dir):
+    import public_tokenizers
+
+    from cohortspark.llm.packing import best_fit_packing
+
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            capacity=2048, end_id=0)
+
+
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') AS g
+        FROM i, unnest(range(1, greatest(len(w) - 13, 0) + 2)) t(p) WHERE len(w) > 0),
+grams AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS g
+          FROM d, (SELECT DISTINCT n FROM win) s, unnest(range(1, len(w) - n + 2)) t(p) WHERE len(w) >= n),
+hits AS (SELECT DISTINCT doc_id, p, n, item_id FROM grams JOIN win USING (n, g)),
+hit_words AS (SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM hits, unnest(range(0, n)) t(k) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+              FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+
+
+@register("op4_benchmark_decontamination", OP4_SQL)
+def op4(spark, sf_dir):
+    from cohortspark.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -35,26 +35,34 @@ from cohortspark.llm.common import arrow_map, components, forest, map_runs, stag
 TILE_ROWS = 1024
 
 
-def _tail(a: float) -> float:
-    return 0.5 * math.erfc(a / math.sqrt(2))
+#: independent rotations whose product codes share the directions
+ROTATIONS = 4
 
 
-def cap_plan(n: int, threshold: float, shared: float = 8.0, strangers: int = 16) -> tuple[float, int]:
-    """(height in standard deviations, number of directions) for ``n`` distinct vectors."""
+def _tails(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grid of heights, density and upper tail of one coordinate of a random unit vector."""
+    t = np.linspace(-1, 1, 20001)
+    dens = np.maximum(1 - t * t, 1e-300) ** ((dim - 3) / 2)
+    dens /= dens.sum()
+    return t, dens, np.cumsum(dens[::-1])[::-1]
+
+
+def cap_plan(n: int, dim: int, threshold: float, shared: float = 12.0, strangers: int = 16) -> tuple[float, int]:
+    """(cap height, number of directions) for ``n`` distinct vectors: about ``strangers`` random
+    vectors fall into a cap, and a pair at the threshold shares ``shared`` caps on average."""
+    dim, r = max(dim, 4), min(threshold, 1 - 1e-6)
     share = min(1 / 64, strangers / max(n, 1))
-    low, high = 0.0, 12.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if _tail(mid) > share else (low, mid)
-    a, r = low, min(threshold, 1 - 1e-6)
-    x = a + np.linspace(0, 8, 4001)
-    dens = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-    both = np.array([_tail((a - r * v) / math.sqrt(1 - r * r)) for v in x])
-    joint = float(np.sum(dens * both) * (x[1] - x[0])) / _tail(a)
-    return a, math.ceil(shared / joint / share)
-
-
-def codebook(dim: int, directions: int, seed: int = 17) -> tuple[np.ndarray, list[np.ndarray], int]:
+    t, dens, tail = _tails(dim)
+    height = float(np.interp(-share, -tail, t))
+    s = np.linspace(height, 1, 4001)[:-1]
+    w = (1 - s * s) ** ((dim - 3) / 2)
+    u, _, rest = _tails(dim - 1)
+    both = np.interp((height - r * s) / np.sqrt((1 - r * r) * (1 - s * s)), u, rest)
+    joint = float((w * both).sum() / w.sum())
+    return height, math.ceil(shared / joint / share)
+
+
+def codebook(dim: int, directions: int, seed: int) -> tuple[np.ndarray, list[np.ndarray], int]:
     """(rotation, codes of each block, codes per block): at most 1024 codes per block."""
     m = 1
     while m < 2 or math.ceil(directions ** (1 / m)) > 1024:
@@ -70,7 +78,7 @@ def codebook(dim: int, directions: int, seed: int = 17) -> tuple[np.ndarray, lis
     return turn, codes, k
 
 
-def decode(x: np.ndarray, book, height: float) -> tuple[np.ndarray, np.ndarray]:
+def _decode_one(x: np.ndarray, book, height: float) -> tuple[np.ndarray, np.ndarray]:
     """All (row, filter) with inner product >= height, for unit rows ``x``."""
     turn, codes, k = book
     y, at, scores = x @ turn, 0, []
@@ -92,6 +100,20 @@ def decode(x: np.ndarray, book, height: float) -> tuple[np.ndarray, np.ndarray]:
     return row, code
 
 
+def decode(x: np.ndarray, directions: int, height: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (row, filter) over the independent rotations, sorted by row and filter."""
+    rows, codes, first = [], [], 0
+    for turn in range(ROTATIONS):
+        book = codebook(x.shape[1], -(-directions // ROTATIONS), turn)
+        row, code = _decode_one(x, book, height)
+        rows.append(row)
+        codes.append(code + first)
+        first += book[2] ** len(book[1])
+    row, code = np.concatenate(rows), np.concatenate(codes)
+    order = np.lexsort((code, row))
+    return row[order], code[order]
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
@@ -107,7 +129,7 @@ def _describe(batch: pa.RecordBatch) -> dict:
     return {"vec_id": batch.column("vec_id"), "label": batch.column("label"), "valid": valid, "digest": digest}
 
 
-def cap_links(vectors: DataFrame, threshold: float = 0.93, shared: float = 8.0, strangers: int = 16,
+def cap_links(vectors: DataFrame, threshold: float = 0.93, shared: float = 12.0, strangers: int = 16,
               tile_rows: int = TILE_ROWS, id_col: str = "vec_id", vec_col: str = "embedding",
               label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
@@ -118,7 +140,6 @@ def cap_links(vectors: DataFrame, threshold: float = 0.93, shared: float = 8.0,
     nodes = stage(good.groupBy("label", "digest").agg(
         F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "nodes")
     n = nodes.count()
-    height, directions = cap_plan(n, threshold, shared, strangers)
 
     # the vector of each node, by its smallest vec_id, with the filters it falls into
     one = src.join(nodes.select(F.col("id").alias("vec_id"), "label", "digest", "copies"), ["vec_id", "label"])
@@ -132,10 +153,9 @@ def cap_links(vectors: DataFrame, threshold: float = 0.93, shared: float = 8.0,
         for dim in np.unique(dims):
             part = t.take(pa.array(np.flatnonzero(dims == dim)))
             x = unit(part.column("embedding").flatten().to_numpy().reshape(-1, dim))
-            row, code = decode(x, codebook(int(dim), directions), height / math.sqrt(dim))
-            order = np.lexsort((code, row))
-            cuts = np.searchsorted(row[order], np.arange(len(x) + 1))
-            code = code[order]
+            height, directions = cap_plan(n, int(dim), threshold, shared, strangers)
+            row, code = decode(x, directions, height)
+            cuts = np.searchsorted(row, np.arange(len(x) + 1))
             for c, src_c in (("id", "vec_id"), ("label", "label"), ("copies", "copies")):
                 out[c] += part.column(src_c).to_pylist()
             out["dim"] += [int(dim)] * len(x)

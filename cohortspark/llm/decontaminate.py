@@ -16,6 +16,7 @@ empty tables give an empty result or clean documents.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -82,7 +83,7 @@ class Windows:
         return at[same], i[same]
 
 
-def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[str, bytes]]]:
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
     """The benchmark in blocks; one block at a time is held by the driver."""
     bound = items.select((F.sum(F.length("text") + 1)).alias("n")).first()["n"] or 0
     blocks = max(1, -(-bound // (2 * block_words)))
@@ -105,7 +106,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, ratio:
     for block in _blocks(items, block_words):
         win = spark.sparkContext.broadcast(Windows(block, size))
         state = _probe(state, win, _rarest(src, win))
-    return _summary(state, ratio)
+    return _summary(state.drop("text"), ratio)
 
 
 def _rarest(src: DataFrame, win) -> dict[int, tuple]:
@@ -145,9 +146,10 @@ def _rarest(src: DataFrame, win) -> dict[int, tuple]:
 def _probe(state: DataFrame, win, prefix: dict[int, tuple]) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         w = win.value
-        out = {c: batch.column(c).to_pylist() for c in ("starts", "ends", "items")}
+        out = {c: batch.column(c).to_pylist() for c in ("starts", "ends", "items")} | {"n_words": []}
         for row, t in enumerate(binary_texts(batch.column("text"))):
             ids = w.ids(words_of(t))
+            out["n_words"].append(len(ids))
             for n, (codes, cut, wins, offs) in prefix.items():
                 at, i = w.probes(ids, n, codes)
                 if not len(at):
@@ -168,21 +170,19 @@ def _probe(state: DataFrame, win, prefix: dict[int, tuple]) -> DataFrame:
                     out["items"][row] = sorted({*out["items"][row], *(x for i in np.unique(c) for x in w.items[i])})
         return {"doc_id": batch.column("doc_id"), "text": batch.column("text")} | out
 
-    return arrow_map(state, run, "doc_id long, text string, starts array<long>, ends array<long>, items array<string>")
+    return arrow_map(state, run, "doc_id long, text string, starts array<long>, ends array<long>, "
+                                 "items array<string>, n_words long")
 
 
 def _summary(state: DataFrame, ratio: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
-        texts = binary_texts(batch.column("text"))
-        n_words, n_hit, digest, n_items = [], [], [], []
-        for t, s, e, items in zip(texts, *(batch.column(c).to_pylist() for c in ("starts", "ends", "items"))):
-            n = len(words_of(t))
-            step = np.bincount(s, minlength=n + 1)[:n + 1] - np.bincount(e, minlength=n + 1)[:n + 1] if s else np.zeros(1)
-            n_words.append(n)
+        n_hit, digest, n_items = [], [], []
+        for n, s, e, items in zip(*(batch.column(c).to_pylist() for c in ("n_words", "starts", "ends", "items"))):
+            step = np.bincount(s, minlength=n + 1) - np.bincount(e, minlength=n + 1) if s else np.zeros(1)
             n_hit.append(int((np.cumsum(step) > 0).sum()))
             n_items.append(len(items))
             digest.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-        return {"doc_id": batch.column("doc_id"), "n_words": n_words, "n_hit": n_hit, "n_items": n_items, "items_sha256": digest}
+        return {"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "n_hit": n_hit, "n_items": n_items, "items_sha256": digest}
 
     out = arrow_map(state, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words")))

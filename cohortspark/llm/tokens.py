@@ -21,6 +21,7 @@ import os
 import re
 import sys
 import types
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from cohortspark.llm.common import arrow_map, scratch, stage
 PIECE = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*$)?|\s+")
 #: white space in front of a space or line feed: such texts take the pattern, others a plain split
 DOUBLE = re.compile(r"\s[ \n]")
+#: a line feed or none, one Latin word, and a run of ASCII punctuation but the apostrophe
+WORD = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 #: distinct pieces kept in a worker before its memo starts anew
 MEMO_PIECES = 800_000
 
@@ -55,7 +58,7 @@ class Memo(dict):
 
     def __init__(self, lib):
         super().__init__()
-        self.lib = lib
+        self.lib, self.tails = lib, {}
         # the byte-level alphabet: printable bytes stand for themselves, the rest follow at 256
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -64,14 +67,31 @@ class Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) > MEMO_PIECES:
             self.clear()
-        if piece.isalpha() and max(piece) < "\u0250":  # one pre-token
-            shown = (" " + piece).encode().decode("latin-1").translate(self.alphabet)
-            ids = [t.id for t in self.lib.model.tokenize(shown)]
+            self.tails.clear()
+        m = WORD.fullmatch(piece)
+        if m is None:
+            got = self.encode(piece if piece[:1] == "\n" else " " + piece)
+        elif m[3]:  # a word and the punctuation after it are pre-tokens of their own
+            got = self[piece[:-len(m[3])]] + (self.tails.get(m[3]) or self.tail(m[3]))
+        elif m[1]:
+            got = (self.tails.get("\n") or self.tail("\n")) + self.one(m[2])
         else:
-            ids = self.lib.encode(piece if piece[:1] == "\n" else " " + piece, add_special_tokens=False).ids
-        self[piece] = got = np.array(ids, "<u4").tobytes()
+            got = self.one(" " + m[2])
+        self[piece] = got
         return got
 
+    def tail(self, text: str) -> bytes:
+        got = self.tails[text] = self.encode(text)
+        return got
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def one(self, token: str) -> bytes:
+        """Ids of one pre-token."""
+        shown = token.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.lib.model.tokenize(shown)]).tobytes()
+
 
 def _worker_state() -> dict:
     """A dict that outlives tasks in a reused Python worker (functions shipped by value are new

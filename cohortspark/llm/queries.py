@@ -98,3 +98,17 @@ def op4(spark, sf_dir):
     from cohortspark.llm.decontaminate import decontaminate
 
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op7_license_scan")
+def op7(spark, sf_dir):
+    from cohortspark.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@register("op10_language_id")
+def op10(spark, sf_dir):
+    from cohortspark.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))

@@ -112,3 +112,10 @@ def op10(spark, sf_dir):
     from cohortspark.llm.langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@register("op3_quality_rules")
+def op3(spark, sf_dir):
+    from cohortspark.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

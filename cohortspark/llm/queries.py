@@ -119,3 +119,20 @@ def op3(spark, sf_dir):
     from cohortspark.llm.quality import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op5_line_dedup")
+def op5(spark, sf_dir):
+    """One row per document: lines, lines compared, lines dropped, and the sum of the dropped numbers."""
+    from pyspark.sql import functions as F
+
+    from cohortspark.llm.lines import dropped_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = dropped_lines(docs)
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"),
+                       F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+                       .cast("long").alias("n_lines"))
+    return rows.join(gone, ["doc_id", "row"], "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("drop").isNotNull(), F.array_join(F.col("drop").cast("array<string>"), ",")).otherwise("").alias("dropped_lines"))

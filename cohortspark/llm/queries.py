@@ -136,3 +136,10 @@ def op5(spark, sf_dir):
     return rows.join(gone, ["doc_id", "row"], "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("drop").isNotNull(), F.array_join(F.col("drop").cast("array<string>"), ",")).otherwise("").alias("dropped_lines"))
+
+
+@register("op2_context_mixing")
+def op2(spark, sf_dir):
+    from cohortspark.llm.mixing import mixing_scores
+
+    return mixing_scores(table(spark, sf_dir, "documents"))

@@ -1,25 +1,71 @@
 """Corpus pipeline over ``documents``: each stage calls one operator of ``cohortspark.llm``.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read again as the next stage's input. All but the last return the columns of ``documents``.
+read again as the next stage's input. All but the last return the columns of ``documents``;
+the last returns the packed pieces.
+
+Defined results: null columns, empty and very long texts, ties, repeated rows, empty tables and
+extra columns pass as the operators define; documents whose doc_id is null are kept by every
+filter but the language filter.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortspark.llm.common import stage, table
+from cohortspark.llm.decontaminate import decontaminate
+from cohortspark.llm.langid import identify
+from cohortspark.llm.lines import dedup_lines
+from cohortspark.llm.packing import best_fit_packing
 from cohortspark.llm.simhash import simhash_classes
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids``."""
+    return docs.join(ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct(), "doc_id", "left_anti").select(
+        *docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no language (null text or no letter) or an ambiguous one go."""
+    found = identify(docs)
+    return _without(docs, found.where("lang_pred = 'und' or ambiguous"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines are cut from the texts; a document left without text goes."""
+    return dedup_lines(docs).withColumn(
+        "n_chars", F.when(F.col("dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    ).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: the document with the smallest id of each class stays."""
     classes = simhash_classes(docs, k=3, max_bits=3)
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return _without(docs, classes.where("component_id <> doc_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark contaminates go."""
+    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' tokens in sequences of at most 2048."""
+    import public_tokenizers
+
+    return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", packing),
+]
 
 #: the stages use fingerprints, tokenizers and trained models, which SQL cannot express
 ORACLE_SQL = None
@@ -28,6 +74,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each read back from its written table."""
     docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES:
+    for _, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), "pipeline")
     return docs

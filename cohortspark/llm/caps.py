@@ -36,7 +36,7 @@ TILE_ROWS = 1024
 
 
 #: independent rotations whose product codes share the directions
-ROTATIONS = 4
+ROTATIONS = 32
 
 
 def _tails(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,7 +47,7 @@ def _tails(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t, dens, np.cumsum(dens[::-1])[::-1]
 
 
-def cap_plan(n: int, dim: int, threshold: float, shared: float = 12.0, strangers: int = 16) -> tuple[float, int]:
+def cap_plan(n: int, dim: int, threshold: float, shared: float = 14.0, strangers: int = 16) -> tuple[float, int]:
     """(cap height, number of directions) for ``n`` distinct vectors: about ``strangers`` random
     vectors fall into a cap, and a pair at the threshold shares ``shared`` caps on average."""
     dim, r = max(dim, 4), min(threshold, 1 - 1e-6)
@@ -129,7 +129,7 @@ def _describe(batch: pa.RecordBatch) -> dict:
     return {"vec_id": batch.column("vec_id"), "label": batch.column("label"), "valid": valid, "digest": digest}
 
 
-def cap_links(vectors: DataFrame, threshold: float = 0.93, shared: float = 12.0, strangers: int = 16,
+def cap_links(vectors: DataFrame, threshold: float = 0.93, shared: float = 14.0, strangers: int = 16,
               tile_rows: int = TILE_ROWS, id_col: str = "vec_id", vec_col: str = "embedding",
               label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
@@ -171,46 +171,53 @@ def cap_links(vectors: DataFrame, threshold: float = 0.93, shared: float = 12.0,
         F.count(F.lit(1)).alias("n"))
 
     def verify(run: pa.Table) -> dict | None:
-        run = run.combine_chunks()
-        ids, copies, dims = (run.column(c).to_numpy() for c in ("id", "copies", "dim"))
-        labels, f = np.array(run.column("label").to_pylist()), run.column("f").to_numpy()
-        chunk, ta, tb = run.column("chunk").to_numpy(), run.column("ta")[0].as_py(), run.column("tb")[0].as_py()
-        if len(set(dims)) > 1:  # two buckets with one hash
-            return None if len(ids) < 2 else _join([verify(run.filter(pa.array(dims == d))) for d in set(dims)])
-        x = np.frombuffer(b"".join(run.column("vec").to_pylist()), np.float64).reshape(len(ids), -1)
-        left, right = (np.flatnonzero(chunk == c) for c in (ta, tb))
-        p, q = np.nonzero(x[left] @ x[right].T >= threshold)
+        col = {c: run.column(c).chunk(0) for c in run.column_names}
+        dims, chunk = col["dim"].to_numpy(), col["chunk"].to_numpy()
+        if (dims != dims[0]).any():  # two buckets with one hash
+            parts = [verify(run.filter(pa.array(dims == d)).combine_chunks()) for d in np.unique(dims)]
+            parts = [p for p in parts if p]
+            return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else None
+        n, at = len(run), np.frombuffer(col["vec"].buffers()[1], np.int32)[col["vec"].offset]
+        x = np.frombuffer(col["vec"].buffers()[2], np.float64, n * dims[0], int(at)).reshape(n, -1)
+        ta, tb = col["ta"][0].as_py(), col["tb"][0].as_py()
+        if ta == tb:
+            left = right = np.arange(n)
+            p, q = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+        else:
+            left, right = np.flatnonzero(chunk == ta), np.flatnonzero(chunk == tb)
+            p, q = np.nonzero(x[left] @ x[right].T >= threshold)
+        if not len(p):
+            return None
         p, q = left[p], right[q]
-        ok = (labels[p] == labels[q]) & (f[p] == f[q]) & (ids[p] != ids[q] if ta != tb else p < q)
-        p, q = p[ok], q[ok]
-        if len(p):
-            lists = run.column("filters").to_pylist()
-            used = np.unique(np.concatenate([p, q]))
-            place = np.searchsorted(used, np.arange(len(ids)))
-            rr = np.repeat(np.arange(len(used)), [len(lists[i]) for i in used])
-            ff = np.concatenate([lists[i] for i in used])
-            less = ff < f[used][rr]
-            rr, ff = rr[less], ff[less]
-            names, col = np.unique(ff, return_inverse=True)
-            seen = np.zeros((len(used), len(used)), bool)
-            for i in range(0, len(names), 4096):
-                own = (col >= i) & (col < i + 4096)
-                has = np.zeros((len(used), min(4096, len(names) - i)), np.float32)
-                has[rr[own], col[own] - i] = 1
-                seen |= (has @ has.T) > 0
-            first = ~seen[place[p], place[q]]
-            p, q = p[first], q[first]
+        f, labels = col["f"].to_numpy(), col["label"].dictionary_encode().indices.to_numpy()
+        same = (labels[p] == labels[q]) & (f[p] == f[q])
+        p, q = p[same], q[same]
+        # a pair counts in the smallest filter that it shares
+        used = np.unique(np.concatenate([p, q]))
+        place = np.searchsorted(used, np.arange(n))
+        first, values = col["filters"].offsets.to_numpy(), col["filters"].values.to_numpy()
+        size = (first[1:] - first[:-1])[used]
+        rr = np.repeat(np.arange(len(used)), size)
+        ff = values[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[used], size)]
+        less = ff < f[used][rr]
+        rr, ff = rr[less], ff[less]
+        names, key = np.unique(ff, return_inverse=True)
+        seen = np.zeros((len(used), len(used)), bool)
+        for i in range(0, len(names), 4096):
+            own = (key >= i) & (key < i + 4096)
+            has = np.zeros((len(used), min(4096, len(names) - i)), np.float32)
+            has[rr[own], key[own] - i] = 1
+            seen |= (has @ has.T) > 0
+        new = ~seen[place[p], place[q]]
+        p, q = p[new], q[new]
         if not len(p):
             return None
-        links = np.bincount(p, copies[q], len(ids)) + np.bincount(q, copies[p], len(ids))
-        root = forest(p, q, len(ids))
+        ids, copies = col["id"].to_numpy(), col["copies"].to_numpy()
+        links = np.bincount(p, copies[q], n) + np.bincount(q, copies[p], n)
+        root = forest(p, q, n)
         hit = np.flatnonzero(links)
         return {"id": ids[hit], "n": links[hit].astype(np.int64), "root": ids[root[hit]]}
 
-    def _join(parts):
-        parts = [p for p in parts if p]
-        return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else None
-
     found = stage(map_runs(tiles(rows, sizes.where(F.col("n") > tile_rows), "id", tile_rows), verify,
                            "id long, n long, root long"), "links")
     comp = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())

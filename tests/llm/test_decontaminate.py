@@ -40,7 +40,7 @@ def test_matches_brute_force_in_one_and_many_blocks(spark):
     items = [(i, make(rng.randint(1, 12))) for i in range(10)] + [(10, ""), (11, None), (None, make(4)), (3, make(5)), (12, "zz"), (13, "zz cd")]
     rows = [(i, make(rng.randint(0, 60))) for i in range(40)]
     rows += [(100 + i, make(15) + " " + t + " " + make(15)) for i, (_, t) in enumerate(items[:10])]
-    rows += [(200, None), (201, ""), (202, "!!"), (203, "zz"), (None, items[0][1]), (5, "cd zz cd"), (5, "cd zz cd")]
+    rows += [(204, "zz" + " qq" * 40), (200, None), (201, ""), (202, "!!"), (203, "zz"), (None, items[0][1]), (5, "cd zz cd"), (5, "cd zz cd")]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     want = sorted(brute(rows, items, 5), key=str)
     for block in (1_000_000, 12):

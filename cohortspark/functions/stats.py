@@ -1,7 +1,7 @@
 """Scalar statistics helpers (pure Python, driver-side scalars of fixed size only).
 
 Used for constants that depend on parameters, not on data volume (Student t quantiles for a
-given number of degrees of freedom, the normal tail), and as the exact reference
+given number of degrees of freedom), and as the exact reference
 implementation of the two-sided Fisher p-value that the native column version
 (``columns.fisher_two_sided``) is tested against."""
 
@@ -10,54 +10,28 @@ from __future__ import annotations
 import math
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, eps = 1e-300, 1e-15
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)
-    if x < (a + 1) / (a + b + 2):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1 - x) / b
-
-
-def t_cdf(t: float, df: float) -> float:
-    x = df / (df + t * t)
-    tail = 0.5 * betainc(df / 2.0, 0.5, x)
-    return 1.0 - tail if t > 0 else tail
-
-
-def t_ppf(p: float, df: float) -> float:
+def t_cdf(t: float, df: int) -> float:
+    """Student t distribution for whole degrees of freedom, by its finite trigonometric sum: with
+    theta = atan(t / sqrt(df)), the central probability is a sum of cosine powers of theta."""
+    theta = math.atan(t / math.sqrt(df))
+    c, total, term = math.cos(theta), 0.0, 1.0
+    if df % 2:  # (2 / pi) * (theta + sin * (cos + 2/3 cos^3 + (2*4)/(3*5) cos^5 + ...))
+        term = c
+        for k in range(1, (df - 1) // 2 + 1):
+            total += term
+            term *= c * c * 2 * k / (2 * k + 1)
+        central = 2 / math.pi * (theta + math.sin(theta) * total)
+    else:  # sin * (1 + 1/2 cos^2 + (1*3)/(2*4) cos^4 + ...)
+        for k in range(1, df // 2 + 1):
+            total += term
+            term *= c * c * (2 * k - 1) / (2 * k)
+        central = math.sin(theta) * total
+    return 0.5 + 0.5 * central
+
+
+def t_ppf(p: float, df: int) -> float:
     """Student t quantile by bisection on the CDF."""
-    if not 0 < p < 1 or df <= 0:
+    if not 0 < p < 1 or df < 1:
         raise ValueError("need 0 < p < 1 and df > 0")
     lo, hi = -1e3, 1e3
     for _ in range(200):
@@ -69,10 +43,6 @@ def t_ppf(p: float, df: float) -> float:
     return (lo + hi) / 2
 
 
-def norm_sf(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
 Z975 = 1.959963984540054
 
 

@@ -6,71 +6,85 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.columns import seconds_between
-from cohortspark.operators.text import spans
+from cohortspark.operators.text import SENTENCE, WORD_L, WORD_R, sentence_index, spans
 from cohortspark.params import StudyParams
 
 # ---- fixed values: date families ---------------------------------------------------
-ABSOLUTE = r"(?<![0-9])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])"
+MONTHS = {
+    "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9,
+    "october": 10, "november": 11, "december": 12,
+    "janvier": 1, "février": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "août": 8, "septembre": 9,
+    "octobre": 10, "novembre": 11, "décembre": 12,
+}
+# unit words, every spelling, and their length in days or months
+UNIT_DAYS = {"day": 1, "days": 1, "jour": 1, "jours": 1, "week": 7, "weeks": 7, "semaine": 7, "semaines": 7}
+UNIT_MONTHS = {"month": 1, "months": 1, "mois": 1, "year": 12, "years": 12, "an": 12, "ans": 12}
 UNITS = r"days?|jours?|weeks?|semaines?|months?|mois|years?|ans?"
-RELATIVE = r"(?i)(?<![\p{L}\p{N}_])(?:il y a [0-9]+ (?:" + UNITS + r")|[0-9]+ (?:" + UNITS + r") ago)(?![\p{L}\p{N}_])"
-DURATION = r"(?i)(?<![\p{L}\p{N}_])(?:pendant|during) [0-9]+ (?:" + UNITS + r")(?![\p{L}\p{N}_])"
-# unit words and their length in days or months
-UNIT_DAYS = {"day": 1, "jour": 1, "week": 7, "semaine": 7}
-UNIT_MONTHS = {"month": 1, "mois": 1, "year": 12, "an": 12}
+NAMES = "|".join(MONTHS)
+ABSOLUTE = (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2} (?:" + NAMES + r") [0-9]{4}|(?:" + NAMES
+            + r") [0-9]{4}|(?:19|20)[0-9]{2}")
+RELATIVE = r"il y a [0-9]+ (?:" + UNITS + r")|[0-9]+ (?:" + UNITS + r") ago|dans [0-9]+ (?:" + UNITS + r")|in [0-9]+ (?:" + UNITS + r")"
+DURATION = r"(?:pendant|during) [0-9]+ (?:" + UNITS + ")"
 # ------------------------------------------------------------------------------------
 
 
-def _unit(match):
-    return F.lower(F.regexp_extract(match, r"(?i)[0-9]+ ([a-z]+)", 1))
+def _whole(pattern: str) -> str:
+    return "(?iu)" + WORD_L + "(?:" + pattern + ")" + WORD_R
+
+
+def _lookup(key, table: dict):
+    """``table[key]`` as a column; null for another key."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
 def date_mentions(notes: DataFrame, text_col: str = "note_text", keep_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Absolute / relative / duration date spans with parsed parts.
-
-    Absolute: year, month, day and ``date_dt`` (null when the parts are not a calendar date).
-    Relative / duration: ``value`` and ``unit``; relative ones have direction 'past'."""
-    text = F.col(text_col)
-    fams = F.concat(
-        F.transform(spans(text, ABSOLUTE), lambda s: F.struct(F.lit("absolute").alias("label"), s.alias("s"))),
-        F.transform(spans(text, RELATIVE), lambda s: F.struct(F.lit("relative").alias("label"), s.alias("s"))),
-        F.transform(spans(text, DURATION), lambda s: F.struct(F.lit("duration").alias("label"), s.alias("s"))),
-    )
-    x = notes.select("note_id", *keep_cols, F.explode(fams).alias("x")).select(
+    """Absolute / relative / duration date spans with parsed parts, token position and sentence.
+
+    Absolute: day/month/year, year-month-day, day month-name year, month-name year or a year alone;
+    ``date_dt`` takes the first day or month where the text has none, and is null when the parts
+    are not a calendar date. Relative / duration: ``value`` and ``unit``; relative ones have a
+    direction, past or future."""
+    base = notes.select("note_id", *keep_cols, F.col(text_col).alias("_t"))
+    text = F.col("_t")
+
+    def family(label: str, pattern: str):
+        return F.transform(spans(text, _whole(pattern), with_tokens=True), lambda s: F.struct(F.lit(label).alias("label"), s.alias("s")))
+
+    fams = F.concat(family("absolute", ABSOLUTE), family("relative", RELATIVE), family("duration", DURATION))
+    base = base.select("note_id", *keep_cols, fams.alias("_d"), F.transform(spans(text, SENTENCE), lambda s: s["start"]).alias("_s"))
+    x = base.select("note_id", *keep_cols, "_s", F.explode("_d").alias("x")).select(
         "note_id", *keep_cols, "x.label", F.col("x.s.match").alias("match"),
-        F.col("x.s.start").alias("start_char"), F.col("x.s.end").alias("end_char"),
+        F.col("x.s.start").alias("start_char"), F.col("x.s.end").alias("end_char"), F.col("x.s.tok").alias("start"),
+        sentence_index(F.col("_s"), F.col("x.s.start")).alias("sent_id"),
     )
-    m = F.col("match")
-    iso = m.rlike("^[0-9]{4}-")
-    day = F.when(iso, F.regexp_extract(m, r"-([0-9]{2})$", 1)).otherwise(F.regexp_extract(m, r"^([0-9]{1,2})/", 1))
-    month = F.when(iso, F.regexp_extract(m, r"^[0-9]{4}-([0-9]{2})", 1)).otherwise(F.regexp_extract(m, r"/([0-9]{1,2})/", 1))
-    year = F.when(iso, F.regexp_extract(m, r"^([0-9]{4})", 1)).otherwise(F.regexp_extract(m, r"([0-9]{4})$", 1))
-    absolute = F.col("label") == "absolute"
+    m, absolute = F.lower("match"), F.col("label") == "absolute"
+    name = F.regexp_extract(m, r"([\p{L}]+)", 1)
+    part = lambda pattern: F.nullif(F.regexp_extract(m, pattern, 1), F.lit(""))
+    day = F.coalesce(part(r"^[0-9]{4}-[0-9]{2}-([0-9]{2})$"), part(r"^([0-9]{1,2})[/ ]")).cast("int")
+    month = F.coalesce(part(r"^[0-9]{4}-([0-9]{2})-").cast("int"), part(r"/([0-9]{1,2})/").cast("int"), _lookup(name, MONTHS))
+    year = F.coalesce(part(r"^([0-9]{4})"), part(r"([0-9]{4})$")).cast("int")
     x = (
-        x.withColumn("year", F.when(absolute, year.cast("int")))
-        .withColumn("month", F.when(absolute, month.cast("int")))
-        .withColumn("day", F.when(absolute, day.cast("int")))
-        .withColumn("value", F.when(~absolute, F.regexp_extract(m, "([0-9]+)", 1).cast("int")))
-        .withColumn("unit", F.when(~absolute, _unit(m)))
-        .withColumn("direction", F.when(F.col("label") == "relative", F.lit("past")))
+        x.withColumn("year", F.when(absolute, year))
+        .withColumn("month", F.when(absolute, month))
+        .withColumn("day", F.when(absolute, day))
+        .withColumn("value", F.when(~absolute, F.regexp_extract(m, "([0-9]+)", 1).try_cast("int")))
+        .withColumn("unit", F.when(~absolute, F.regexp_extract(m, r"[0-9]+ ([a-z]+)", 1)))
+        .withColumn("direction", F.when(F.col("label") == "relative", F.when(m.rlike("^(dans|in) "), "future").otherwise("past")))
     )
-    ymd = F.format_string("%04d-%02d-%02d", F.col("year"), F.col("month"), F.col("day"))
-    valid = (F.col("month").between(1, 12)) & (F.col("day").between(1, 31))
+    first = lambda c: F.coalesce(F.col(c), F.lit(1))
+    ymd = F.format_string("%04d-%02d-%02d", F.col("year"), first("month"), first("day"))
+    valid = first("month").between(1, 12) & first("day").between(1, 31)
     return x.withColumn("date_dt", F.when(absolute & valid, F.try_to_date(ymd, "yyyy-MM-dd")))
 
 
 def resolve_relative(dates: DataFrame, ref: str = "visit_start_date") -> DataFrame:
-    """A relative date is the reference date minus value units; unknown unit or missing
-    reference gives null."""
-    u = F.regexp_replace(F.col("unit"), "s$", "")
-    n = F.col("value")
-    days = None
-    for w, k in UNIT_DAYS.items():
-        days = F.when(u == w, n * k) if days is None else days.when(u == w, n * k)
-    months = None
-    for w, k in UNIT_MONTHS.items():
-        months = F.when(u == w, n * k) if months is None else months.when(u == w, n * k)
+    """A relative date is the reference date minus (past) or plus (future) value units; an
+    unknown unit or a missing reference gives null."""
+    sign = F.when(F.col("direction") == "future", 1).otherwise(-1)
+    days = (_lookup(F.col("unit"), UNIT_DAYS) * F.col("value") * sign).cast("int")
+    months = (_lookup(F.col("unit"), UNIT_MONTHS) * F.col("value") * sign).cast("int")
     ref_d = F.to_date(F.col(ref))
-    resolved = F.coalesce(F.date_sub(ref_d, days.cast("int")), F.add_months(ref_d, -months.cast("int")))
+    resolved = F.coalesce(F.date_add(ref_d, days), F.add_months(ref_d, months))
     return dates.withColumn(
         "date_dt", F.when(F.col("label") == "relative", resolved).otherwise(F.col("date_dt")))
 

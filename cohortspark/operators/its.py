@@ -62,13 +62,12 @@ def design(monthly: DataFrame, keys: list[str], params: StudyParams = StudyParam
     t = F.round(F.months_between("date", F.lit(params.date_from).cast("date"))).cast("int")
     t_ob = cutoff_t(params)
     after = F.col("date") >= F.lit(params.cutoff).cast("date")
-    # groups x months rows only: persisted because the fit reads it four times
     return (
         d.withColumn("t", t)
         .withColumn("after_cutoff", after.cast("int"))
         .withColumn("delta_t", F.when(after, F.col("t") - F.lit(t_ob)).otherwise(F.lit(0)))
         .withColumn("month_index", F.month("date"))
-    ).persist()
+    )
 
 
 def _fit(des: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,7 +116,7 @@ def _keys(keys) -> list[str]:
     return list(keys) or ["series"]
 
 
-def coefficients(des: DataFrame, keys: list[str] = (), params: StudyParams = StudyParams(), digits: int = 6) -> DataFrame:
+def coefficients(des: DataFrame, keys: list[str] = (), params: StudyParams = StudyParams()) -> DataFrame:
     """Long table (group..., term, estimate, std_error, lower, upper) with terms
     const, t, delta_t and the twelve months. CI: t quantile at n - 14 degrees of freedom."""
     keys = _keys(keys)
@@ -135,14 +134,11 @@ def coefficients(des: DataFrame, keys: list[str] = (), params: StudyParams = Stu
         *keys, name.alias("term"), "estimate", F.lit(None).cast("double").alias("std_error"))
     out = main.unionByName(months)
     qc = F.lit(q).cast("double")
-    out = out.withColumn("lower", F.col("estimate") - qc * F.col("std_error")).withColumn(
+    return out.withColumn("lower", F.col("estimate") - qc * F.col("std_error")).withColumn(
         "upper", F.col("estimate") + qc * F.col("std_error"))
-    for c in ["estimate", "std_error", "lower", "upper"]:
-        out = out.withColumn(c, F.round(c, digits))
-    return out
 
 
-def fitted(des: DataFrame, keys: list[str] = (), digits: int = 6) -> DataFrame:
+def fitted(des: DataFrame, keys: list[str] = ()) -> DataFrame:
     """T2 decomposition on the observed months: estimate, residual, linear trend
     (b_t t + b_d delta_t + const) and the no-change trend (b_t t + const)."""
     keys = _keys(keys)
@@ -150,10 +146,10 @@ def fitted(des: DataFrame, keys: list[str] = (), digits: int = 6) -> DataFrame:
     est = F.col("a_k") + F.col("b_t") * F.col("t") + F.col("b_d") * F.col("delta_t")
     out = x.select(
         *keys, "date", "y", "t", "delta_t",
-        F.round(est, digits).alias("estimate"),
-        F.round(F.col("y") - est, digits).alias("residual"),
-        F.round(F.col("b_t") * F.col("t") + F.col("b_d") * F.col("delta_t") + F.col("const"), digits).alias("linear_trend"),
-        F.round(F.col("b_t") * F.col("t") + F.col("const"), digits).alias("no_change_trend"),
+        est.alias("estimate"),
+        (F.col("y") - est).alias("residual"),
+        (F.col("b_t") * F.col("t") + F.col("b_d") * F.col("delta_t") + F.col("const")).alias("linear_trend"),
+        (F.col("b_t") * F.col("t") + F.col("const")).alias("no_change_trend"),
     )
     return out
 
@@ -163,7 +159,7 @@ def trend_change(coefs: DataFrame, keys: list[str]) -> DataFrame:
     d = coefs.where(F.col("term") == "delta_t")
     return d.select(
         *keys, F.col("estimate").alias("delta_t"), "lower", "upper",
-        F.round(F.col("estimate") - F.col("lower"), 6).alias("lower_half_width"),
-        F.round(F.col("upper") - F.col("estimate"), 6).alias("upper_half_width"),
+        (F.col("estimate") - F.col("lower")).alias("lower_half_width"),
+        (F.col("upper") - F.col("estimate")).alias("upper_half_width"),
     )
 

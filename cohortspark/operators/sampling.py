@@ -1,7 +1,7 @@
 """Annotation samples (K1, K2, K4).
 
-Random draws are replaced by a deterministic arithmetic order key, ``(id * 7919) % 10007``
-then the id, so a sample is reproducible and the same in any engine.
+Random draws are replaced by a seeded hash of the id (md5 of "seed-id"), so a sample is
+uniform, reproducible and the same in any engine, whatever the size of the ids.
 
 Top-n per stratum is exact and skew-safe in two phases: each (stratum, salt) sub-group keeps
 its own first n rows, then the at most salts * n survivors of a stratum are ranked again. A
@@ -13,8 +13,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def order_key(id_col: str = "note_id", mult: int = 7919, mod: int = 10007):
-    return (F.col(id_col) * mult) % mod
+def order_key(id_col: str = "note_id", seed: int = 7919):
+    return F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_col).cast("string")))
+
+
+def _order(df: DataFrame, id_col: str) -> DataFrame:
+    """Adds ``_i`` (0-based place in key order) and ``_n`` (rows): places are counted within the
+    key's first two hex digits, and the 256 parts' counts are summed."""
+    x = df.withColumn("_k", order_key(id_col)).withColumn("_part", F.substring("_k", 1, 2))
+    parts = x.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy().orderBy("_part")  # at most 256 rows
+    parts = parts.select("_part", (F.sum("_c").over(w) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    own = Window.partitionBy("_part").orderBy("_k", id_col)
+    return x.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(parts), "_part").withColumn(
+        "_i", F.col("_own") + F.col("_before")).drop("_k", "_part", "_own", "_before")
 
 
 def stratified_sample(df: DataFrame, strata: list[str], n_per_stratum: int, id_col: str = "note_id",
@@ -32,11 +44,8 @@ def stratified_sample(df: DataFrame, strata: list[str], n_per_stratum: int, id_c
 
 def allocate(sample: DataFrame, annotators: list[str], share: float, id_col: str = "note_id") -> DataFrame:
     """K2: in order-key order, the first int(n * share) sample rows go to every annotator, the
-    rest round-robin. Input is a drawn sample (bounded by the requested size), so its global
-    ranking is small."""
-    w = Window.orderBy(order_key(id_col), id_col)
-    s = sample.withColumn("_i", F.row_number().over(w) - 1).withColumn(
-        "_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    rest round-robin."""
+    s = _order(sample, id_col)
     s = s.withColumn("_ns", F.floor(F.col("_n") * F.lit(share)))
     n_shared = F.col("_ns")
     s = s.withColumn("shared", F.col("_i") < n_shared)
@@ -59,15 +68,14 @@ def annotation_tasks(mentions: DataFrame, per_rf: bool = False, rf_col: str = "r
 
 def allocate_pairs(sample: DataFrame, annotators: list[str], share: float, id_col: str = "note_id") -> DataFrame:
     """K3: shared rows go to two annotators, the rest to one; choices come from the
-    arithmetic order key (a deterministic stand-in for a random draw)."""
+    hash's later digits (a deterministic stand-in for a random draw)."""
     k = len(annotators)
-    w = Window.orderBy(order_key(id_col), id_col)
-    s = sample.withColumn("_i", F.row_number().over(w) - 1).withColumn(
-        "_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    s = _order(sample, id_col)
     s = s.withColumn("shared", F.col("_i") < F.floor(F.col("_n") * F.lit(share)))
     arr = F.array(*[F.lit(a) for a in annotators])
-    first = (order_key(id_col) % k).cast("int")
-    second = ((first + 1 + (F.col(id_col) % max(k - 1, 1))) % k).cast("int")
+    digits = lambda at: F.conv(F.substring(order_key(id_col), at, 8), 16, 10).cast("long")
+    first = (digits(9) % k).cast("int")
+    second = ((first + 1 + digits(17) % max(k - 1, 1)) % k).cast("int")
     who = F.when(F.col("shared") & F.lit(k > 1), F.array(F.element_at(arr, first + 1), F.element_at(arr, second + 1))) \
         .otherwise(F.array(F.element_at(arr, first + 1)))
     return s.withColumn("annotator", F.explode(who)).drop("_i", "_n")

@@ -1,7 +1,9 @@
-"""Survival of stays (T6-T8): Kaplan-Meier curves and the log-rank test, natively.
+"""Survival of stays (T6-T8): Kaplan-Meier curves and the log-rank test.
 
-Rows are first reduced to one row per (cohort, distinct time) with event / censor counts, so
-the ordered windows run over distinct durations only (a bounded set), not over stays."""
+Rows are first reduced to one row per (cohort, distinct time) with event / censor counts. The
+running sums over times are taken in two phases: within (cohort, whole day), then over the days'
+totals, of which there are at most as many as the study has days; so a cohort with many distinct
+times is spread over many tasks. Nothing is rounded."""
 
 from __future__ import annotations
 
@@ -28,55 +30,59 @@ def km_input(stays: DataFrame, params: StudyParams = StudyParams(), event: str =
 def _per_time(km: DataFrame) -> DataFrame:
     return km.groupBy("cohort", "duration").agg(
         F.count_if("event").alias("n_event"), F.count_if(~F.col("event")).alias("n_censored")
-    )
+    ).withColumn("_day", F.floor("duration"))
+
 
+def _running(t: DataFrame, keys: list[str], sums: dict[str, str], later: bool) -> DataFrame:
+    """For each row the sum of ``sums`` (new column -> column) over its own and all earlier (or
+    later) durations, within ``keys``."""
+    order = F.desc("duration") if later else F.asc("duration")
+    inside = Window.partitionBy(*keys, "_day").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    days = Window.partitionBy(*keys).orderBy(F.desc("_day") if later else F.asc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = t.groupBy(*keys, "_day").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())])
+    carried = totals.select(*keys, "_day", *[
+        F.coalesce(F.sum(f"_t{i}").over(days), F.lit(0)).alias(f"_c{i}") for i in range(len(sums))])
+    out = t.join(carried, [*keys, "_day"])
+    for i, (new, c) in enumerate(sums.items()):
+        out = out.withColumn(new, F.sum(c).over(inside) + F.col(f"_c{i}"))
+    return out.drop(*[f"_c{i}" for i in range(len(sums))])
 
-def km_curve(km: DataFrame, digits: int = 6) -> DataFrame:
+
+def km_curve(km: DataFrame) -> DataFrame:
     """Per cohort and distinct time: at risk (suffix sum), events, censored, survival
     S(t) = prod(1 - d/n) as exp(sum log), 0 from the first time where d = n."""
-    t = _per_time(km)
-    w_suffix = Window.partitionBy("cohort").orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("n_at_risk", F.sum(F.col("n_event") + F.col("n_censored")).over(w_suffix))
-    w_run = Window.partitionBy("cohort").orderBy("duration").rowsBetween(Window.unboundedPreceding, 0)
-    all_gone = F.col("n_event") >= F.col("n_at_risk")
-    log_term = F.when(all_gone, F.lit(0.0)).otherwise(F.log1p(-F.col("n_event") / F.col("n_at_risk")))
-    t = t.withColumn("_log", F.sum(log_term).over(w_run)).withColumn("_zero", F.max(all_gone.cast("int")).over(w_run))
-    s = F.when(F.col("_zero") == 1, F.lit(0.0)).otherwise(F.exp("_log"))
-    return t.withColumn("survival", F.round(s, digits)).drop("_log", "_zero")
+    t = _per_time(km).withColumn("_n", F.col("n_event") + F.col("n_censored"))
+    t = _running(t, ["cohort"], {"n_at_risk": "_n"}, later=True)
+    gone = F.col("n_event") >= F.col("n_at_risk")
+    t = t.withColumn("_gone", gone.cast("int")).withColumn(
+        "_log", F.when(gone, F.lit(0.0)).otherwise(F.log1p(-F.col("n_event") / F.col("n_at_risk"))))
+    t = _running(t, ["cohort"], {"_sum": "_log", "_zeros": "_gone"}, later=False)
+    s = F.when(F.col("_zeros") > 0, F.lit(0.0)).otherwise(F.exp("_sum"))
+    return t.select("cohort", "duration", "n_event", "n_censored", "n_at_risk", s.alias("survival"))
 
 
 def at_risk_days(km: DataFrame, days: int = 30) -> DataFrame:
-    """T7 table under the curve: stays still at risk at the start of days 0..days."""
+    """T7 table under the curve: stays still at risk at the start of days 0..days. A stay with a
+    negative duration is never at risk."""
     grid = km.select("cohort").distinct().select("cohort", F.explode(F.sequence(F.lit(0), F.lit(days))).alias("day"))
-    t = _per_time(km).withColumn("n", F.col("n_event") + F.col("n_censored"))
-    # stays with duration >= day: join each time to the days it covers (day <= floor(time), bounded by ``days``)
-    cover = t.select("cohort", "n", F.explode(F.sequence(F.lit(0), F.least(F.floor("duration").cast("int"), F.lit(days)))).alias("day"))
+    last = F.least(F.floor("duration").cast("int"), F.lit(days))
+    n = km.where("duration >= 0").groupBy("cohort", last.alias("_last")).agg(F.count(F.lit(1)).alias("n"))
+    cover = n.select("cohort", "n", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("day"))
     beyond = cover.groupBy("cohort", "day").agg(F.sum("n").alias("n_at_risk"))
     return grid.join(beyond, ["cohort", "day"], "left").fillna(0, subset=["n_at_risk"])
 
 
-def logrank(km: DataFrame, first: str = "pre", second: str = "post", digits: int = 6) -> DataFrame:
-    """Log-rank chi-square (1 df) of two cohorts and p = erfc(sqrt(chi2 / 2)).
-
-    At-risk counts of both cohorts are needed at every distinct time: the distinct times are
-    expanded to (cohort, time) cells by a generator, the per-cohort counts joined on, and the
-    suffix sum taken per cohort (windows partitioned by cohort over distinct times only)."""
-    t = _per_time(km)
-    cells = t.select("duration").distinct().select(
-        F.explode(F.array(F.lit(first), F.lit(second))).alias("cohort"), "duration")
-    c = cells.join(t, ["cohort", "duration"], "left").fillna(0, subset=["n_event", "n_censored"])
-    w_suffix = Window.partitionBy("cohort").orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("n_at", F.sum(F.col("n_event") + F.col("n_censored")).over(w_suffix))
-    p = c.groupBy("duration").pivot("cohort", [first, second]).agg(
-        F.first("n_event").alias("d"), F.first("n_at").alias("n"))
-    n1, n2, d1, d2 = (F.col(f"{first}_n"), F.col(f"{second}_n"), F.col(f"{first}_d"), F.col(f"{second}_d"))
+def logrank(km: DataFrame, first: str = "pre", second: str = "post") -> DataFrame:
+    """Log-rank chi-square (1 df) of two cohorts and p = erfc(sqrt(chi2 / 2)). One row per
+    distinct time holds both cohorts' events and exits."""
+    t = _per_time(km).withColumn("_n", F.col("n_event") + F.col("n_censored"))
+    p = t.groupBy("duration", "_day").pivot("cohort", [first, second]).agg(F.sum("n_event").alias("d"), F.sum("_n").alias("k"))
+    p = p.fillna(0)
+    p = _running(p, [], {"n1": f"{first}_k", "n2": f"{second}_k"}, later=True)
+    n1, n2, d1, d2 = F.col("n1"), F.col("n2"), F.col(f"{first}_d"), F.col(f"{second}_d")
     n, d = n1 + n2, d1 + d2
     e1 = d * n1 / n
     v = F.when(n > 1, d * n1 * n2 * (n - d) / (n * n * (n - 1))).otherwise(F.lit(0.0))
     agg = p.where(d > 0).agg(F.sum(d1).alias("observed_1"), F.sum(e1).alias("expected_1"), F.sum(v).alias("variance"))
     chi2 = (F.col("observed_1") - F.col("expected_1")) ** 2 / F.col("variance")
-    return agg.select(
-        F.col("observed_1"), F.round("expected_1", digits).alias("expected_1"),
-        F.round(chi2, digits).alias("chi2"),
-        F.round(erfc(F.sqrt(chi2 / 2.0)), digits).alias("p_value"),
-    )
+    return agg.select("observed_1", "expected_1", chi2.alias("chi2"), erfc(F.sqrt(chi2 / 2.0)).alias("p_value"))

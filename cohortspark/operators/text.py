@@ -22,17 +22,17 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 # sentences: a run without terminators, then its terminators
 SENTENCE = r"[^.!?\n]+[.!?]*"
-# section headings: a line made of letters and spaces that ends with a colon
-HEADING = r"(?m)^[\p{L} ]{3,40}:"
+# section headings: a line start of letters, digits, spaces and ' ’ / ( ) - up to a colon
+HEADING = r"(?m)^[\p{L}\p{N}][\p{L}\p{N} '’/()-]*:"
 # whole-word boundary that is Unicode-aware (Java's \b and RE2's \b disagree on accents)
 WORD_L, WORD_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 # demo outcome lexicon (label -> case-insensitive whole-word pattern)
 LEXICON = {
-    "with": r"(?i)" + WORD_L + "with" + WORD_R,
-    "from": r"(?i)" + WORD_L + "from" + WORD_R,
-    "pour": r"(?i)" + WORD_L + "pour" + WORD_R,
-    "dans": r"(?i)" + WORD_L + "dans" + WORD_R,
-    "avec": r"(?i)" + WORD_L + "avec" + WORD_R,
+    "with": r"(?iu)" + WORD_L + "with" + WORD_R,
+    "from": r"(?iu)" + WORD_L + "from" + WORD_R,
+    "pour": r"(?iu)" + WORD_L + "pour" + WORD_R,
+    "dans": r"(?iu)" + WORD_L + "dans" + WORD_R,
+    "avec": r"(?iu)" + WORD_L + "avec" + WORD_R,
 }
 # qualifier cues: a cue earlier in the same sentence qualifies the mention
 CUES = {
@@ -56,9 +56,8 @@ def check_pattern(p: str) -> str:
     return p
 
 
-def cue_pattern(cues: dict[str, list[str]] = CUES) -> str:
-    words = [w for ws in cues.values() for w in ws]
-    return r"(?i)" + WORD_L + "(?:" + "|".join(words) + ")" + WORD_R
+def cue_patterns(cues: dict[str, list[str]] = CUES) -> dict[str, str]:
+    return {k: r"(?iu)" + WORD_L + "(?:" + "|".join(ws) + ")" + WORD_R for k, ws in cues.items()}
 
 
 def spans(text: Column, pattern: str, with_tokens: bool = False) -> Column:
@@ -102,20 +101,53 @@ def with_spans(df: DataFrame, text: Column | str, pattern: str, out: str, with_t
     return df.withColumn(out, spans(text, pattern, with_tokens))
 
 
-def label_of(match: Column, patterns: dict[str, str]) -> Column:
-    """The first label whose pattern matches the whole matched text."""
-    expr = None
-    for label, p in patterns.items():
-        full = "^(?:" + p.replace("(?i)", "").replace(WORD_L, "").replace(WORD_R, "") + ")$"
-        flags = "(?i)" if "(?i)" in p else ""
-        cond = match.rlike(flags + full)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr
+INLINE_FLAGS = re.compile(r"^\(\?([a-z]+)\)")
+
+
+def scoped(p: str) -> str:
+    """The pattern with its leading inline flags limited to itself, case folding by Unicode."""
+    m = INLINE_FLAGS.match(p)
+    if not m:
+        return f"(?:{p})"
+    flags = "".join(sorted(set(m[1]) | ({"u"} if "i" in m[1] else set())))
+    return f"(?{flags}:{p[m.end():]})"
 
 
 def combined(patterns: dict[str, str]) -> str:
-    flags = "(?i)" if all("(?i)" in p for p in patterns.values()) else ""
-    return flags + "|".join("(?:" + p.replace("(?i)", "") + ")" for p in patterns.values())
+    """One alternation; each label's pattern is one capture group and keeps its own flags."""
+    return "|".join(f"({scoped(p)})" for p in patterns.values())
+
+
+def label_groups(patterns: dict[str, str]) -> dict[str, int]:
+    """The capture group of each label in ``combined``."""
+    at, out = 1, {}
+    for label, p in patterns.items():
+        out[label] = at
+        at += 1 + re.compile(p.replace(r"\p{L}", "a").replace(r"\p{N}", "0")).groups
+    return out
+
+
+def match_labels(text: Column, patterns: dict[str, str]) -> Column:
+    """The label of each match of ``combined(patterns)``: the one whose group took part, read from
+    the same matching (a match is not tested again out of its context)."""
+    p = combined(patterns)
+    groups = label_groups(patterns)
+    zipped = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(p), g).alias(f"g{g}") for g in groups.values()])
+
+    def first(m):
+        expr = None
+        for label, g in groups.items():
+            hit = m[f"g{g}"] != ""
+            expr = F.when(hit, F.lit(label)) if expr is None else expr.when(hit, F.lit(label))
+        return expr
+
+    return F.transform(zipped, first)
+
+
+def with_labelled_spans(df: DataFrame, text: str, patterns: dict[str, str], out: str, with_tokens: bool = False) -> DataFrame:
+    """Spans of ``combined(patterns)`` with their ``label``."""
+    df = with_spans(df, text, combined(patterns), "_plain", with_tokens).withColumn("_labels", match_labels(F.col(text), patterns))
+    return df.withColumn(out, F.zip_with("_plain", "_labels", lambda s, x: s.withField("label", x))).drop("_plain", "_labels")
 
 
 def regex_spans(notes: DataFrame, pattern: str, text_col: str = "note_text", id_col: str = "note_id",
@@ -155,11 +187,11 @@ def sentences(notes: DataFrame, text_col: str = "note_text", id_col: str = "note
     )
 
 
-def sections(notes: DataFrame, text_col: str = "note_text", id_col: str = "note_id") -> DataFrame:
+def sections(notes: DataFrame, text_col: str = "note_text", id_col: str = "note_id", heading: str = HEADING) -> DataFrame:
     """One row per heading: title (without colon), start char, end char (= next heading
     start or the text end)."""
     text = F.col(text_col)
-    notes = with_spans(notes.select(id_col, text.alias("_t")), "_t", HEADING, "_h")
+    notes = with_spans(notes.select(id_col, text.alias("_t")), "_t", heading, "_h")
     h, text = F.col("_h"), F.col("_t")
     n = F.size(h)
     with_end = F.transform(
@@ -173,7 +205,7 @@ def sections(notes: DataFrame, text_col: str = "note_text", id_col: str = "note_
     return notes.select(id_col, F.posexplode(with_end).alias("section_index", "s")).select(id_col, "section_index", "s.*")
 
 
-def _sent_index(starts: Column, pos: Column) -> Column:
+def sentence_index(starts: Column, pos: Column) -> Column:
     return F.size(F.filter(starts, lambda b: b <= pos)) - 1
 
 
@@ -185,31 +217,32 @@ def mentions(
     keep_cols: tuple[str, ...] = ("encounter_num",),
     k_before: int = WINDOW_BEFORE,
     k_after: int = WINDOW_AFTER,
+    heading: str = HEADING,
+    snippet: int = SNIPPET_CHARS,
 ) -> DataFrame:
     """X2 + X5 + X6 + X9 + X4: lexicon mentions with sentence, qualifiers, section, token window.
 
     A qualifier is true when a cue of its class occurs earlier in the same sentence; history
     is also true inside a section whose title is a history cue."""
     text = F.col(text_col)
-    cue_labels = {k: r"(?i)" + "|".join(v) for k, v in cues.items()}
     base = notes.select("note_id", *keep_cols, text.alias("_t"))
-    base = with_spans(base, "_t", combined(lexicon), "_m", with_tokens=True)
+    base = with_labelled_spans(base, "_t", lexicon, "_m", with_tokens=True)
     base = with_spans(base, "_t", SENTENCE, "_s")
-    base = with_spans(base, "_t", cue_pattern(cues), "_c")
-    base = with_spans(base, "_t", HEADING, "_h")
-    base = base.where(F.size("_m") > 0).select(
+    base = with_labelled_spans(base, "_t", cue_patterns(cues), "_c")
+    base = with_spans(base, "_t", heading, "_h")
+    base = base.select(
         "note_id", *keep_cols, "_m",
         F.transform("_s", lambda x: x["start"]).alias("_s"),
-        F.transform("_c", lambda c: F.struct(c["start"].alias("start"), label_of(c["match"], cue_labels).alias("cls"))).alias("_c"),
+        F.transform("_c", lambda c: F.struct(c["start"].alias("start"), c["label"].alias("cls"))).alias("_c"),
         F.transform("_h", lambda h: F.struct(
             h["start"].alias("start"), F.lower(F.regexp_replace(h["match"], ":$", "")).alias("title"))).alias("_h"),
-        F.regexp_extract_all("_t", F.lit(TOKEN), 0).alias("_w"),
+        F.regexp_extract_all("_t", F.lit(TOKEN), 0).alias("_w"), "_t",
     ).withColumn("_c", F.transform("_c", lambda c: F.struct(
-        c["start"].alias("start"), c["cls"].alias("cls"), _sent_index(F.col("_s"), c["start"]).alias("sent"))))
+        c["start"].alias("start"), c["cls"].alias("cls"), sentence_index(F.col("_s"), c["start"]).alias("sent"))))
     history_titles = [w.lower() for w in cues.get("history", [])]
 
     def enrich(m):
-        sid = _sent_index(F.col("_s"), m["start"])
+        sid = sentence_index(F.col("_s"), m["start"])
         cue_in = lambda cls: F.exists(
             F.col("_c"),
             lambda c: (c["cls"] == cls) & (c["sent"] == sid) & (c["start"] < m["start"]),
@@ -217,15 +250,18 @@ def mentions(
         sec = F.try_element_at(F.filter(F.col("_h"), lambda h: h["start"] <= m["start"]), F.lit(-1))
         lo = F.greatest(m["tok"] - k_before, F.lit(0))
         n_tok = F.size(F.regexp_extract_all(m["match"], F.lit(TOKEN), 0))
+        snip = F.greatest(m["start"] - snippet, F.lit(0))
         fields = [
             m["match"].alias("lexical_variant"),
-            label_of(m["match"], lexicon).alias("std_lexical_variant"),
+            m["label"].alias("std_lexical_variant"),
             m["start"].alias("start_char"), m["end"].alias("end_char"),
             m["tok"].alias("start"), (m["tok"] + n_tok).alias("end"),
             sid.alias("sent_id"),
             sec["title"].alias("section"),
             F.slice(F.col("_w"), lo + 1, m["tok"] + n_tok + k_after - lo).alias("words"),
             (m["tok"] - lo).alias("word_index"),
+            F.substring("_t", snip + 1, m["end"] + snippet - snip).alias("snippet"),
+            (m["start"] - snip).alias("snippet_start"), (m["end"] - snip).alias("snippet_end"),
         ]
         for q in QUALIFIERS:
             flag = cue_in(q)

@@ -55,8 +55,20 @@ claim_pos AS (
      AND bool_or(diag_type = 'DAS' AND substr(concept_cd, 7, 1) = 'X' AND TRY_CAST(substr(concept_cd, 8, 2) AS INTEGER) BETWEEN 60 AND 84))"""
 
 
-def stays_source(source: str) -> str:
-    """CTE chain ending in ``ep`` (stays + positive_visit + recurrent_visit)."""
+def stays_tail(source: str) -> str:
+    """CTEs from the text roll-up ``source`` (text: rule, ml: model) to ``ep``."""
+    t = {"text": "tstays", "ml": "mlstays"}[source]
+    return f""",
+pos AS (SELECT s.*, coalesce(t.nlp_positive, false) AS positive_visit, coalesce(t.has_history AND t.nlp_positive, false) AS has_history
+        FROM stays s LEFT JOIN {t} t USING (encounter_num)),
+{episodes_cte('pos', 'ep')}"""
+
+
+def stays_source(source: str, head: bool = False) -> str:
+    """CTE chain ending in ``ep`` (stays + positive_visit + recurrent_visit); with ``head`` only the
+    stays, for a chain that goes on by itself."""
+    if head:
+        return f"WITH {STAYS}"
     if source == "all":
         pos = "pos AS (SELECT *, true AS positive_visit FROM stays)"
         return f"WITH {STAYS},\n{pos},\n{episodes_cte('pos', 'ep')}"
@@ -64,7 +76,7 @@ def stays_source(source: str) -> str:
         pos = ("pos AS (SELECT s.*, c.encounter_num IS NOT NULL AS positive_visit "
                "FROM stays s LEFT JOIN claim_pos c USING (encounter_num))")
         return f"WITH {STAYS},\n{CLAIM_POS},\n{pos},\n{episodes_cte('pos', 'ep')}"
-    raise ValueError(source)
+    return f"WITH {STAYS}, {MENTION_BODY}{stays_tail(source)}"
 
 
 OUTCOME = """ep.positive_visit AND sex_cd NOT IN ('Unknown', 'U') AND age_cat <> 'Unknown'
@@ -84,7 +96,7 @@ CUE_WORDS = {"negation": "pas|not|no|sans", "hypothesis": "for|if|si|may", "fami
              "history": "was|history", "rspeech": "that|says|dit"}
 ALL_CUES = "|".join(CUE_WORDS.values())
 SENT = r"[^.!?\n]+[.!?]*"
-HEAD = r"(?m)^[\p{L} ]{3,40}:"
+HEAD = r"(?m)^[\p{L}\p{N}][\p{L}\p{N} ''’/()-]*:"
 
 
 def _word_spans(text: str, words: str, name: str, src: str, keep: str) -> str:
@@ -110,28 +122,98 @@ def _plain_starts(text: str, pat: str) -> str:
       + coalesce(list_sum(list_transform(regexp_extract_all({text}, '{pat}')[1:j-1], lambda x: length(x))), 0) AS BIGINT))"""
 
 
-SELECTED_NOTES = f"""
-{A['visits']},
+def boundary_spans(text: str, alts: str, name: str, src: str, keep: str, wb: str, flags: str = "") -> str:
+    """Spans of ``alts`` with a consumed left boundary ``wb`` and a checked right one."""
+    pat = f"{flags}(^|{wb})({alts})"
+    right = wb[:1] + wb[2:] if wb.startswith("[^") else wb
+    return f"""{name}0 AS (
+  SELECT {keep}, {text} AS _t, string_split_regex({text}, '{pat}') AS g,
+         regexp_extract_all({text}, '{pat}', 0) AS mf, regexp_extract_all({text}, '{pat}', 2) AS mw FROM {src}),
+{name}1 AS (
+  SELECT {keep}, _t, mw[i] AS word,
+         CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+           + coalesce(list_sum(list_transform(mf[1:i-1], lambda x: length(x))), 0)
+           + length(mf[i]) - length(mw[i]) AS BIGINT) AS start_char
+  FROM {name}0, unnest(range(1, len(mw) + 1)) r(i)),
+{name} AS (SELECT * FROM {name}1 WHERE NOT regexp_matches(substr(_t, start_char + length(word) + 1, 1), '{right}'))"""
+
+
+SELECTED_BODY = f"""
 {A['notes']},
 sel0 AS (SELECT note_id, encounter_num, patient_num, note_category, document_datetime, note_text,
    row_number() OVER (PARTITION BY encounter_num ORDER BY
      CASE WHEN note_category IS NULL OR note_category = 'src0' THEN 0 ELSE 1 END DESC,
      document_datetime DESC, note_id DESC) AS rn FROM notes),
-sel AS (SELECT * EXCLUDE (rn) FROM sel0 WHERE rn = 1
-        AND regexp_matches(note_text, '(?i)(^|{WB})({LEX_WORDS})({WB}|$)'))"""
+all_sel AS (SELECT * EXCLUDE (rn) FROM sel0 WHERE rn = 1),
+sel AS (SELECT * FROM all_sel WHERE regexp_matches(note_text, '(?i)(^|{WB})({LEX_WORDS})({WB}|$)'))"""
+
+SELECTED_NOTES = A["visits"] + ", " + SELECTED_BODY
+
+_UNITS = r"days?|jours?|weeks?|semaines?|months?|mois|years?|ans?"
+_NAMES = ("january|february|march|april|may|june|july|august|september|october|november|december|"
+          "janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre")
+_WB = r"[^\p{L}\p{N}_]"
+DATE_CTES = boundary_spans(
+    "note_text", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2} (?:" + _NAMES + r") [0-9]{4}|(?:" + _NAMES
+    + r") [0-9]{4}|(?:19|20)[0-9]{2}", "da", "sel", "note_id, encounter_num", _WB, "(?i)"
+) + ",\n" + boundary_spans(
+    "note_text", r"il y a [0-9]+ (?:" + _UNITS + r")|[0-9]+ (?:" + _UNITS + r") ago|dans [0-9]+ (?:" + _UNITS + r")|in [0-9]+ (?:"
+    + _UNITS + ")", "dr", "sel", "note_id, encounter_num", _WB, "(?i)"
+) + ",\n" + boundary_spans(
+    "note_text", r"(?:pendant|during) [0-9]+ (?:" + _UNITS + r")", "dd", "sel", "note_id, encounter_num", _WB, "(?i)"
+) + r""",
+dst AS (SELECT note_id, """ + _plain_starts("note_text", SENT) + r""" AS ss FROM sel),
+dm0 AS (SELECT 'absolute' AS label, * FROM da UNION ALL SELECT 'relative', * FROM dr UNION ALL SELECT 'duration', * FROM dd),
+mn AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"('{n}', {i % 12 + 1})" for i, n in enumerate(_NAMES.split("|"))) + r""") t(month_name, month_no)),
+dm1 AS (SELECT note_id, encounter_num, label, word AS match, CAST(start_char AS INTEGER) AS start_char,
+               CAST(start_char + length(word) AS INTEGER) AS end_char,
+               CAST(len(regexp_extract_all(substr(_t, 1, start_char), '""" + TOK + r"""')) AS INTEGER) AS start,
+               CAST(len(list_filter(ss, lambda b: b <= start_char)) - 1 AS INTEGER) AS sent_id,
+               string_split_regex(lower(word), '[/ -]') AS p, lower(word) AS w, label = 'absolute' AS a
+        FROM dm0 JOIN dst USING (note_id)),
+dm2 AS (SELECT dm1.*, month_no, len(p) AS np, regexp_matches(w, '^[0-9]{4}-') AS iso
+        FROM dm1 LEFT JOIN mn ON a AND (p[1] = month_name OR p[2] = month_name)),
+dm3 AS (SELECT note_id, encounter_num, label, match, start_char, end_char, start, sent_id,
+               CASE WHEN a THEN CAST(CASE WHEN iso THEN p[1] ELSE p[np] END AS INTEGER) END AS year,
+               CASE WHEN a THEN CAST(CASE WHEN month_no IS NOT NULL THEN month_no WHEN np = 3 THEN CAST(p[2] AS INTEGER) END AS INTEGER) END AS month,
+               CASE WHEN a AND np = 3 THEN CAST(CASE WHEN iso THEN p[3] ELSE p[1] END AS INTEGER) END AS day,
+               CASE WHEN NOT a THEN CAST(regexp_extract(w, '([0-9]+)', 1) AS INTEGER) END AS value,
+               CASE WHEN NOT a THEN regexp_extract(w, '[0-9]+ ([a-z]+)', 1) END AS unit,
+               CASE WHEN label = 'relative' THEN CASE WHEN p[1] IN ('dans', 'in') THEN 'future' ELSE 'past' END END AS direction FROM dm2),
+dm AS (SELECT *, CASE WHEN label = 'absolute' THEN TRY_CAST(printf('%04d-%02d-%02d', year, coalesce(month, 1), coalesce(day, 1)) AS DATE) END
+         AS date_dt FROM dm3),
+un AS (SELECT * FROM (VALUES ('day', 1, 0), ('days', 1, 0), ('jour', 1, 0), ('jours', 1, 0), ('week', 7, 0), ('weeks', 7, 0),
+       ('semaine', 7, 0), ('semaines', 7, 0), ('month', 0, 1), ('months', 0, 1), ('mois', 0, 1), ('year', 0, 12), ('years', 0, 12),
+       ('an', 0, 12), ('ans', 0, 12)) t(unit, unit_days, unit_months)),
+rel AS (SELECT dm.* REPLACE (CASE WHEN label <> 'relative' THEN date_dt WHEN direction = 'past' THEN
+            CAST(CAST(visit_start_date AS DATE) - to_days(CAST(value * unit_days AS INTEGER)) - to_months(CAST(value * unit_months AS INTEGER)) AS DATE)
+          ELSE CAST(CAST(visit_start_date AS DATE) + to_days(CAST(value * unit_days AS INTEGER)) + to_months(CAST(value * unit_months AS INTEGER)) AS DATE)
+          END AS date_dt), v.visit_start_date
+        FROM dm LEFT JOIN un USING (unit) LEFT JOIN visits v USING (encounter_num)),
+cd AS (SELECT note_id, encounter_num, label, start_char, start, sent_id, date_dt, coalesce(date_dt = birth, false) AS is_birth_date
+       FROM rel JOIN visits v USING (encounter_num)
+       LEFT JOIN (SELECT c_custkey, DATE '1993-01-01' - CAST(c_custkey * 37 % 30000 AS INTEGER) AS birth FROM customer) p
+         ON v.patient_num = c_custkey
+       WHERE label <> 'duration' AND date_dt IS NOT NULL)"""
+
+
 
 _CLS = " ".join(f"WHEN regexp_matches(lower(word), '^({w})$') THEN '{k}'" for k, w in CUE_WORDS.items())
 
-MENTIONS = SELECTED_NOTES + f""",
-{_word_spans('note_text', LEX_WORDS, 'lx', 'sel', 'note_id, encounter_num')},
-{_word_spans('note_text', ALL_CUES, 'cu', 'sel', 'note_id')},
-sst AS (SELECT note_id, {_plain_starts('note_text', SENT)} AS ss,
+def mention_ctes(words: str, name: str, src: str, before: str = "") -> str:
+    """CTEs ending in ``name``: mentions of ``words`` in the notes of ``src``."""
+    n = name
+    return (before + "," if before else "") + f"""
+{_word_spans('note_text', words, n + 'lx', src, 'note_id, encounter_num')},
+{_word_spans('note_text', ALL_CUES, n + 'cu', src, 'note_id')},
+{n}sst AS (SELECT note_id, {_plain_starts('note_text', SENT)} AS ss,
                {_plain_starts('note_text', HEAD)} AS hs, regexp_extract_all(note_text, '{HEAD}') AS ht,
-               regexp_extract_all(note_text, '{TOK}') AS w FROM sel),
-cues AS (SELECT c.note_id, list({{'start': c.start_char, 'cls': CASE {_CLS} END,
+               regexp_extract_all(note_text, '{TOK}') AS w FROM {src}),
+{n}cues AS (SELECT c.note_id, list({{'start': c.start_char, 'cls': CASE {_CLS} END,
                  'sent': len(list_filter(s.ss, lambda b: b <= c.start_char)) - 1}}) AS cl
-         FROM cu c JOIN sst s USING (note_id) GROUP BY c.note_id),
-ments0 AS (
+         FROM {n}cu c JOIN {n}sst s USING (note_id) GROUP BY c.note_id),
+{n}0m AS (
   SELECT m.note_id, m.encounter_num, m.word AS lexical_variant, lower(m.word) AS std_lexical_variant,
          CAST(m.start_char AS INTEGER) AS start_char, CAST(m.start_char + length(m.word) AS INTEGER) AS end_char,
          CAST(m.tok AS INTEGER) AS start, CAST(m.tok + 1 AS INTEGER) AS "end",
@@ -140,9 +222,12 @@ ments0 AS (
            AS section,
          list_slice(s.w, greatest(m.tok - 35, 0) + 1, m.tok + 1 + 10) AS words,
          CAST(m.tok - greatest(m.tok - 35, 0) AS INTEGER) AS word_index,
+         substr(m._t, greatest(m.start_char - 35, 0) + 1, m.start_char + length(m.word) + 35 - greatest(m.start_char - 35, 0)) AS snippet,
+         CAST(m.start_char - greatest(m.start_char - 35, 0) AS INTEGER) AS snippet_start,
+         CAST(m.start_char + length(m.word) - greatest(m.start_char - 35, 0) AS INTEGER) AS snippet_end,
          coalesce(c.cl, []) AS cl
-  FROM lx m JOIN sst s USING (note_id) LEFT JOIN cues c USING (note_id)),
-ments AS (
+  FROM {n}lx m JOIN {n}sst s USING (note_id) LEFT JOIN {n}cues c USING (note_id)),
+{n} AS (
   SELECT * EXCLUDE (cl, sent0, start0),
   FROM (SELECT *, sent_id AS sent0, start_char AS start0,
     len(list_filter(cl, lambda c: c.cls = 'negation' AND c.sent = sent_id AND c.start < start_char)) > 0 AS negation,
@@ -151,9 +236,22 @@ ments AS (
     len(list_filter(cl, lambda c: c.cls = 'history' AND c.sent = sent_id AND c.start < start_char)) > 0
       OR coalesce(section IN ('was', 'history'), false) AS history,
     len(list_filter(cl, lambda c: c.cls = 'rspeech' AND c.sent = sent_id AND c.start < start_char)) > 0 AS rspeech
-  FROM ments0)),
+  FROM {n}0m))"""
+
+
+#: mentions, their nearest date of the sentence by an explicit ranking, flags and both roll-ups
+MENTION_TAIL = """,
+lk0 AS (SELECT m.note_id, m.start_char, c.date_dt, c.is_birth_date, row_number() OVER (PARTITION BY m.note_id, m.start_char
+          ORDER BY abs(m.start - c.start), c.start, CASE WHEN c.start <= m.start THEN -c.start_char ELSE c.start_char END) AS rn
+        FROM ments m JOIN cd c USING (note_id, sent_id)),
+hd AS (SELECT m.note_id, m.start_char, l.date_dt, m.history OR coalesce(
+         epoch(v.visit_start_date) - epoch(CAST(l.date_dt AS TIMESTAMP)) >= 1296000 AND NOT l.is_birth_date, false) AS history
+       FROM ments m LEFT JOIN (SELECT * FROM lk0 WHERE rn = 1) l USING (note_id, start_char)
+       LEFT JOIN visits v ON v.encounter_num = m.encounter_num),
+lm AS (SELECT m.* REPLACE (hd.history AS history), (m.note_id + m.start_char) % 4 = 0 AS prediction
+       FROM ments m JOIN hd USING (note_id, start_char)),
 fm AS (SELECT *, NOT (negation OR family OR history OR hypothesis OR rspeech) AS instance_flag,
-              history AND NOT (negation OR family OR hypothesis) AS history_flag FROM ments),
+              history AND NOT (negation OR family OR hypothesis) AS history_flag FROM lm),
 tstays AS (
   SELECT encounter_num, list_sort(list_distinct(list(note_id))) AS note_ids,
          list_sort(list_distinct(list(std_lexical_variant))) AS std_lexical_variants,
@@ -162,25 +260,21 @@ tstays AS (
          CASE WHEN count_if(instance_flag) > 0 THEN list_sort(list(std_lexical_variant) FILTER (WHERE instance_flag)) END
            AS std_positive_lexical_variants,
          count_if(instance_flag) >= 1 AS nlp_positive
+  FROM fm GROUP BY encounter_num),
+mlstays AS (
+  SELECT encounter_num, list_sort(list_distinct(list(note_id))) AS note_ids,
+         list_sort(list_distinct(list(std_lexical_variant))) AS std_lexical_variants,
+         count(*) AS n_mentions, bool_or(prediction) AS has_instance, bool_or(history_flag) AS has_history,
+         count_if(prediction) AS n_positive_mentions,
+         CASE WHEN count_if(prediction) > 0 THEN list_sort(list(std_lexical_variant) FILTER (WHERE prediction)) END
+           AS std_positive_lexical_variants,
+         count_if(prediction) >= 1 AS nlp_positive
   FROM fm GROUP BY encounter_num)"""
 
+MENTION_BODY = SELECTED_BODY + ", " + DATE_CTES + ", " + mention_ctes(LEX_WORDS, "ments", "sel") + MENTION_TAIL
+MENTIONS = A["visits"] + ", " + MENTION_BODY
+
 
 def outcome_cte(source: str = "claims") -> str:
     """CTE chain ending in ``oc``: the stays an analysis counts."""
     return stays_source(source) + f",\noc AS (SELECT * FROM ep WHERE {OUTCOME})"
-
-
-def boundary_spans(text: str, alts: str, name: str, src: str, keep: str, wb: str, flags: str = "") -> str:
-    """Spans of ``alts`` with a consumed left boundary ``wb`` and a checked right one."""
-    pat = f"{flags}(^|{wb})({alts})"
-    right = wb[:1] + wb[2:] if wb.startswith("[^") else wb
-    return f"""{name}0 AS (
-  SELECT {keep}, {text} AS _t, string_split_regex({text}, '{pat}') AS g,
-         regexp_extract_all({text}, '{pat}', 0) AS mf, regexp_extract_all({text}, '{pat}', 2) AS mw FROM {src}),
-{name}1 AS (
-  SELECT {keep}, _t, mw[i] AS word,
-         CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
-           + coalesce(list_sum(list_transform(mf[1:i-1], lambda x: length(x))), 0)
-           + length(mf[i]) - length(mw[i]) AS BIGINT) AS start_char
-  FROM {name}0, unnest(range(1, len(mw) + 1)) r(i)),
-{name} AS (SELECT * FROM {name}1 WHERE NOT regexp_matches(substr(_t, start_char + length(word) + 1, 1), '{right}'))"""

@@ -42,6 +42,11 @@ def _bigint_counts(sql: str) -> str:
         i = end
 
 
+def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
+    """Result columns rounded for the comparison with SQL; the operators don't round."""
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -266,7 +271,7 @@ from cohortspark.operators import text  # noqa: E402
 
 MENTION_COLS = ["note_id", "encounter_num", "lexical_variant", "std_lexical_variant", "start_char", "end_char",
                 "start", "end", "sent_id", "section", "words", "word_index",
-                "negation", "hypothesis", "family", "history", "rspeech"]
+                "snippet", "snippet_start", "snippet_end", "negation", "hypothesis", "family", "history", "rspeech"]
 
 
 @register("mentions", "WITH " + O.MENTIONS + "\nSELECT " + ", ".join(
@@ -324,8 +329,8 @@ def q_sentences(spark, d):
 
 
 @register("sections", "WITH " + A["visits"] + ", " + A["notes"] + r""",
-s0 AS (SELECT note_id, note_text, string_split_regex(note_text, '(?m)^[\p{L} ]{3,40}:') AS g,
-              regexp_extract_all(note_text, '(?m)^[\p{L} ]{3,40}:') AS m FROM notes),
+s0 AS (SELECT note_id, note_text, string_split_regex(note_text, '(?m)^[\p{L}\p{N}][\p{L}\p{N} ''’/()-]*:') AS g,
+              regexp_extract_all(note_text, '(?m)^[\p{L}\p{N}][\p{L}\p{N} ''’/()-]*:') AS m FROM notes),
 s1 AS (SELECT note_id, note_text, CAST(i - 1 AS INTEGER) AS section_index, regexp_replace(m[i], ':$', '') AS section,
               CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
                    + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS start_char
@@ -403,36 +408,30 @@ def q_positive_terms(spark, d):
     return study.text_stays(spark, d).select("encounter_num", "std_positive_lexical_variants")
 
 
-def mention_scores(spark, d):
-    """Stand-in model scores keyed like the mentions (derived from the mention rows)."""
-    m = study.text_mentions(spark, d)
-    return m.select("note_id", "start_char", "end_char", (((F.col("note_id") + F.col("start_char")) % 4) > 0).alias("prediction"))
-
-
 @register("score_join", "WITH " + O.MENTIONS + """
-SELECT note_id, start_char, end_char, std_lexical_variant, (note_id + start_char) % 4 > 0 AS prediction FROM ments""")
+SELECT note_id, start_char, end_char, std_lexical_variant, (note_id + start_char) % 4 = 0 AS prediction FROM ments""")
 def q_score_join(spark, d):
     from cohortspark.operators.joins import checked_join
 
     m = study.text_mentions(spark, d).select("note_id", "start_char", "end_char", "std_lexical_variant")
-    return checked_join(m, mention_scores(spark, d), ["note_id", "start_char", "end_char"], "left", "1:1")
+    return checked_join(m, study.mention_scores(m), ["note_id", "start_char", "end_char"], "left", "1:1")
 
 
-RF_NAMES = list(text.LEXICON)
+RF_NAMES = list(study.RF_LEXICON)
 
 
 def rf_flag_stays(spark, d):
-    """Per stay one flag per risk factor; RF mentions are the lexicon labels kept by P9
-    (drop a mention when negated or hypothetical)."""
-    m = study.text_mentions(spark, d).withColumnRenamed("std_lexical_variant", "rf_name")
-    return stay_ops.rf_flags_from_mentions(m, RF_NAMES, ~(F.col("negation") | F.col("hypothesis")))
+    """Per text-positive stay one flag per risk factor; RF mentions come from the RF lexicon in the
+    notes of those stays, kept by P9 (a negated or hypothetical mention is dropped)."""
+    return study.rf_flag_stays(spark, d)
 
 
-RF_SQL = "WITH " + O.MENTIONS + """,
-rfk AS (SELECT DISTINCT encounter_num, std_lexical_variant AS rf FROM ments WHERE NOT (negation OR hypothesis)),
+RF_SQL = "WITH " + O.MENTIONS + ", " + O.mention_ctes("|".join(RF_NAMES), "rfm", "sel_pos", """
+sel_pos AS (SELECT * FROM all_sel WHERE encounter_num IN (SELECT encounter_num FROM tstays WHERE nlp_positive))""") + """,
+rfk AS (SELECT DISTINCT encounter_num, std_lexical_variant AS rf FROM rfm WHERE NOT (negation OR hypothesis)),
 rff AS (SELECT t.encounter_num, """ + ", ".join(
     f"coalesce(bool_or(rf = '{r}'), false) AS \"{r}\"" for r in RF_NAMES) + """
-        FROM tstays t LEFT JOIN rfk USING (encounter_num) GROUP BY t.encounter_num)"""
+        FROM tstays t LEFT JOIN rfk USING (encounter_num) WHERE t.nlp_positive GROUP BY t.encounter_num)"""
 
 
 @register("rf_flags", RF_SQL + "\nSELECT * FROM rff")
@@ -447,24 +446,30 @@ def q_rf_stays_long(spark, d):
     return stay_ops.rf_stays_long(rf_flag_stays(spark, d), RF_NAMES)
 
 
-@register("rule_only_stays", "WITH " + O.MENTIONS + ", " + O.CLAIM_POS.strip() + """
+@register("rule_only_stays", "WITH " + O.MENTIONS + """
 SELECT encounter_num, n_positive_mentions FROM tstays
-WHERE nlp_positive AND encounter_num NOT IN (SELECT encounter_num FROM claim_pos)""")
+WHERE nlp_positive AND encounter_num NOT IN (SELECT encounter_num FROM mlstays WHERE nlp_positive)""")
 def q_rule_only_stays(spark, d):
     rule = study.text_stays(spark, d).where("nlp_positive").select("encounter_num", "n_positive_mentions")
-    other = study.claim_positive(spark, d).select("encounter_num", F.lit(True).alias("ml_positive"))
-    return stay_ops.rule_only(rule, other)
+    ml = study.text_stays(spark, d, "ml").select("encounter_num", F.col("nlp_positive").alias("ml_positive"))
+    return stay_ops.rule_only(rule, ml)
 
 
-@register("method_outer", "WITH " + O.MENTIONS + ", " + O.CLAIM_POS.strip() + """
-SELECT encounter_num, t.nlp_positive AS text_positive, c.encounter_num IS NOT NULL AND c.number_codes IS NOT NULL AS claim_positive_raw,
-       CASE WHEN c.encounter_num IS NULL THEN NULL ELSE true END AS claim_positive
-FROM (SELECT encounter_num, nlp_positive FROM tstays) t FULL JOIN (SELECT encounter_num, number_codes FROM claim_pos) c USING (encounter_num)""")
+@register("method_outer", "WITH " + O.MENTIONS + """
+SELECT encounter_num, t.nlp_positive AS text_positive, m.nlp_positive AS ml_positive
+FROM (SELECT encounter_num, nlp_positive FROM tstays WHERE nlp_positive) t
+FULL JOIN (SELECT encounter_num, nlp_positive FROM mlstays WHERE nlp_positive) m USING (encounter_num)""")
 def q_method_outer(spark, d):
-    a = study.text_stays(spark, d).select("encounter_num", F.col("nlp_positive").alias("text_positive"))
-    b = study.claim_positive(spark, d).select("encounter_num", F.lit(True).alias("claim_positive"))
-    out = stay_ops.method_outer(a, b)
-    return out.withColumn("claim_positive_raw", F.coalesce(F.col("claim_positive"), F.lit(False)))
+    a = study.text_stays(spark, d).where("nlp_positive").select("encounter_num", F.col("nlp_positive").alias("text_positive"))
+    b = study.text_stays(spark, d, "ml").where("nlp_positive").select("encounter_num", F.col("nlp_positive").alias("ml_positive"))
+    return stay_ops.method_outer(a, b)
+
+
+@register("stays_by_source_ml", O.stays_source("ml") + """
+SELECT encounter_num, patient_num, date, positive_visit, recurrent_visit, has_history FROM ep""")
+def q_stays_by_source_ml(spark, d):
+    return study.stays_by_source(spark, d, "ml").select(
+        "encounter_num", "patient_num", "date", "positive_visit", "recurrent_visit", "has_history")
 
 
 @register("outcome_stays", O.stays_source("claims") + """
@@ -657,7 +662,9 @@ co AS (SELECT *, sqrt(s2*sdd/det) AS se_t, sqrt(s2*stt/det) AS se_d,
               sqrt(s2/169.0*(sum_inv_n + (w_t*w_t*sdd - 2*w_t*w_d*std + w_d*w_d*stt)/det)) AS se_const FROM g)"""
 
 
-Q_ITS = its.t_ppf(0.975, its.window_months(P) - 14)
+COEF_COLS = ("estimate", "std_error", "lower", "upper")
+# published Student t quantile, 0.975 at 65 degrees of freedom (79 window months less 14 terms)
+Q_ITS = 1.9971379084
 _MN = "['January','February','March','April','May','June','July','August','September','October','November','December']"
 
 
@@ -683,7 +690,7 @@ def q_its_design(spark, d):
 
 @register("its_coefficients", _coef_sql([]))
 def q_its_coefficients(spark, d):
-    return its.coefficients(its_design_df(spark, d), [], P)
+    return rounded(its.coefficients(its_design_df(spark, d), [], P), 6, *COEF_COLS)
 
 
 @register("its_fitted", _its_sql([]) + """
@@ -694,28 +701,27 @@ SELECT x.series, x.date, x.y, x.t, CAST(x.delta_t AS INTEGER) AS delta_t,
        round(ak.b_t*x.t + co.const, 6) AS no_change_trend
 FROM x JOIN ak USING (month_index) CROSS JOIN co WHERE x.observed""")
 def q_its_fitted(spark, d):
-    return its.fitted(its_design_df(spark, d), [])
+    return rounded(its.fitted(its_design_df(spark, d), []), 6, "estimate", "residual", "linear_trend", "no_change_trend")
 
 
 @register("its_by_group", _coef_sql(["sex_cd"]))
 def q_its_by_group(spark, d):
-    return its.coefficients(its_design_df(spark, d, ["sex_cd"]), ["sex_cd"], P)
+    return rounded(its.coefficients(its_design_df(spark, d, ["sex_cd"]), ["sex_cd"], P), 6, *COEF_COLS)
 
 
 @register("trend_change", _coef_sql(["site_label"]).rsplit("SELECT site_label, term", 1)[0] + """
 SELECT site_label, round(estimate, 6) AS delta_t, round(estimate - """ + repr(Q_ITS) + """ * std_error, 6) AS lower,
        round(estimate + """ + repr(Q_ITS) + """ * std_error, 6) AS upper,
-       round(round(estimate, 6) - round(estimate - """ + repr(Q_ITS) + """ * std_error, 6), 6) AS lower_half_width,
-       round(round(estimate + """ + repr(Q_ITS) + """ * std_error, 6) - round(estimate, 6), 6) AS upper_half_width,
+       round(""" + repr(Q_ITS) + """ * std_error, 6) AS lower_half_width, round(""" + repr(Q_ITS) + """ * std_error, 6) AS upper_half_width,
        r_name AS site_type, n_stays
 FROM lo JOIN nation ON site_label = n_name JOIN region ON n_regionkey = r_regionkey
 JOIN (SELECT site_label, count(*) AS n_stays FROM oc GROUP BY 1) USING (site_label) WHERE term = 'delta_t'""")
 def q_trend_change(spark, d):
     coefs = its.coefficients(its_design_df(spark, d, ["site_label"]), ["site_label"], P)
-    tc = its.trend_change(coefs, ["site_label"])
+    tc = rounded(its.trend_change(coefs, ["site_label"]), 6, "delta_t", "lower", "upper", "lower_half_width", "upper_half_width")
     sites = adapters.site_dimension(spark, d)
     n = incidence.stays_per_site(claim_outcomes(spark, d))
-    return tc.join(F.broadcast(sites), "site_label", "left").join(n, "site_label", "left")
+    return tc.join(sites, "site_label", "left").join(n, "site_label", "left")
 
 
 @register("table_trends", _coef_sql(["sex_cd"]).rsplit("SELECT sex_cd, term", 1)[0] + """
@@ -729,13 +735,15 @@ def q_table_trends(spark, d):
     g = st.groupBy("sex_cd").agg(F.count(F.lit(1)).alias("n_stays"), F.avg("age").alias("mean_age"))
     from pyspark.sql import Window
     g = g.withColumn("share", F.col("n_stays") / F.sum("n_stays").over(Window.partitionBy()))
-    return g.join(tc.select("sex_cd", "delta_t", "lower", "upper"), "sex_cd")
+    return g.join(rounded(tc, 6, "delta_t", "lower", "upper").select("sex_cd", "delta_t", "lower", "upper"), "sex_cd")
 
 
 # ---------------------------------------------------------------- step 6: risk / survival
 
 def rf_stays_dated(spark, d):
-    st = study.stays(spark, d).select("encounter_num", "date", "sex_cd")
+    """RF flags of the analysed stays: positive by text, first of their episode, in the window, known
+    sex and age."""
+    st = incidence.outcome_stays(study.stays_by_source(spark, d, "text")).select("encounter_num", "date", "sex_cd")
     return rf_flag_stays(spark, d).join(st, "encounter_num")
 
 
@@ -743,10 +751,8 @@ def contingency_df(spark, d):
     return risk.contingency(rf_stays_dated(spark, d), RF_NAMES, ["sex_cd"], P, all_label="all")
 
 
-CONTINGENCY_SQL = RF_SQL + """,
-j0 AS (SELECT r.*, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
-              CASE WHEN c_custkey % 10 = 0 THEN 'Unknown' WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'W' END AS sex_cd
-       FROM rff r JOIN orders ON r.encounter_num = o_orderkey JOIN customer ON o_custkey = c_custkey),
+CONTINGENCY_SQL = RF_SQL.replace("WITH " + O.MENTIONS, O.stays_source("text", head=True) + ", " + O.MENTION_BODY, 1) + O.stays_tail("text") + """,
+j0 AS (SELECT r.*, ep.date, ep.sex_cd FROM rff r JOIN ep USING (encounter_num) WHERE """ + O.OUTCOME + """),
 j AS (SELECT * FROM j0 UNION ALL SELECT * REPLACE ('all' AS sex_cd) FROM j0),
 lg AS (""" + "\nUNION ALL ".join(f"SELECT sex_cd, '{r}' AS rf_name, \"{r}\" AS rf, date >= DATE '1998-01-01' AS post FROM j"
                                  for r in RF_NAMES) + """),
@@ -773,7 +779,7 @@ SELECT sex_cd, rf_name, a, b, c, d, round(rr0, 6) AS risk_ratio,
        round(p, 6) AS fisher_p
 FROM rr LEFT JOIN fp USING (sex_cd, rf_name)""")
 def q_risk_ratio(spark, d):
-    return risk.risk_ratio(contingency_df(spark, d), ["sex_cd", "rf_name"])
+    return rounded(risk.risk_ratio(contingency_df(spark, d), ["sex_cd", "rf_name"]), 6, "risk_ratio", "rr_lower", "rr_upper", "fisher_p")
 
 
 def km_df(spark, d):
@@ -800,7 +806,7 @@ SELECT cohort, duration, n_event, n_censored, CAST(n_at_risk AS BIGINT) AS n_at_
         ELSE exp(sum(CASE WHEN n_event >= n_at_risk THEN 0.0 ELSE ln(1 - n_event / n_at_risk) END) OVER w) END, 6) AS survival
 FROM pt2 WINDOW w AS (PARTITION BY cohort ORDER BY duration ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def q_km_curve(spark, d):
-    return survival.km_curve(km_df(spark, d))
+    return rounded(survival.km_curve(km_df(spark, d)), 6, "survival")
 
 
 @register("km_at_risk", KM_SQL + """,
@@ -824,18 +830,13 @@ agg AS (SELECT sum(d1) AS observed_1, sum((d1 + d2) * n1 / (n1 + n2)) AS expecte
 SELECT CAST(observed_1 AS BIGINT) AS observed_1, round(expected_1, 6) AS expected_1,
        round(power(observed_1 - expected_1, 2) / variance, 6) AS chi2 FROM agg""")
 def q_logrank(spark, d):
-    return survival.logrank(km_df(spark, d)).drop("p_value")
+    return rounded(survival.logrank(km_df(spark, d)).drop("p_value"), 6, "expected_1", "chi2")
 
 
 def _erfc_sql(x: str) -> str:
-    from cohortspark.functions.columns import ERFC_COEFS
-
-    t = f"(1.0 / (1.0 + 0.5 * abs({x})))"
-    poly = repr(ERFC_COEFS[-1])
-    for c in reversed(ERFC_COEFS[:-1]):
-        poly = f"({c!r} + {t} * {poly})"
-    ans = f"({t} * exp(-({x}) * ({x}) + {poly}))"
-    return f"CASE WHEN {x} >= 0 THEN {ans} ELSE 2.0 - {ans} END"
+    """The power series of erf, 150 terms (exact to 1e-9 for arguments below 4)."""
+    return (f"(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 150), lambda n: CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END * "
+            f"exp((2 * n + 1) * ln({x}) - lgamma(n + 1.0)) / (2 * n + 1))))")
 
 
 LOGRANK_SQL = ORACLE["logrank"]
@@ -846,7 +847,7 @@ st AS (SELECT observed_1, expected_1, power(observed_1 - expected_1, 2) / varian
 SELECT CAST(observed_1 AS BIGINT) AS observed_1, round(expected_1, 6) AS expected_1, round(x2, 6) AS chi2,
        round(""" + _erfc_sql("sqrt(x2 / 2.0)") + """, 6) AS p_value FROM st""")
 def q_logrank_p(spark, d):
-    return survival.logrank(km_df(spark, d))
+    return rounded(survival.logrank(km_df(spark, d)), 6, "expected_1", "chi2", "p_value")
 
 
 # ---------------------------------------------------------------- step 7: agreement / sampling
@@ -990,7 +991,7 @@ def sample_df(spark, d):
 
 SAMPLE_SQL = "WITH " + A["annotations"] + """,
 s AS (SELECT note_id, after_cutoff, rf_name, gold, CAST(row_number() OVER (PARTITION BY after_cutoff, rf_name
-             ORDER BY (note_id * 7919) % 10007, note_id) AS INTEGER) AS sample_rank
+             ORDER BY md5('7919-' || note_id), note_id) AS INTEGER) AS sample_rank
       FROM annotations WHERE annotator = 'A' AND note_id NOT IN (
         SELECT note_id FROM annotations WHERE annotator = 'A' AND remark = 'unclear')),
 smp AS (SELECT * FROM s WHERE sample_rank <= 20)"""
@@ -1002,7 +1003,7 @@ def q_stratified_sample(spark, d):
 
 
 @register("annotator_allocation", SAMPLE_SQL + """,
-o AS (SELECT *, row_number() OVER (ORDER BY (note_id * 7919) % 10007, note_id) - 1 AS i,
+o AS (SELECT *, row_number() OVER (ORDER BY md5('7919-' || note_id), note_id) - 1 AS i,
              floor(count(*) OVER () * 0.2) AS n_shared FROM smp),
 x AS (SELECT *, i < n_shared AS shared,
              CASE WHEN i < n_shared THEN ['A', 'B', 'C'] ELSE [['A', 'B', 'C'][CAST((i - n_shared) % 3 AS INTEGER) + 1]] END AS who FROM o)
@@ -1023,74 +1024,22 @@ def q_annotation_tasks(spark, d):
 from cohortspark.operators import dates as date_ops  # noqa: E402
 
 
-def date_mentions_df(spark, d):
-    sel = study.selected_notes(spark, d).select("note_id", "encounter_num", "note_text")
-    return date_ops.date_mentions(sel, keep_cols=("encounter_num",))
-
-
-_UNITS = r"days?|jours?|weeks?|semaines?|months?|mois|years?|ans?"
-DATES_SQL = "WITH " + O.SELECTED_NOTES + ",\n" + O.boundary_spans(
-    "note_text", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}", "da", "sel", "note_id, encounter_num", "[^0-9]"
-) + ",\n" + O.boundary_spans(
-    "note_text", r"il y a [0-9]+ (?:" + _UNITS + r")|[0-9]+ (?:" + _UNITS + r") ago", "dr", "sel", "note_id, encounter_num",
-    r"[^\p{L}\p{N}_]", "(?i)"
-) + ",\n" + O.boundary_spans(
-    "note_text", r"(?:pendant|during) [0-9]+ (?:" + _UNITS + r")", "dd", "sel", "note_id, encounter_num",
-    r"[^\p{L}\p{N}_]", "(?i)"
-) + r""",
-dm0 AS (SELECT note_id, encounter_num, 'absolute' AS label, word AS match, start_char FROM da
-        UNION ALL SELECT note_id, encounter_num, 'relative', word, start_char FROM dr
-        UNION ALL SELECT note_id, encounter_num, 'duration', word, start_char FROM dd),
-dm1 AS (SELECT note_id, encounter_num, label, match, CAST(start_char AS INTEGER) AS start_char,
-               CAST(start_char + length(match) AS INTEGER) AS end_char,
-               CASE WHEN label = 'absolute' THEN CAST(CASE WHEN regexp_matches(match, '^[0-9]{4}-') THEN regexp_extract(match, '^([0-9]{4})', 1) ELSE regexp_extract(match, '([0-9]{4})$', 1) END AS INTEGER) END AS year,
-               CASE WHEN label = 'absolute' THEN CAST(CASE WHEN regexp_matches(match, '^[0-9]{4}-') THEN regexp_extract(match, '^[0-9]{4}-([0-9]{2})', 1) ELSE regexp_extract(match, '/([0-9]{1,2})/', 1) END AS INTEGER) END AS month,
-               CASE WHEN label = 'absolute' THEN CAST(CASE WHEN regexp_matches(match, '^[0-9]{4}-') THEN regexp_extract(match, '-([0-9]{2})$', 1) ELSE regexp_extract(match, '^([0-9]{1,2})/', 1) END AS INTEGER) END AS day,
-               CASE WHEN label <> 'absolute' THEN CAST(regexp_extract(match, '([0-9]+)', 1) AS INTEGER) END AS value,
-               CASE WHEN label <> 'absolute' THEN lower(regexp_extract(match, '(?i)[0-9]+ ([a-z]+)', 1)) END AS unit,
-               CASE WHEN label = 'relative' THEN 'past' END AS direction FROM dm0),
-dm AS (SELECT *, CASE WHEN label = 'absolute' AND month BETWEEN 1 AND 12 AND day BETWEEN 1 AND 31
-                 THEN TRY_CAST(printf('%04d-%02d-%02d', year, month, day) AS DATE) END AS date_dt FROM dm1)"""
+DATES_SQL = "WITH " + O.SELECTED_NOTES + ", " + O.DATE_CTES
 
 
 @register("date_mentions", DATES_SQL + "\nSELECT * FROM dm")
 def q_date_mentions(spark, d):
-    return date_mentions_df(spark, d)
-
-
-def relative_df(spark, d):
-    v = adapters.visits(spark, d).select("encounter_num", "visit_start_date")
-    return date_ops.resolve_relative(date_mentions_df(spark, d).join(v, "encounter_num", "left"))
-
+    return study.date_mentions(spark, d)
 
-RELATIVE_SQL = DATES_SQL + """,
-rel AS (SELECT dm.* REPLACE (CASE WHEN label = 'relative' THEN
-          CASE WHEN regexp_replace(unit, 's$', '') IN ('day', 'jour') THEN CAST(visit_start_date AS DATE) - value
-               WHEN regexp_replace(unit, 's$', '') IN ('week', 'semaine') THEN CAST(visit_start_date AS DATE) - 7 * value
-               WHEN regexp_replace(unit, 's$', '') IN ('month', 'mois') THEN CAST(CAST(visit_start_date AS DATE) - to_months(value) AS DATE)
-               WHEN regexp_replace(unit, 's$', '') IN ('year', 'an') THEN CAST(CAST(visit_start_date AS DATE) - to_months(12 * value) AS DATE) END
-          ELSE date_dt END AS date_dt), v.visit_start_date
-        FROM dm LEFT JOIN visits v USING (encounter_num))"""
 
-
-@register("relative_dates", RELATIVE_SQL + "\nSELECT * FROM rel")
+@register("relative_dates", DATES_SQL + "\nSELECT * FROM rel")
 def q_relative_dates(spark, d):
-    return relative_df(spark, d)
-
-
-def clean_df(spark, d):
-    p = adapters.patients(spark, d).select("patient_num", "birth_date")
-    v = adapters.visits(spark, d).select("encounter_num", "patient_num")
-    x = relative_df(spark, d).join(v, "encounter_num", "left").join(p, "patient_num", "left")
-    return date_ops.clean_dates(x).select("note_id", "encounter_num", "label", "start_char", "date_dt", "is_birth_date")
+    return study.resolved_dates(spark, d)
 
 
-@register("clean_dates", RELATIVE_SQL + ", " + A["patients"] + """
-SELECT note_id, encounter_num, label, start_char, date_dt, coalesce(date_dt = p.birth_date, false) AS is_birth_date
-FROM rel JOIN visits v USING (encounter_num) LEFT JOIN patients p ON v.patient_num = p.patient_num
-WHERE label <> 'duration' AND date_dt IS NOT NULL""")
+@register("clean_dates", DATES_SQL + "\nSELECT * FROM cd")
 def q_clean_dates(spark, d):
-    return clean_df(spark, d)
+    return study.clean_dates(spark, d)
 
 
 def asof_df(spark, d):
@@ -1115,27 +1064,9 @@ def q_asof_nearest(spark, d):
     return asof_df(spark, d)
 
 
-def history_df(spark, d):
-    m = study.text_mentions(spark, d).select("note_id", "encounter_num", "sent_id", "start", "start_char", "history")
-    dm = clean_df(spark, d)
-    # token position of a date: not carried by the date spans, so dates link on (note, sentence)
-    # by character offset
-    sents = text.sentences(study.selected_notes(spark, d)).select(
-        "note_id", "sent_id", F.col("start_char").alias("s0"), F.col("end_char").alias("s1"))
-    dsent = dm.join(sents, (dm.note_id == sents.note_id) & (dm.start_char >= sents.s0) & (dm.start_char < sents.s1)) \
-        .select(dm.note_id, "sent_id", dm.start_char.alias("start"), F.col("start_char").alias("date_id"), "date_dt",
-                "is_birth_date")
-    linked = date_ops.asof_nearest(m.withColumnRenamed("start", "tok").withColumn("start", F.col("start_char")),
-                                   dsent, ["note_id", "sent_id"], "start", "date_id", ("date_dt", "is_birth_date"))
-    v = adapters.visits(spark, d).select("encounter_num", "visit_start_date")
-    out = date_ops.history_by_date(linked.join(v, "encounter_num", "left"), P)
-    return out.select("note_id", "start_char", "date_dt", "history")
-
-
-@register("history_by_date", "WITH " + O.MENTIONS + """
-SELECT note_id, start_char, CAST(NULL AS DATE) AS date_dt, history FROM ments""")
+@register("history_by_date", "WITH " + O.MENTIONS + "\nSELECT * FROM hd")
 def q_history_by_date(spark, d):
-    return history_df(spark, d)
+    return study.linked_mentions(spark, d).select("note_id", "start_char", "date_dt", "history")
 
 
 # ---------------------------------------------------------------- step 10: scoring
@@ -1185,7 +1116,7 @@ from cohortspark.sources.tables import debug_sample  # noqa: E402
 
 
 @register("debug_sample", "WITH " + A["visits"] + ", " + A["notes"] + """
-SELECT note_id, encounter_num, note_category FROM notes ORDER BY (note_id * 7919) % 10007, note_id LIMIT 300""")
+SELECT note_id, encounter_num, note_category FROM notes ORDER BY md5('7919-' || note_id), note_id LIMIT 300""")
 def q_debug_sample(spark, d):
     n = adapters.notes(spark, d, with_text=False).select("note_id", "encounter_num", "note_category")
     return debug_sample(n, 300, "note_id")
@@ -1219,9 +1150,9 @@ def q_rf_mention_filter(spark, d):
 
 
 @register("pair_allocation", SAMPLE_SQL + """,
-o AS (SELECT *, row_number() OVER (ORDER BY (note_id * 7919) % 10007, note_id) - 1 AS i, count(*) OVER () AS n FROM smp),
-x AS (SELECT *, i < floor(n * 0.3) AS shared, CAST(((note_id * 7919) % 10007) % 3 AS INTEGER) AS f FROM o),
-y AS (SELECT *, CASE WHEN shared THEN [['A','B','C'][f + 1], ['A','B','C'][CAST((f + 1 + note_id % 2) % 3 AS INTEGER) + 1]]
+o AS (SELECT *, row_number() OVER (ORDER BY md5('7919-' || note_id), note_id) - 1 AS i, count(*) OVER () AS n FROM smp),
+x AS (SELECT *, i < floor(n * 0.3) AS shared, CAST(CAST('0x' || substr(md5('7919-' || note_id), 9, 8) AS BIGINT) % 3 AS INTEGER) AS f FROM o),
+y AS (SELECT *, CASE WHEN shared THEN [['A','B','C'][f + 1], ['A','B','C'][CAST((f + 1 + CAST('0x' || substr(md5('7919-' || note_id), 17, 8) AS BIGINT) % 2) % 3 AS INTEGER) + 1]]
                 ELSE [['A','B','C'][f + 1]] END AS who FROM x)
 SELECT note_id, after_cutoff, rf_name, gold, sample_rank, shared, unnest(who) AS annotator FROM y""")
 def q_pair_allocation(spark, d):

@@ -44,7 +44,7 @@ def run_text_study(spark: SparkSession, sf_dir: str, run_id: str | None = None)
 
     root = stage_root(spark, run_id)
     notes = materialize(study.selected_notes(spark, sf_dir), root, "selected_notes")
-    ments = materialize(flag_mentions(text.mentions(notes, keep_cols=("encounter_num",))), root, "mentions")
+    ments = materialize(flag_mentions(study.linked_mentions(spark, sf_dir, notes)), root, "mentions")
     rolled = stay_rollup(ments, P).where("nlp_positive").select(
         "encounter_num", F.lit(True).alias("positive_visit"), "has_history")
     st = study.stays(spark, sf_dir, P).join(rolled, "encounter_num", "left").fillna(

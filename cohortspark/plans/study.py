@@ -47,8 +47,8 @@ def stays_by_source(spark: SparkSession, d: str, source: str = "all", params: St
     elif source == "claims":
         pos = claim_positive(spark, d).select("encounter_num", F.lit(True).alias("positive_visit"))
         st = st.join(pos, "encounter_num", "left").fillna(False, subset=["positive_visit"])
-    elif source == "text":
-        pos = text_stays(spark, d).where("nlp_positive").select(
+    elif source in ("text", "ml"):
+        pos = text_stays(spark, d, "rule" if source == "text" else "ml").where("nlp_positive").select(
             "encounter_num", F.lit(True).alias("positive_visit"), "has_history")
         st = st.join(pos, "encounter_num", "left").fillna(False, subset=["positive_visit", "has_history"])
     else:
@@ -66,20 +66,84 @@ def selected_notes(spark: SparkSession, d: str, method: str = "keep_last") -> Da
     return cohort.regex_filter(one, text.LEXICON)
 
 
-def text_mentions(spark: SparkSession, d: str) -> DataFrame:
+def text_mentions(spark: SparkSession, d: str, notes: DataFrame | None = None) -> DataFrame:
+    """Mentions of the selected notes, or of ``notes`` (a stage table of them)."""
     from cohortspark.operators import text
 
-    return text.mentions(selected_notes(spark, d), keep_cols=("encounter_num",))
+    return text.mentions(selected_notes(spark, d) if notes is None else notes, keep_cols=("encounter_num",))
 
 
-def flagged_mentions(spark: SparkSession, d: str) -> DataFrame:
+# fixed values: words of the demo risk factors
+RF_WORDS = ["pain", "douleur", "home", "soins", "review"]
+RF_LEXICON = {w: r"(?iu)(?<![\p{L}\p{N}_])" + w + r"(?![\p{L}\p{N}_])" for w in RF_WORDS}
+
+
+def date_mentions(spark: SparkSession, d: str, notes: DataFrame | None = None) -> DataFrame:
+    from cohortspark.operators import dates
+
+    return dates.date_mentions((selected_notes(spark, d) if notes is None else notes).select("note_id", "encounter_num", "note_text"), keep_cols=("encounter_num",))
+
+
+def resolved_dates(spark: SparkSession, d: str, notes: DataFrame | None = None) -> DataFrame:
+    from cohortspark.operators import dates
+
+    v = adapters.visits(spark, d).select("encounter_num", "visit_start_date")
+    return dates.resolve_relative(date_mentions(spark, d, notes).join(v, "encounter_num", "left"))
+
+
+def clean_dates(spark: SparkSession, d: str, notes: DataFrame | None = None) -> DataFrame:
+    from cohortspark.operators import dates
+
+    p = adapters.patients(spark, d).select("patient_num", "birth_date")
+    v = adapters.visits(spark, d).select("encounter_num", "patient_num")
+    x = resolved_dates(spark, d, notes).join(v, "encounter_num", "left").join(p, "patient_num", "left")
+    return dates.clean_dates(x).select("note_id", "encounter_num", "label", "start_char", "start", "sent_id", "date_dt", "is_birth_date")
+
+
+def linked_mentions(spark: SparkSession, d: str, notes: DataFrame | None = None) -> DataFrame:
+    """Mentions with the nearest date of their sentence by token distance (J7, X11); ``history`` is
+    set where that date lies long enough before the stay."""
+    from cohortspark.operators import dates
+
+    dm = clean_dates(spark, d, notes).select("note_id", "sent_id", "start", F.col("start_char").alias("date_id"), "date_dt", "is_birth_date")
+    linked = dates.asof_nearest(text_mentions(spark, d, notes), dm, ["note_id", "sent_id"], "start", "date_id", ("date_dt", "is_birth_date"))
+    v = adapters.visits(spark, d).select("encounter_num", "visit_start_date")
+    return dates.history_by_date(linked.join(v, "encounter_num", "left"), P)
+
+
+def mention_scores(mentions: DataFrame) -> DataFrame:
+    """Stand-in model scores keyed like the mentions (arithmetic, so that SQL can follow)."""
+    return mentions.select("note_id", "start_char", "end_char", ((F.col("note_id") + F.col("start_char")) % 4 == 0).alias("prediction"))
+
+
+def flagged_mentions(spark: SparkSession, d: str, method: str = "rule") -> DataFrame:
+    """Mentions with the date-based history, then P12/P13. Method 'ml': the joined model score is the
+    instance flag (J12)."""
     from cohortspark.operators.stays import flag_mentions
 
-    return flag_mentions(text_mentions(spark, d))
+    m = flag_mentions(linked_mentions(spark, d))
+    if method == "rule":
+        return m
+    keys = ["note_id", "start_char", "end_char"]
+    return m.join(mention_scores(text_mentions(spark, d)), keys, "left").withColumn(
+        "instance_flag", F.coalesce("prediction", F.lit(False)))
 
 
-def text_stays(spark: SparkSession, d: str) -> DataFrame:
-    """Mention roll-up per stay."""
+def text_stays(spark: SparkSession, d: str, method: str = "rule") -> DataFrame:
+    """Mention roll-up per stay (A1/A2/P15) by the rule or by the model score."""
     from cohortspark.operators.stays import stay_rollup
 
-    return stay_rollup(flagged_mentions(spark, d), P)
+    return stay_rollup(flagged_mentions(spark, d, method), P)
+
+
+def rf_flag_stays(spark: SparkSession, d: str) -> DataFrame:
+    """Risk-factor flags of the text-positive stays, from the RF lexicon in those stays' notes."""
+    from cohortspark.operators import cohort, text
+    from cohortspark.operators.stays import rf_flags, rf_mention_filter
+
+    positive = text_stays(spark, d).where("nlp_positive").select("encounter_num")
+    notes = cohort.select_one_note(adapters.notes(spark, d), "keep_last", P)
+    notes = cohort.regex_filter(cohort.notes_of_stays(notes, positive), RF_LEXICON)
+    m = text.mentions(notes, RF_LEXICON, keep_cols=("encounter_num",))
+    kept = rf_mention_filter(m, None, ["negation", "hypothesis"]).withColumnRenamed("std_lexical_variant", "rf_name")
+    return rf_flags(positive, kept, list(RF_LEXICON))

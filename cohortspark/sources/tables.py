@@ -26,18 +26,15 @@ def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """A small report table as one CSV file with a header (report tables are aggregates)."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A small report table as one CSV file with a header. The rows are gathered by a shuffle, so
+    that the stages before it keep their tasks."""
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def debug_sample(df: DataFrame, n: int, key: str, seed: int = 7919) -> DataFrame:
-    """Deterministic 'random' sample of n rows: order by an arithmetic scramble of the key
-    ((key * seed) % 10007, then key), then limit.
-
-    The limit is the feature here (a debug sample); an ordered limit plans as a
-    TakeOrderedAndProject: a per-partition top-n, then a merge of n rows per partition.
-    """
-    return df.orderBy((F.col(key) * seed) % 10007, F.col(key)).limit(n)
+    """Deterministic 'random' sample of n rows: the first n in the order of a seeded hash of the
+    key. The limit is the feature here; it plans as a per-partition top-n, then a merge."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))), F.col(key)).limit(n)
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "encounter_num", path: str | None = None) -> None:

@@ -43,3 +43,20 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 80
+
+
+def test_units_names_partial_dates_and_directions(spark):
+    t = "Vu il y a 3 mois, puis 3 mars 2019, en Août 2018 et depuis 2017. Revu dans 2 semaines, back in 1 year. Code 20191 et x2019."
+    notes = spark.createDataFrame([(1, t)], "note_id long, note_text string")
+    dm = dates.date_mentions(notes)
+    ref = dm.withColumn("visit_start_date", F.lit(dt.datetime(2020, 5, 31)))
+    got = {r.match: r for r in dates.resolve_relative(ref).collect()}
+    assert set(got) == {"il y a 3 mois", "3 mars 2019", "Août 2018", "2017", "dans 2 semaines", "in 1 year"}
+    assert got["il y a 3 mois"].date_dt == dt.date(2020, 2, 29) and got["il y a 3 mois"].direction == "past"
+    assert got["3 mars 2019"].date_dt == dt.date(2019, 3, 3)
+    assert got["Août 2018"].date_dt == dt.date(2018, 8, 1) and got["Août 2018"].day is None
+    assert got["2017"].date_dt == dt.date(2017, 1, 1) and got["2017"].month is None
+    assert got["dans 2 semaines"].date_dt == dt.date(2020, 6, 14) and got["dans 2 semaines"].direction == "future"
+    assert got["in 1 year"].date_dt == dt.date(2021, 5, 31)
+    assert got["il y a 3 mois"].sent_id == 0 and got["dans 2 semaines"].sent_id == 1
+    assert got["il y a 3 mois"].start == 1 and got["2017"].start == 17

@@ -32,8 +32,8 @@ def test_closed_form_equals_pinv(spark):
     rows = [(g, m, float(rng.randint(0, 40))) for g in ("x", "y") for m in months if rng.random() < 0.9]
     monthly = spark.createDataFrame(rows, "grp string, date date, n_sa double")
     des = its.design(monthly, ["grp"], p)
-    coefs = {(r.grp, r.term): r.estimate for r in its.coefficients(des, ["grp"], p, digits=9).collect()}
-    ses = {(r.grp, r.term): r.std_error for r in its.coefficients(des, ["grp"], p, digits=9).collect()}
+    coefs = {(r.grp, r.term): r.estimate for r in its.coefficients(des, ["grp"], p).collect()}
+    ses = {(r.grp, r.term): r.std_error for r in its.coefficients(des, ["grp"], p).collect()}
     t_ob = its.cutoff_t(p)
     for g in ("x", "y"):
         y = {m: v for gg, m, v in rows if gg == g}
@@ -76,3 +76,22 @@ def test_native_fisher_matches_python(spark):
     got = df.select("a", "b", "c", "d", fisher_two_sided("a", "b", "c", "d").alias("p")).collect()
     for r in got:
         assert abs(r.p - fisher_exact_two_sided(r.a, r.b, r.c, r.d)) < 1e-9
+
+
+def test_native_fisher_at_large_counts(spark):
+    """With two cells far larger than the others the p-value is the binomial one; huge cells return a value."""
+    from cohortspark.functions.columns import fisher_two_sided
+
+    rows = [(5, 10, c, c) for c in (10**6, 10**8, 10**9)] + [(1_500_000_000, 1_500_000_000, 1_500_000_000, 1_500_000_000),
+                                                          (10**6, 0, 0, 10**6), (0, 0, 0, 0)]
+    got = [r.p for r in spark.createDataFrame(rows, "a long, b long, c long, d long").select(
+        fisher_two_sided("a", "b", "c", "d").alias("p")).collect()]
+    want = 2 * sum(math.comb(15, k) for k in range(6)) / 2**15
+    assert all(abs(p - want) < 1e-4 for p in got[:3]) and abs(got[3] - 1) < 1e-9 and got[4] == 0.0 and got[5] == 1.0
+
+
+def test_its_keeps_nothing_cached(spark):
+    p = StudyParams()
+    monthly = spark.createDataFrame([("x", dt.date(1996, 1, 1), 3.0)], "grp string, date date, n_sa double")
+    its.coefficients(its.design(monthly, ["grp"], p), ["grp"], p).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0

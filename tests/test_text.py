@@ -103,3 +103,21 @@ def test_sections_and_history_section(spark):
     assert m[t.find("with pain")] == ("motif", False)
     assert m[t.find("with care")] == ("history", True)       # inside a history section
     assert m[t.find("with it")] == ("plan", False)
+
+
+def test_labels_with_mixed_flags_accents_and_look_around(spark):
+    lexicon = {"a": "(?i)foo", "b": "BAR", "c": "(?i)récidive", "d": "(?<=pre )x(?= post)", "e": "(q)(r)"}
+    rows = [(1, "FOO bar BAR Récidive RÉCIDIVE récidive pre x post x qr", 7)]
+    df = spark.createDataFrame(rows, "note_id long, note_text string, encounter_num long")
+    got = [(r.lexical_variant, r.std_lexical_variant) for r in text.mentions(df, lexicon).orderBy("start_char").collect()]
+    assert got == [("FOO", "a"), ("BAR", "b"), ("Récidive", "c"), ("RÉCIDIVE", "c"), ("récidive", "c"), ("x", "d"), ("qr", "e")]
+
+
+def test_snippets_and_long_headings(spark):
+    title = "Antécédents médicaux et chirurgicaux n° 2 d'hier/aujourd'hui".replace("°", "")
+    rows = [(1, f"{title}:\nCame with pain.\nHistory-2: none", 7)]
+    df = spark.createDataFrame(rows, "note_id long, note_text string, encounter_num long")
+    secs = [r.section for r in text.sections(df).collect()]
+    assert secs == [title, "History-2"]
+    m = text.mentions(df, snippet=5).first()
+    assert m.snippet == "Came with pain"[0:14] and m.snippet[m.snippet_start:m.snippet_end] == "with" and m.section == title.lower()

@@ -33,6 +33,11 @@ HEADLINE = [
     "asof_nearest",
     "cohen_kappa",
     "stratified_sample",
+    "score_join",
+    "mention_score",
+    "modality_mix",
+    "history_by_date",
+    "token_labels",
 ]
 
 

@@ -27,7 +27,7 @@ def flatten_labels(df: DataFrame, json_col: str, schema: str) -> DataFrame:
 def pair_wide(ann: DataFrame, annotators: tuple[str, str] = ("A", "B"), key: list[str] = ("note_id",),
               value: str = "gold") -> DataFrame:
     """K7: note x annotator pivot of one label (known annotator list: no distinct pass)."""
-    return ann.groupBy(*key).pivot("annotator", list(annotators)).agg(F.first(value))
+    return ann.groupBy(*key).pivot("annotator", list(annotators)).agg(F.min(value))
 
 
 def crosstab_margins(wide: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
@@ -82,7 +82,7 @@ def cohen_kappa(wide: DataFrame, a: str = "A", b: str = "B", by: list[str] = ())
     n = F.col("n").cast("double")
     po = F.col("n_agree") / n
     pe = (F.col("n_a_true") / n) * (F.col("n_b_true") / n) + (1 - F.col("n_a_true") / n) * (1 - F.col("n_b_true") / n)
-    return g.withColumn("kappa", F.round(F.try_divide(po - pe, 1 - pe), 6)).drop("n_agree", "n_a_true", "n_b_true")
+    return g.withColumn("kappa", F.try_divide(po - pe, 1 - pe)).drop("n_agree", "n_a_true", "n_b_true")
 
 
 def class_agreement(wide: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
@@ -96,7 +96,7 @@ def class_agreement(wide: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
     )
     pa = F.try_divide(2 * F.col("both_pos").cast("double"), 2 * F.col("both_pos") + F.col("only_a") + F.col("only_b"))
     na = F.try_divide(2 * F.col("both_neg").cast("double"), 2 * F.col("both_neg") + F.col("only_a") + F.col("only_b"))
-    return g.withColumn("positive_agreement", F.round(pa, 6)).withColumn("negative_agreement", F.round(na, 6))
+    return g.withColumn("positive_agreement", pa).withColumn("negative_agreement", na)
 
 
 def wilson(k, n, z: float = Z975):
@@ -117,7 +117,7 @@ def ppv_wilson(ann: DataFrame, by: list[str], gold: str = "gold", pred: str = "p
         F.count_if(~F.col(pred) & F.col(gold)).alias("fn"), F.count_if(~F.col(pred) & ~F.col(gold)).alias("tn"),
     ).withColumn("n_pred", F.col("tp") + F.col("fp"))
     p, lo, hi = wilson("tp", "n_pred")
-    return g.withColumn("ppv", F.round(p, 6)).withColumn("ppv_lower", F.round(lo, 6)).withColumn("ppv_upper", F.round(hi, 6))
+    return g.withColumn("ppv", p).withColumn("ppv_lower", lo).withColumn("ppv_upper", hi)
 
 
 def composite_ppv(ann: DataFrame, rule: str, other: str, gold: str = "gold") -> DataFrame:
@@ -132,8 +132,8 @@ def composite_ppv(ann: DataFrame, rule: str, other: str, gold: str = "gold") ->
     ppv_both = F.try_divide(F.col("tp_both").cast("double"), F.col("n_both"))
     ppv_only = F.try_divide(F.col("tp_rule_only").cast("double"), F.col("n_rule") - F.col("n_both"))
     return g.select(
-        F.round(p, 6).alias("share_both"), F.round(ppv_both, 6).alias("ppv_both"), F.round(ppv_only, 6).alias("ppv_rule_only"),
-        F.round(p * ppv_both + (1 - p) * ppv_only, 6).alias("composite_ppv"),
+        p.alias("share_both"), ppv_both.alias("ppv_both"), ppv_only.alias("ppv_rule_only"),
+        (p * ppv_both + (1 - p) * ppv_only).alias("composite_ppv"),
     )
 
 
@@ -149,17 +149,18 @@ def binary_metrics(df: DataFrame, gold: str = "gold", pred: str = "predicted") -
     acc = F.try_divide((F.col("tp") + F.col("tn")).cast("double"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
     return g.select(
         "tp", "fp", "fn", "tn",
-        F.round(prec, 6).alias("precision"), F.round(rec, 6).alias("recall"), F.round(f1, 6).alias("f1"),
-        F.round(acc, 6).alias("accuracy"), (F.col("tp") + F.col("fn")).alias("support"),
+        prec.alias("precision"), rec.alias("recall"), f1.alias("f1"),
+        acc.alias("accuracy"), (F.col("tp") + F.col("fn")).alias("support"),
     )
 
 
 def read_back(ann: DataFrame, rf_level: bool = False, remark_codes: list[str] = ("unclear",)) -> DataFrame:
-    """K5: reviewed rows only, remark codes dropped at RF level, one row per
-    (note, annotator) - the first round wins."""
+    """K5: reviewed rows only, remark codes dropped at RF level, one row per (note, annotator): the
+    main round before the supplementary one, then the smallest row by its other columns."""
     a = ann.where(F.coalesce(F.col("reviewed"), F.lit(False))) if "reviewed" in ann.columns else ann
     if rf_level:
         a = a.where(~F.coalesce(F.col("remark").isin(*remark_codes), F.lit(False)))
     cols = [c for c in a.columns if c not in ("note_id", "annotator")]
-    return a.groupBy("note_id", "annotator").agg(
-        F.min_by(F.struct(*cols), F.col("supplementary")).alias("r")).select("note_id", "annotator", "r.*")
+    rest = [c for c in cols if c != "supplementary"]
+    return a.groupBy("note_id", "annotator").agg(F.min(F.struct("supplementary", *rest)).alias("r")).select(
+        "note_id", "annotator", *[f"r.{c}" for c in cols])

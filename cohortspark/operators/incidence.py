@@ -190,10 +190,21 @@ def stays_per_site(stays: DataFrame, weight_col: str | None = None) -> DataFrame
 
 def age_summary(stays: DataFrame) -> DataFrame:
     """Mean and sample std of age."""
-    return stays.agg(F.round(F.avg("age"), 9).alias("mean_age"), F.round(F.stddev_samp("age"), 9).alias("std_age"),
+    return stays.agg(F.avg("age").alias("mean_age"), F.stddev_samp("age").alias("std_age"),
                      F.count("age").alias("n"))
 
 
+def outcome_table(stays: DataFrame, by: list[str], all_label: str = "all") -> DataFrame:
+    """Per group and over all groups (one aggregate): stays, patients, share of women, age, deaths
+    and mean duration in days."""
+    g = stays.groupingSets([[F.col(c) for c in by], []], *[F.col(c) for c in by]).agg(
+        F.count(F.lit(1)).alias("n_stays"), F.count_distinct("patient_num").alias("n_patients"),
+        F.avg((F.col("sex_cd") == "W").cast("double")).alias("share_women"), F.avg("age").alias("mean_age"),
+        F.stddev_samp("age").alias("std_age"), F.count_if("death").alias("n_deaths"),
+        (F.avg("duration_seconds") / 86400.0).alias("mean_duration"))
+    return g.withColumns({c: F.coalesce(F.col(c), F.lit(all_label)) for c in by})
+
+
 def completeness_probe(stays_with_notes: DataFrame) -> DataFrame:
     """Per stay 'has a note', then per month x site: n_visit, n_note, rho = n_note / n_visit.
 

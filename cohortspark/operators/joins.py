@@ -1,37 +1,27 @@
-"""Joins with a cardinality check, and a size-checked broadcast."""
+"""Joins with a cardinality check inside the plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-class CardinalityError(ValueError):
-    pass
-
-
-def _max_multiplicity(df: DataFrame, on: list[str]) -> int:
-    row = df.groupBy(*on).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
+def _unique(df: DataFrame, on: list[str], side: str, validate: str) -> DataFrame:
+    """``df``, failing when it is run if a key occurs twice. The count is a window over the join keys,
+    so it uses the partitioning that the join needs anyway."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*on))
+    text = F.lit(f"{side} keys {', '.join(on)} are not unique ({validate})")
+    return df.withColumn("_n", n).where(F.when(F.col("_n") > 1, F.raise_error(text).cast("boolean")).otherwise(F.lit(True))).drop("_n")
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", validate: str = "m:m",
                  check: bool = True) -> DataFrame:
-    """Join and verify the key cardinality ('1:1', '1:m', 'm:1', 'm:m').
-
-    The check is a distributed group-by count per side returning one scalar (the largest
-    key multiplicity); it raises ``CardinalityError`` before the join is returned."""
+    """Join and verify the key cardinality ('1:1', '1:m', 'm:1', 'm:m'): a side that must be unique and
+    is not stops the query with a message that names the side and the keys."""
     if validate not in {"1:1", "1:m", "m:1", "m:m"}:
         raise ValueError(f"validate must be 1:1, 1:m, m:1 or m:m, not {validate!r}")
-    if check:
-        if validate[0] == "1" and _max_multiplicity(left, on) > 1:
-            raise CardinalityError(f"left keys {on} are not unique ({validate})")
-        if validate[2] == "1" and _max_multiplicity(right, on) > 1:
-            raise CardinalityError(f"right keys {on} are not unique ({validate})")
+    if check and validate[0] == "1":
+        left = _unique(left, on, "left", validate)
+    if check and validate[2] == "1":
+        right = _unique(right, on, "right", validate)
     return left.join(right, on, how)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only behind a measured bound: count at most max_rows + 1 rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

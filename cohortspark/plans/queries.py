@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark.functions.columns import safe_ratio
 from cohortspark.operators import codes, cohort, incidence
 from cohortspark.plans import oracle as O
 from cohortspark.plans import study
@@ -549,7 +550,7 @@ def q_stays_per_site(spark, d):
 @register("age_summary", O.outcome_cte("claims") + """
 SELECT round(avg(age), 9) AS mean_age, round(stddev_samp(age), 9) AS std_age, count(age) AS n FROM oc""")
 def q_age_summary(spark, d):
-    return incidence.age_summary(claim_outcomes(spark, d))
+    return rounded(incidence.age_summary(claim_outcomes(spark, d)), 9, "mean_age", "std_age")
 
 
 def probe(spark, d):
@@ -574,6 +575,23 @@ def q_completeness_probe(spark, d):
     return probe(spark, d)
 
 
+PROBE_CATS = [f"src{i}" for i in range(1, 16)]
+
+
+@register("completeness_probe_notes", "WITH " + O.STAYS + ", " + A["notes"] + """,
+has AS (SELECT DISTINCT encounter_num FROM notes WHERE note_category IN (""" + ", ".join(f"'{c}'" for c in PROBE_CATS) + """)
+        AND note_text IS NOT NULL)
+SELECT site_label, date, count(*) AS n_visit, count(h.encounter_num) AS n_note, count(h.encounter_num) / count(*) AS rho
+FROM stays LEFT JOIN has h USING (encounter_num) WHERE visit_type IN ('1-URGENT', '2-HIGH') GROUP BY site_label, date""")
+def q_completeness_probe_notes(spark, d):
+    """A6 on the notes: stays of the chosen visit types with at least one note of the chosen categories
+    that has a text."""
+    st = study.stays(spark, d).where(F.col("visit_type").isin("1-URGENT", "2-HIGH")).select("encounter_num", "date", "site_label")
+    n = adapters.notes(spark, d).where(F.col("note_category").isin(*PROBE_CATS) & F.col("note_text").isNotNull())
+    has = n.select("encounter_num").distinct().withColumn("has_note", F.lit(True))
+    return incidence.completeness_probe(st.join(has, "encounter_num", "left").fillna(False, subset=["has_note"]))
+
+
 @register("stay_weight", PROBE_SQL + """,
 w AS (SELECT site_label, date, CASE WHEN rho = 0 THEN NULL ELSE 1.0 / rho END AS stay_weight FROM pr
       WHERE date >= DATE '1995-01-01' AND date < DATE '2001-08-01')
@@ -631,14 +649,14 @@ def its_design_df(spark, d, keys=()):
     return its.design(monthly, list(keys), P)
 
 
-def _its_sql(keys: list[str]) -> str:
+def _its_sql(keys: list[str], y: str = "count(*)", source: str = "", rows: str = "oc") -> str:
     """Closed-form minimum-norm OLS in SQL (same algebra, independent code)."""
     k = ", ".join(keys)
     kc = (k + ", ") if keys else ""
     on = " AND ".join(f"x.{c} = g.{c}" for c in keys) if keys else "true"
     grp = f"GROUP BY {k}" if keys else ""
-    return O.outcome_cte("claims") + f""",
-mo AS (SELECT {kc}date, count(*) AS n_sa FROM oc GROUP BY ALL),
+    return (source or O.outcome_cte("claims")) + f""",
+mo AS (SELECT {kc}date, {y} AS n_sa FROM {rows} GROUP BY ALL),
 gr AS (SELECT DISTINCT {k if keys else "'all' AS series"} FROM {"mo" if keys else "(SELECT 1)"}),
 cal AS (SELECT CAST(m AS DATE) AS date FROM unnest(generate_series(DATE '1995-01-01', DATE '2001-07-01', INTERVAL 1 MONTH)) u(m)),
 des AS (SELECT gr.*, cal.date, CAST(coalesce(mo.n_sa, 0) AS DOUBLE) AS y, mo.n_sa IS NOT NULL AS observed,
@@ -668,10 +686,10 @@ Q_ITS = 1.9971379084
 _MN = "['January','February','March','April','May','June','July','August','September','October','November','December']"
 
 
-def _coef_sql(keys):
+def _coef_sql(keys, **outcome):
     kc = ", ".join(keys) + ", " if keys else "'all' AS series, "
     kk = ", ".join(keys) + ", " if keys else ""
-    return _its_sql(keys) + f""",
+    return _its_sql(keys, **outcome) + f""",
 lo AS (SELECT {kc}'const' AS term, const AS estimate, se_const AS std_error FROM co
        UNION ALL SELECT {kc}'t', b_t, se_t FROM co
        UNION ALL SELECT {kc}'delta_t', b_d, se_d FROM co
@@ -724,6 +742,65 @@ def q_trend_change(spark, d):
     return tc.join(sites, "site_label", "left").join(n, "site_label", "left")
 
 
+_CHANGE = f"""round(estimate, 6) AS delta_t, round(estimate - {Q_ITS!r} * std_error, 6) AS lower,
+       round(estimate + {Q_ITS!r} * std_error, 6) AS upper"""
+
+
+def _change(des, keys):
+    return rounded(its.trend_change(its.coefficients(des, keys, P), keys or ["series"]), 6, "delta_t", "lower", "upper").select(
+        *(keys or ["series"]), "delta_t", "lower", "upper")
+
+
+@register("trend_change_overall", _coef_sql([]).rsplit("SELECT series, term", 1)[0] + f"""
+SELECT series, {_CHANGE} FROM lo WHERE term = 'delta_t'""")
+def q_trend_change_overall(spark, d):
+    return _change(its_design_df(spark, d), [])
+
+
+@register("trend_change_slice", _coef_sql(["sex_cd", "age_cat"]).rsplit("SELECT sex_cd, age_cat, term", 1)[0] + f"""
+SELECT sex_cd, age_cat, {_CHANGE} FROM lo WHERE term = 'delta_t'""")
+def q_trend_change_slice(spark, d):
+    """T4 by slice: every sex and age band."""
+    return _change(its_design_df(spark, d, ["sex_cd", "age_cat"]), ["sex_cd", "age_cat"])
+
+
+WEIGHTED_SQL = O.outcome_cte("claims") + """,
+has AS (SELECT l_orderkey AS encounter_num, bool_or(l_returnflag = 'R') AS has_note FROM lineitem GROUP BY 1),
+pr AS (SELECT site_label, date, count_if(coalesce(has_note, false)) / count(*) AS rho
+       FROM stays LEFT JOIN has USING (encounter_num) GROUP BY site_label, date),
+ow AS (SELECT oc.*, CASE WHEN rho > 0 THEN 1.0 / rho END AS stay_weight FROM oc LEFT JOIN pr USING (date, site_label))"""
+
+
+@register("trend_change_weighted", _coef_sql(["sex_cd"], y="sum(stay_weight)", source=WEIGHTED_SQL, rows="ow").rsplit(
+    "SELECT sex_cd, term", 1)[0] + f"""
+SELECT sex_cd, {_CHANGE} FROM lo WHERE term = 'delta_t'""")
+def q_trend_change_weighted(spark, d):
+    """T4 on counts weighted by inverse completeness."""
+    st = stay_ops.add_weights(claim_outcomes(spark, d), incidence.inverse_weights(probe(spark, d), P))
+    monthly = st.groupBy("sex_cd", "date").agg(F.sum("stay_weight").alias("n_sa"))
+    return _change(its.design(monthly, ["sex_cd"], P), ["sex_cd"])
+
+
+@register("table_by_age", O.outcome_cte("claims") + """
+SELECT coalesce(age_cat, 'all') AS age_cat, count(*) AS n_stays, count(DISTINCT patient_num) AS n_patients,
+       round(count_if(sex_cd = 'W') / count(*), 9) AS share_women, round(avg(age), 9) AS mean_age, round(stddev_samp(age), 9) AS std_age,
+       count_if(death) AS n_deaths, round(avg(duration_seconds) / 86400.0, 9) AS mean_duration
+FROM oc GROUP BY GROUPING SETS ((age_cat), ())""")
+def q_table_by_age(spark, d):
+    """T13 table 1 by age band, with the row of all bands."""
+    return rounded(incidence.outcome_table(claim_outcomes(spark, d), ["age_cat"]), 9, "share_women", "mean_age", "std_age", "mean_duration")
+
+
+@register("table_by_site_type", O.outcome_cte("claims") + """
+SELECT coalesce(site_type, 'all') AS site_type, count(*) AS n_stays, count(DISTINCT patient_num) AS n_patients,
+       round(count_if(sex_cd = 'W') / count(*), 9) AS share_women, round(avg(age), 9) AS mean_age, round(stddev_samp(age), 9) AS std_age,
+       count_if(death) AS n_deaths, round(avg(duration_seconds) / 86400.0, 9) AS mean_duration
+FROM oc GROUP BY GROUPING SETS ((site_type), ())""")
+def q_table_by_site_type(spark, d):
+    """T13 table 2: the same summary by site type."""
+    return rounded(incidence.outcome_table(claim_outcomes(spark, d), ["site_type"]), 9, "share_women", "mean_age", "std_age", "mean_duration")
+
+
 @register("table_trends", _coef_sql(["sex_cd"]).rsplit("SELECT sex_cd, term", 1)[0] + """
 SELECT sex_cd, n_stays, share, mean_age, round(estimate, 6) AS delta_t,
        round(estimate - """ + repr(Q_ITS) + """ * std_error, 6) AS lower, round(estimate + """ + repr(Q_ITS) + """ * std_error, 6) AS upper
@@ -782,6 +859,17 @@ def q_risk_ratio(spark, d):
     return rounded(risk.risk_ratio(contingency_df(spark, d), ["sex_cd", "rf_name"]), 6, "risk_ratio", "rr_lower", "rr_upper", "fisher_p")
 
 
+@register("table_risk_factors", CONTINGENCY_SQL + """
+SELECT rf_name, a AS n_post, b AS n_pre, round(a / nullif(a + c, 0), 9) AS share_post, round(b / nullif(b + d, 0), 9) AS share_pre
+FROM ct WHERE sex_cd = 'all'""")
+def q_table_risk_factors(spark, d):
+    """T13 table 3: risk factors of the analysed stays before and after the cutoff."""
+    ct = contingency_df(spark, d).where("sex_cd = 'all'")
+    out = ct.select("rf_name", F.col("a").alias("n_post"), F.col("b").alias("n_pre"),
+                    safe_ratio("a", F.col("a") + F.col("c")).alias("share_post"), safe_ratio("b", F.col("b") + F.col("d")).alias("share_pre"))
+    return rounded(out, 9, "share_post", "share_pre")
+
+
 def km_df(spark, d):
     return survival.km_input(claim_outcomes(spark, d), P)
 
@@ -926,7 +1014,7 @@ SELECT rf_name, n, CAST(n_values AS INTEGER) AS n_values,
   round(CASE WHEN 1 - ((ta/n)*(tb/n) + (1-ta/n)*(1-tb/n)) = 0 THEN NULL
         ELSE (agree/n - ((ta/n)*(tb/n) + (1-ta/n)*(1-tb/n))) / (1 - ((ta/n)*(tb/n) + (1-ta/n)*(1-tb/n))) END, 6) AS kappa FROM g""")
 def q_cohen_kappa(spark, d):
-    return agreement.cohen_kappa(ann_wide(spark, d), by=["rf_name"])
+    return rounded(agreement.cohen_kappa(ann_wide(spark, d), by=["rf_name"]), 6, "kappa")
 
 
 @register("class_agreement", ANN + """,
@@ -935,7 +1023,7 @@ g AS (SELECT count_if("A" AND "B") AS both_pos, count_if("A" AND NOT "B") AS onl
 SELECT *, round(2.0*both_pos / nullif(2*both_pos + only_a + only_b, 0), 6) AS positive_agreement,
           round(2.0*both_neg / nullif(2*both_neg + only_a + only_b, 0), 6) AS negative_agreement FROM g""")
 def q_class_agreement(spark, d):
-    return agreement.class_agreement(ann_wide(spark, d))
+    return rounded(agreement.class_agreement(ann_wide(spark, d)), 6, "positive_agreement", "negative_agreement")
 
 
 def annotator_a(spark, d):
@@ -953,7 +1041,7 @@ SELECT after_cutoff, rf_name, tp, fp, fn, tn, n_pred, round(p, 6) AS ppv,
   round((p + z*z/(2*n_pred)) / (1 + z*z/n_pred) + z*sqrt(p*(1-p)/n_pred + z*z/(4*n_pred*n_pred)) / (1 + z*z/n_pred), 6) AS ppv_upper
 FROM z""")
 def q_ppv_wilson(spark, d):
-    return agreement.ppv_wilson(annotator_a(spark, d), ["after_cutoff", "rf_name"])
+    return rounded(agreement.ppv_wilson(annotator_a(spark, d), ["after_cutoff", "rf_name"]), 6, "ppv", "ppv_lower", "ppv_upper")
 
 
 @register("composite_ppv", "WITH " + A["annotations"] + """,
@@ -964,7 +1052,7 @@ SELECT round(p, 6) AS share_both, round(ppv_both, 6) AS ppv_both, round(ppv_only
        round(p * ppv_both + (1 - p) * ppv_only, 6) AS composite_ppv FROM h""")
 def q_composite_ppv(spark, d):
     a = annotator_a(spark, d).withColumn("ml", F.col("note_id") % 4 != 0)
-    return agreement.composite_ppv(a, "predicted", "ml")
+    return rounded(agreement.composite_ppv(a, "predicted", "ml"), 6, "share_both", "ppv_both", "ppv_rule_only", "composite_ppv")
 
 
 @register("binary_metrics", "WITH " + A["annotations"] + """,
@@ -973,7 +1061,7 @@ g AS (SELECT count_if(predicted AND gold) AS tp, count_if(predicted AND NOT gold
 SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
        round(2.0*tp / (2*tp + fp + fn), 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, tp + fn AS support FROM g""")
 def q_binary_metrics(spark, d):
-    return agreement.binary_metrics(annotator_a(spark, d))
+    return rounded(agreement.binary_metrics(annotator_a(spark, d)), 6, "precision", "recall", "f1", "accuracy")
 
 
 @register("flatten_labels", """
@@ -1102,6 +1190,21 @@ def q_training_split(spark, d):
     return scoring.training_split(r, notes_patients(spark, d), "supplementary", ["A", "B"])
 
 
+@register("training_split_offsets", "WITH " + A["visits"] + ", " + A["notes"] + ", " + A["annotations"] + """,
+r AS (SELECT note_id, start_char, annotator, gold, 'main' AS round, remark FROM annotations, (VALUES (0), (40)) o(start_char)
+      WHERE NOT (start_char = 40 AND annotator = 'A')),
+k AS (SELECT * FROM r WHERE coalesce(remark, '') <> 'unclear'),
+f AS (SELECT k.*, n.patient_num FROM (SELECT *, row_number() OVER (PARTITION BY note_id, start_char ORDER BY
+        CASE annotator WHEN 'A' THEN 1 WHEN 'B' THEN 2 END, annotator, round) AS rn FROM k) k
+      LEFT JOIN notes n USING (note_id) WHERE rn = 1)
+SELECT note_id, CAST(start_char AS INTEGER) AS start_char, annotator, gold, round, remark, patient_num, 'train' AS split FROM f""")
+def q_training_split_offsets(spark, d):
+    """X14 with one row per (note, offset): two annotated places per note, the second by annotator B only."""
+    a = adapters.annotations(spark, d).select("note_id", "annotator", "gold", F.lit("main").alias("round"), "remark")
+    r = a.select("*", F.explode(F.array(F.lit(0), F.lit(40))).alias("start_char")).where("NOT (start_char = 40 AND annotator = 'A')")
+    return scoring.training_split(r, notes_patients(spark, d), "supplementary", ["A", "B"], key=("note_id", "start_char"))
+
+
 @register("checked_join", "WITH " + A["visits"] + ", " + A["patients"] + """
 SELECT v.encounter_num, v.patient_num, p.sex_cd FROM visits v LEFT JOIN patients p USING (patient_num)""")
 def q_checked_join(spark, d):

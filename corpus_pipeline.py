@@ -5,8 +5,8 @@ read again as the next stage's input. All but the last return the columns of ``d
 the last returns the packed pieces.
 
 Defined results: null columns, empty and very long texts, ties, repeated rows, empty tables and
-extra columns pass as the operators define; documents whose doc_id is null are kept by every
-filter but the language filter.
+extra columns pass as the operators define; rows with a null doc_id are kept by every filter, rows that
+repeat a doc_id are kept or go together.
 """
 
 from __future__ import annotations

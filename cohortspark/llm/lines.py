@@ -9,7 +9,7 @@ unless its lines are in one class already. Classes are connected lines; the firs
 (by doc_id, then place) stays and the others are dropped.
 
 Lines are compared without surrounding white space. Lines of fewer than ``min_chars`` characters
-are never dropped and never compared. A document that loses lines until none with text is left
+are never dropped and never compared. A document that loses lines until no compared line is left
 goes as a whole.
 
 Equality rests on a 128-bit digest; its low half names a line among candidates only, and a line
@@ -236,7 +236,7 @@ def dropped_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, tile_row
 def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, text_col: str = "text", id_col: str = "doc_id",
                 drop_empty: bool = True, **options) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text_col``, plus ``dropped`` (lines taken out).
-    Documents left without text go if ``drop_empty``."""
+    Documents left without a line of ``min_chars`` characters go if ``drop_empty``."""
     gone = dropped_lines(docs, edits, min_chars, text_col=text_col, id_col=id_col, **options).select(
         F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "drop")
     x = docs.withColumns({"_id": F.col(id_col).cast("long"), "_row": F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))})
@@ -246,5 +246,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, text_col:
     x = x.withColumn(text_col, F.when(F.col("drop").isNull(), F.col(text_col)).otherwise(kept))
     x = x.withColumn("dropped", F.coalesce(F.size("drop"), F.lit(0)))
     if drop_empty:
-        x = x.where("dropped = 0 or " + f"trim(BOTH ' \t\r\n' FROM `{text_col}`) <> ''")
+        bare = lambda line: F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+        x = x.where((F.col("dropped") == 0) | F.exists(
+            F.split(F.col(text_col), "\n", -1), lambda line: F.length(bare(line)) >= min_chars))
     return x.drop("_id", "_row", "drop")

@@ -101,7 +101,7 @@ def test_quality_without_labels_and_compiled_rules(spark):
 
 # ---------------------------------------------------------------- context mixing
 
-BITS = (12, 12, 12, 12, 12)
+BITS = (12,) * (mixing.N_IN - 1)
 
 
 def test_base_score_matches_brute_force_and_the_model_learns(spark):
@@ -124,48 +124,50 @@ def test_base_score_matches_brute_force_and_the_model_learns(spark):
     assert sum(-r["score"] / math.log10(2) for r in fresh) / sum(r["n_bytes"] for r in fresh) < 3.0
 
 
+def run_texts(texts, tree, tables, mixer):
+    total = np.zeros(len(texts))
+    for group in mixing.parts_of(texts):
+        owner, prev, symbols, ctx = mixing.encode(group)
+        pos, node, bit = tree.decisions(prev, symbols)
+        first, last = mixing.blocks_of(owner, pos)
+        cost = mixer.run(mixing.gather(tables, tree, ctx, pos, node, BITS), tree.depth[node], bit, first, last, learn=False)
+        total += np.bincount(owner[pos[first]], cost, len(texts))
+    return total
+
+
 def test_probabilities_of_a_symbol_sum_to_one():
     """At the start of a block nothing has adapted: the 257 symbols' probabilities add up to 1."""
     rng = np.random.default_rng(1)
-    tree = mixing.Tree(rng.integers(0, 100, 257))
+    tree = mixing.Tree(rng.integers(0, 100, (256, 257)))
     tables = [rng.normal(size=1 << b).astype(np.float32) for b in BITS]
-    refine = rng.uniform(0.1, 0.9, (256, mixing.MAP_BINS)).astype(np.float32)
-    weights, trust = (rng.normal(size=(n, mixing.N_IN)).astype(np.float32) for n in (256, mixing.GATES))
-    total = 0.0
-    ctx = rng.integers(0, 1 << 32, (mixing.N_IN, 1)).astype(np.uint32)
-    for s in range(257):
-        pos, node, bit = tree.decisions(np.array([s]))
-        cost = mixing.Mixer(weights, trust, refine).run(
-            mixing.gather(tables, ctx, pos, node, BITS), node, bit, np.array([0]), np.array([len(pos)]), learn=False)
-        total += 2.0 ** -cost[0]
-    assert total == pytest.approx(1, abs=1e-4)
+    refine = rng.uniform(0.1, 0.9, (mixing.DEPTHS, mixing.MAP_BINS)).astype(np.float32)
+    weights, trust = (rng.normal(size=(n, mixing.N_IN)).astype(np.float32) for n in (mixing.DEPTHS, mixing.GATES))
+    ctx = rng.integers(0, 1 << 32, (len(BITS), 1)).astype(np.uint32)
+    for prev in (0, 97):
+        total = 0.0
+        for s in range(257):
+            pos, node, bit = tree.decisions(np.array([prev]), np.array([s]))
+            cost = mixing.Mixer(weights, trust, refine).run(mixing.gather(tables, tree, ctx, pos, node, BITS), tree.depth[node], bit,
+                                                            np.array([0]), np.array([len(pos)]), learn=False)
+            total += 2.0 ** -cost[0]
+        assert total == pytest.approx(1, abs=1e-4)
 
 
 def test_costs_do_not_depend_on_the_batch():
     rng = np.random.default_rng(2)
     docs = [bytes(rng.integers(97, 105, n).astype(np.uint8)) for n in (0, 5, 3000, 70, 2048)]
-    tree = mixing.Tree(np.ones(257))
+    tree = mixing.Tree(np.ones((256, 257)))
     tables = [rng.normal(size=1 << b).astype(np.float32) for b in BITS]
-
-    def costs(texts):
-        total = np.zeros(len(texts))
-        for group in mixing.parts_of(texts):
-            owner, symbols, ctx = mixing.encode(group)
-            pos, node, bit = tree.decisions(symbols)
-            first, last = mixing.blocks_of(owner, pos)
-            total += np.bincount(owner[pos[first]], mixing.Mixer().run(
-                mixing.gather(tables, ctx, pos, node, BITS), node, bit, first, last, learn=False), len(texts))
-        return total
-
-    assert costs(docs) == pytest.approx(np.concatenate([costs([d]) for d in docs]), rel=1e-5)
+    alone = np.concatenate([run_texts([d], tree, tables, mixing.Mixer()) for d in docs])
+    assert run_texts(docs, tree, tables, mixing.Mixer()) == pytest.approx(alone, rel=1e-5)
 
 
 def test_parts_of_a_long_text_keep_their_contexts():
     text = b"some words of a text " * 40_000
     rows = [(i, before, part, last) for g in mixing.parts_of([text]) for i, before, part, last in g]
     assert len(rows) > 1 and b"".join(r[2] for r in rows) == text and [r[3] for r in rows] == [False] * (len(rows) - 1) + [True]
-    whole = mixing.encode([(0, b"", text[:mixing.GROUP * 2], False)])[2]
-    split = np.concatenate([mixing.encode([r])[2] for r in rows[:2]], axis=1)
+    whole = mixing.encode([(0, b"", text[:mixing.GROUP * 2], False)])[3]
+    split = np.concatenate([mixing.encode([r])[3] for r in rows[:2]], axis=1)
     assert (whole[:, :split.shape[1]] == split).mean() > 0.999
 
 

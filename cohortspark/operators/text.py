@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---- fixed values ------------------------------------------------------------------
@@ -277,12 +277,17 @@ def mentions(
 def span_filter(spans_df: DataFrame, key: str = "note_id") -> DataFrame:
     """Per note, keep a set of non-overlapping spans, longest first (ties: earlier start).
 
-    Greedy over the note's spans sorted by (length desc, start); spans of one note are a
-    bounded list next to the note, collected per note only."""
-    s = spans_df.select(key, F.struct(
+    The spans of a note are first cut into clusters that don't touch (a span opens one when it starts
+    at or after the largest end so far); the greedy choice then runs over one cluster's list. Spans of
+    two clusters never overlap, so the result is that of the whole note."""
+    note = Window.partitionBy(key).orderBy("start_char", "end_char")
+    reach = F.max("end_char").over(note.rowsBetween(Window.unboundedPreceding, -1))
+    x = spans_df.withColumn("_new", F.when(F.col("start_char") < reach, 0).otherwise(1))
+    x = x.withColumn("_cluster", F.sum("_new").over(note.rowsBetween(Window.unboundedPreceding, 0)))
+    s = x.select(key, "_cluster", F.struct(
         (F.col("start_char") - F.col("end_char")).alias("neg_len"), "start_char", "end_char", "label"
     ).alias("s"))
-    per = s.groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("ss"))
+    per = s.groupBy(key, "_cluster").agg(F.sort_array(F.collect_list("s")).alias("ss"))
     empty = F.array().cast("array<struct<neg_len:int,start_char:int,end_char:int,label:string>>")
     kept = F.aggregate(
         "ss", empty,

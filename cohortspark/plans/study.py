@@ -40,20 +40,22 @@ def claim_positive(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stays_by_source(spark: SparkSession, d: str, source: str = "all", params: StudyParams = P) -> DataFrame:
-    """Stays with ``positive_visit`` and ``recurrent_visit`` for one outcome source."""
-    st = stays(spark, d, params)
+    """Stays with ``positive_visit`` and ``recurrent_visit`` for one outcome source. Episodes are
+    tagged on the visits alone, before the patient columns are joined, so the tagging's second branch
+    reads the visits only."""
+    v = adapters.visits(spark, d)
     if source == "all":
-        st = st.withColumn("positive_visit", F.lit(True))
+        v = v.withColumn("positive_visit", F.lit(True))
     elif source == "claims":
         pos = claim_positive(spark, d).select("encounter_num", F.lit(True).alias("positive_visit"))
-        st = st.join(pos, "encounter_num", "left").fillna(False, subset=["positive_visit"])
+        v = v.join(pos, "encounter_num", "left").fillna(False, subset=["positive_visit"])
     elif source in ("text", "ml"):
         pos = text_stays(spark, d, "rule" if source == "text" else "ml").where("nlp_positive").select(
             "encounter_num", F.lit(True).alias("positive_visit"), "has_history")
-        st = st.join(pos, "encounter_num", "left").fillna(False, subset=["positive_visit", "has_history"])
+        v = v.join(pos, "encounter_num", "left").fillna(False, subset=["positive_visit", "has_history"])
     else:
         raise ValueError(f"unknown source {source!r}")
-    return tag_episodes(st, params)
+    return enrich_stays(tag_episodes(v, params), patients_with_site(spark, d), params)
 
 
 # ---------------------------------------------------------------- text path

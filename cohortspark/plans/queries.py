@@ -352,7 +352,34 @@ def _overlap_spans(spark, d):
     return a.unionByName(b)
 
 
-@register("span_filter")
+def _pattern_spans(name: str, pattern: str) -> str:
+    return f"""{name}0 AS (SELECT note_id, string_split_regex(note_text, '{pattern}') AS g, regexp_extract_all(note_text, '{pattern}') AS m FROM notes),
+{name} AS (SELECT note_id, '{name}' AS label, m[i] AS match,
+             CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+                  + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS start_char
+           FROM {name}0, unnest(range(1, len(m) + 1)) r(i))"""
+
+
+#: greedy choice by recursion over the spans of a cluster of overlapping spans, longest first
+SPAN_SQL = "WITH RECURSIVE " + A["visits"] + ", " + A["notes"] + ", " + _pattern_spans("cap", "[A-Z][a-z]+") + ", " + _pattern_spans(
+    "pair", "[a-z]+[.!?] [A-Z][a-z]+") + """,
+sp AS (SELECT note_id, label, start_char, CAST(start_char + length(match) AS INTEGER) AS end_char
+       FROM (SELECT * FROM cap UNION ALL SELECT * FROM pair)),
+s1 AS (SELECT *, CASE WHEN start_char < max(end_char) OVER (PARTITION BY note_id ORDER BY start_char, end_char
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM sp),
+s2 AS (SELECT *, sum(opens) OVER (PARTITION BY note_id ORDER BY start_char, end_char ROWS UNBOUNDED PRECEDING) AS cluster FROM s1),
+sr AS (SELECT *, row_number() OVER (PARTITION BY note_id, cluster ORDER BY start_char - end_char, start_char, end_char, label) AS rn FROM s2),
+gr(note_id, cluster, rn, kept) AS (
+  SELECT note_id, cluster, rn, [{'s': start_char, 'e': end_char, 'l': label}] FROM sr WHERE rn = 1
+  UNION ALL
+  SELECT gr.note_id, gr.cluster, sr.rn, CASE WHEN len(list_filter(gr.kept, lambda k: k.s < sr.end_char AND sr.start_char < k.e)) > 0
+         THEN gr.kept ELSE list_append(gr.kept, {'s': sr.start_char, 'e': sr.end_char, 'l': sr.label}) END
+  FROM gr JOIN sr ON sr.note_id = gr.note_id AND sr.cluster = gr.cluster AND sr.rn = gr.rn + 1),
+kp AS (SELECT note_id, k.s AS start_char, k.e AS end_char, k.l AS label
+       FROM (SELECT note_id, cluster, arg_max(kept, rn) AS kept FROM gr GROUP BY note_id, cluster), unnest(kept) u(k))"""
+
+
+@register("span_filter", SPAN_SQL + "\nSELECT * FROM kp")
 def q_span_filter(spark, d):
     return text.span_filter(_overlap_spans(spark, d))
 
@@ -1271,7 +1298,11 @@ def q_annotation_read_back(spark, d):
     return agreement.read_back(adapters.annotations(spark, d), rf_level=True)
 
 
-@register("token_labels")
+@register("token_labels", SPAN_SQL + """,
+tk AS (SELECT kp.note_id, start_char, label, regexp_extract_all(substr(note_text, start_char + 1, end_char - start_char),
+              '""" + O.TOK + """') AS t FROM kp JOIN notes USING (note_id))
+SELECT note_id, start_char, label, CAST(i - 1 AS INTEGER) AS token_index, t[i] AS token, CASE WHEN i = 1 THEN label ELSE '-100' END AS token_label
+FROM tk, unnest(range(1, len(t) + 1)) r(i)""")
 def q_token_labels(spark, d):
     kept = text.span_filter(_overlap_spans(spark, d))
     n = adapters.notes(spark, d).select("note_id", "note_text")

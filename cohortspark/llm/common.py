@@ -35,8 +35,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """``fn`` maps one Arrow batch to a dict of output columns (arrays or lists)."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1024) -> DataFrame:
+    """``fn`` maps at most ``rows`` rows of an Arrow batch (0: the whole batch) to a dict of output
+    columns (arrays or lists); small parts bound the Python objects alive at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -45,8 +46,9 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
     out = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            step = rows or max(1, whole.num_rows)
+            for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
                 cols = fn(b)
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type)

@@ -117,7 +117,7 @@ def _rarest(src: DataFrame, win) -> dict[int, tuple]:
 
     def count(batch: pa.RecordBatch) -> dict:
         total = np.zeros(sum(map(len, keys.values())), np.int64)
-        for t in binary_texts(batch.column("text")):
+        for t in (t for i in range(0, batch.num_rows, 512) for t in binary_texts(batch.column("text").slice(i, 512))):
             ids = win.value.ids(words_of(t))
             for n, k in keys.items():
                 np.add.at(total, first[n] + win.value.probes(ids, n, k)[1], 1)
@@ -126,7 +126,7 @@ def _rarest(src: DataFrame, win) -> dict[int, tuple]:
 
     freq = np.zeros(sum(map(len, keys.values())), np.int64)
     if len(freq):  # as many rows as the block has shingles, at most
-        for r in arrow_map(src.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
+        for r in arrow_map(src.select("text"), count, "key long, n long", rows=0).groupBy("key").agg(F.sum("n").alias("n")).collect():
             freq[r["key"]] = r["n"]
     key = np.zeros(len(w.place), np.int64)
     for n in w.sizes:

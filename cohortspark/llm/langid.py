@@ -87,7 +87,9 @@ def train(docs: DataFrame, learn, buckets: int = BUCKETS) -> CodeModel | None:
 
     def count(batch: pa.RecordBatch) -> dict:
         total: dict[str, np.ndarray] = {}
-        for lang, t in zip(batch.column("lang").to_pylist(), binary_texts(batch.column("text"))):
+        pairs = ((lang, t) for i in range(0, batch.num_rows, 512) for lang, t in zip(
+            batch.column("lang").slice(i, 512).to_pylist(), binary_texts(batch.column("text").slice(i, 512))))
+        for lang, t in pairs:
             if lang not in total:
                 total[lang] = np.zeros(buckets, np.int64)
             h = ngrams(t)
@@ -98,7 +100,7 @@ def train(docs: DataFrame, learn, buckets: int = BUCKETS) -> CodeModel | None:
                 "n": np.concatenate([total[lang][h] for lang, h in hit.items()])}
 
     rows = arrow_map(docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text"),
-                     count, "lang string, bucket long, n long")
+                     count, "lang string, bucket long, n long", rows=0)
     got = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets at most
     langs = sorted(got["lang"].unique())
     if not langs:

@@ -32,7 +32,7 @@ from cohortspark.llm.common import arrow_map, components, map_runs, stage, tiles
 
 TILE_ROWS = 512
 #: line names that a task remembers so as not to emit a frequent line again
-SEEN_LINES = 500_000
+SEEN_LINES = 250_000
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -118,11 +118,14 @@ def _places(src: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _once(batches, min_chars: int, make):
-    """``make(name, line)`` for each compared line, a frequent line once per task."""
+    """Lists of ``make(name, line)`` for each compared line, a frequent line once per task."""
     seen: set[int] = set()
     for b in batches:
         out: list = []
-        for text in b.column("text").to_pylist():
+        for text in (t for i in range(0, b.num_rows, 256) for t in b.column("text").slice(i, 256).to_pylist()):
+            if len(out) >= 4000:
+                yield out
+                out = []
             for line in text.split("\n"):
                 if len(line := line.strip()) >= min_chars and (name := _name(line))[1] not in seen:
                     if len(seen) >= SEEN_LINES:

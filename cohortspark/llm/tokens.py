@@ -37,7 +37,7 @@ DOUBLE = re.compile(r"\s[ \n]")
 #: a line feed or none, one Latin word, and a run of ASCII punctuation but the apostrophe
 WORD = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 #: distinct pieces kept in a worker before its memo starts anew
-MEMO_PIECES = 800_000
+MEMO_PIECES = 250_000
 
 
 def cuttable(model: bytes) -> bool:

@@ -173,3 +173,21 @@ def test_parts_of_a_long_text_keep_their_contexts():
 
 def test_mixing_on_an_empty_table(spark):
     assert mixing.mixing_scores(docs_frame(spark, []), bits=BITS).collect() == []
+
+
+def test_weights_are_learned_on_every_training_document(spark, monkeypatch):
+    rows = list(enumerate(texts(120, 7)))
+    monkeypatch.setattr(mixing, "WEIGHT_TOKENS", 10, raising=False)
+    met, learn = [], mixing.learn_mixer
+
+    def spy(train, tree, *rest):
+        met.append((tree, learn(train, tree, *rest)))
+        return met[-1][1]
+
+    monkeypatch.setattr(mixing, "learn_mixer", spy)
+    mixing.mixing_scores(docs_frame(spark, rows), bits=BITS)
+    tree, mixer = met[0]
+    want = 0
+    for group in mixing.parts_of([t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]):
+        want += len(tree.decisions(*mixing.encode(group)[1:3])[0])
+    assert mixer.done.sum() == want

@@ -191,3 +191,31 @@ def test_weights_are_learned_on_every_training_document(spark, monkeypatch):
     for group in mixing.parts_of([t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]):
         want += len(tree.decisions(*mixing.encode(group)[1:3])[0])
     assert mixer.done.sum() == want
+
+
+def test_counts_of_contexts_are_exact_and_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 1000)
+    monkeypatch.setattr(mixing, "BUCKET_KEYS", 3000)
+    tree, sizes = mixing.Tree(np.ones((256, 257))), []
+    for n in (20, 80):
+        docs = texts(n, 11)
+        want, k = Counter(), mixing.ORDERS[0]
+        for t in docs[1:]:
+            x = [0] * mixing.PAD + list(t.encode()) + [mixing.END]
+            for j in range(mixing.PAD, len(x)):
+                _, node, bit = tree.decisions(np.array([x[j - 1]]), np.array([x[j]]))
+                want.update((tuple(x[j - k:j]), int(m), int(b)) for m, b in zip(node, bit))
+        rows = spark.createDataFrame([(i, i == 0, len(t), t) for i, t in enumerate(docs)],
+                                     "doc_id long, held_out boolean, n_bytes long, text string").coalesce(1)
+        parts = mixing.in_parts(rows).select("part", "held_out", "text")
+        got = mixing.context_counts(parts, tree, mixing.TABLE_BITS).collect()
+        assert len({r["part"] for r in got}) > 1
+        pairs = {}
+        for r in got:
+            for key, c in zip(np.frombuffer(r["keys"], np.int64).tolist(), np.frombuffer(r["counts"], np.uint32).reshape(-1, 2).tolist()):
+                assert pairs.setdefault(key, c) == c
+        mine = sorted(c for key, c in pairs.items() if key >> mixing.KEY_BITS == 0 and sum(c))
+        nodes = {(c, m) for c, m, _ in want}
+        assert mine == sorted([want[(*x, 0)], want[(*x, 1)]] for x in nodes)
+        sizes.append(len(pairs))
+    assert sizes[1] > sizes[0]

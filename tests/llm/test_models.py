@@ -219,3 +219,29 @@ def test_counts_of_contexts_are_exact_and_grow_with_the_corpus(spark, monkeypatc
         assert mine == sorted([want[(*x, 0)], want[(*x, 1)]] for x in nodes)
         sizes.append(len(pairs))
     assert sizes[1] > sizes[0]
+
+
+def test_weights_and_map_adapt_along_the_whole_document():
+    rng = np.random.default_rng(3)
+    tree = mixing.Tree(np.ones((256, 257)))
+    tables = [rng.normal(size=1 << b).astype(np.float32) for b in BITS]
+    refine = np.full((mixing.DEPTHS, mixing.MAP_BINS), 0.5, np.float32)
+    phrase = bytes(rng.integers(97, 123, 64).astype(np.uint8))
+    costs, whole = [], phrase * 64
+    for n in (16, 48, 64):
+        mixer = mixing.Mixer(refine=refine)
+        costs.append(run_texts([phrase * n], tree, tables, mixer)[0] / n)
+        assert all((a != b[:, 0]).any() for a, b in zip(mixer.after, mixer.start(1, None, 0)))
+    assert costs[2] < costs[1] < 0.95 * costs[0]  # what is learned is kept over the whole text
+
+    def pieces(cuts):
+        mixer, carried, total = mixing.Mixer(refine=refine), None, 0.0
+        for a, b in zip(cuts, cuts[1:]):
+            owner, prev, symbols, ctx = mixing.encode([(0, whole[max(0, a - mixing.PAD):a], whole[a:b], b == len(whole))])
+            pos, node, bit = tree.decisions(prev, symbols)
+            total += mixer.run(mixing.gather(tables, tree, ctx, pos, node, BITS), tree.depth[node], bit, *mixing.blocks_of(owner, pos),
+                               learn=False, carried=carried)[0]
+            carried = mixer.after
+        return total
+
+    assert pieces([0, 2048, 4096]) == pytest.approx(pieces([0, 4096]), rel=0.01)

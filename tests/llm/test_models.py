@@ -245,3 +245,18 @@ def test_weights_and_map_adapt_along_the_whole_document():
         return total
 
     assert pieces([0, 2048, 4096]) == pytest.approx(pieces([0, 4096]), rel=0.01)
+
+
+def test_all_context_orders_are_mixed_and_the_map_is_interpolated():
+    group = [(0, b"", b"abcdefghijkl", True)]
+    other = [(0, b"", b"abcdezghijkl", True)]  # differs six bytes before the last byte
+    a, b = (mixing.encode(g)[3][:, 11] for g in (group, other))
+    assert len(a) == 5 and (a[:3] == b[:3]).all() and (a[3:] != b[3:]).all()
+    assert mixing.STEP == 64
+    refine = np.tile(np.linspace(0.1, 0.9, mixing.MAP_BINS, dtype=np.float32), (mixing.DEPTHS, 1))
+    weights = np.ones((mixing.DEPTHS, mixing.N_IN), np.float32)
+    at = [[0.1 * i for i in (0, 1, 2)], [0.0] * 3]
+    costs = [mixing.Mixer(weights, None, refine).run(np.full((mixing.N_IN, 1), x / mixing.N_IN, np.float32), np.zeros(1, np.int64),
+                                                     np.ones(1, np.int8), np.array([0]), np.array([1]), learn=False)[0] for x in at[0]]
+    plain = [2 * 2.0 ** -c - 1 / (1 + math.exp(-x)) for c, x in zip(costs, at[0])]
+    assert plain[0] < plain[1] < plain[2]  # between two bins the map has values in between

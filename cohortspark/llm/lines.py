@@ -10,7 +10,8 @@ unless its lines are in one class already. Classes are connected lines; the firs
 
 Lines are compared without surrounding white space. Lines of fewer than ``min_chars`` characters
 are never dropped and never compared. A document that loses lines until no compared line is left
-goes as a whole.
+goes as a whole if each line that remains is blank or equals a line of an earlier document; it stays,
+with the lines that remain, if it is the first to hold one of them.
 
 Equality rests on a 128-bit digest; its low half names a line among candidates only, and a line
 whose full digest differs from that name's is left as it is.
@@ -239,7 +240,8 @@ def dropped_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, tile_row
 def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, text_col: str = "text", id_col: str = "doc_id",
                 drop_empty: bool = True, **options) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text_col``, plus ``dropped`` (lines taken out).
-    Documents left without a line of ``min_chars`` characters go if ``drop_empty``."""
+    If ``drop_empty``, documents go that lose lines and are left without a line of ``min_chars``
+    characters and without a shorter line that no earlier document has."""
     gone = dropped_lines(docs, edits, min_chars, text_col=text_col, id_col=id_col, **options).select(
         F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "drop")
     x = docs.withColumns({"_id": F.col(id_col).cast("long"), "_row": F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))})
@@ -250,6 +252,12 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, text_col:
     x = x.withColumn("dropped", F.coalesce(F.size("drop"), F.lit(0)))
     if drop_empty:
         bare = lambda line: F.btrim(line, F.lit(" \t\r\x0b\x0c"))
-        x = x.where((F.col("dropped") == 0) | F.exists(
-            F.split(F.col(text_col), "\n", -1), lambda line: F.length(bare(line)) >= min_chars))
+        short = docs.select(
+            F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("_row"),
+            F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), bare))).alias("line")).where(
+            F.col("_id").isNotNull() & F.length("line").between(1, min_chars - 1))
+        own = short.groupBy("line").agg(F.min(F.struct("_id", "_row")).alias("x")).select("x.*").distinct().withColumn("_own", F.lit(True))
+        x = x.join(own, ["_id", "_row"], "left")
+        x = x.where((F.col("dropped") == 0) | F.col("_own") | F.exists(
+            F.split(F.col(text_col), "\n", -1), lambda line: F.length(bare(line)) >= min_chars)).drop("_own")
     return x.drop("_id", "_row", "drop")

@@ -35,7 +35,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines are cut from the texts; a document left without any compared line goes."""
+    """Repeated lines are cut from the texts; a document left without any compared line and without
+    a shorter line of its own goes."""
     return dedup_lines(docs).withColumn(
         "n_chars", F.when(F.col("dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     ).select(*docs.columns)

@@ -88,3 +88,11 @@ def test_null_empty_repeated_and_long_rows(spark):
                   6: ["something else that is not repeated"], 7: ["tiny\ntiny"]}
     assert dedup_lines(docs_frame(spark, [])).collect() == []
     assert line_classes(docs_frame(spark, [])).collect() == []
+
+
+def test_a_document_of_own_short_lines_is_kept(spark):
+    line = "a boilerplate line that stands in several documents"
+    rows = [(1, line + "\nmilk\neggs"), (2, line + "\nroses\n are red "), (3, "roses\n" + line + "\n \nmilk"), (4, line + "\nare red\nviolets"),
+            (5, line + "\n \t"), (6, "violets\nand more"), (None, line + "\nviolets")]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs_frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "roses\n are red ", 4: "are red\nviolets", 6: rows[5][1], None: rows[6][1]}

@@ -143,3 +143,36 @@ def op2(spark, sf_dir):
     from cohortspark.llm.mixing import mixing_scores
 
     return mixing_scores(table(spark, sf_dir, "documents"))
+
+
+def _op12_sql() -> str:
+    """Per rule: matches and the pieces between them give the spans; the automaton is not used."""
+    from cohortspark.llm.secret_scan import BASE, MORE
+
+    def quoted(x):
+        return x.replace("'", "''")
+
+    kinds = []
+    for k, r in enumerate(BASE + MORE):
+        kinds.append(f"""SELECT doc_id, row_n, {k} AS k, '{r.kind}' AS kind,
+  CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, m[i] AS hit
+  FROM (SELECT doc_id, row_n, string_split_regex(t, '{quoted(r.pattern)}') AS g, regexp_extract_all(t, '{quoted(r.pattern)}') AS m FROM d), unnest(range(1, len(m) + 1)) u(i)
+  WHERE length(m[i]) >= {r.least} AND length(regexp_extract(m[i], '^({quoted(r.whole_head)})({quoted(r.tail)})', 2)) >= {r.least_tail}""")
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_n, coalesce(text, '') AS t FROM documents),
+hits AS ({' UNION ALL '.join(kinds)}),
+spans AS (SELECT *, kind || ':' || s || ':' || (s + length(hit)) AS x FROM hits),
+per AS (SELECT row_n, {', '.join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)},
+        string_agg(x, ',' ORDER BY s, k) FILTER (kind IN ({base})) AS b, string_agg(x, ',' ORDER BY s, k) AS spans
+        FROM spans GROUP BY row_n)
+SELECT doc_id, {', '.join(f"CAST(coalesce(n_{r.kind}, 0) AS BIGINT) AS n_{r.kind}" for r in BASE)},
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (row_n)"""
+
+
+@register("op12_secret_scan", _op12_sql())
+def op12(spark, sf_dir):
+    from cohortspark.llm.secret_scan import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))

@@ -176,3 +176,83 @@ def op12(spark, sf_dir):
     from cohortspark.llm.secret_scan import secret_report
 
     return secret_report(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of a word with its doc_id from the polynomial, byte by byte; words meet that agree when one place is masked (replaced)
+#: or left out (inserted)
+OP13_SQL = """
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(0, 256) r(i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+keyed AS (SELECT w, string_split(CAST(doc_id AS VARCHAR) || ':' || w, '') AS cs, count(*) AS n FROM runs WHERE length(w) >= 7 GROUP BY ALL),
+bytes AS (SELECT w, n, list_concat([4294967295], flatten(list_transform(cs, lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+          ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + unicode(c) % 64 AS BIGINT)] END))) AS b FROM keyed),
+hashed AS (SELECT w, n, 4294967295 - list_reduce(b, lambda c, x: xor(c >> 8, t[CAST(xor(c % 256, x) AS INTEGER) + 1])) AS h FROM bytes, tab),
+damaged AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+masks AS (SELECT word, n, left(word, CAST(i - 1 AS INTEGER)) || '*' || substr(word, i + 1) AS k FROM words, unnest(range(1, length(word) + 1)) u(i)),
+outs AS (SELECT DISTINCT word, n, left(word, CAST(i - 1 AS INTEGER)) || substr(word, i + 1) AS k FROM words, unnest(range(1, length(word) + 1)) u(i)),
+near AS (SELECT a.word, a.n, b.word AS w2, b.n AS n2 FROM masks a JOIN masks b USING (k) WHERE a.word <> b.word
+  UNION ALL SELECT o.word, o.n, w.word, w.n FROM outs o JOIN words w ON w.word = o.k
+  UNION ALL SELECT w.word, w.n, o.word, o.n FROM outs o JOIN words w ON w.word = o.k),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -n2, w := w2)) AS b FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 10 * w.n THEN b.w END AS form, CASE WHEN -b.m >= 10 * w.n THEN -b.m END AS form_n
+          FROM words w LEFT JOIN best USING (word)),
+way(word, goal) AS (SELECT word, word FROM words UNION ALL SELECT y.word, f.form FROM way y JOIN forms f ON f.word = y.goal WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form, CAST(f.form_n AS BIGINT) AS form_n, y.goal AS root
+FROM forms f JOIN way y USING (word) JOIN forms e ON e.word = y.goal AND e.form IS NULL"""
+
+
+@register("op13_spelling_variants", OP13_SQL)
+def op13(spark, sf_dir):
+    from cohortspark.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: damage by CRC-32 from the polynomial; then the cheapest audit per state, row after row, with whole strings
+OP11_SQL = """
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(0, 256) r(i)),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                    lambda c: CAST(unicode(c) AS BIGINT))) AS b FROM conversations),
+hashed AS (SELECT *, (4294967295 - list_reduce(b, lambda c, x: xor(c >> 8, t[CAST(xor(c % 256, x) AS INTEGER) + 1]))) % 20 AS h FROM src, tab),
+rows_ AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+          CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+          FROM hashed, unnest(range(0, CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(i)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM rows_),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS nth FROM ordered),
+faults AS (SELECT conv_id, p, turn, role, text, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) AS prior,
+           CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN nth > 1 THEN 'd'
+                WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS fault FROM placed),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (prior IS NOT NULL AND prior || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(p) AS n FROM faults GROUP BY conv_id),
+ins(f, g, c, a, o) AS (VALUES ('0', '0', 0, '', ''), ('s', 's', 0, '', ''), ('u', 'u', 0, '', ''), ('a', 'a', 0, '', ''),
+  ('0', 'u', 2, 'I', chr(10) || 'user:'), ('s', 'u', 2, 'I', chr(10) || 'user:'), ('a', 'u', 2, 'I', chr(10) || 'user:'), ('u', 'a', 2, 'I', chr(10) || 'assistant:'),
+  ('0', 'a', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('s', 'a', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+nexts(g, i, t) AS (VALUES ('0', 's', 's'), ('0', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')),
+acts AS (SELECT f.conv_id, f.p, ins.f AS f, ins.g AS t, ins.c + 3 AS c, ins.a || 'D' AS a, ins.o AS o FROM faults f, ins
+  UNION ALL SELECT f.conv_id, f.p, ins.f, x.t, ins.c + (f.fault = 't')::INT, ins.a || 'K', ins.o || chr(10) || f.role || ':' || f.text
+  FROM faults f, ins JOIN nexts x USING (g) WHERE f.fault NOT IN ('b', 'd') AND f.ini = x.i
+  UNION ALL SELECT f.conv_id, f.p, ins.f, x.t, ins.c + 2 + (f.fault = 't')::INT, ins.a || 'R', ins.o || chr(10) || CASE x.i WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text
+  FROM faults f, ins JOIN nexts x USING (g) WHERE f.fault NOT IN ('b', 'd') AND x.i <> 's'),
+dp(conv_id, p, st, b) AS (SELECT conv_id, CAST(0 AS BIGINT), '0', struct_pack(c := 0, a := '', o := '') FROM sums
+  UNION ALL SELECT d.conv_id, d.p + 1, y.t, min(struct_pack(c := d.b.c + y.c, a := d.b.a || y.a, o := d.b.o || y.o))
+  FROM dp d JOIN acts y ON y.conv_id = d.conv_id AND y.p = d.p + 1 AND y.f = d.st GROUP BY d.conv_id, d.p, y.t),
+ends AS (SELECT d.conv_id, min(struct_pack(c := d.b.c + ins.c, a := d.b.a || ins.a, o := d.b.o || ins.o)) AS b
+         FROM dp d JOIN sums s ON s.conv_id = d.conv_id AND s.n = d.p JOIN ins ON ins.f = d.st AND ins.g IN ('0', 'a') GROUP BY d.conv_id)
+SELECT v.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(e.b.c, 0) AS BIGINT) AS cost, coalesce(e.b.a, '') AS audit, sha256(coalesce(substr(e.b.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN sums s ON s.conv_id = v.conv_id LEFT JOIN ends e ON e.conv_id = v.conv_id"""
+
+
+@register("op11_conversation_repair", OP11_SQL)
+def op11(spark, sf_dir):
+    from cohortspark.llm.conversations import damage, repair_report
+
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(conversations, damage(conversations))

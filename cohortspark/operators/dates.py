@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.columns import seconds_between
-from cohortspark.operators.text import SENTENCE, WORD_L, WORD_R, sentence_index, spans
+from cohortspark.operators.text import WORD_L, WORD_R, spans
 from cohortspark.params import StudyParams
 
-# ---- fixed values: date families ---------------------------------------------------
+# ---- fixed values: date forms ------------------------------------------------------
 MONTHS = {
     "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9,
     "october": 10, "november": 11, "december": 12,
@@ -21,10 +21,32 @@ UNIT_DAYS = {"day": 1, "days": 1, "jour": 1, "jours": 1, "week": 7, "weeks": 7,
 UNIT_MONTHS = {"month": 1, "months": 1, "mois": 1, "year": 12, "years": 12, "an": 12, "ans": 12}
 UNITS = r"days?|jours?|weeks?|semaines?|months?|mois|years?|ans?"
 NAMES = "|".join(MONTHS)
-ABSOLUTE = (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2} (?:" + NAMES + r") [0-9]{4}|(?:" + NAMES
-            + r") [0-9]{4}|(?:19|20)[0-9]{2}")
-RELATIVE = r"il y a [0-9]+ (?:" + UNITS + r")|[0-9]+ (?:" + UNITS + r") ago|dans [0-9]+ (?:" + UNITS + r")|in [0-9]+ (?:" + UNITS + r")"
-DURATION = r"(?:pendant|during) [0-9]+ (?:" + UNITS + ")"
+# words for a day near the stay: days from it
+DAY_WORDS = {"avant-hier": -2, "hier": -1, "yesterday": -1, "aujourd'hui": 0, "today": 0, "demain": 1, "tomorrow": 1, "après-demain": 2}
+AMOUNT = r"[0-9]+ (?:" + UNITS + ")"
+DAY = r"[0-9]{1,2}(?:er|st|nd|rd|th)?"
+# forms that begin alike stand with the longer one first, so that the first form that fits is the longest
+FORMS = {
+    "past": "il y a " + AMOUNT + "|" + AMOUNT + " ago",
+    "future": "(?:dans|in) " + AMOUNT,
+    "day_word": "|".join(sorted((w.replace("'", "['’]") for w in DAY_WORDS), key=len, reverse=True)),
+    "duration": "(?:pendant|during) " + AMOUNT,
+    "amount": AMOUNT,
+    "ymd": r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}",
+    "dmy": r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}",
+    "dmy_short": r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{2}",
+    "d_name_y": DAY + " (?:" + NAMES + ") [0-9]{4}",
+    "d_name": DAY + " (?:" + NAMES + ")",
+    "name_d_y": "(?:" + NAMES + ") " + DAY + ",? [0-9]{4}",
+    "name_y": "(?:" + NAMES + ") [0-9]{4}",
+    "name_d": "(?:" + NAMES + ") " + DAY,
+    "year": "(?:19|20)[0-9]{2}",
+}
+RELATIVE_FORMS = ["past", "future", "day_word"]
+# two-digit years up to this one are of the 2000s
+SHORT_YEAR_PIVOT = 68
+# a relative date farther than this from the stay is none
+MAX_DAYS, MAX_MONTHS = 3_660_000, 120_000
 # ------------------------------------------------------------------------------------
 
 
@@ -37,56 +59,66 @@ def _lookup(key, table: dict):
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
+def _calendar_date(year, month, day):
+    """The date of the parts, the first day or month for a missing one; null if there is none."""
+    m, d = F.coalesce(month, F.lit(1)), F.coalesce(day, F.lit(1))
+    ymd = F.format_string("%04d-%02d-%02d", year, m, d)
+    return F.when(year.between(1, 9999) & m.between(1, 12) & d.between(1, 31), F.try_to_date(ymd, "yyyy-MM-dd"))
+
+
 def date_mentions(notes: DataFrame, text_col: str = "note_text", keep_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Absolute / relative / duration date spans with parsed parts, token position and sentence.
-
-    Absolute: day/month/year, year-month-day, day month-name year, month-name year or a year alone;
-    ``date_dt`` takes the first day or month where the text has none, and is null when the parts
-    are not a calendar date. Relative / duration: ``value`` and ``unit``; relative ones have a
-    direction, past or future."""
-    base = notes.select("note_id", *keep_cols, F.col(text_col).alias("_t"))
-    text = F.col("_t")
-
-    def family(label: str, pattern: str):
-        return F.transform(spans(text, _whole(pattern), with_tokens=True), lambda s: F.struct(F.lit(label).alias("label"), s.alias("s")))
-
-    fams = F.concat(family("absolute", ABSOLUTE), family("relative", RELATIVE), family("duration", DURATION))
-    base = base.select("note_id", *keep_cols, fams.alias("_d"), F.transform(spans(text, SENTENCE), lambda s: s["start"]).alias("_s"))
-    x = base.select("note_id", *keep_cols, "_s", F.explode("_d").alias("x")).select(
-        "note_id", *keep_cols, "x.label", F.col("x.s.match").alias("match"),
-        F.col("x.s.start").alias("start_char"), F.col("x.s.end").alias("end_char"), F.col("x.s.tok").alias("start"),
-        sentence_index(F.col("_s"), F.col("x.s.start")).alias("sent_id"),
-    )
-    m, absolute = F.lower("match"), F.col("label") == "absolute"
-    name = F.regexp_extract(m, r"([\p{L}]+)", 1)
-    part = lambda pattern: F.nullif(F.regexp_extract(m, pattern, 1), F.lit(""))
-    day = F.coalesce(part(r"^[0-9]{4}-[0-9]{2}-([0-9]{2})$"), part(r"^([0-9]{1,2})[/ ]")).cast("int")
-    month = F.coalesce(part(r"^[0-9]{4}-([0-9]{2})-").cast("int"), part(r"/([0-9]{1,2})/").cast("int"), _lookup(name, MONTHS))
-    year = F.coalesce(part(r"^([0-9]{4})"), part(r"([0-9]{4})$")).cast("int")
-    x = (
-        x.withColumn("year", F.when(absolute, year))
-        .withColumn("month", F.when(absolute, month))
-        .withColumn("day", F.when(absolute, day))
-        .withColumn("value", F.when(~absolute, F.regexp_extract(m, "([0-9]+)", 1).try_cast("int")))
-        .withColumn("unit", F.when(~absolute, F.regexp_extract(m, r"[0-9]+ ([a-z]+)", 1)))
-        .withColumn("direction", F.when(F.col("label") == "relative", F.when(m.rlike("^(dans|in) "), "future").otherwise("past")))
-    )
-    first = lambda c: F.coalesce(F.col(c), F.lit(1))
-    ymd = F.format_string("%04d-%02d-%02d", F.col("year"), first("month"), first("day"))
-    valid = first("month").between(1, 12) & first("day").between(1, 31)
-    return x.withColumn("date_dt", F.when(absolute & valid, F.try_to_date(ymd, "yyyy-MM-dd")))
+    """Date spans with parsed parts, token position and sentence.
+
+    One matcher reads all ``FORMS``, so that a place belongs to one date only: the leftmost, and there the
+    longest. Labels: absolute, relative, duration; a bare amount ("2010 jours") is none, but its number is
+    no year. ``date_dt`` of an absolute date takes the first day or month where the text has none; it is null
+    where the parts are not a calendar date or the year is missing (``resolve_relative`` takes the stay's).
+    Relative and duration: ``value`` and ``unit``, relative ones a direction, past or future; a value
+    beyond the integers is null."""
+    patterns = {k: _whole(p) for k, p in FORMS.items()}
+    found = spans(F.col(text_col), patterns, with_tokens=True, with_sentences=True)
+    x = notes.select("note_id", *keep_cols, F.explode(found).alias("x")).select(
+        "note_id", *keep_cols, F.element_at(F.array(*[F.lit(f) for f in FORMS]), F.col("x.label") + 1).alias("form"),
+        F.col("x.match").alias("match"), F.col("x.start").alias("start_char"), F.col("x.end").alias("end_char"),
+        F.col("x.tok").alias("start"), F.col("x.sent").alias("sent_id"),
+    ).where("form <> 'amount'")
+    m, form = F.replace(F.lower("match"), F.lit("’"), F.lit("'")), F.col("form")
+    relative = form.isin(*RELATIVE_FORMS)
+    label = F.when(relative, "relative").when(form == "duration", "duration").otherwise("absolute")
+    absolute = label == "absolute"
+    numbers = F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), 0), lambda n: n.try_cast("int"))
+    number = lambda i: F.get(F.col("_n"), F.lit(i))
+    day_word = _lookup(m, DAY_WORDS)
+    x = x.withColumn("_n", numbers)
+    short = number(2) + F.when(number(2) <= SHORT_YEAR_PIVOT, 2000).otherwise(1900)
+    year = (F.when(form.isin("ymd", "name_y", "year"), number(0)).when(form == "dmy", number(2)).when(form == "dmy_short", short)
+            .when(form.isin("d_name_y", "name_d_y"), number(1)))
+    month = F.when(form.isin("ymd", "dmy", "dmy_short"), number(1)).when(absolute, _lookup(F.regexp_extract(m, "(" + NAMES + ")", 1), MONTHS))
+    day = F.when(form == "ymd", number(2)).when(form.isin("dmy", "dmy_short", "d_name_y", "d_name", "name_d_y", "name_d"), number(0))
+    value = F.when(form == "day_word", F.abs(day_word)).when(~absolute, number(0))
+    unit = F.when(form == "day_word", F.lit("day")).when(~absolute, F.regexp_extract(m, r"[0-9]+ ([a-z]+)", 1))
+    direction = F.when(form == "future", "future").when(form == "day_word", F.when(day_word > 0, "future").otherwise("past")).when(
+        form == "past", "past")
+    x = x.select("note_id", *keep_cols, label.alias("label"), "match", "start_char", "end_char", "start", "sent_id",
+                 year.alias("year"), month.alias("month"), day.alias("day"), value.alias("value"), unit.alias("unit"),
+                 direction.alias("direction"))
+    return x.withColumn("date_dt", F.when(F.col("label") == "absolute", _calendar_date(F.col("year"), F.col("month"), F.col("day"))))
 
 
 def resolve_relative(dates: DataFrame, ref: str = "visit_start_date") -> DataFrame:
-    """A relative date is the reference date minus (past) or plus (future) value units; an
-    unknown unit or a missing reference gives null."""
-    sign = F.when(F.col("direction") == "future", 1).otherwise(-1)
-    days = (_lookup(F.col("unit"), UNIT_DAYS) * F.col("value") * sign).cast("int")
-    months = (_lookup(F.col("unit"), UNIT_MONTHS) * F.col("value") * sign).cast("int")
+    """A relative date is the reference date minus (past) or plus (future) value units; an absolute
+    date without a year takes the reference's. An unknown unit, a missing reference, or a date outside the
+    years 1 to 9999 gives null."""
+    sign = F.when(F.col("direction") == "future", F.lit(1)).otherwise(-1)
+    amount = F.col("value").cast("long") * sign
+    days, months = _lookup(F.col("unit"), UNIT_DAYS) * amount, _lookup(F.col("unit"), UNIT_MONTHS) * amount
     ref_d = F.to_date(F.col(ref))
-    resolved = F.coalesce(F.date_add(ref_d, days), F.add_months(ref_d, months))
-    return dates.withColumn(
-        "date_dt", F.when(F.col("label") == "relative", resolved).otherwise(F.col("date_dt")))
+    near = lambda n, most: F.when(F.abs(n) <= most, n).cast("int")
+    moved = F.coalesce(F.date_add(ref_d, near(days, MAX_DAYS)), F.add_months(ref_d, near(months, MAX_MONTHS)))
+    moved = F.when(moved.between(F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date")), moved)
+    completed = F.coalesce("date_dt", F.when(F.col("year").isNull(), _calendar_date(F.year(ref_d), F.col("month"), F.col("day"))))
+    return dates.withColumn("date_dt", F.when(F.col("label") == "relative", moved).when(F.col("label") == "absolute", completed)
+                            .otherwise(F.col("date_dt")))
 
 
 def clean_dates(dates: DataFrame, birth: str = "birth_date") -> DataFrame:

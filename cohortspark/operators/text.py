@@ -1,22 +1,25 @@
 """Text operators on note tables.
 
-Every note is handled inside its own row with native higher-order functions: the regex
-matches, their character offsets, sentence ids, cue qualifiers and token windows are
-arrays computed next to the text, then exploded. No text is copied per mention and
-nothing is shuffled to find mentions.
-
-Offsets: with m = regexp_extract_all(text, p) and g = split(text, p, -1), match i starts at
-len(g_0..g_i) + len(m_0..m_{i-1}). This is exact for patterns that never match the empty
-string (``check_pattern`` rejects those).
+Every note is handled inside its own row with native functions. One regular-expression pass per family
+(lexicon, cues, headings) puts markers around the matches and their groups; a split at the markers gives
+the pieces, and a linear scan over the pieces' lengths gives offsets, token numbers and sentence numbers.
+A second scan over the few found spans in text order merges mentions with cues, headings and the places
+of a normalised text. No text is copied per mention, nothing is shuffled to find mentions, and the time
+grows with the length of a note.
+
+Patterns are Java's. A match of no characters is no span. The two markers are code points that are never
+characters (U+FDD0, U+FDD1); where a text has one, U+FFFD stands for it.
 """
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.functions.arrays import scan, wide, wide_slice
+
 # ---- fixed values ------------------------------------------------------------------
 # tokens: a run of letters/digits/underscore, or one other non-space character
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -42,75 +45,107 @@ CUES = {
     "history": ["was", "history"],
     "rspeech": ["that", "says", "dit"],
 }
+# cues of the other kinds, for ``CueRules``: right-hand cues, words that end a scope, phrases that hold a
+# cue's word and are none
+RIGHT_CUES = {
+    "negation": ["exclu", "exclue", "excluded", "absent", "absente", "ruled out"],
+    "hypothesis": ["possible", "probable", "suspected", "à vérifier"],
+    "family": ["chez la mère", "chez le père", "in the family"],
+    "history": ["in the past", "dans le passé"],
+    "rspeech": ["he says", "she says", "dit-il", "dit-elle"],
+}
+SCOPE_ENDS = ["but", "however", "mais", "cependant", "sauf", "except"]
+PSEUDO_CUES = ["no change", "not only", "pas seulement", "sans changement", "if any", "no increase"]
+# what a normalised text leaves out: ruled lines and page marks
+NOISE = [r"={3,}", r"-{3,}", r"_{3,}", r"\*{3,}", r"#{3,}", r"(?i)\bpage [0-9]+(?:/| of | sur )[0-9]+\b"]
 SNIPPET_CHARS = 35
 WINDOW_BEFORE = 35
 WINDOW_AFTER = 10
 # ------------------------------------------------------------------------------------
 
 QUALIFIERS = list(CUES)
+MARK, SEP = "\ufdd0", "\ufdd1"
+SENT_START = r"(?<![^.!?\n])[^.!?\n]"
 
 
-def check_pattern(p: str) -> str:
-    if re.compile(p.replace(r"\p{L}", "a").replace(r"\p{N}", "0")).fullmatch("") is not None:
-        raise ValueError(f"pattern {p!r} matches the empty string; offsets would be ambiguous")
-    return p
-
-
-def cue_patterns(cues: dict[str, list[str]] = CUES) -> dict[str, str]:
-    return {k: r"(?iu)" + WORD_L + "(?:" + "|".join(ws) + ")" + WORD_R for k, ws in cues.items()}
-
+@dataclass(frozen=True)
+class CueRules:
+    """Cues per class. A left cue qualifies what follows it in its sentence, a right cue what precedes it;
+    a scope ends at the sentence or at one of ``stops``. A phrase of ``masked`` hides the cues in it."""
 
-def spans(text: Column, pattern: str, with_tokens: bool = False) -> Column:
-    """array<struct<match, start, end, tok>> of all matches of ``pattern`` in ``text``.
+    left: dict[str, list[str]]
+    right: dict[str, list[str]] = field(default_factory=dict)
+    stops: list[str] = field(default_factory=list)
+    masked: list[str] = field(default_factory=list)
 
-    ``start``/``end`` are 0-based character offsets, ``tok`` the number of tokens before the
-    match (pieces and matches are tokenised separately: exact when matches start and end on
-    token boundaries, as whole-word patterns do).
+    def classes(self) -> list[str]:
+        return list(dict.fromkeys([*self.left, *self.right]))
 
-    The fold runs over arrays_zip(pieces, matches): both arrays are arguments, computed once
-    per note, and the lambda only reads its own element."""
-    check_pattern(pattern)
-    z = F.arrays_zip(
-        F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("m")
-    )
-
-    def ntok(c):
-        return F.size(F.regexp_extract_all(c, F.lit(TOKEN), 0)) if with_tokens else F.lit(0)
+    def groups(self) -> tuple[dict[str, str], list[list[str]]]:
+        """(label -> pattern, per label its roles): phrases of the same roles share a pattern."""
+        roles: dict[str, list[str]] = {w: [] for w in self.masked}
+        for w in self.stops:
+            roles.setdefault(w, []).append("stop")
+        for side, table in (("left", self.left), ("right", self.right)):
+            for cls, words in table.items():
+                for w in words:
+                    if w not in self.masked:
+                        roles.setdefault(w, []).append(f"{side} {cls}")
+        sets: dict[tuple, list[str]] = {}
+        for w in sorted(roles, key=lambda w: -len(w)):  # the longest phrase first
+            sets.setdefault((len(w.split()), *roles[w]), []).append(w)
+        ordered = sorted(sets.items(), key=lambda kv: -kv[0][0])
+        return {f"cue{i}": whole_words(ws) for i, (_, ws) in enumerate(ordered)}, [list(k[1:]) for k, _ in ordered]
 
-    init = F.struct(
-        F.lit(0).alias("pos"), F.lit(0).alias("tok"),
-        F.array().cast("array<struct<match:string,start:int,end:int,tok:int>>").alias("out"),
-    )
 
-    def step(acc, x):
-        start = acc["pos"] + F.length(x["g"])
-        tok = acc["tok"] + ntok(x["g"])
-        item = F.struct(x["m"].alias("match"), start.alias("start"), (start + F.length(x["m"])).alias("end"),
-                        tok.alias("tok"))
-        return F.struct(
-            (start + F.coalesce(F.length(x["m"]), F.lit(0))).alias("pos"),
-            (tok + F.coalesce(ntok(x["m"]), F.lit(0))).alias("tok"),
-            F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(item))).alias("out"),
-        )
+#: all kinds of cues
+SCOPED_CUES = CueRules(CUES, RIGHT_CUES, SCOPE_ENDS, PSEUDO_CUES)
 
-    return F.aggregate(z, init, step, lambda acc: acc["out"])
 
+def whole_words(words: list[str]) -> str:
+    return r"(?iu)" + WORD_L + "(?:" + "|".join(words) + ")" + WORD_R
 
-def with_spans(df: DataFrame, text: Column | str, pattern: str, out: str, with_tokens: bool = False) -> DataFrame:
-    text = F.col(text) if isinstance(text, str) else text
-    return df.withColumn(out, spans(text, pattern, with_tokens))
 
+# ------------------------------------------------------------------ patterns
 
-INLINE_FLAGS = re.compile(r"^\(\?([a-z]+)\)")
+def inline_flags(p: str) -> tuple[str, str]:
+    """(leading inline flags, the rest)."""
+    if p.startswith("(?") and ")" in p:
+        flags = p[2:p.index(")")]
+        if flags.isalpha():
+            return flags, p[p.index(")") + 1:]
+    return "", p
 
 
 def scoped(p: str) -> str:
     """The pattern with its leading inline flags limited to itself, case folding by Unicode."""
-    m = INLINE_FLAGS.match(p)
-    if not m:
-        return f"(?:{p})"
-    flags = "".join(sorted(set(m[1]) | ({"u"} if "i" in m[1] else set())))
-    return f"(?{flags}:{p[m.end():]})"
+    flags, rest = inline_flags(p)
+    flags = "".join(sorted(set(flags) | ({"u"} if "i" in flags else set())))
+    return f"(?{flags}:{rest})"
+
+
+def group_count(p: str) -> int:
+    """Capture groups of a Java pattern: opening parentheses that are not escaped, quoted or in a class,
+    and not followed by ``?`` unless by a group name."""
+    n, i, depth = 0, 0, 0
+    while i < len(p):
+        two = p[i:i + 2]
+        if two == "\\Q":
+            end = p.find("\\E", i)
+            i = len(p) if end < 0 else end + 2
+            continue
+        if p[i] == "\\":
+            i += 2
+            continue
+        if p[i] == "[":
+            depth += 1
+        elif p[i] == "]" and depth:
+            depth -= 1
+        elif p[i] == "(" and not depth:
+            named = p[i + 1:i + 3] == "?<" and p[i + 3:i + 4] not in ("=", "!")
+            n += p[i + 1:i + 2] != "?" or named
+        i += 1
+    return n
 
 
 def combined(patterns: dict[str, str]) -> str:
@@ -123,64 +158,135 @@ def label_groups(patterns: dict[str, str]) -> dict[str, int]:
     at, out = 1, {}
     for label, p in patterns.items():
         out[label] = at
-        at += 1 + re.compile(p.replace(r"\p{L}", "a").replace(r"\p{N}", "0")).groups
+        at += 1 + group_count(p)
     return out
 
 
-def match_labels(text: Column, patterns: dict[str, str]) -> Column:
-    """The label of each match of ``combined(patterns)``: the one whose group took part, read from
-    the same matching (a match is not tested again out of its context)."""
-    p = combined(patterns)
-    groups = label_groups(patterns)
-    zipped = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(p), g).alias(f"g{g}") for g in groups.values()])
+# ------------------------------------------------------------------ pieces and spans
+
+PIECE = "struct<hit:boolean,label:int,match:string>"
+SPAN = "struct<match:string,start:int,end:int,tok:int,ntok:int,sent:int,label:int>"
+
 
-    def first(m):
-        expr = None
-        for label, g in groups.items():
-            hit = m[f"g{g}"] != ""
-            expr = F.when(hit, F.lit(label)) if expr is None else expr.when(hit, F.lit(label))
-        return expr
+def pieces(text: Column, patterns: str | dict[str, str]) -> Column:
+    """The text cut at its matches, in order: array of (hit, label, match), label the number of the
+    pattern whose group took part. One pass over the text, however many labels there are."""
+    text = F.translate(text, MARK + SEP, "\ufffd\ufffd")
+    if isinstance(patterns, str):
+        pattern, found = patterns, "$0"
+    else:
+        pattern, found = combined(patterns), SEP.join(f"${g}" for g in label_groups(patterns).values())
+    cut = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(MARK + found + MARK)), MARK, -1)
+    return F.transform(cut, lambda p, i: F.struct(
+        (i % 2 == 1).alias("hit"),
+        (F.length(p) - F.length(F.ltrim(p, F.lit(SEP)))).alias("label"),
+        F.translate(p, SEP, "").alias("match")))
 
-    return F.transform(zipped, first)
 
+def located(cut: Column, with_tokens: bool = False, with_sentences: bool = False, keep_tokens: bool = False) -> Column:
+    """The spans among ``pieces``: match, start and end characters, number of tokens before and in it,
+    sentence and label. Pieces and matches are tokenised apart: exact when matches start and end on token
+    boundaries, as whole-word patterns do."""
+    none = F.lit(0)
 
-def with_labelled_spans(df: DataFrame, text: str, patterns: dict[str, str], out: str, with_tokens: bool = False) -> DataFrame:
-    """Spans of ``combined(patterns)`` with their ``label``."""
-    df = with_spans(df, text, combined(patterns), "_plain", with_tokens).withColumn("_labels", match_labels(F.col(text), patterns))
-    return df.withColumn(out, F.zip_with("_plain", "_labels", lambda s, x: s.withField("label", x))).drop("_plain", "_labels")
+    def measured(p):
+        t = p["match"]
+        toks = F.regexp_extract_all(t, F.lit(TOKEN), 0) if with_tokens or keep_tokens else None
+        starts = F.size(F.regexp_extract_all(t, F.lit(SENT_START), 0)) if with_sentences else none
+        # whether the first and the last character are inside a sentence
+        first = F.length(F.translate(F.substring(t, 1, 1), ".!?\n", "")) == 1 if with_sentences else F.lit(False)
+        last = F.length(F.translate(F.substring(t, -1, 1), ".!?\n", "")) == 1 if with_sentences else F.lit(False)
+        return F.struct(p["hit"].alias("hit"), p["label"].alias("label"), t.alias("match"), F.length(t).alias("n"),
+                        (F.size(toks) if toks is not None else none).alias("ntok"), starts.alias("starts"),
+                        first.alias("first"), last.alias("last"))
+
+    def step(at, x):
+        joins = F.when(at["open"] & x["first"], 1).otherwise(0)
+        state = F.struct((at["pos"] + x["n"]).alias("pos"), (at["tok"] + x["ntok"]).alias("tok"),
+                         (at["sents"] + x["starts"] - joins).alias("sents"),
+                         F.when(x["n"] == 0, at["open"]).otherwise(x["last"]).alias("open"))
+        sent = at["sents"] + F.when(x["first"] & ~at["open"], 1).otherwise(0) - 1
+        out = F.struct(x["match"].alias("match"), at["pos"].alias("start"), (at["pos"] + x["n"]).alias("end"), at["tok"].alias("tok"),
+                       x["ntok"].alias("ntok"), sent.alias("sent"), x["label"].alias("label"))
+        return state, x["hit"] & (x["n"] > 0), out
+
+    zero = F.struct(none.alias("pos"), none.alias("tok"), none.alias("sents"), F.lit(False).alias("open"))
+    return scan(F.transform(cut, measured), zero, step, SPAN)
+
+
+def spans(text: Column, patterns: str | dict[str, str], with_tokens: bool = False, with_sentences: bool = False) -> Column:
+    """array of SPAN of all matches of ``patterns`` in ``text`` (``start``/``end``: 0-based characters)."""
+    return located(pieces(text, patterns), with_tokens, with_sentences)
 
 
 def regex_spans(notes: DataFrame, pattern: str, text_col: str = "note_text", id_col: str = "note_id",
                 window: int = SNIPPET_CHARS) -> DataFrame:
     """One row per match: note id, match text, start/end char, snippet of +-window chars
     (clipped at the text start)."""
-    text = F.col(text_col)
-    notes = with_spans(notes.select(id_col, text_col), text_col, pattern, "_a")
-    with_snip = F.transform(
-        "_a",
-        lambda s: F.struct(
-            s["match"].alias("match"), s["start"].alias("start_char"), s["end"].alias("end_char"),
-            F.substring(text, F.greatest(s["start"] - window, F.lit(0)) + 1,
-                        s["end"] + window - F.greatest(s["start"] - window, F.lit(0))).alias("snippet"),
-        ),
-    )
-    return notes.select(id_col, F.posexplode(with_snip).alias("match_index", "m")).select(
-        id_col, "match_index", "m.*"
-    )
+    x = notes.select(id_col, spans(F.col(text_col), pattern).alias("_a"), wide(F.col(text_col)).alias("_w"))
+
+    def step(text, s):
+        low = F.greatest(s["start"] - window, F.lit(0))
+        return text, F.lit(True), F.struct(s["match"].alias("match"), s["start"].alias("start_char"), s["end"].alias("end_char"),
+                                           wide_slice(text["w"], low, s["end"] + window - low).alias("snippet"))
+
+    rows = scan(F.col("_a"), F.struct(F.col("_w").alias("w")), step, "struct<match:string,start_char:int,end_char:int,snippet:string>")
+    return x.select(id_col, F.posexplode(rows).alias("match_index", "m")).select(id_col, "match_index", "m.*")
+
+
+# fixed values: accented letters and their plain forms, typographic quotes
+ACCENTS, PLAIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+QUOTES, PLAIN_QUOTES = "’‘«»“”", "\'\'\"\"\"\""
+
+
+def fold_letters(text: Column) -> Column:
+    """Lower case without accents, typographic quotes to ASCII; each character stays one character."""
+    t = F.lower(F.translate(text, "İ", "I"))
+    return F.translate(F.translate(t, ACCENTS, PLAIN), QUOTES, PLAIN_QUOTES)
 
 
 def normalise_text(text: Column) -> Column:
     """Lower case, accents removed, typographic quotes to ASCII, whitespace collapsed."""
-    # fixed values: accented letters and their plain forms, typographic quotes
-    accents, plain = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-    t = F.translate(F.lower(text), accents, plain)
-    t = F.translate(t, "’‘«»“”", "''\"\"\"\"")
-    return F.regexp_replace(t, r"\s+", " ")
+    return F.regexp_replace(fold_letters(text), r"\s+", " ")
+
+
+ALIGN = "struct<norm:int,raw:int>"
+
+
+def normalised(notes: DataFrame, text_col: str = "note_text", noise: list[str] = NOISE, out: str = "norm_text",
+               align: str = "alignment") -> DataFrame:
+    """X3 with offsets: ``out`` is the text with folded letters, without ``noise`` and with each run of
+    white space as one space; ``align`` lists where its segments begin, (norm, raw) characters: place p of
+    a segment that begins at norm comes from raw + p - norm."""
+    drop = {"noise": "|".join(f"(?:{scoped(p)})" for p in noise), "space": r"\s+"}
+    x = notes.withColumn("_cut", pieces(F.col(text_col), drop))
+    text = F.transform("_cut", lambda p: F.when(~p["hit"], fold_letters(p["match"])).when(p["label"] == 1, F.lit(" ")).otherwise(F.lit("")))
+
+    def step(at, p):
+        n = F.length(p["match"])
+        made = F.when(~p["hit"], n).when(p["label"] == 1, 1).otherwise(0)
+        state = F.struct((at["norm"] + made).alias("norm"), (at["raw"] + n).alias("raw"))
+        return state, made > 0, F.struct(at["norm"].alias("norm"), at["raw"].alias("raw"))
+
+    zero = F.struct(F.lit(0).alias("norm"), F.lit(0).alias("raw"))
+    return x.withColumn(out, F.array_join(text, "")).withColumn(align, scan(F.col("_cut"), zero, step, ALIGN)).drop("_cut")
+
+
+def raw_places(starts: Column, align: Column) -> Column:
+    """The raw place of each of the sorted ``starts`` in a normalised text."""
+    kinds = F.concat(F.transform(align, lambda a: F.struct(a["norm"].alias("p"), F.lit(0).alias("k"), a["raw"].alias("raw"))),
+                     F.transform(starts, lambda s: F.struct(s.alias("p"), F.lit(1).alias("k"), F.lit(0).alias("raw"))))
+
+    def step(at, e):
+        state = F.struct(F.when(e["k"] == 0, e["raw"] - e["p"]).otherwise(at["shift"]).alias("shift"))
+        return state, e["k"] == 1, e["p"] + at["shift"]
+
+    return scan(F.sort_array(kinds), F.struct(F.lit(0).alias("shift")), step, "int")
 
 
 def sentences(notes: DataFrame, text_col: str = "note_text", id_col: str = "note_id") -> DataFrame:
     """One row per sentence: sent_id (0-based index), start/end char, text."""
-    notes = with_spans(notes.select(id_col, text_col), text_col, SENTENCE, "_a")
+    notes = notes.select(id_col, spans(F.col(text_col), SENTENCE).alias("_a"))
     return notes.select(id_col, F.posexplode("_a").alias("sent_id", "s")).select(
         id_col, "sent_id", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"),
         F.col("s.match").alias("sentence"),
@@ -190,88 +296,123 @@ def sentences(notes: DataFrame, text_col: str = "note_text", id_col: str = "note
 def sections(notes: DataFrame, text_col: str = "note_text", id_col: str = "note_id", heading: str = HEADING) -> DataFrame:
     """One row per heading: title (without colon), start char, end char (= next heading
     start or the text end)."""
-    text = F.col(text_col)
-    notes = with_spans(notes.select(id_col, text.alias("_t")), "_t", heading, "_h")
-    h, text = F.col("_h"), F.col("_t")
-    n = F.size(h)
-    with_end = F.transform(
-        h,
-        lambda s, i: F.struct(
-            F.regexp_replace(s["match"], ":$", "").alias("section"),
-            s["start"].alias("start_char"),
-            F.when(i + 1 < n, F.get(h, i + 1)["start"]).otherwise(F.length(text)).alias("end_char"),
-        ),
-    )
-    return notes.select(id_col, F.posexplode(with_end).alias("section_index", "s")).select(id_col, "section_index", "s.*")
-
-
-def sentence_index(starts: Column, pos: Column) -> Column:
-    return F.size(F.filter(starts, lambda b: b <= pos)) - 1
+    x = notes.select(id_col, F.length(text_col).alias("_n"), spans(F.col(text_col), heading).alias("_h"))
+    ends = F.concat(F.slice(F.transform("_h", lambda s: s["start"]), F.lit(2), F.greatest(F.size("_h") - 1, F.lit(0))), F.array("_n"))
+    rows = F.zip_with("_h", F.when(F.size("_h") > 0, ends).otherwise(F.array().cast("array<int>")), lambda s, end: F.struct(
+        F.regexp_replace(s["match"], ":$", "").alias("section"), s["start"].alias("start_char"), end.alias("end_char")))
+    return x.select(id_col, F.posexplode(rows).alias("section_index", "s")).select(id_col, "section_index", "s.*")
 
 
 def mentions(
     notes: DataFrame,
     lexicon: dict[str, str] = LEXICON,
-    cues: dict[str, list[str]] = CUES,
+    cues: dict[str, list[str]] | CueRules = CUES,
     text_col: str = "note_text",
     keep_cols: tuple[str, ...] = ("encounter_num",),
     k_before: int = WINDOW_BEFORE,
     k_after: int = WINDOW_AFTER,
     heading: str = HEADING,
     snippet: int = SNIPPET_CHARS,
+    align_col: str | None = None,
 ) -> DataFrame:
     """X2 + X5 + X6 + X9 + X4: lexicon mentions with sentence, qualifiers, section, token window.
 
-    A qualifier is true when a cue of its class occurs earlier in the same sentence; history
-    is also true inside a section whose title is a history cue."""
+    A qualifier is true in the scope of a cue of its class (``CueRules``; a plain dict holds left cues);
+    history is also true inside a section whose title is a history cue. With ``align_col`` the text is a
+    normalised one and the mentions carry ``raw_start`` and ``raw_end`` as well."""
+    rules = cues if isinstance(cues, CueRules) else CueRules(cues)
+    classes = rules.classes()
+    labels = F.array(*[F.lit(x) for x in lexicon])
     text = F.col(text_col)
-    base = notes.select("note_id", *keep_cols, text.alias("_t"))
-    base = with_labelled_spans(base, "_t", lexicon, "_m", with_tokens=True)
-    base = with_spans(base, "_t", SENTENCE, "_s")
-    base = with_labelled_spans(base, "_t", cue_patterns(cues), "_c")
-    base = with_spans(base, "_t", heading, "_h")
-    base = base.select(
-        "note_id", *keep_cols, "_m",
-        F.transform("_s", lambda x: x["start"]).alias("_s"),
-        F.transform("_c", lambda c: F.struct(c["start"].alias("start"), c["label"].alias("cls"))).alias("_c"),
-        F.transform("_h", lambda h: F.struct(
-            h["start"].alias("start"), F.lower(F.regexp_replace(h["match"], ":$", "")).alias("title"))).alias("_h"),
-        F.regexp_extract_all("_t", F.lit(TOKEN), 0).alias("_w"), "_t",
-    ).withColumn("_c", F.transform("_c", lambda c: F.struct(
-        c["start"].alias("start"), c["cls"].alias("cls"), sentence_index(F.col("_s"), c["start"]).alias("sent"))))
-    history_titles = [w.lower() for w in cues.get("history", [])]
-
-    def enrich(m):
-        sid = sentence_index(F.col("_s"), m["start"])
-        cue_in = lambda cls: F.exists(
-            F.col("_c"),
-            lambda c: (c["cls"] == cls) & (c["sent"] == sid) & (c["start"] < m["start"]),
-        )
-        sec = F.try_element_at(F.filter(F.col("_h"), lambda h: h["start"] <= m["start"]), F.lit(-1))
-        lo = F.greatest(m["tok"] - k_before, F.lit(0))
-        n_tok = F.size(F.regexp_extract_all(m["match"], F.lit(TOKEN), 0))
+    keep = ["note_id", *keep_cols]
+    extra = [F.col(align_col).alias("_al")] if align_col else []
+    x = notes.select(*keep, *extra, text.alias("_t"), pieces(text, lexicon).alias("_p"))
+    # a note without a mention needs no further pass
+    x = x.where(F.size("_p") > 1)
+    patterns, roles = rules.groups()
+    role_lists = F.array(*[F.array(*[F.lit(r) for r in rs]).cast("array<string>") for rs in roles])
+    cue_spans = F.col("_c")
+    x = x.select(*keep, *(["_al"] if align_col else []), located(F.col("_p"), True, True).alias("_m"),
+                 F.flatten(F.transform("_p", lambda p: F.regexp_extract_all(p["match"], F.lit(TOKEN), 0))).alias("_w"),
+                 wide(F.col("_t")).alias("_b"), spans(F.col("_t"), patterns, with_sentences=True).alias("_c"),
+                 spans(F.col("_t"), heading).alias("_h"))
+    cue_events = F.flatten(F.transform(cue_spans, lambda c: F.transform(
+        F.element_at(role_lists, c["label"] + 1), lambda r: F.struct(c["start"].alias("start"), c["sent"].alias("sent"), r.alias("role")))))
+    x = x.select("*", cue_events.alias("_e"))
+
+    span_type = SPAN
+    none = F.lit(None).cast(span_type)
+
+    def event(pos, kind, name, sent, span):
+        return F.struct(pos.alias("pos"), F.lit(kind).alias("kind"), name.alias("name"), sent.alias("sent"), span.alias("m"))
+
+    # a mention is read before a cue at the same place, after a heading there
+    events = F.sort_array(F.concat(
+        F.transform("_h", lambda h: event(h["start"], 0, F.lower(F.regexp_replace(h["match"], ":$", "")), F.lit(-1), none)),
+        F.transform("_m", lambda m: event(m["start"], 1, F.lit(""), m["sent"], m)),
+        F.transform("_e", lambda c: event(c["start"], 2, c["role"], c["sent"], none))))
+    titles = [w.lower() for w in rules.left.get("history", [])]
+
+    def scope(at, e, side, cls):
+        """The sentence of the last cue of the class; a stop ends its scope."""
+        return F.when(e["name"] == f"{side} {cls}", e["sent"]).when(e["name"] == "stop", F.lit(-1)).otherwise(at[cls])
+
+    def forward(at, e):
+        m, cue = e["m"], e["kind"] == 2
+        state = F.struct(F.when(e["kind"] == 0, e["name"]).otherwise(at["title"]).alias("title"), at["w"].alias("w"), at["b"].alias("b"),
+                         *[F.when(cue, scope(at, e, "left", c)).otherwise(at[c]).alias(c) for c in classes])
+        low = F.greatest(m["tok"] - k_before, F.lit(0))
         snip = F.greatest(m["start"] - snippet, F.lit(0))
-        fields = [
-            m["match"].alias("lexical_variant"),
-            m["label"].alias("std_lexical_variant"),
-            m["start"].alias("start_char"), m["end"].alias("end_char"),
-            m["tok"].alias("start"), (m["tok"] + n_tok).alias("end"),
-            sid.alias("sent_id"),
-            sec["title"].alias("section"),
-            F.slice(F.col("_w"), lo + 1, m["tok"] + n_tok + k_after - lo).alias("words"),
-            (m["tok"] - lo).alias("word_index"),
-            F.substring("_t", snip + 1, m["end"] + snippet - snip).alias("snippet"),
+        flags = {c: at[c] == e["sent"] for c in classes}
+        if titles and "history" in flags:
+            flags["history"] = flags["history"] | F.coalesce(at["title"].isin(*titles), F.lit(False))
+        out = F.struct(
+            m["match"].alias("lexical_variant"), m["label"].alias("label"), m["start"].alias("start_char"), m["end"].alias("end_char"),
+            m["tok"].alias("start"), (m["tok"] + m["ntok"]).alias("end"), m["sent"].alias("sent_id"), at["title"].alias("section"),
+            F.slice(at["w"], low + 1, m["tok"] + m["ntok"] + k_after - low).alias("words"), (m["tok"] - low).alias("word_index"),
+            wide_slice(at["b"], snip, m["end"] + snippet - snip).alias("snippet"),
             (m["start"] - snip).alias("snippet_start"), (m["end"] - snip).alias("snippet_end"),
-        ]
-        for q in QUALIFIERS:
-            flag = cue_in(q)
-            if q == "history" and history_titles:
-                flag = flag | F.coalesce(sec["title"].isin(*history_titles), F.lit(False))
-            fields.append(flag.alias(q))
-        return F.struct(*fields)
-
-    out = base.select("note_id", *keep_cols, F.explode(F.transform(F.col("_m"), enrich)).alias("x"))
-    return out.select("note_id", *keep_cols, "x.*")
+            *[flags[c].alias(c) for c in classes])
+        return state, e["kind"] == 1, out
+
+    out_type = ("struct<lexical_variant:string,label:int,start_char:int,end_char:int,start:int,end:int,sent_id:int,section:string,"
+                "words:array<string>,word_index:int,snippet:string,snippet_start:int,snippet_end:int,"
+                + ",".join(f"{c}:boolean" for c in classes) + ">")
+    zero = F.struct(F.lit(None).cast("string").alias("title"), F.col("_w").alias("w"), F.col("_b").alias("b"),
+                    *[F.lit(-1).alias(c) for c in classes])
+    columns = {"x": scan(events, zero, forward, out_type)}
+
+    if rules.right:  # the same from the other end: a cue at or after the mention's end reaches back
+        back = F.reverse(F.sort_array(F.concat(
+            F.transform("_m", lambda m: event(m["end"], 0, F.lit(""), m["sent"], none)),
+            F.transform("_e", lambda c: event(c["start"], 2, c["role"], c["sent"], none)))))
+
+        def backward(at, e):
+            state = F.struct(*[F.when(e["kind"] == 2, scope(at, e, "right", c)).otherwise(at[c]).alias(c) for c in classes])
+            return state, e["kind"] == 0, F.struct(*[(at[c] == e["sent"]).alias(c) for c in classes])
+
+        flag_type = "struct<" + ",".join(f"{c}:boolean" for c in classes) + ">"
+        columns["r"] = F.reverse(scan(back, F.struct(*[F.lit(-1).alias(c) for c in classes]), backward, flag_type))
+    if align_col:
+        places = F.flatten(F.transform("_m", lambda m: F.array(m["start"], m["end"] - 1)))
+        columns["p"] = raw_places(places, F.col("_al"))
+
+    x = x.select(*keep, *[c.alias(f"_{k}") for k, c in columns.items()])
+    if align_col:
+        half = lambda odd: F.filter("_p", lambda _, i: i % 2 == odd)
+        x = x.select("*", F.zip_with(half(0), half(1), lambda a, b: F.struct(a.alias("raw_start"), (b + 1).alias("raw_end"))).alias("_q"))
+    zipped = F.arrays_zip(*[F.col(c) for c in x.columns if c in ("_x", "_r", "_q")])
+    x = x.select(*keep, F.explode(zipped).alias("z"))
+    base = [f for f in out_type[7:-1].replace("array<string>", "a").split(",")]
+    names = [f.split(":")[0] for f in base]
+
+    def column(name):
+        c = F.col(f"z._x.{name}")
+        if name == "label":
+            return F.element_at(labels, c + 1).alias("std_lexical_variant")
+        return ((c | F.col(f"z._r.{name}")) if rules.right and name in classes else c).alias(name)
+
+    return x.select(*keep, *[column(n) for n in names], *(["z._q.raw_start", "z._q.raw_end"] if align_col else []))
 
 
 def span_filter(spans_df: DataFrame, key: str = "note_id") -> DataFrame:

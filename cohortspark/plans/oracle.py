@@ -153,44 +153,63 @@ _UNITS = r"days?|jours?|weeks?|semaines?|months?|mois|years?|ans?"
 _NAMES = ("january|february|march|april|may|june|july|august|september|october|november|december|"
           "janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre")
 _WB = r"[^\p{L}\p{N}_]"
-DATE_CTES = boundary_spans(
-    "note_text", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2} (?:" + _NAMES + r") [0-9]{4}|(?:" + _NAMES
-    + r") [0-9]{4}|(?:19|20)[0-9]{2}", "da", "sel", "note_id, encounter_num", _WB, "(?i)"
-) + ",\n" + boundary_spans(
-    "note_text", r"il y a [0-9]+ (?:" + _UNITS + r")|[0-9]+ (?:" + _UNITS + r") ago|dans [0-9]+ (?:" + _UNITS + r")|in [0-9]+ (?:"
-    + _UNITS + ")", "dr", "sel", "note_id, encounter_num", _WB, "(?i)"
-) + ",\n" + boundary_spans(
-    "note_text", r"(?:pendant|during) [0-9]+ (?:" + _UNITS + r")", "dd", "sel", "note_id, encounter_num", _WB, "(?i)"
-) + r""",
+_DAY = "[0-9]{1,2}(?:er|st|nd|rd|th)?"
+_DATE_FORMS = [
+    ("relative", "past", f"il y a [0-9]+ (?:{_UNITS})|[0-9]+ (?:{_UNITS}) ago"),
+    ("relative", "future", f"(?:dans|in) [0-9]+ (?:{_UNITS})"),
+    ("relative", "near", "avant-hier|hier|yesterday|aujourd[''’]hui|today|demain|tomorrow|après-demain"),
+    ("duration", "duration", f"(?:pendant|during) [0-9]+ (?:{_UNITS})"),
+    ("amount", "amount", f"[0-9]+ (?:{_UNITS})"),
+    ("absolute", "ymd", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"),
+    ("absolute", "dmy", "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}"),
+    ("absolute", "short", "[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{2}"),
+    ("absolute", "named", f"{_DAY} (?:{_NAMES}) [0-9]{{4}}|(?:{_NAMES}) {_DAY},? [0-9]{{4}}"),
+    ("absolute", "name_y", f"(?:{_NAMES}) [0-9]{{4}}"),
+    ("absolute", "day_name", f"{_DAY} (?:{_NAMES})|(?:{_NAMES}) {_DAY}"),
+    ("absolute", "year", "(?:19|20)[0-9]{2}"),
+]
+#: every form is searched alone; of dates that overlap, the one that begins first stays, there the longest
+DATE_CTES = ",\n".join(boundary_spans("note_text", p, f"d_{form}", "sel", "note_id, encounter_num", _WB, "(?i)") for _, form, p in _DATE_FORMS) + r""",
 dst AS (SELECT note_id, """ + _plain_starts("note_text", SENT) + r""" AS ss FROM sel),
-dm0 AS (SELECT 'absolute' AS label, * FROM da UNION ALL SELECT 'relative', * FROM dr UNION ALL SELECT 'duration', * FROM dd),
+dall AS (""" + " UNION ALL ".join(f"SELECT '{label}' AS label, '{form}' AS form, * FROM d_{form}" for label, form, _ in _DATE_FORMS) + r"""),
+dm0 AS (SELECT x.* FROM dall x WHERE x.label <> 'amount' AND NOT EXISTS (SELECT 1 FROM dall y WHERE y.note_id = x.note_id
+          AND y.start_char < x.start_char + length(x.word) AND x.start_char < y.start_char + length(y.word)
+          AND (y.start_char < x.start_char OR (y.start_char = x.start_char AND length(y.word) > length(x.word))))),
 mn AS (SELECT * FROM (VALUES """ + ", ".join(
     f"('{n}', {i % 12 + 1})" for i, n in enumerate(_NAMES.split("|"))) + r""") t(month_name, month_no)),
-dm1 AS (SELECT note_id, encounter_num, label, word AS match, CAST(start_char AS INTEGER) AS start_char,
+nw AS (SELECT * FROM (VALUES ('avant-hier', -2), ('hier', -1), ('yesterday', -1), ('aujourd''hui', 0), ('today', 0), ('demain', 1), ('tomorrow', 1),
+       ('après-demain', 2)) t(near_word, away)),
+dm1 AS (SELECT note_id, encounter_num, label, form, word AS match, CAST(start_char AS INTEGER) AS start_char,
                CAST(start_char + length(word) AS INTEGER) AS end_char,
                CAST(len(regexp_extract_all(substr(_t, 1, start_char), '""" + TOK + r"""')) AS INTEGER) AS start,
                CAST(len(list_filter(ss, lambda b: b <= start_char)) - 1 AS INTEGER) AS sent_id,
-               string_split_regex(lower(word), '[/ -]') AS p, lower(word) AS w, label = 'absolute' AS a
+               list_transform(regexp_extract_all(word, '[0-9]+'), lambda z: TRY_CAST(z AS INTEGER)) AS n, replace(lower(word), '’', '''') AS w
         FROM dm0 JOIN dst USING (note_id)),
-dm2 AS (SELECT dm1.*, month_no, len(p) AS np, regexp_matches(w, '^[0-9]{4}-') AS iso
-        FROM dm1 LEFT JOIN mn ON a AND (p[1] = month_name OR p[2] = month_name)),
+dm2 AS (SELECT dm1.*, month_no, away FROM dm1 LEFT JOIN mn ON label = 'absolute' AND regexp_extract(w, '[^0-9 ,]{3,}') = month_name
+        LEFT JOIN nw ON form = 'near' AND w = near_word),
 dm3 AS (SELECT note_id, encounter_num, label, match, start_char, end_char, start, sent_id,
-               CASE WHEN a THEN CAST(CASE WHEN iso THEN p[1] ELSE p[np] END AS INTEGER) END AS year,
-               CASE WHEN a THEN CAST(CASE WHEN month_no IS NOT NULL THEN month_no WHEN np = 3 THEN CAST(p[2] AS INTEGER) END AS INTEGER) END AS month,
-               CASE WHEN a AND np = 3 THEN CAST(CASE WHEN iso THEN p[3] ELSE p[1] END AS INTEGER) END AS day,
-               CASE WHEN NOT a THEN CAST(regexp_extract(w, '([0-9]+)', 1) AS INTEGER) END AS value,
-               CASE WHEN NOT a THEN regexp_extract(w, '[0-9]+ ([a-z]+)', 1) END AS unit,
-               CASE WHEN label = 'relative' THEN CASE WHEN p[1] IN ('dans', 'in') THEN 'future' ELSE 'past' END END AS direction FROM dm2),
+               CAST(CASE form WHEN 'ymd' THEN n[1] WHEN 'name_y' THEN n[1] WHEN 'year' THEN n[1] WHEN 'dmy' THEN n[3] WHEN 'named' THEN n[2]
+                    WHEN 'short' THEN n[3] + CASE WHEN n[3] <= 68 THEN 2000 ELSE 1900 END END AS INTEGER) AS year,
+               CAST(CASE WHEN form IN ('ymd', 'dmy', 'short') THEN n[2] ELSE month_no END AS INTEGER) AS month,
+               CAST(CASE WHEN form = 'ymd' THEN n[3] WHEN form IN ('dmy', 'short', 'named', 'day_name') THEN n[1] END AS INTEGER) AS day,
+               CAST(CASE WHEN form = 'near' THEN abs(away) WHEN label <> 'absolute' THEN n[1] END AS INTEGER) AS value,
+               CASE WHEN form = 'near' THEN 'day' WHEN label <> 'absolute' THEN regexp_extract(w, '[0-9]+ ([a-z]+)', 1) END AS unit,
+               CASE WHEN label = 'relative' THEN CASE WHEN form = 'future' OR away > 0 THEN 'future' ELSE 'past' END END AS direction FROM dm2),
 dm AS (SELECT *, CASE WHEN label = 'absolute' THEN TRY_CAST(printf('%04d-%02d-%02d', year, coalesce(month, 1), coalesce(day, 1)) AS DATE) END
          AS date_dt FROM dm3),
 un AS (SELECT * FROM (VALUES ('day', 1, 0), ('days', 1, 0), ('jour', 1, 0), ('jours', 1, 0), ('week', 7, 0), ('weeks', 7, 0),
        ('semaine', 7, 0), ('semaines', 7, 0), ('month', 0, 1), ('months', 0, 1), ('mois', 0, 1), ('year', 0, 12), ('years', 0, 12),
        ('an', 0, 12), ('ans', 0, 12)) t(unit, unit_days, unit_months)),
-rel AS (SELECT dm.* REPLACE (CASE WHEN label <> 'relative' THEN date_dt WHEN direction = 'past' THEN
-            CAST(CAST(visit_start_date AS DATE) - to_days(CAST(value * unit_days AS INTEGER)) - to_months(CAST(value * unit_months AS INTEGER)) AS DATE)
-          ELSE CAST(CAST(visit_start_date AS DATE) + to_days(CAST(value * unit_days AS INTEGER)) + to_months(CAST(value * unit_months AS INTEGER)) AS DATE)
-          END AS date_dt), v.visit_start_date
+rel0 AS (SELECT dm.*, v.visit_start_date, CAST(value AS BIGINT) * unit_days AS far_days, CAST(value AS BIGINT) * unit_months AS far_months,
+               CASE direction WHEN 'future' THEN 1 ELSE -1 END AS sign
         FROM dm LEFT JOIN un USING (unit) LEFT JOIN visits v USING (encounter_num)),
+rel AS (SELECT * EXCLUDE (far_days, far_months, sign) REPLACE (CASE
+            WHEN label = 'absolute' THEN coalesce(date_dt, CASE WHEN year IS NULL THEN
+                 TRY_CAST(printf('%04d-%02d-%02d', year(visit_start_date), coalesce(month, 1), coalesce(day, 1)) AS DATE) END)
+            WHEN label <> 'relative' THEN date_dt
+            WHEN far_days <= 500000 AND far_months <= 12000 THEN
+                 CAST(CAST(visit_start_date AS DATE) + to_days(CAST(sign * far_days AS INTEGER)) + to_months(CAST(sign * far_months AS INTEGER)) AS DATE)
+          END AS date_dt) FROM rel0),
 cd AS (SELECT note_id, encounter_num, label, start_char, start, sent_id, date_dt, coalesce(date_dt = birth, false) AS is_birth_date
        FROM rel JOIN visits v USING (encounter_num)
        LEFT JOIN (SELECT c_custkey, DATE '1993-01-01' - CAST(c_custkey * 37 % 30000 AS INTEGER) AS birth FROM customer) p

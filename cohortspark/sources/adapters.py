@@ -14,8 +14,8 @@ Fixed values of the mapping (kept together here):
   claims     = lineitem x part; line 1 is the main diagnosis 'DP', others 'DAS';
                code 'ICD10:' + letter (part size % 3 -> S, T, X) + two digits (part key % 100)
   notes      = documents; stay = doc_id div 3; time = stay start + doc_id % 5 days;
-               category = source, 'src0' is the unknown category; the text is preceded by one
-               dated line in one of four forms (doc_id % 4), its date = stay start - doc_id % 60 days
+               category = source, 'src0' is the unknown category; the text is preceded by
+               dated lines in one of four forms (doc_id % 4), their date = stay start - doc_id % 60 days
   annotators = labels; annotator A says quality = 1, B says toxic = 0; prediction doc_id % 3 > 0;
                post-cutoff period when doc_id is even; supplementary round when doc_id % 5 = 0
   as-of      = events; 'purchase' rows are mentions, 'view' rows are dates, user = group
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from cohortspark.sources.tables import read_table
 
 
-# fixed values: French month names
+# fixed values: English and French month names
+EN_MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 FR_MONTHS = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"]
 
 
@@ -109,17 +110,21 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
 def _dated_line():
     """The dated first line of a note, in four forms."""
     i, day = F.col("doc_id"), F.date_sub(F.to_date("visit_start_date"), (F.col("doc_id") % 60).cast("int"))
-    month = F.element_at(F.array(*[F.lit(m) for m in FR_MONTHS]), F.month(day))
+    named = lambda names: F.element_at(F.array(*[F.lit(m) for m in names]), F.month(day))
+    month = named(FR_MONTHS)
     text = lambda n: n.cast("string")
     return (
         F.when(i % 4 == 0, F.concat(F.lit("Seen with pain on "), F.date_format(day, "dd/MM/yyyy"), F.lit(", review in "),
                                     text(i % 6 + 2), F.lit(" days.\n")))
-        .when(i % 4 == 1, F.concat(F.lit("History:\nCame from home on "), F.date_format(day, "yyyy-MM-dd"), F.lit(".\nPlan/follow-up:\n")))
+        .when(i % 4 == 1, F.concat(F.lit("History:\nCame from home on "), F.date_format(day, "yyyy-MM-dd"),
+                                    F.lit(".\nPlan/follow-up:\nBilan du "), F.date_format(day, "dd.MM.yyyy"), F.lit(", lettre du "),
+                                    F.date_format(day, "d/M/yy"), F.lit(", noted "), named(EN_MONTHS), F.lit(" "), text(F.dayofmonth(day)),
+                                    F.lit(", "), F.date_format(day, "yyyy"), F.lit(", vu hier; il y a 2010 jours, il y a 999999999 ans.\n")))
         .when(i % 4 == 2, F.concat(F.lit("Venu avec douleur il y a "), text(i % 5 + 1), F.lit(" mois pendant 3 jours, vu en "),
                                    month, F.lit(" "), F.date_format(day, "yyyy"), F.lit(".\n")))
         .otherwise(F.concat(F.lit("Parti pour soins le "), text(F.dayofmonth(day)), F.lit(" "), month, F.lit(" "),
                             F.date_format(day, "yyyy"), F.lit(", revu dans "), text(i % 7 + 2), F.lit(" semaines, suivi depuis "),
-                            text(F.year(day) - 2), F.lit(".\n")))
+                            text(F.year(day) - 2), F.lit(", rappel le "), text(F.dayofmonth(day)), F.lit(" "), month, F.lit(".\n")))
     )
 
 
@@ -199,9 +204,11 @@ SQL = {
          CASE doc_id % 4
            WHEN 0 THEN 'Seen with pain on ' || strftime(line_day, '%d/%m/%Y') || ', review in ' || (doc_id % 6 + 2) || ' days.' || chr(10)
            WHEN 1 THEN 'History:' || chr(10) || 'Came from home on ' || strftime(line_day, '%Y-%m-%d') || '.' || chr(10) || 'Plan/follow-up:' || chr(10)
+             || 'Bilan du ' || strftime(line_day, '%d.%m.%Y') || ', lettre du ' || day(line_day) || '/' || month(line_day) || '/' || strftime(line_day, '%y')
+             || ', noted ' || monthname(line_day) || ' ' || day(line_day) || ', ' || year(line_day) || ', vu hier; il y a 2010 jours, il y a 999999999 ans.' || chr(10)
            WHEN 2 THEN 'Venu avec douleur il y a ' || (doc_id % 5 + 1) || ' mois pendant 3 jours, vu en ' || line_month || ' ' || year(line_day) || '.' || chr(10)
            ELSE 'Parti pour soins le ' || day(line_day) || ' ' || line_month || ' ' || year(line_day) || ', revu dans ' || (doc_id % 7 + 2)
-                || ' semaines, suivi depuis ' || (year(line_day) - 2) || '.' || chr(10) END || text AS note_text, lang
+                || ' semaines, suivi depuis ' || (year(line_day) - 2) || ', rappel le ' || day(line_day) || ' ' || line_month || '.' || chr(10) END || text AS note_text, lang
   FROM (SELECT *, ['janvier', 'février', 'mars', 'avril', 'mai', 'juin', 'juillet', 'août', 'septembre', 'octobre', 'novembre',
                    'décembre'][month(line_day)] AS line_month
         FROM (SELECT *, CAST(o_orderdate AS DATE) - CAST(doc_id % 60 AS INTEGER) AS line_day

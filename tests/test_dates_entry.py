@@ -60,3 +60,23 @@ def test_units_names_partial_dates_and_directions(spark):
     assert got["in 1 year"].date_dt == dt.date(2021, 5, 31)
     assert got["il y a 3 mois"].sent_id == 0 and got["dans 2 semaines"].sent_id == 1
     assert got["il y a 3 mois"].start == 1 and got["2017"].start == 17
+
+
+def test_one_matcher_resolves_conflicts_and_completes_parts(spark):
+    t = ("il y a 2010 jours; 03.04.2019; March 3, 2019; 3/4/19; 3/4/70, hier, avant-hier, aujourd’hui, demain. le 5 juin et June 7th. "
+         "2010 jours; 12 mars 3; 2019/02/03; il y a 999999999 ans; il y a 99999999 semaines; il y a 99999999999999 ans; 99 mars 2019; 29 février 2019")
+    notes = spark.createDataFrame([(1, t)], "note_id long, note_text string")
+    ref = dates.date_mentions(notes).withColumn("visit_start_date", F.lit(dt.datetime(2020, 5, 31)))
+    rows = dates.resolve_relative(ref).orderBy("start_char").collect()
+    got = {r.match: r.date_dt for r in rows}
+    d = dt.date
+    assert got == {
+        "il y a 2010 jours": d(2020, 5, 31) - dt.timedelta(2010), "03.04.2019": d(2019, 4, 3), "March 3, 2019": d(2019, 3, 3),
+        "3/4/19": d(2019, 4, 3), "3/4/70": d(1970, 4, 3), "hier": d(2020, 5, 30), "avant-hier": d(2020, 5, 29), "aujourd’hui": d(2020, 5, 31),
+        "demain": d(2020, 6, 1), "5 juin": d(2020, 6, 5), "June 7th": d(2020, 6, 7), "12 mars": d(2020, 3, 12), "2019/02/03": d(2019, 2, 3),
+        "il y a 999999999 ans": None, "il y a 99999999 semaines": None, "il y a 99999999999999 ans": None, "99 mars 2019": None,
+        "29 février 2019": None}
+    assert [r.match for r in rows if r.label == "relative"][:1] == ["il y a 2010 jours"]
+    assert all(t[r.start_char:r.end_char] == r.match for r in rows)
+    empty = spark.createDataFrame([], "note_id long, note_text string")
+    assert dates.date_mentions(empty).collect() == []

@@ -36,11 +36,14 @@ def test_regex_spans_random_against_python(spark):
         assert sorted(got.get(i, []), key=lambda x: x[1]) == py_spans(t, py)
 
 
-def test_empty_match_pattern_rejected():
-    import pytest
-
-    with pytest.raises(ValueError):
-        text.check_pattern(r"a*")
+def test_empty_matches_are_no_spans_and_java_patterns_work(spark):
+    df = spark.createDataFrame([(1, "baab ÀB+x aab \ufdd0b")], "note_id long, note_text string")
+    rows = lambda p: [(r.match, r.start_char, r.end_char) for r in text.regex_spans(df, p).orderBy("start_char").collect()]
+    assert rows("a*") == [("aa", 1, 3), ("aa", 10, 12)]
+    assert rows(r"\p{Lu}+[+]x") == [("ÀB+x", 5, 9)]
+    assert rows("(?<=a{1,3})b") == [("b", 3, 4), ("b", 12, 13)]
+    assert rows("b$") == [("b", 15, 16)]
+    assert [text.group_count(p) for p in ("(a)(?:b)(?<n>c)(?<=d)(?<!e)", r"\(x[(]\Q(a)\E(y)", "[a-z&&[(]]()")] == [2, 1, 1]
 
 
 def test_mentions_qualifiers_and_window(spark):

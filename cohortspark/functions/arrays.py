@@ -1,4 +1,8 @@
-"""Array helpers: a scan in linear time, and code-point slices of a text in constant time."""
+"""Array helpers: a binding, a scan, and code-point slices of a text in constant time.
+
+A column named inside a lambda may be computed again for each element, and a fold copies its whole
+accumulator, arrays included, at each step. ``let`` binds a value once; ``scan`` keeps accumulators small.
+"""
 
 from __future__ import annotations
 
@@ -7,31 +11,36 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: outputs of ``scan`` are gathered in blocks of this size, so that an append copies one block only
-BLOCK = 64
+#: a fold step copies at most this many outputs
+BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]], out_type: str) -> Column:
-    """Array of the outputs of ``step`` over ``items``, from left to right.
+    """Array of the outputs of ``step`` over ``items``, from left to right; null for null items.
 
-    ``step(state, item)`` gives (next state, whether there is an output, the output). A plain fold copies
-    all outputs for each new one; here they fill a block, and full blocks go to a list of blocks. Whatever
-    a step needs besides its item (a token array, an encoded text) belongs in the state: it is a
-    reference there, where a column named inside a lambda may be computed again for each item."""
-    init = F.struct(state.alias("s"), F.array().cast(f"array<{out_type}>").alias("block"),
-                    F.array().cast(f"array<array<{out_type}>>").alias("blocks"))
+    ``step(state, item)`` gives (next state, whether there is an output, the output). State and outputs
+    should be a few numbers: items may be large, they are never copied. The items are folded block by block,
+    so that n outputs cost n * BLOCK / 2 + n * n / (2 * BLOCK) copies and not n * n / 2."""
+    none = F.array().cast(f"array<{out_type}>")
 
-    def merge(acc, x):
+    def blocks(xs):
+        last = F.floor((F.greatest(F.size(xs), F.lit(1)) - 1) / BLOCK).cast("int")
+        return F.when(xs.isNotNull(), F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def one(acc, x):
         new, emits, out = step(acc["s"], x)
-        full = F.size(acc["block"]) >= BLOCK
-        one = F.array(out.cast(out_type))
-        return F.struct(
-            new.alias("s"),
-            F.when(~emits, acc["block"]).when(full, one).otherwise(F.concat(acc["block"], one)).alias("block"),
-            F.when(emits & full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"]).alias("blocks"),
-        )
-
-    return F.aggregate(items, init, merge, lambda acc: F.flatten(F.concat(acc["blocks"], F.array(acc["block"]))))
+        return F.struct(new.alias("s"), F.when(emits, F.concat(acc["out"], F.array(out.cast(out_type)))).otherwise(acc["out"]).alias("out"))
+
+    def block(acc, xs):
+        done = F.aggregate(xs, F.struct(acc["s"].alias("s"), none.alias("out")), one)
+        return let(done, lambda d: F.struct(d["s"].alias("s"), F.concat(acc["out"], d["out"]).alias("out")))
+
+    return F.aggregate(let(items, blocks), F.struct(state.alias("s"), none.alias("out")), block, lambda acc: acc["out"])
 
 
 def wide(text: Column) -> Column:

@@ -3,7 +3,7 @@
 Every note is handled inside its own row with native functions. One regular-expression pass per family
 (lexicon, cues, headings) puts markers around the matches and their groups; a split at the markers gives
 the pieces, and a linear scan over the pieces' lengths gives offsets, token numbers and sentence numbers.
-A second scan over the few found spans in text order merges mentions with cues, headings and the places
+A second scan, over the found spans in text order, merges mentions with cues, headings and the places
 of a normalised text. No text is copied per mention, nothing is shuffled to find mentions, and the time
 grows with the length of a note.
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.arrays import scan, wide, wide_slice
+from cohortspark.functions.arrays import let, scan, wide, wide_slice
 
 # ---- fixed values ------------------------------------------------------------------
 # tokens: a run of letters/digits/underscore, or one other non-space character
@@ -206,12 +206,18 @@ def located(cut: Column, with_tokens: bool = False, with_sentences: bool = False
                          (at["sents"] + x["starts"] - joins).alias("sents"),
                          F.when(x["n"] == 0, at["open"]).otherwise(x["last"]).alias("open"))
         sent = at["sents"] + F.when(x["first"] & ~at["open"], 1).otherwise(0) - 1
-        out = F.struct(x["match"].alias("match"), at["pos"].alias("start"), (at["pos"] + x["n"]).alias("end"), at["tok"].alias("tok"),
-                       x["ntok"].alias("ntok"), sent.alias("sent"), x["label"].alias("label"))
-        return state, x["hit"] & (x["n"] > 0), out
+        return state, hit(x), F.struct(at["pos"].alias("start"), at["tok"].alias("tok"), sent.alias("sent"))
 
-    zero = F.struct(none.alias("pos"), none.alias("tok"), none.alias("sents"), F.lit(False).alias("open"))
-    return scan(F.transform(cut, measured), zero, step, SPAN)
+    def hit(x):
+        return x["hit"] & (x["n"] > 0)
+
+    def found(xs):
+        zero = F.struct(none.alias("pos"), none.alias("tok"), none.alias("sents"), F.lit(False).alias("open"))
+        return F.zip_with(F.filter(xs, hit), scan(xs, zero, step, "struct<start:int,tok:int,sent:int>"), lambda x, at: F.struct(
+            x["match"].alias("match"), at["start"].alias("start"), (at["start"] + x["n"]).alias("end"), at["tok"].alias("tok"),
+            x["ntok"].alias("ntok"), at["sent"].alias("sent"), x["label"].alias("label")))
+
+    return let(F.transform(cut, measured), found)
 
 
 def spans(text: Column, patterns: str | dict[str, str], with_tokens: bool = False, with_sentences: bool = False) -> Column:
@@ -223,15 +229,16 @@ def regex_spans(notes: DataFrame, pattern: str, text_col: str = "note_text", id_
                 window: int = SNIPPET_CHARS) -> DataFrame:
     """One row per match: note id, match text, start/end char, snippet of +-window chars
     (clipped at the text start)."""
-    x = notes.select(id_col, spans(F.col(text_col), pattern).alias("_a"), wide(F.col(text_col)).alias("_w"))
+    def rows(r):
+        def row(s):
+            low = F.greatest(s["start"] - window, F.lit(0))
+            return F.struct(s["match"].alias("match"), s["start"].alias("start_char"), s["end"].alias("end_char"),
+                            wide_slice(r["w"], low, s["end"] + window - low).alias("snippet"))
 
-    def step(text, s):
-        low = F.greatest(s["start"] - window, F.lit(0))
-        return text, F.lit(True), F.struct(s["match"].alias("match"), s["start"].alias("start_char"), s["end"].alias("end_char"),
-                                           wide_slice(text["w"], low, s["end"] + window - low).alias("snippet"))
+        return F.transform(r["a"], row)
 
-    rows = scan(F.col("_a"), F.struct(F.col("_w").alias("w")), step, "struct<match:string,start_char:int,end_char:int,snippet:string>")
-    return x.select(id_col, F.posexplode(rows).alias("match_index", "m")).select(id_col, "match_index", "m.*")
+    found = let(F.struct(spans(F.col(text_col), pattern).alias("a"), wide(F.col(text_col)).alias("w")), rows)
+    return notes.select(id_col, F.posexplode(found).alias("match_index", "m")).select(id_col, "match_index", "m.*")
 
 
 # fixed values: accented letters and their plain forms, typographic quotes
@@ -322,97 +329,96 @@ def mentions(
     normalised one and the mentions carry ``raw_start`` and ``raw_end`` as well."""
     rules = cues if isinstance(cues, CueRules) else CueRules(cues)
     classes = rules.classes()
-    labels = F.array(*[F.lit(x) for x in lexicon])
     text = F.col(text_col)
     keep = ["note_id", *keep_cols]
-    extra = [F.col(align_col).alias("_al")] if align_col else []
-    x = notes.select(*keep, *extra, text.alias("_t"), pieces(text, lexicon).alias("_p"))
+    x = notes.select(*keep, *([F.col(align_col).alias("_al")] if align_col else []), text.alias("_t"), pieces(text, lexicon).alias("_p"))
     # a note without a mention needs no further pass
     x = x.where(F.size("_p") > 1)
     patterns, roles = rules.groups()
-    role_lists = F.array(*[F.array(*[F.lit(r) for r in rs]).cast("array<string>") for rs in roles])
-    cue_spans = F.col("_c")
-    x = x.select(*keep, *(["_al"] if align_col else []), located(F.col("_p"), True, True).alias("_m"),
-                 F.flatten(F.transform("_p", lambda p: F.regexp_extract_all(p["match"], F.lit(TOKEN), 0))).alias("_w"),
-                 wide(F.col("_t")).alias("_b"), spans(F.col("_t"), patterns, with_sentences=True).alias("_c"),
-                 spans(F.col("_t"), heading).alias("_h"))
-    cue_events = F.flatten(F.transform(cue_spans, lambda c: F.transform(
-        F.element_at(role_lists, c["label"] + 1), lambda r: F.struct(c["start"].alias("start"), c["sent"].alias("sent"), r.alias("role")))))
-    x = x.select("*", cue_events.alias("_e"))
-
-    span_type = SPAN
-    none = F.lit(None).cast(span_type)
-
-    def event(pos, kind, name, sent, span):
-        return F.struct(pos.alias("pos"), F.lit(kind).alias("kind"), name.alias("name"), sent.alias("sent"), span.alias("m"))
-
-    # a mention is read before a cue at the same place, after a heading there
-    events = F.sort_array(F.concat(
-        F.transform("_h", lambda h: event(h["start"], 0, F.lower(F.regexp_replace(h["match"], ":$", "")), F.lit(-1), none)),
-        F.transform("_m", lambda m: event(m["start"], 1, F.lit(""), m["sent"], m)),
-        F.transform("_e", lambda c: event(c["start"], 2, c["role"], c["sent"], none))))
+    # what a role does, as a number: 0 ends all scopes, then the classes from the left and from the right
+    number = {"stop": 0} | {f"{side} {c}": 1 + i for i, (side, c) in enumerate((s, c) for s in ("left", "right") for c in classes)}
+    role_lists = F.array(*[F.array(*[F.lit(number[r]) for r in rs]).cast("array<int>") for rs in roles])
+
+    def event(pos, kind, code, sent):
+        return F.struct(pos.alias("pos"), F.lit(kind).alias("kind"), code.alias("code"), sent.alias("sent"))
+
+    def cue_events(cues_found):
+        return F.flatten(F.transform(cues_found, lambda c: F.transform(
+            F.element_at(role_lists, c["label"] + 1), lambda r: event(c["start"], 2, r, c["sent"]))))
+
+    note = F.struct(
+        located(F.col("_p"), True, True).alias("m"),
+        F.flatten(F.transform("_p", lambda p: F.regexp_extract_all(p["match"], F.lit(TOKEN), 0))).alias("w"),
+        wide(F.col("_t")).alias("b"), cue_events(spans(F.col("_t"), patterns, with_sentences=True)).alias("c"),
+        F.transform(spans(F.col("_t"), heading), lambda h: F.struct(
+            h["start"].alias("start"), F.lower(F.regexp_replace(h["match"], ":$", "")).alias("title"))).alias("h"),
+        *([F.col("_al").alias("al")] if align_col else []))
     titles = [w.lower() for w in rules.left.get("history", [])]
+    zero = {c: F.lit(-1) for c in classes}
 
     def scope(at, e, side, cls):
         """The sentence of the last cue of the class; a stop ends its scope."""
-        return F.when(e["name"] == f"{side} {cls}", e["sent"]).when(e["name"] == "stop", F.lit(-1)).otherwise(at[cls])
-
-    def forward(at, e):
-        m, cue = e["m"], e["kind"] == 2
-        state = F.struct(F.when(e["kind"] == 0, e["name"]).otherwise(at["title"]).alias("title"), at["w"].alias("w"), at["b"].alias("b"),
-                         *[F.when(cue, scope(at, e, "left", c)).otherwise(at[c]).alias(c) for c in classes])
-        low = F.greatest(m["tok"] - k_before, F.lit(0))
-        snip = F.greatest(m["start"] - snippet, F.lit(0))
-        flags = {c: at[c] == e["sent"] for c in classes}
-        if titles and "history" in flags:
-            flags["history"] = flags["history"] | F.coalesce(at["title"].isin(*titles), F.lit(False))
-        out = F.struct(
-            m["match"].alias("lexical_variant"), m["label"].alias("label"), m["start"].alias("start_char"), m["end"].alias("end_char"),
-            m["tok"].alias("start"), (m["tok"] + m["ntok"]).alias("end"), m["sent"].alias("sent_id"), at["title"].alias("section"),
-            F.slice(at["w"], low + 1, m["tok"] + m["ntok"] + k_after - low).alias("words"), (m["tok"] - low).alias("word_index"),
-            wide_slice(at["b"], snip, m["end"] + snippet - snip).alias("snippet"),
-            (m["start"] - snip).alias("snippet_start"), (m["end"] - snip).alias("snippet_end"),
-            *[flags[c].alias(c) for c in classes])
-        return state, e["kind"] == 1, out
-
-    out_type = ("struct<lexical_variant:string,label:int,start_char:int,end_char:int,start:int,end:int,sent_id:int,section:string,"
-                "words:array<string>,word_index:int,snippet:string,snippet_start:int,snippet_end:int,"
-                + ",".join(f"{c}:boolean" for c in classes) + ">")
-    zero = F.struct(F.lit(None).cast("string").alias("title"), F.col("_w").alias("w"), F.col("_b").alias("b"),
-                    *[F.lit(-1).alias(c) for c in classes])
-    columns = {"x": scan(events, zero, forward, out_type)}
-
-    if rules.right:  # the same from the other end: a cue at or after the mention's end reaches back
-        back = F.reverse(F.sort_array(F.concat(
-            F.transform("_m", lambda m: event(m["end"], 0, F.lit(""), m["sent"], none)),
-            F.transform("_e", lambda c: event(c["start"], 2, c["role"], c["sent"], none)))))
-
-        def backward(at, e):
-            state = F.struct(*[F.when(e["kind"] == 2, scope(at, e, "right", c)).otherwise(at[c]).alias(c) for c in classes])
-            return state, e["kind"] == 0, F.struct(*[(at[c] == e["sent"]).alias(c) for c in classes])
-
-        flag_type = "struct<" + ",".join(f"{c}:boolean" for c in classes) + ">"
-        columns["r"] = F.reverse(scan(back, F.struct(*[F.lit(-1).alias(c) for c in classes]), backward, flag_type))
-    if align_col:
-        places = F.flatten(F.transform("_m", lambda m: F.array(m["start"], m["end"] - 1)))
-        columns["p"] = raw_places(places, F.col("_al"))
-
-    x = x.select(*keep, *[c.alias(f"_{k}") for k, c in columns.items()])
-    if align_col:
-        half = lambda odd: F.filter("_p", lambda _, i: i % 2 == odd)
-        x = x.select("*", F.zip_with(half(0), half(1), lambda a, b: F.struct(a.alias("raw_start"), (b + 1).alias("raw_end"))).alias("_q"))
-    zipped = F.arrays_zip(*[F.col(c) for c in x.columns if c in ("_x", "_r", "_q")])
-    x = x.select(*keep, F.explode(zipped).alias("z"))
-    base = [f for f in out_type[7:-1].replace("array<string>", "a").split(",")]
-    names = [f.split(":")[0] for f in base]
-
-    def column(name):
-        c = F.col(f"z._x.{name}")
-        if name == "label":
-            return F.element_at(labels, c + 1).alias("std_lexical_variant")
-        return ((c | F.col(f"z._r.{name}")) if rules.right and name in classes else c).alias(name)
-
-    return x.select(*keep, *[column(n) for n in names], *(["z._q.raw_start", "z._q.raw_end"] if align_col else []))
+        return F.when(e["kind"] != 2, at[cls]).when(e["code"] == number[f"{side} {cls}"], e["sent"]).when(
+            e["code"] == 0, F.lit(-1)).otherwise(at[cls])
+
+    def before(r):
+        """Per mention: its section and the classes that a cue before it gives."""
+        # a mention is read before a cue at the same place, after a heading there
+        events = F.sort_array(F.concat(F.transform(r["h"], lambda h, i: event(h["start"], 0, i, F.lit(-1))),
+                                       F.transform(r["m"], lambda m: event(m["start"], 1, F.lit(0), m["sent"])), r["c"]))
+
+        def step(at, e):
+            state = F.struct(F.when(e["kind"] == 0, e["code"]).otherwise(at["section"]).alias("section"),
+                             *[scope(at, e, "left", c).alias(c) for c in classes])
+            return state, e["kind"] == 1, F.struct(at["section"].alias("section"), *[(at[c] == e["sent"]).alias(c) for c in classes])
+
+        return scan(events, F.struct(F.lit(-1).alias("section"), *[v.alias(c) for c, v in zero.items()]), step,
+                    "struct<section:int," + ",".join(f"{c}:boolean" for c in classes) + ">")
+
+    def behind(r):
+        """The same from the other end: a cue at or after the mention's end reaches back."""
+        events = F.reverse(F.sort_array(F.concat(F.transform(r["m"], lambda m: event(m["end"], 0, F.lit(0), m["sent"])), r["c"])))
+
+        def step(at, e):
+            return F.struct(*[scope(at, e, "right", c).alias(c) for c in classes]), e["kind"] == 0, F.struct(
+                *[(at[c] == e["sent"]).alias(c) for c in classes])
+
+        return F.reverse(scan(events, F.struct(*[v.alias(c) for c, v in zero.items()]), step,
+                              "struct<" + ",".join(f"{c}:boolean" for c in classes) + ">"))
+
+    def raw(r):
+        places = raw_places(F.flatten(F.transform(r["m"], lambda m: F.array(m["start"], m["end"] - 1))), r["al"])
+        half = lambda p, odd: F.filter(p, lambda _, i: i % 2 == odd)
+        return let(places, lambda p: F.zip_with(half(p, 0), half(p, 1), lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end"))))
+
+    def rows(r):
+        parts = [r["m"].alias("m"), before(r).alias("l")]
+        if rules.right:
+            parts.append(behind(r).alias("r"))
+        if align_col:
+            parts.append(raw(r).alias("q"))
+
+        def row(z):
+            m = z["m"]
+            low = F.greatest(m["tok"] - k_before, F.lit(0))
+            snip = F.greatest(m["start"] - snippet, F.lit(0))
+            section = F.when(z["l"]["section"] >= 0, F.get(r["h"], z["l"]["section"])["title"])
+            flags = {c: z["l"][c] | z["r"][c] if rules.right else z["l"][c] for c in classes}
+            if titles and "history" in flags:
+                flags["history"] = flags["history"] | F.coalesce(section.isin(*titles), F.lit(False))
+            return F.struct(
+                m["match"].alias("lexical_variant"), F.element_at(F.array(*[F.lit(x) for x in lexicon]), m["label"] + 1).alias("std_lexical_variant"),
+                m["start"].alias("start_char"), m["end"].alias("end_char"), m["tok"].alias("start"), (m["tok"] + m["ntok"]).alias("end"),
+                m["sent"].alias("sent_id"), section.alias("section"),
+                F.slice(r["w"], low + 1, m["tok"] + m["ntok"] + k_after - low).alias("words"), (m["tok"] - low).alias("word_index"),
+                wide_slice(r["b"], snip, m["end"] + snippet - snip).alias("snippet"),
+                (m["start"] - snip).alias("snippet_start"), (m["end"] - snip).alias("snippet_end"),
+                *([z["q"]["start"].alias("raw_start"), z["q"]["end"].alias("raw_end")] if align_col else []),
+                *[f.alias(c) for c, f in flags.items()])
+
+        return F.transform(F.arrays_zip(*parts), row)
+
+    return x.select(*keep, F.explode(let(note, rows)).alias("x")).select(*keep, "x.*")
 
 
 def span_filter(spans_df: DataFrame, key: str = "note_id") -> DataFrame:

@@ -14,17 +14,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: what a trained model depends on besides its rows
+SETTINGS = {"num_features": 1 << 16, "max_iter": 20, "reg_param": 0.01}
+
+
 def train_mention_model(labelled: DataFrame, words: str = "words", label: str = "label",
-                        num_features: int = 1 << 16, max_iter: int = 20) -> PipelineModel:
+                        num_features: int = SETTINGS["num_features"], max_iter: int = SETTINGS["max_iter"]) -> PipelineModel:
     """Fit hashed token-window features + logistic regression (distributed gradient)."""
     data = labelled.select(F.transform(F.col(words), lambda w: F.lower(w)).alias("_w"), F.col(label).cast("double").alias("label"))
     pipe = Pipeline(stages=[
         HashingTF(inputCol="_w", outputCol="features", numFeatures=num_features),
-        LogisticRegression(maxIter=max_iter, regParam=0.01, featuresCol="features", labelCol="label"),
+        LogisticRegression(maxIter=max_iter, regParam=SETTINGS["reg_param"], featuresCol="features", labelCol="label"),
     ])
     return pipe.fit(data)
 
 
+def load_mention_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def score_mentions(model: PipelineModel, mentions: DataFrame, words: str = "words") -> DataFrame:
     """Boolean prediction and probability per mention, keyed like the mentions."""
     x = mentions.withColumn("_w", F.transform(F.col(words), lambda w: F.lower(w)))
@@ -33,7 +41,7 @@ def score_mentions(model: PipelineModel, mentions: DataFrame, words: str = "word
 
     prob = F.element_at(vector_to_array(F.col("probability")), 2)
     return out.select(*mentions.columns, (F.col("prediction") > 0.5).alias("ml_prediction"),
-                      F.round(prob, 6).alias("ml_probability"))
+                      prob.alias("ml_probability"))
 
 
 def training_split(rounds: DataFrame, patients_of: DataFrame, validation_round: str,

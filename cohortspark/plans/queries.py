@@ -1192,10 +1192,29 @@ from cohortspark.operators.joins import checked_join  # noqa: E402
 
 @register("mention_score")
 def q_mention_score(spark, d):
-    m = study.text_mentions(spark, d).select("note_id", "start_char", "end_char", "words")
-    gold = annotator_a(spark, d).select("note_id", F.col("gold").alias("label"))
-    model = scoring.train_mention_model(m.join(gold, "note_id"))
-    return scoring.score_mentions(model, m).drop("words")
+    """The saved model's score of each mention."""
+    return rounded(study.model_scores(spark, d).df, 6, "probability")
+
+
+@register("score_table_check", "WITH " + O.MENTIONS + """
+SELECT count(*) AS n_scores, count(DISTINCT (note_id, start_char, end_char)) AS n_keys, 1 AS n_versions, true AS in_range,
+       CAST(0 AS BIGINT) AS n_without_score FROM ments""")
+def q_score_table_check(spark, d):
+    """Every mention has one score of one model version, between 0 and 1."""
+    keys = ["note_id", "start_char", "end_char"]
+    scores, m = study.model_scores(spark, d).df, study.text_mentions(spark, d).select(*keys)
+    without = m.join(scores, keys, "left_anti").agg(F.count(F.lit(1)).alias("n_without_score"))
+    per_key = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("model_version").alias("low"), F.max("model_version").alias("high"),
+                                        F.bool_and((F.col("probability").between(0, 1)) & (F.col("prediction") == (F.col("probability") > 0.5))).alias("ok"))
+    return per_key.agg(F.sum("n").alias("n_scores"), F.count(F.lit(1)).alias("n_keys"),
+                       F.when(F.min("low") == F.max("high"), 1).otherwise(2).alias("n_versions"), F.bool_and("ok").alias("in_range")).crossJoin(without)
+
+
+@register("stays_by_source_model")
+def q_stays_by_source_model(spark, d):
+    """P8 with the saved model's scores as the outcome source."""
+    return study.stays_by_source(spark, d, "model").select(
+        "encounter_num", "patient_num", "date", "sex_cd", "age_cat", "positive_visit", "recurrent_visit", "has_history")
 
 
 def notes_patients(spark, d):

@@ -10,6 +10,7 @@ from cohortspark.operators.codes import code_rule
 from cohortspark.operators.episodes import tag_episodes
 from cohortspark.operators.stays import enrich_stays
 from cohortspark.params import StudyParams
+from cohortspark.plans.registry import Registry, Staged
 from cohortspark.sources import adapters
 from cohortspark.sources.tables import read_table
 
@@ -49,8 +50,8 @@ def stays_by_source(spark: SparkSession, d: str, source: str = "all", params: St
     elif source == "claims":
         pos = claim_positive(spark, d).select("encounter_num", F.lit(True).alias("positive_visit"))
         v = v.join(pos, "encounter_num", "left").fillna(False, subset=["positive_visit"])
-    elif source in ("text", "ml"):
-        pos = text_stays(spark, d, "rule" if source == "text" else "ml").where("nlp_positive").select(
+    elif source in ("text", "ml", "model"):
+        pos = text_stays(spark, d, "rule" if source == "text" else source).where("nlp_positive").select(
             "encounter_num", F.lit(True).alias("positive_visit"), "has_history")
         v = v.join(pos, "encounter_num", "left").fillna(False, subset=["positive_visit", "has_history"])
     else:
@@ -59,20 +60,41 @@ def stays_by_source(spark: SparkSession, d: str, source: str = "all", params: St
 
 
 # ---------------------------------------------------------------- text path
+#
+# The steps that several analyses need are stage tables: the selected notes (the only read of the
+# documents), their mentions, their dates, and the mentions linked to dates.
+
+def _files(d: str, *names: str) -> list[str]:
+    return [f"{d.rstrip('/')}/{n}.parquet" for n in names]
+
+
+def note_stage(spark: SparkSession, d: str, method: str = "keep_last") -> Staged:
+    """One note per stay."""
+    from cohortspark.operators import cohort
+
+    one = cohort.select_one_note(adapters.notes(spark, d), method, P)
+    return Registry(spark).stage("notes", one, _files(d, "documents", "orders"), params=(method, P))
+
 
 def selected_notes(spark: SparkSession, d: str, method: str = "keep_last") -> DataFrame:
-    """One note per stay (W1/W2), then the lexicon filter (P3): selection precedes the regex."""
+    """One note per stay, then the lexicon filter (P3): selection precedes the regex."""
     from cohortspark.operators import cohort, text
 
-    one = cohort.select_one_note(adapters.notes(spark, d), method, P)
-    return cohort.regex_filter(one, text.LEXICON)
+    return cohort.regex_filter(note_stage(spark, d, method).df, text.LEXICON)
+
+
+def mention_stage(spark: SparkSession, d: str) -> Staged:
+    from cohortspark.operators import text
+
+    found = text.mentions(selected_notes(spark, d), keep_cols=("encounter_num",))
+    return Registry(spark).stage("mentions", found, [], [note_stage(spark, d)])
 
 
 def text_mentions(spark: SparkSession, d: str, notes: DataFrame | None = None) -> DataFrame:
     """Mentions of the selected notes, or of ``notes`` (a stage table of them)."""
     from cohortspark.operators import text
 
-    return text.mentions(selected_notes(spark, d) if notes is None else notes, keep_cols=("encounter_num",))
+    return mention_stage(spark, d).df if notes is None else text.mentions(notes, keep_cols=("encounter_num",))
 
 
 # fixed values: words of the demo risk factors
@@ -81,9 +103,17 @@ RF_LEXICON = {w: r"(?iu)(?<![\p{L}\p{N}_])" + w + r"(?![\p{L}\p{N}_])" for w in
 
 
 def date_mentions(spark: SparkSession, d: str, notes: DataFrame | None = None) -> DataFrame:
+    return date_stage(spark, d).df if notes is None else _dates_of(notes)
+
+
+def _dates_of(notes: DataFrame) -> DataFrame:
     from cohortspark.operators import dates
 
-    return dates.date_mentions((selected_notes(spark, d) if notes is None else notes).select("note_id", "encounter_num", "note_text"), keep_cols=("encounter_num",))
+    return dates.date_mentions(notes.select("note_id", "encounter_num", "note_text"), keep_cols=("encounter_num",))
+
+
+def date_stage(spark: SparkSession, d: str) -> Staged:
+    return Registry(spark).stage("dates", _dates_of(selected_notes(spark, d)), [], [note_stage(spark, d)])
 
 
 def resolved_dates(spark: SparkSession, d: str, notes: DataFrame | None = None) -> DataFrame:
@@ -113,22 +143,58 @@ def linked_mentions(spark: SparkSession, d: str, notes: DataFrame | None = None)
     return dates.history_by_date(linked.join(v, "encounter_num", "left"), P)
 
 
+def link_stage(spark: SparkSession, d: str) -> Staged:
+    return Registry(spark).stage("linked", linked_mentions(spark, d), _files(d, "orders", "customer"),
+                                 [mention_stage(spark, d), date_stage(spark, d)], P)
+
+
+def mention_model(spark: SparkSession, d: str) -> tuple[str, str]:
+    """(version, folder) of the trained mention model: annotator A's labels of the mentions' notes. The
+    version is the digest of mentions, labels and settings; a model that is there is not trained again."""
+    from cohortspark.operators import scoring
+
+    mentions = mention_stage(spark, d)
+    gold = adapters.annotations(spark, d).where("annotator = 'A'").select("note_id", F.col("gold").alias("label"))
+    train = mentions.df.select("note_id", "words").join(gold, "note_id")
+    registry = Registry(spark)
+    version = registry.address("model", train, _files(d, "labels"), [mentions], scoring.SETTINGS)
+    return version, registry.made("model", version, lambda folder: scoring.train_mention_model(train).write().save(folder))
+
+
+def model_scores(spark: SparkSession, d: str) -> Staged:
+    """The score table: each mention scored once by the saved model, keyed by (note_id, start_char, end_char,
+    model_version)."""
+    from cohortspark.operators import scoring
+
+    version, folder = mention_model(spark, d)
+    mentions = mention_stage(spark, d)
+    keys = ["note_id", "start_char", "end_char"]
+    scored = scoring.score_mentions(scoring.load_mention_model(folder), mentions.df.select(*keys, "words"))
+    table = scored.select(*keys, F.lit(version).alias("model_version"), F.col("ml_prediction").alias("prediction"),
+                          F.col("ml_probability").alias("probability"))
+    digest_only = mentions.df.select(*keys, "words")  # the plan of a model names columns by random numbers
+    registry = Registry(spark)
+    digest = registry.address("scores", digest_only, [], [mentions], version)
+    path = registry.made("scores", digest, lambda out: table.write.parquet(out))
+    return Staged(spark.read.schema(table.schema).parquet(path), digest)
+
+
 def mention_scores(mentions: DataFrame) -> DataFrame:
     """Stand-in model scores keyed like the mentions (arithmetic, so that SQL can follow)."""
     return mentions.select("note_id", "start_char", "end_char", ((F.col("note_id") + F.col("start_char")) % 4 == 0).alias("prediction"))
 
 
 def flagged_mentions(spark: SparkSession, d: str, method: str = "rule") -> DataFrame:
-    """Mentions with the date-based history, then P12/P13. Method 'ml': the joined model score is the
-    instance flag (J12)."""
+    """Mentions with the date-based history, then P12/P13. Method 'ml' and 'model': the joined score is the
+    instance flag (J12), arithmetic that SQL can follow or the saved model's."""
     from cohortspark.operators.stays import flag_mentions
 
-    m = flag_mentions(linked_mentions(spark, d))
+    m = flag_mentions(link_stage(spark, d).df)
     if method == "rule":
         return m
     keys = ["note_id", "start_char", "end_char"]
-    return m.join(mention_scores(text_mentions(spark, d)), keys, "left").withColumn(
-        "instance_flag", F.coalesce("prediction", F.lit(False)))
+    scores = mention_scores(text_mentions(spark, d)) if method == "ml" else model_scores(spark, d).df.select(*keys, "prediction")
+    return m.join(scores, keys, "left").withColumn("instance_flag", F.coalesce("prediction", F.lit(False)))
 
 
 def text_stays(spark: SparkSession, d: str, method: str = "rule") -> DataFrame:
@@ -144,8 +210,7 @@ def rf_flag_stays(spark: SparkSession, d: str) -> DataFrame:
     from cohortspark.operators.stays import rf_flags, rf_mention_filter
 
     positive = text_stays(spark, d).where("nlp_positive").select("encounter_num")
-    notes = cohort.select_one_note(adapters.notes(spark, d), "keep_last", P)
-    notes = cohort.regex_filter(cohort.notes_of_stays(notes, positive), RF_LEXICON)
+    notes = cohort.regex_filter(cohort.notes_of_stays(note_stage(spark, d).df, positive), RF_LEXICON)
     m = text.mentions(notes, RF_LEXICON, keep_cols=("encounter_num",))
     kept = rf_mention_filter(m, None, ["negation", "hypothesis"]).withColumnRenamed("std_lexical_variant", "rf_name")
     return rf_flags(positive, kept, list(RF_LEXICON))

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.arrays import let, scan, wide, wide_slice
+from cohortspark.functions.arrays import let, nth, scan, wide, wide_slice
 
 # ---- fixed values ------------------------------------------------------------------
 # tokens: a run of letters/digits/underscore, or one other non-space character
@@ -164,8 +164,6 @@ def label_groups(patterns: dict[str, str]) -> dict[str, int]:
 
 # ------------------------------------------------------------------ pieces and spans
 
-PIECE = "struct<hit:boolean,label:int,match:string>"
-SPAN = "struct<match:string,start:int,end:int,tok:int,ntok:int,sent:int,label:int>"
 
 
 def pieces(text: Column, patterns: str | dict[str, str]) -> Column:
@@ -183,45 +181,51 @@ def pieces(text: Column, patterns: str | dict[str, str]) -> Column:
         F.translate(p, SEP, "").alias("match")))
 
 
-def located(cut: Column, with_tokens: bool = False, with_sentences: bool = False, keep_tokens: bool = False) -> Column:
-    """The spans among ``pieces``: match, start and end characters, number of tokens before and in it,
-    sentence and label. Pieces and matches are tokenised apart: exact when matches start and end on token
+def located(cut: Column, with_tokens: bool = False, with_sentences: bool = False) -> Column:
+    """The spans among ``pieces``, array<struct<match, start, end, tok, ntok, sent, label>>: start and end
+    characters, number of tokens before and in it, sentence and label. Pieces and matches are tokenised apart: exact when matches start and end on token
     boundaries, as whole-word patterns do."""
-    none = F.lit(0)
+    zero = F.lit(0)
 
     def measured(p):
         t = p["match"]
-        toks = F.regexp_extract_all(t, F.lit(TOKEN), 0) if with_tokens or keep_tokens else None
-        starts = F.size(F.regexp_extract_all(t, F.lit(SENT_START), 0)) if with_sentences else none
-        # whether the first and the last character are inside a sentence
-        first = F.length(F.translate(F.substring(t, 1, 1), ".!?\n", "")) == 1 if with_sentences else F.lit(False)
-        last = F.length(F.translate(F.substring(t, -1, 1), ".!?\n", "")) == 1 if with_sentences else F.lit(False)
-        return F.struct(p["hit"].alias("hit"), p["label"].alias("label"), t.alias("match"), F.length(t).alias("n"),
-                        (F.size(toks) if toks is not None else none).alias("ntok"), starts.alias("starts"),
-                        first.alias("first"), last.alias("last"))
-
-    def step(at, x):
-        joins = F.when(at["open"] & x["first"], 1).otherwise(0)
-        state = F.struct((at["pos"] + x["n"]).alias("pos"), (at["tok"] + x["ntok"]).alias("tok"),
-                         (at["sents"] + x["starts"] - joins).alias("sents"),
-                         F.when(x["n"] == 0, at["open"]).otherwise(x["last"]).alias("open"))
-        sent = at["sents"] + F.when(x["first"] & ~at["open"], 1).otherwise(0) - 1
-        return state, hit(x), F.struct(at["pos"].alias("start"), at["tok"].alias("tok"), sent.alias("sent"))
+        parts = [p["hit"].alias("hit"), p["label"].alias("label"), t.alias("match"), F.length(t).alias("n")]
+        if with_tokens:
+            parts.append(F.size(F.regexp_extract_all(t, F.lit(TOKEN), 0)).alias("ntok"))
+        if with_sentences:  # starts of sentences, and whether the first and the last character are inside one
+            inside = lambda at: F.length(F.translate(F.substring(t, at, 1), ".!?\n", "")) == 1
+            parts += [F.size(F.regexp_extract_all(t, F.lit(SENT_START), 0)).alias("starts"), inside(1).alias("first"), inside(-1).alias("last")]
+        return F.struct(*parts)
 
     def hit(x):
         return x["hit"] & (x["n"] > 0)
 
+    def step(at, x):
+        state, numbers = [(at["pos"] + x["n"]).alias("pos")], [at["pos"]]
+        if with_tokens:
+            state.append((at["tok"] + x["ntok"]).alias("tok"))
+            numbers.append(at["tok"])
+        if with_sentences:
+            joins = F.when(at["open"] & x["first"], 1).otherwise(0)
+            state += [(at["sents"] + x["starts"] - joins).alias("sents"), F.when(x["n"] == 0, at["open"]).otherwise(x["last"]).alias("open")]
+            numbers.append(at["sents"] + F.when(x["first"] & ~at["open"], 1).otherwise(0) - 1)
+        return F.struct(*state), hit(x), numbers
+
+    start = [zero.alias("pos")] + ([zero.alias("tok")] if with_tokens else []) + (
+        [zero.alias("sents"), F.lit(False).alias("open")] if with_sentences else [])
+    width = 1 + with_tokens + with_sentences
+
     def found(xs):
-        zero = F.struct(none.alias("pos"), none.alias("tok"), none.alias("sents"), F.lit(False).alias("open"))
-        return F.zip_with(F.filter(xs, hit), scan(xs, zero, step, "struct<start:int,tok:int,sent:int>"), lambda x, at: F.struct(
-            x["match"].alias("match"), at["start"].alias("start"), (at["start"] + x["n"]).alias("end"), at["tok"].alias("tok"),
-            x["ntok"].alias("ntok"), at["sent"].alias("sent"), x["label"].alias("label")))
+        return let(scan(xs, F.struct(*start), step), lambda at: F.transform(F.filter(xs, hit), lambda x, i: F.struct(
+            x["match"].alias("match"), nth(at, i, width, 0).alias("start"), (nth(at, i, width, 0) + x["n"]).alias("end"),
+            (nth(at, i, width, 1) if with_tokens else zero).alias("tok"), (x["ntok"] if with_tokens else zero).alias("ntok"),
+            (nth(at, i, width, width - 1) if with_sentences else zero).alias("sent"), x["label"].alias("label"))))
 
     return let(F.transform(cut, measured), found)
 
 
 def spans(text: Column, patterns: str | dict[str, str], with_tokens: bool = False, with_sentences: bool = False) -> Column:
-    """array of SPAN of all matches of ``patterns`` in ``text`` (``start``/``end``: 0-based characters)."""
+    """array of spans (``located``) of all matches of ``patterns`` in ``text`` (``start``/``end``: 0-based characters)."""
     return located(pieces(text, patterns), with_tokens, with_sentences)
 
 
@@ -257,9 +261,6 @@ def normalise_text(text: Column) -> Column:
     return F.regexp_replace(fold_letters(text), r"\s+", " ")
 
 
-ALIGN = "struct<norm:int,raw:int>"
-
-
 def normalised(notes: DataFrame, text_col: str = "note_text", noise: list[str] = NOISE, out: str = "norm_text",
                align: str = "alignment") -> DataFrame:
     """X3 with offsets: ``out`` is the text with folded letters, without ``noise`` and with each run of
@@ -273,10 +274,12 @@ def normalised(notes: DataFrame, text_col: str = "note_text", noise: list[str] =
         n = F.length(p["match"])
         made = F.when(~p["hit"], n).when(p["label"] == 1, 1).otherwise(0)
         state = F.struct((at["norm"] + made).alias("norm"), (at["raw"] + n).alias("raw"))
-        return state, made > 0, F.struct(at["norm"].alias("norm"), at["raw"].alias("raw"))
+        return state, made > 0, [at["norm"], at["raw"]]
 
     zero = F.struct(F.lit(0).alias("norm"), F.lit(0).alias("raw"))
-    return x.withColumn(out, F.array_join(text, "")).withColumn(align, scan(F.col("_cut"), zero, step, ALIGN)).drop("_cut")
+    places = let(scan(F.col("_cut"), zero, step), lambda flat: F.transform(
+        F.filter(flat, lambda _, i: i % 2 == 0), lambda norm, i: F.struct(norm.alias("norm"), nth(flat, i, 2, 1).alias("raw"))))
+    return x.withColumn(out, F.array_join(text, "")).withColumn(align, places).drop("_cut")
 
 
 def raw_places(starts: Column, align: Column) -> Column:
@@ -286,9 +289,9 @@ def raw_places(starts: Column, align: Column) -> Column:
 
     def step(at, e):
         state = F.struct(F.when(e["k"] == 0, e["raw"] - e["p"]).otherwise(at["shift"]).alias("shift"))
-        return state, e["k"] == 1, e["p"] + at["shift"]
+        return state, e["k"] == 1, [e["p"] + at["shift"]]
 
-    return scan(F.sort_array(kinds), F.struct(F.lit(0).alias("shift")), step, "int")
+    return scan(F.sort_array(kinds), F.struct(F.lit(0).alias("shift")), step)
 
 
 def sentences(notes: DataFrame, text_col: str = "note_text", id_col: str = "note_id") -> DataFrame:
@@ -370,53 +373,46 @@ def mentions(
         def step(at, e):
             state = F.struct(F.when(e["kind"] == 0, e["code"]).otherwise(at["section"]).alias("section"),
                              *[scope(at, e, "left", c).alias(c) for c in classes])
-            return state, e["kind"] == 1, F.struct(at["section"].alias("section"), *[(at[c] == e["sent"]).alias(c) for c in classes])
+            return state, e["kind"] == 1, [at["section"], *[at[c] == e["sent"] for c in classes]]
 
-        return scan(events, F.struct(F.lit(-1).alias("section"), *[v.alias(c) for c, v in zero.items()]), step,
-                    "struct<section:int," + ",".join(f"{c}:boolean" for c in classes) + ">")
+        return scan(events, F.struct(F.lit(-1).alias("section"), *[v.alias(c) for c, v in zero.items()]), step)
 
     def behind(r):
         """The same from the other end: a cue at or after the mention's end reaches back."""
         events = F.reverse(F.sort_array(F.concat(F.transform(r["m"], lambda m: event(m["end"], 0, F.lit(0), m["sent"])), r["c"])))
 
         def step(at, e):
-            return F.struct(*[scope(at, e, "right", c).alias(c) for c in classes]), e["kind"] == 0, F.struct(
-                *[(at[c] == e["sent"]).alias(c) for c in classes])
+            return F.struct(*[scope(at, e, "right", c).alias(c) for c in classes]), e["kind"] == 0, [at[c] == e["sent"] for c in classes]
 
-        return F.reverse(scan(events, F.struct(*[v.alias(c) for c, v in zero.items()]), step,
-                              "struct<" + ",".join(f"{c}:boolean" for c in classes) + ">"))
+        return scan(events, F.struct(*[v.alias(c) for c, v in zero.items()]), step)
 
     def raw(r):
-        places = raw_places(F.flatten(F.transform(r["m"], lambda m: F.array(m["start"], m["end"] - 1))), r["al"])
-        half = lambda p, odd: F.filter(p, lambda _, i: i % 2 == odd)
-        return let(places, lambda p: F.zip_with(half(p, 0), half(p, 1), lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end"))))
+        return raw_places(F.flatten(F.transform(r["m"], lambda m: F.array(m["start"], m["end"] - 1))), r["al"])
 
     def rows(r):
-        parts = [r["m"].alias("m"), before(r).alias("l")]
-        if rules.right:
-            parts.append(behind(r).alias("r"))
-        if align_col:
-            parts.append(raw(r).alias("q"))
-
-        def row(z):
-            m = z["m"]
-            low = F.greatest(m["tok"] - k_before, F.lit(0))
-            snip = F.greatest(m["start"] - snippet, F.lit(0))
-            section = F.when(z["l"]["section"] >= 0, F.get(r["h"], z["l"]["section"])["title"])
-            flags = {c: z["l"][c] | z["r"][c] if rules.right else z["l"][c] for c in classes}
-            if titles and "history" in flags:
-                flags["history"] = flags["history"] | F.coalesce(section.isin(*titles), F.lit(False))
-            return F.struct(
-                m["match"].alias("lexical_variant"), F.element_at(F.array(*[F.lit(x) for x in lexicon]), m["label"] + 1).alias("std_lexical_variant"),
-                m["start"].alias("start_char"), m["end"].alias("end_char"), m["tok"].alias("start"), (m["tok"] + m["ntok"]).alias("end"),
-                m["sent"].alias("sent_id"), section.alias("section"),
-                F.slice(r["w"], low + 1, m["tok"] + m["ntok"] + k_after - low).alias("words"), (m["tok"] - low).alias("word_index"),
-                wide_slice(r["b"], snip, m["end"] + snippet - snip).alias("snippet"),
-                (m["start"] - snip).alias("snippet_start"), (m["end"] - snip).alias("snippet_end"),
-                *([z["q"]["start"].alias("raw_start"), z["q"]["end"].alias("raw_end")] if align_col else []),
-                *[f.alias(c) for c, f in flags.items()])
-
-        return F.transform(F.arrays_zip(*parts), row)
+        tables = [before(r).alias("l")] + ([behind(r).alias("r")] if rules.right else []) + ([raw(r).alias("q")] if align_col else [])
+        return let(F.struct(*tables), lambda t: F.transform(r["m"], lambda m, i: row(r, t, m, i)))
+
+    def row(r, t, m, i):
+        low = F.greatest(m["tok"] - k_before, F.lit(0))
+        snip = F.greatest(m["start"] - snippet, F.lit(0))
+        at = nth(t["l"], i, 1 + len(classes), 0)
+        section = F.when(at >= 0, F.get(r["h"], at)["title"])
+        flags = {c: nth(t["l"], i, 1 + len(classes), 1 + k) == 1 for k, c in enumerate(classes)}
+        if rules.right:  # listed from the last mention to the first
+            other = F.size(r["m"]) - 1 - i
+            flags = {c: f | (nth(t["r"], other, len(classes), k) == 1) for k, (c, f) in enumerate(flags.items())}
+        if titles and "history" in flags:
+            flags["history"] = flags["history"] | F.coalesce(section.isin(*titles), F.lit(False))
+        return F.struct(
+            m["match"].alias("lexical_variant"), F.element_at(F.array(*[F.lit(x) for x in lexicon]), m["label"] + 1).alias("std_lexical_variant"),
+            m["start"].alias("start_char"), m["end"].alias("end_char"), m["tok"].alias("start"), (m["tok"] + m["ntok"]).alias("end"),
+            m["sent"].alias("sent_id"), section.alias("section"),
+            F.slice(r["w"], low + 1, m["tok"] + m["ntok"] + k_after - low).alias("words"), (m["tok"] - low).alias("word_index"),
+            wide_slice(r["b"], snip, m["end"] + snippet - snip).alias("snippet"),
+            (m["start"] - snip).alias("snippet_start"), (m["end"] - snip).alias("snippet_end"),
+            *([nth(t["q"], i, 2, 0).alias("raw_start"), (nth(t["q"], i, 2, 1) + 1).alias("raw_end")] if align_col else []),
+            *[f.alias(c) for c, f in flags.items()])
 
     return x.select(*keep, F.explode(let(note, rows)).alias("x")).select(*keep, "x.*")
 

@@ -22,6 +22,8 @@ from cohortspark.session import checkpoint_dir
 
 #: session setting that places the registry elsewhere (a shared folder)
 ROOT_SETTING = "cohortspark.stages.root"
+#: digest and schema of the plans that this process has built
+_PLANS: dict[str, tuple] = {}
 
 
 class Staged(NamedTuple):
@@ -86,9 +88,17 @@ class Registry:
         _, goal = self._file(f"{place}/CURRENT")
         fs.rename(p, goal)  # does not replace a marker that is there
 
-    def address(self, name: str, df: DataFrame | None, files: Iterable[str], parents: Iterable[Staged] = (), params: object = None) -> str:
-        text = "\n".join([name, files_digest(self.spark, files), *(p.digest for p in parents), repr(params),
-                          plan_digest(df) if df is not None else ""])
+    def address(self, name: str, build: Callable[[], DataFrame], files: Iterable[str], parents: Iterable[Staged] = (), params: object = None,
+                schema: list | None = None) -> str:
+        """The digest of a stage. The plan is built once a session for each name, files, parents and
+        parameters."""
+        known = "\n".join([name, *files, *(p.digest for p in parents), repr(params)])
+        if known not in _PLANS:
+            df = build()
+            _PLANS[known] = plan_digest(df), df.schema
+        text = "\n".join([known, files_digest(self.spark, files), _PLANS[known][0]])
+        if schema is not None:
+            schema.append(_PLANS[known][1])
         return hashlib.sha256(text.encode()).hexdigest()[:32]
 
     def made(self, name: str, digest: str, make: Callable[[str], None]) -> str:
@@ -102,7 +112,9 @@ class Registry:
             found = self._marked(place)
         return found
 
-    def stage(self, name: str, df: DataFrame, files: Iterable[str], parents: Iterable[Staged] = (), params: object = None) -> Staged:
-        digest = self.address(name, df, files, parents, params)
-        path = self.made(name, digest, lambda folder: df.write.parquet(folder))
-        return Staged(self.spark.read.schema(df.schema).parquet(path), digest)
+    def stage(self, name: str, build: Callable[[], DataFrame], files: Iterable[str], parents: Iterable[Staged] = (), params: object = None) -> Staged:
+        """The table that ``build()`` describes. ``params`` has to name whatever else ``build`` depends on."""
+        schema: list = []
+        digest = self.address(name, build, files, parents, params, schema)
+        path = self.made(name, digest, lambda folder: build().write.parquet(folder))
+        return Staged(self.spark.read.schema(schema[0]).parquet(path), digest)

@@ -72,8 +72,8 @@ def note_stage(spark: SparkSession, d: str, method: str = "keep_last") -> Staged
     """One note per stay."""
     from cohortspark.operators import cohort
 
-    one = cohort.select_one_note(adapters.notes(spark, d), method, P)
-    return Registry(spark).stage("notes", one, _files(d, "documents", "orders"), params=(method, P))
+    return Registry(spark).stage("notes", lambda: cohort.select_one_note(adapters.notes(spark, d), method, P),
+                                 _files(d, "documents", "orders"), params=(method, P))
 
 
 def selected_notes(spark: SparkSession, d: str, method: str = "keep_last") -> DataFrame:
@@ -86,8 +86,8 @@ def selected_notes(spark: SparkSession, d: str, method: str = "keep_last") -> Da
 def mention_stage(spark: SparkSession, d: str) -> Staged:
     from cohortspark.operators import text
 
-    found = text.mentions(selected_notes(spark, d), keep_cols=("encounter_num",))
-    return Registry(spark).stage("mentions", found, [], [note_stage(spark, d)])
+    return Registry(spark).stage("mentions", lambda: text.mentions(selected_notes(spark, d), keep_cols=("encounter_num",)), [],
+                                 [note_stage(spark, d)], (text.LEXICON, text.CUES))
 
 
 def text_mentions(spark: SparkSession, d: str, notes: DataFrame | None = None) -> DataFrame:
@@ -113,7 +113,7 @@ def _dates_of(notes: DataFrame) -> DataFrame:
 
 
 def date_stage(spark: SparkSession, d: str) -> Staged:
-    return Registry(spark).stage("dates", _dates_of(selected_notes(spark, d)), [], [note_stage(spark, d)])
+    return Registry(spark).stage("dates", lambda: _dates_of(selected_notes(spark, d)), [], [note_stage(spark, d)])
 
 
 def resolved_dates(spark: SparkSession, d: str, notes: DataFrame | None = None) -> DataFrame:
@@ -144,7 +144,7 @@ def linked_mentions(spark: SparkSession, d: str, notes: DataFrame | None = None)
 
 
 def link_stage(spark: SparkSession, d: str) -> Staged:
-    return Registry(spark).stage("linked", linked_mentions(spark, d), _files(d, "orders", "customer"),
+    return Registry(spark).stage("linked", lambda: linked_mentions(spark, d), _files(d, "orders", "customer"),
                                  [mention_stage(spark, d), date_stage(spark, d)], P)
 
 
@@ -157,7 +157,7 @@ def mention_model(spark: SparkSession, d: str) -> tuple[str, str]:
     gold = adapters.annotations(spark, d).where("annotator = 'A'").select("note_id", F.col("gold").alias("label"))
     train = mentions.df.select("note_id", "words").join(gold, "note_id")
     registry = Registry(spark)
-    version = registry.address("model", train, _files(d, "labels"), [mentions], scoring.SETTINGS)
+    version = registry.address("model", lambda: train, _files(d, "labels"), [mentions], scoring.SETTINGS)
     return version, registry.made("model", version, lambda folder: scoring.train_mention_model(train).write().save(folder))
 
 
@@ -169,14 +169,13 @@ def model_scores(spark: SparkSession, d: str) -> Staged:
     version, folder = mention_model(spark, d)
     mentions = mention_stage(spark, d)
     keys = ["note_id", "start_char", "end_char"]
-    scored = scoring.score_mentions(scoring.load_mention_model(folder), mentions.df.select(*keys, "words"))
-    table = scored.select(*keys, F.lit(version).alias("model_version"), F.col("ml_prediction").alias("prediction"),
-                          F.col("ml_probability").alias("probability"))
-    digest_only = mentions.df.select(*keys, "words")  # the plan of a model names columns by random numbers
-    registry = Registry(spark)
-    digest = registry.address("scores", digest_only, [], [mentions], version)
-    path = registry.made("scores", digest, lambda out: table.write.parquet(out))
-    return Staged(spark.read.schema(table.schema).parquet(path), digest)
+
+    def scored():
+        x = scoring.score_mentions(scoring.load_mention_model(folder), mentions.df.select(*keys, "words"))
+        return x.select(*keys, F.lit(version).alias("model_version"), F.col("ml_prediction").alias("prediction"),
+                        F.col("ml_probability").alias("probability"))
+
+    return Registry(spark).stage("scores", scored, [], [mentions], version)
 
 
 def mention_scores(mentions: DataFrame) -> DataFrame:

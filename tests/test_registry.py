@@ -9,8 +9,7 @@ def test_stages_are_reused_and_follow_their_inputs(spark, tmp_path):
     made = []
 
     def stage(expr="id * 2 AS x", params=None):
-        df = spark.read.parquet(src).selectExpr(expr)
-        s = Registry(spark, root).stage("t", df, [src], params=params)
+        s = Registry(spark, root).stage("t", lambda: spark.read.parquet(src).selectExpr(expr), [src], params=(expr, params))
         made.append(s.digest)
         return sorted(r[0] for r in s.df.collect())
 
@@ -28,12 +27,12 @@ def test_stages_are_reused_and_follow_their_inputs(spark, tmp_path):
 def test_half_written_stage_is_ignored(spark, tmp_path):
     src, root = str(tmp_path / "in.parquet"), str(tmp_path / "stages")
     spark.range(4).write.parquet(src)
-    df = spark.read.parquet(src)
+    build = lambda: spark.read.parquet(src)
     r = Registry(spark, root)
-    place = f"{root}/t-{r.address('t', df, [src])}"
+    place = f"{root}/t-{r.address('t', build, [src])}"
     spark.range(1).write.parquet(f"{place}/{'0' * 32}")                     # no marker names it
-    assert r.stage("t", df, [src]).df.count() == 4
-    assert r.stage("t", df, [src]).df.count() == 4
+    assert r.stage("t", build, [src]).df.count() == 4
+    assert r.stage("t", build, [src]).df.count() == 4
 
 
 def test_plan_digest_ignores_running_numbers(spark):

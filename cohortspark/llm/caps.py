@@ -137,12 +137,13 @@ def cap_links(vectors: DataFrame, threshold: float = 0.93, shared: float = 14.0,
                          F.col(vec_col).cast("array<double>").alias("embedding"))
     members = stage(arrow_map(src, _describe, "vec_id long, label string, valid boolean, digest binary"), "vecs")
     good = members.where("valid and label is not null and vec_id is not null")
-    nodes = stage(good.groupBy("label", "digest").agg(
-        F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "nodes")
+    # a node is a distinct vector of a label; its number is its own, also where a vec_id repeats
+    nodes = stage(good.groupBy("label", "digest").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+                  .withColumn("id", F.monotonically_increasing_id()), "nodes")
     n = nodes.count()
 
     # the vector of each node, by its smallest vec_id, with the filters it falls into
-    one = src.join(nodes.select(F.col("id").alias("vec_id"), "label", "digest", "copies"), ["vec_id", "label"])
+    one = src.join(nodes.select("vec_id", "id", "label", "digest", "copies"), ["vec_id", "label"])
 
     def assign(batch: pa.RecordBatch) -> dict:
         out = {c: [] for c in ("id", "label", "copies", "dim", "vec", "filters")}
@@ -156,7 +157,7 @@ def cap_links(vectors: DataFrame, threshold: float = 0.93, shared: float = 14.0,
             height, directions = cap_plan(n, int(dim), threshold, shared, strangers)
             row, code = decode(x, directions, height)
             cuts = np.searchsorted(row, np.arange(len(x) + 1))
-            for c, src_c in (("id", "vec_id"), ("label", "label"), ("copies", "copies")):
+            for c, src_c in (("id", "id"), ("label", "label"), ("copies", "copies")):
                 out[c] += part.column(src_c).to_pylist()
             out["dim"] += [int(dim)] * len(x)
             out["vec"] += [v.tobytes() for v in x]
@@ -164,7 +165,7 @@ def cap_links(vectors: DataFrame, threshold: float = 0.93, shared: float = 14.0,
         return out
 
     coded = stage(arrow_map(one, assign, "id long, label string, copies long, dim int, vec binary, "
-                                         "filters array<long>").dropDuplicates(["label", "id"]), "caps")
+                                         "filters array<long>").dropDuplicates(["id"]), "caps")
     key = F.xxhash64("label", "dim", "f").alias("bucket")
     rows = coded.select("id", "label", "copies", "dim", "vec", "filters", F.explode("filters").alias("f")).select("*", key)
     sizes = coded.select("label", "dim", F.explode("filters").alias("f")).select(key).groupBy("bucket").agg(
@@ -222,9 +223,11 @@ def cap_links(vectors: DataFrame, threshold: float = 0.93, shared: float = 14.0,
                            "id long, n long, root long"), "links")
     comp = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
     counted = found.groupBy("id").agg(F.sum("n").alias("n"))
-    of_node = nodes.join(counted, "id", "left").join(comp, "id", "left").select(
-        "label", "digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "id").alias("component"))
+    named = stage(nodes.join(counted, "id", "left").join(comp, "id", "left").select(
+        "label", "digest", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component", "id").alias("root")), "named")
+    smallest = stage(named.groupBy("root").agg(F.min("vec_id").alias("component")), "smallest")
+    of_node = named.join(smallest, "root").select("label", "digest", "n_links", "component")
     bad = ~F.coalesce(F.col("valid") & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     out = members.withColumn("digest", F.when(~bad, F.col("digest"))).join(of_node, ["label", "digest"], "left")
     return out.select(

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,32 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
     return df.mapInArrow(run, schema)
 
 
+class Shared:
+    """A broadcast object of this subpackage. Broadcasts are pickled with their classes by reference, which
+    workers without an installed copy cannot follow, so the object travels as bytes that hold its classes."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.known: list = []
+
+    def __getstate__(self):
+        return self.sent
+
+    def __setstate__(self, sent):
+        self.sent, self.known = sent, []
+
+    @property
+    def value(self):
+        if not self.known:
+            self.known.append(cloudpickle.loads(self.sent.value))
+        return self.known[0]
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """What tells the rows of one doc_id apart: a hash of id and text (equal rows share it)."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
 def binary_texts(col: pa.Array) -> list:
     """UTF-8 bytes of a string column; null stays None."""
     return col.cast(pa.binary()).to_pylist()

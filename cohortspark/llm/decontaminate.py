@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import arrow_map, binary_texts
+from cohortspark.llm.common import Shared, arrow_map, binary_texts, row_key
 from cohortspark.llm.words import words_of
 
 #: words per shingle
@@ -94,19 +94,20 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, byte
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, ratio: int = 20,
-                  block_words: int = 1_000_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated
+                  block_words: int = 1_000_000, text_col: str = "text", id_col: str = "doc_id", with_row: bool = False) -> DataFrame:
+    """One row per document: doc_id, row (its ``row_key``, on demand), n_words, n_hit, n_items, items_sha256, contaminated
     (n_hit > 0 and ratio * n_hit >= n_words)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(
         "item_id is not null and text is not null")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", row_key())
     none = F.array().cast("array<long>")
     state = src.select("*", none.alias("starts"), none.alias("ends"), F.array().cast("array<string>").alias("items"))
     for block in _blocks(items, block_words):
-        win = spark.sparkContext.broadcast(Windows(block, size))
+        win = Shared(spark, Windows(block, size))
         state = _probe(state, win, _rarest(src, win))
-    return _summary(state.drop("text"), ratio)
+    out = _summary(state.drop("text"), ratio)
+    return out if with_row else out.drop("row")
 
 
 def _rarest(src: DataFrame, win) -> dict[int, tuple]:
@@ -168,9 +169,9 @@ def _probe(state: DataFrame, win, prefix: dict[int, tuple]) -> DataFrame:
                     out["starts"][row] = out["starts"][row] + start.tolist()
                     out["ends"][row] = out["ends"][row] + (start + w.length[c]).tolist()
                     out["items"][row] = sorted({*out["items"][row], *(x for i in np.unique(c) for x in w.items[i])})
-        return {"doc_id": batch.column("doc_id"), "text": batch.column("text")} | out
+        return {c: batch.column(c) for c in ("doc_id", "row", "text")} | out
 
-    return arrow_map(state, run, "doc_id long, text string, starts array<long>, ends array<long>, "
+    return arrow_map(state, run, "doc_id long, text string, row long, starts array<long>, ends array<long>, "
                                  "items array<string>, n_words long")
 
 
@@ -182,7 +183,7 @@ def _summary(state: DataFrame, ratio: int) -> DataFrame:
             n_hit.append(int((np.cumsum(step) > 0).sum()))
             n_items.append(len(items))
             digest.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-        return {"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "n_hit": n_hit, "n_items": n_items, "items_sha256": digest}
+        return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "n_words": batch.column("n_words"), "n_hit": n_hit, "n_items": n_items, "items_sha256": digest}
 
-    out = arrow_map(state, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    out = arrow_map(state, run, "doc_id long, row long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import arrow_map, binary_texts, crc_fold
+from cohortspark.llm.common import Shared, arrow_map, binary_texts, crc_fold, row_key
 
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
@@ -111,13 +111,13 @@ def train(docs: DataFrame, learn, buckets: int = BUCKETS) -> CodeModel | None:
 
 
 def identify(docs: DataFrame, learn=None, gap: float = 0.02, text_col: str = "text", id_col: str = "doc_id",
-             lang_col: str = "lang") -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, ambiguous. ``learn``: condition on
+             lang_col: str = "lang", with_row: bool = False) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score, ambiguous, on demand row (its ``row_key``). ``learn``: condition on
     doc_id for the rows to learn from; by default crc32(doc_id) mod 3 is not 1."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     held = F.coalesce(crc_fold(F.col("doc_id"), 3) == 1, F.lit(False))
     model = train(src, ~held if learn is None else learn)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = Shared(docs.sparkSession, model)
 
     def run(batch: pa.RecordBatch) -> dict:
         m, langs, scores, flags = shipped.value, [], [], []
@@ -131,9 +131,10 @@ def identify(docs: DataFrame, learn=None, gap: float = 0.02, text_col: str = "te
             langs.append(m.langs[order[0]])
             scores.append(float(like[order[0]] / like.sum()))
             flags.append(bool(len(loss) > 1 and loss[order[1]] - loss[order[0]] < gap))
-        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": langs, "score": scores,
+        return {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "held_out": batch.column("held_out"), "lang_pred": langs, "score": scores,
                 "ambiguous": flags}
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return arrow_map(src.select("doc_id", held.alias("held_out"), letters.alias("letters"), "text"), run,
-                     "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    out = arrow_map(src.select("doc_id", row_key().alias("row"), held.alias("held_out"), letters.alias("letters"), "text"), run,
+                     "doc_id long, row long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return out if with_row else out.drop("row")

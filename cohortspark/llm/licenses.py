@@ -6,11 +6,13 @@ the text's joined words) give all candidate places, and the regex library's boun
 matching verifies each place and reports span and edits.
 
 Defined results: null or empty text has no words and no labels (score 0); a null doc_id keeps its
-row; repeated rows each get a row; extra columns are ignored; an empty table gives an empty result.
+row; repeated rows each get a row; very long texts are read whole, in time that grows with their length and
+their matches; a notice found from two places counts once with its fewest edits; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,9 +106,14 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices
             words = words_of(t)
             joined = b" " + b" ".join(words) + b" "
             base = scan.exact(joined)
-            places = sorted(joined.count(b" ", 0, at) for at, _ in base)
+            # the number of a word is that of the spaces before it
+            spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+            places = np.searchsorted(spaces, sorted(at for at, _ in base)).tolist()
             plain = joined.decode("utf-8", "replace")
             near = scan.fuzzy(plain) if words else []
+            if near and len(plain) != len(joined):  # the fuzzy spans are in characters
+                spaces = np.flatnonzero(np.frombuffer(plain.encode("utf-32-le"), np.uint32) == 32)
+            number = np.searchsorted(spaces, [a for a, _, _, _ in near]).tolist()
             out["n_words"].append(len(words))
             out["n_base"].append(len(base))
             out["first_word"].append(places[0] if places else None)
@@ -114,8 +121,8 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices
             out["base_labels"].append(",".join(sorted({x for _, x in base})))
             out["labels"].append(",".join(sorted({x for _, x in base} | {x[2] for x in near})))
             out["score"].append(1.0 if base else max((1 - e / longest[x] for _, _, x, e in near), default=0.0))
-            out["spans"].append([{"first_word": plain.count(" ", 0, a) - 1, "words": len(plain[a:b].split()), "label": x, "edits": e}
-                                 for a, b, x, e in near])
+            out["spans"].append([{"first_word": k - 1, "words": len(plain[a:b].split()), "label": x, "edits": e}
+                                 for k, (a, b, x, e) in zip(number, near)])
         return {"doc_id": batch.column("doc_id")} | out
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

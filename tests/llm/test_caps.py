@@ -42,6 +42,34 @@ def test_vectors_that_link_with_nothing(spark):
         [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (None, 0, None, True), *((i, 0, i, True) for i in range(3, 11))], key=str)
 
 
+def test_a_repeated_vec_id_names_no_node(spark):
+    a = np.random.default_rng(1).standard_normal(16)
+    b, near = -a, a + 1e-4
+    got = cap_links(frame(spark, [(1, b.tolist(), 1), (1, a.tolist(), 1), (3, near.tolist(), 1), (2, b.tolist(), 2)])).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 0, 1), (1, 1, 1), (2, 0, 2), (3, 1, 1)]
+
+
+def test_near_copies_close_to_the_threshold_link(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in range(60):  # a copy of each vector at a cosine of 0.93 to 0.99, and one just below
+        v = rng.standard_normal(48)
+        v /= np.linalg.norm(v)
+        for cos in (1.0, 0.9301 + 0.0598 * (c / 59), 0.9290):
+            w = rng.standard_normal(48)
+            w -= (w @ v) * v
+            w /= np.linalg.norm(w)
+            rows.append((len(rows), (cos * v + (1 - cos * cos) ** 0.5 * w).tolist(), 1))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cap_links(frame(spark, rows)).collect()}
+    x = np.array([np.array(v, np.float32).astype(float) for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.93
+    np.fill_diagonal(link, False)
+    root = classes(len(rows), [(int(a), int(b)) for a, b in zip(*np.nonzero(link)) if b < a])
+    assert link.sum() >= 110
+    assert got == {i: (int(link[i].sum()), root[i]) for i in range(len(rows))}
+
+
 def test_empty_table(spark):
     assert cap_links(frame(spark, [])).collect() == []
 

@@ -50,3 +50,26 @@ def test_any_edits_within_the_bound_are_found():
         text = " aa bb " + "".join(w) + " cc dd "
         whole = scan.patterns[k].search(text)
         assert whole and any(x[2] == label for x in scan.fuzzy(text))
+
+
+def test_time_grows_with_the_places():
+    import time
+
+    import pyarrow as pa
+
+    from cohortspark.llm import licenses
+
+    kept = []
+    real, licenses.arrow_map = licenses.arrow_map, lambda df, run, schema: kept.append(run)
+    try:
+        class Rows:
+            def select(self, *_):
+                return self
+        col, licenses.F = licenses.F, type("F", (), {"col": staticmethod(lambda _: type("C", (), {"cast": lambda s, t: s, "alias": lambda s, t: s})())})
+        license_scan(Rows())
+    finally:
+        licenses.arrow_map, licenses.F = real, col
+    text = "été cc by " * 200_000
+    start = time.time()
+    out = kept[0](pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]}))
+    assert out["n_base"] == [200_000] and (out["first_word"], out["last_word"]) == ([1], [599_998]) and time.time() - start < 20

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.operators.joins import hot_join, hot_keys
 from cohortspark.params import StudyParams
 
 
@@ -120,9 +121,10 @@ def select_one_note(notes: DataFrame, method: str = "keep_last", params: StudyPa
 
 
 def notes_per_stay(notes: DataFrame) -> DataFrame:
-    """W1 on every note: the stay's note count (aggregate + join; AQE splits a skewed stay)."""
+    """W1 on every note: the stay's note count. The counts are known before the join back, so the notes of a
+    hot stay are dealt over many tasks (``hot_join``)."""
     counts = notes.groupBy("encounter_num").agg(F.count(F.lit(1)).alias("n_docs_per_visit"))
-    return notes.join(counts, "encounter_num", "inner")
+    return hot_join(notes, counts, ["encounter_num"], "note_id", hot=hot_keys(counts, ["encounter_num"], "n_docs_per_visit"))
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

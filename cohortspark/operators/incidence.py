@@ -41,14 +41,12 @@ def demographic_exclusions(stays: DataFrame) -> DataFrame:
     miss_age = F.col("age").isNull() | (F.col("age") < 0)
     miss_sex = F.col("sex_cd").isin("Unknown", "U")
     out_range = (F.col("age") >= 0) & (F.col("age_cat") == "Unknown")
-    return stays.agg(
-        F.count_if(miss_age).alias("n_stays_missing_age"),
-        F.count_distinct(F.when(miss_age, F.col("patient_num"))).alias("n_patients_missing_age"),
-        F.count_if(miss_sex).alias("n_stays_missing_sex"),
-        F.count_distinct(F.when(miss_sex, F.col("patient_num"))).alias("n_patients_missing_sex"),
-        F.count_if(out_range).alias("n_stays_out_of_range"),
-        F.count_distinct(F.when(out_range, F.col("patient_num"))).alias("n_patients_out_of_range"),
-    )
+    kinds = {"missing_age": miss_age, "missing_sex": miss_sex, "out_of_range": out_range}
+    # per patient first, then sums: a stay is not repeated for each distinct count
+    per = stays.groupBy("patient_num").agg(*[F.count_if(c).alias(k) for k, c in kinds.items()])
+    known = F.col("patient_num").isNotNull()
+    return per.agg(*[e for k in kinds for e in (F.coalesce(F.sum(k), F.lit(0)).alias(f"n_stays_{k}"),
+                                                F.count_if((F.col(k) > 0) & known).alias(f"n_patients_{k}"))])
 
 
 def _monthly_aggs(weight_col: str | None, history_col: str | None, rf_cols: list[str]) -> list:

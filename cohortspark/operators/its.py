@@ -163,3 +163,25 @@ def trend_change(coefs: DataFrame, keys: list[str]) -> DataFrame:
         (F.col("upper") - F.col("estimate")).alias("upper_half_width"),
     )
 
+
+
+def fit_sets(stays: DataFrame, sets: dict[str, list[str]], params: StudyParams = StudyParams(), term_names: tuple = ("const", "t", "delta_t")) -> DataFrame:
+    """The interrupted-time-series fit of every group of every grouping at once.
+
+    ``sets`` names groupings by their columns. The stays are counted once, per cell of all columns and month;
+    the cells are dealt to the groupings, and one fit keyed by (grouping, columns) gives a row per group: stays, share
+    of all stays, mean age and the terms with their intervals. A column that a grouping leaves out is 'all'."""
+    cols = list(dict.fromkeys(c for cs in sets.values() for c in cs))
+    cells = stays.groupBy(*cols, "date").agg(F.count(F.lit(1)).alias("n"), F.sum("age").alias("age"), F.count("age").alias("n_age"))
+    pick = F.array(*[F.struct(F.lit(name).alias("grouping"), *[(F.col(c).cast("string") if c in cs else F.lit("all")).alias(c) for c in cols])
+                     for name, cs in sets.items()])
+    x = cells.select(F.explode(pick).alias("g"), "date", "n", "age", "n_age").select("g.*", "date", "n", "age", "n_age")
+    keys = ["grouping", *cols]
+    monthly = x.groupBy(*keys, "date").agg(F.sum("n").alias("n_sa"), F.sum("age").alias("age"), F.sum("n_age").alias("n_age"))
+    sums = monthly.groupBy(*keys).agg(F.sum("n_sa").alias("n_stays"), (F.sum("age") / F.sum("n_age")).alias("mean_age"))
+    total = Window.partitionBy("grouping")
+    sums = sums.withColumn("share", F.col("n_stays") / F.sum("n_stays").over(total))
+    coefs = coefficients(design(monthly, keys, params), keys, params).where(F.col("term").isin(*term_names))
+    value = lambda term, c: F.max(F.when(F.col("term") == term, F.col(c)))
+    wide = coefs.groupBy(*keys).agg(*[value(t, c).alias(t if c == "estimate" else f"{t}_{c}") for t in term_names for c in ("estimate", "lower", "upper")])
+    return sums.join(wide, keys)

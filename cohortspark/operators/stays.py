@@ -15,6 +15,7 @@ from cohortspark.functions.columns import (
     month_start,
     seconds_between,
 )
+from cohortspark.operators.joins import hot_join
 from cohortspark.params import StudyParams
 
 
@@ -107,8 +108,9 @@ def rule_only(rule: DataFrame, ml: DataFrame, key: str = "encounter_num") -> Dat
 
 
 def add_weights(stays: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weight by (month, site); no match gives a null weight (ignored by sums)."""
-    return stays.join(weights.select("date", "site_label", "stay_weight"), ["date", "site_label"], "left")
+    """Weight by (month, site); no match gives a null weight (ignored by sums). The stays of a hot
+    month and site are dealt over many tasks."""
+    return hot_join(stays, weights.select("date", "site_label", "stay_weight"), ["date", "site_label"], "encounter_num", "left")
 
 
 def rf_mention_filter(mentions: DataFrame, subcategories: list[str] | None, drop_if_any: list[str],

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.arrays import let, nth, scan, wide, wide_slice
@@ -418,27 +418,55 @@ def mentions(
 
 
 def span_filter(spans_df: DataFrame, key: str = "note_id") -> DataFrame:
-    """Per note, keep a set of non-overlapping spans, longest first (ties: earlier start).
-
-    The spans of a note are first cut into clusters that don't touch (a span opens one when it starts
-    at or after the largest end so far); the greedy choice then runs over one cluster's list. Spans of
-    two clusters never overlap, so the result is that of the whole note."""
-    note = Window.partitionBy(key).orderBy("start_char", "end_char")
-    reach = F.max("end_char").over(note.rowsBetween(Window.unboundedPreceding, -1))
-    x = spans_df.withColumn("_new", F.when(F.col("start_char") < reach, 0).otherwise(1))
-    x = x.withColumn("_cluster", F.sum("_new").over(note.rowsBetween(Window.unboundedPreceding, 0)))
-    s = x.select(key, "_cluster", F.struct(
-        (F.col("start_char") - F.col("end_char")).alias("neg_len"), "start_char", "end_char", "label"
-    ).alias("s"))
-    per = s.groupBy(key, "_cluster").agg(F.sort_array(F.collect_list("s")).alias("ss"))
-    empty = F.array().cast("array<struct<neg_len:int,start_char:int,end_char:int,label:string>>")
-    kept = F.aggregate(
-        "ss", empty,
-        lambda acc, x: F.when(
-            F.exists(acc, lambda a: (a["start_char"] < x["end_char"]) & (x["start_char"] < a["end_char"])), acc
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return per.select(key, F.explode(kept).alias("k")).select(key, "k.start_char", "k.end_char", "k.label")
+    """Per note, keep a set of non-overlapping spans, longest first (ties: earlier start, then label).
+
+    Spans pass sorted by note and start; those that touch one another form a cluster, which ends where a
+    span begins at or after the largest end so far. A cluster is decided on a map of its taken
+    characters: a span that meets a kept one, which is at least as long, has its first or its last character
+    taken, so that two looks decide it, and a cluster costs its sort and its length. Spans without
+    characters, and those without a start or an end, are dropped."""
+    out_cols = [key, "start_char", "end_char", "label"]
+    x = spans_df.select(*out_cols).where("start_char < end_char")
+    schema = x.schema.simpleString()[7:-1]
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = None
+        note, low, reach, held = None, 0, 0, []
+
+        def kept():
+            taken, out = bytearray(reach - low), []
+            for neg, start, end, label in sorted((s - e, s, e, lab) for s, e, lab in held):
+                if not (taken[start - low] or taken[end - 1 - low]):
+                    taken[start - low:end - low] = bytes([1]) * -neg
+                    out.append((note, start, end, label))
+            return out
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        done = []
+        for b in batches:
+            names, types = b.schema.names, b.schema.types
+            for n, s, e, lab in zip(*(c.to_pylist() for c in b.columns)):
+                if held and (n != note or s >= reach):
+                    done += kept()
+                    held = []
+                if not held:
+                    note, low, reach = n, s, e
+                held.append((s, e, lab))
+                reach = max(reach, e)
+            if len(done) > 4096:
+                yield batch(done)
+                done = []
+        if held:
+            done += kept()
+        if done:
+            yield batch(done)
+
+    parts = int(spans_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return x.repartition(parts, key).sortWithinPartitions(key, "start_char", "end_char", "label").mapInArrow(run, schema)
 
 
 def mention_stats(m: DataFrame) -> DataFrame:

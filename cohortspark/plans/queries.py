@@ -293,6 +293,59 @@ def q_token_window(spark, d):
     return study.text_mentions(spark, d).select("note_id", "start_char", "start", "end", "words", "word_index")
 
 
+def _scopes_sql() -> str:
+    """Scopes as intervals: every kind of cue is searched alone, phrases that overlap a longer one go."""
+    rules, parts, flags = text.SCOPED_CUES, [], []
+    kinds = {"masked": rules.masked, "stop": rules.stops}
+    kinds |= {f"left_{c}": ws for c, ws in rules.left.items()} | {f"right_{c}": ws for c, ws in rules.right.items()}
+    for kind, words in kinds.items():
+        alts = "|".join(sorted((w.replace("'", "''") for w in words), key=len, reverse=True))
+        parts.append(O.boundary_spans("note_text", alts, "q_" + kind, "sel", "note_id", O.WB, "(?i)"))
+    every = " UNION ALL ".join(f"SELECT '{k}' AS kind, note_id, word, start_char FROM q_{k}" for k in kinds)
+    for c in rules.classes():
+        history = " OR coalesce(m.section IN ('was', 'history'), false)" if c == "history" else ""
+        flags.append(f"""(EXISTS (SELECT 1 FROM qs c WHERE c.note_id = m.note_id AND c.kind = 'left_{c}' AND c.sent = m.sent_id AND c.start_char < m.start_char
+            AND NOT EXISTS (SELECT 1 FROM qs s WHERE s.note_id = m.note_id AND s.kind = 'stop' AND s.start_char > c.start_char AND s.start_char < m.start_char))
+          OR EXISTS (SELECT 1 FROM qs c WHERE c.note_id = m.note_id AND c.kind = 'right_{c}' AND c.sent = m.sent_id AND c.start_char >= m.end_char
+            AND NOT EXISTS (SELECT 1 FROM qs s WHERE s.note_id = m.note_id AND s.kind = 'stop' AND s.start_char >= m.end_char AND s.start_char < c.start_char)){history}) AS {c}""")
+    return "WITH " + O.MENTIONS + ",\n" + ",\n".join(parts) + f""",
+qa AS ({every}),
+qk AS (SELECT x.* FROM qa x WHERE NOT EXISTS (SELECT 1 FROM qa y WHERE y.note_id = x.note_id AND y.start_char < x.start_char + length(x.word)
+         AND x.start_char < y.start_char + length(y.word) AND (y.start_char < x.start_char OR (y.start_char = x.start_char AND length(y.word) > length(x.word))))),
+qs AS (SELECT k.*, len(list_filter(ss, lambda b: b <= k.start_char)) - 1 AS sent FROM qk k JOIN dst USING (note_id))
+SELECT m.note_id, m.start_char, {', '.join(flags)} FROM ments m"""
+
+
+@register("qualifier_scopes", _scopes_sql())
+def q_qualifier_scopes(spark, d):
+    """X6 with all kinds of cues: left and right, ends of scopes, phrases that are none."""
+    m = text.mentions(study.selected_notes(spark, d), cues=text.SCOPED_CUES)
+    return m.select("note_id", "start_char", *text.SCOPED_CUES.classes())
+
+
+_NOISE_SQL = r"={3,}|-{3,}|_{3,}|\*{3,}|#{3,}|(?i:\bpage [0-9]+(?:/| of | sur )[0-9]+\b)"
+
+
+@register("normalised_mentions", "WITH " + O.SELECTED_NOTES + f""",
+nz AS (SELECT note_id, encounter_num, string_split_regex(note_text, '({_NOISE_SQL})|([ \\t\\n\\x0B\\f\\r]+)') AS g,
+              regexp_extract_all(note_text, '({_NOISE_SQL})|([ \\t\\n\\x0B\\f\\r]+)') AS m FROM sel),
+nr AS (SELECT *, list_transform(m, lambda x: CASE WHEN trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN ' ' ELSE '' END) AS r FROM nz),
+nt AS (SELECT note_id, encounter_num, translate(translate(lower(list_reduce(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(r[i], '')), lambda a, b: a || b)),
+         'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '’‘«»“”', repeat(chr(39), 2) || repeat(chr(34), 4)) AS note_text,
+         list_transform(range(1, len(m) + 1), lambda i: {{'at': CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(r[1:i], lambda x: length(x))) AS BIGINT),
+                        'more': length(m[i]) - length(r[i])}}) AS moves FROM nr),
+""" + O.mention_ctes(O.LEX_WORDS, "nm", "nt").lstrip() + """
+SELECT nm.note_id, nm.std_lexical_variant, nm.start_char, nm.end_char, nm.sent_id, nm.negation, nm.history,
+       CAST(nm.start_char + coalesce(list_sum(list_transform(list_filter(moves, lambda v: v.at <= nm.start_char), lambda v: v.more)), 0) AS INTEGER) AS raw_start,
+       CAST(nm.end_char + coalesce(list_sum(list_transform(list_filter(moves, lambda v: v.at <= nm.end_char - 1), lambda v: v.more)), 0) AS INTEGER) AS raw_end
+FROM nm JOIN nt USING (note_id)""")
+def q_normalised_mentions(spark, d):
+    """X3, X2, X6 on normalised text: places in it and in the note."""
+    n = text.normalised(study.selected_notes(spark, d))
+    m = text.mentions(n, text_col="norm_text", align_col="alignment")
+    return m.select("note_id", "std_lexical_variant", "start_char", "end_char", "sent_id", "negation", "history", "raw_start", "raw_end")
+
+
 REGEX_SPAN_PATTERN = r"[A-Z][a-z]+"
 
 
@@ -842,6 +895,42 @@ def q_table_trends(spark, d):
     return g.join(rounded(tc, 6, "delta_t", "lower", "upper").select("sex_cd", "delta_t", "lower", "upper"), "sex_cd")
 
 
+SETS = {"all": [], "sex": ["sex_cd"], "age": ["age_cat"], "sex_age": ["sex_cd", "age_cat"], "site": ["site_label"]}
+TEXT_SETS = {k: SETS[k] for k in ("all", "sex", "age")}
+
+
+def _sets_sql(sets: dict, source: str) -> str:
+    cols = list(dict.fromkeys(c for cs in sets.values() for c in cs))
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS grouping_, " + ", ".join(c if c in cs else f"'all' AS {c}" for c in cols) + ", date, age FROM oc"
+                              for name, cs in sets.items())
+    keys = ["grouping_", *cols]
+    k = ", ".join(keys)
+    q = repr(Q_ITS)
+    terms = ", ".join(f"round({e}, 6) AS {t}, round({e} - {q} * {s}, 6) AS {t}_lower, round({e} + {q} * {s}, 6) AS {t}_upper"
+                      for t, e, s in (("const", "const", "se_const"), ("t", "b_t", "se_t"), ("delta_t", "b_d", "se_d")))
+    return _its_sql(keys, source=O.outcome_cte(source) + f", ocs AS ({rows})", rows="ocs") + f""",
+sz AS (SELECT {k}, count(*) AS n_stays, avg(age) AS mean_age FROM ocs GROUP BY ALL)
+SELECT grouping_ AS "grouping", {", ".join(cols)}, n_stays, round(mean_age, 9) AS mean_age,
+       round(n_stays / sum(n_stays) OVER (PARTITION BY grouping_), 9) AS share, {terms} FROM sz JOIN co USING ({k})"""
+
+
+def _sets_df(spark, d, sets, source):
+    out = its.fit_sets(incidence.outcome_stays(study.stays_by_source(spark, d, source)), sets, P)
+    return rounded(rounded(out, 9, "mean_age", "share"), 6, *[f"{t}{e}" for t in ("const", "t", "delta_t") for e in ("", "_lower", "_upper")])
+
+
+@register("table_trends_sets", _sets_sql(SETS, "claims"))
+def q_table_trends_sets(spark, d):
+    """T13 table 1: all, sex, age band, sex x age band and site in one fit."""
+    return _sets_df(spark, d, SETS, "claims")
+
+
+@register("table_trends_text", _sets_sql(TEXT_SETS, "text"))
+def q_table_trends_text(spark, d):
+    """The same trends of the stays that are positive by text."""
+    return _sets_df(spark, d, TEXT_SETS, "text")
+
+
 # ---------------------------------------------------------------- step 6: risk / survival
 
 def rf_stays_dated(spark, d):

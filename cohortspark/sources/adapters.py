@@ -114,14 +114,15 @@ def _dated_line():
     month = named(FR_MONTHS)
     text = lambda n: n.cast("string")
     return (
-        F.when(i % 4 == 0, F.concat(F.lit("Seen with pain on "), F.date_format(day, "dd/MM/yyyy"), F.lit(", review in "),
+        F.when(i % 4 == 0, F.concat(F.lit("===== Page 1/2 =====\nSeen  with   pain on "), F.date_format(day, "dd/MM/yyyy"), F.lit(", review in "),
                                     text(i % 6 + 2), F.lit(" days.\n")))
         .when(i % 4 == 1, F.concat(F.lit("History:\nCame from home on "), F.date_format(day, "yyyy-MM-dd"),
                                     F.lit(".\nPlan/follow-up:\nBilan du "), F.date_format(day, "dd.MM.yyyy"), F.lit(", lettre du "),
                                     F.date_format(day, "d/M/yy"), F.lit(", noted "), named(EN_MONTHS), F.lit(" "), text(F.dayofmonth(day)),
                                     F.lit(", "), F.date_format(day, "yyyy"), F.lit(", vu hier; il y a 2010 jours, il y a 999999999 ans.\n")))
         .when(i % 4 == 2, F.concat(F.lit("Venu avec douleur il y a "), text(i % 5 + 1), F.lit(" mois pendant 3 jours, vu en "),
-                                   month, F.lit(" "), F.date_format(day, "yyyy"), F.lit(".\n")))
+                                   month, F.lit(" "), F.date_format(day, "yyyy"),
+                                    F.lit(".\nDouleur avec fièvre exclue, not with care but with food. Not only with it.\n")))
         .otherwise(F.concat(F.lit("Parti pour soins le "), text(F.dayofmonth(day)), F.lit(" "), month, F.lit(" "),
                             F.date_format(day, "yyyy"), F.lit(", revu dans "), text(i % 7 + 2), F.lit(" semaines, suivi depuis "),
                             text(F.year(day) - 2), F.lit(", rappel le "), text(F.dayofmonth(day)), F.lit(" "), month, F.lit(".\n")))
@@ -202,11 +203,12 @@ SQL = {
   SELECT doc_id AS note_id, o_orderkey AS encounter_num, o_custkey AS patient_num, source AS note_category,
          o_orderdate + to_days(CAST(doc_id % 5 AS INTEGER)) AS document_datetime,
          CASE doc_id % 4
-           WHEN 0 THEN 'Seen with pain on ' || strftime(line_day, '%d/%m/%Y') || ', review in ' || (doc_id % 6 + 2) || ' days.' || chr(10)
+           WHEN 0 THEN '===== Page 1/2 =====' || chr(10) || 'Seen  with   pain on ' || strftime(line_day, '%d/%m/%Y') || ', review in ' || (doc_id % 6 + 2) || ' days.' || chr(10)
            WHEN 1 THEN 'History:' || chr(10) || 'Came from home on ' || strftime(line_day, '%Y-%m-%d') || '.' || chr(10) || 'Plan/follow-up:' || chr(10)
              || 'Bilan du ' || strftime(line_day, '%d.%m.%Y') || ', lettre du ' || day(line_day) || '/' || month(line_day) || '/' || strftime(line_day, '%y')
              || ', noted ' || monthname(line_day) || ' ' || day(line_day) || ', ' || year(line_day) || ', vu hier; il y a 2010 jours, il y a 999999999 ans.' || chr(10)
            WHEN 2 THEN 'Venu avec douleur il y a ' || (doc_id % 5 + 1) || ' mois pendant 3 jours, vu en ' || line_month || ' ' || year(line_day) || '.' || chr(10)
+             || 'Douleur avec fièvre exclue, not with care but with food. Not only with it.' || chr(10)
            ELSE 'Parti pour soins le ' || day(line_day) || ' ' || line_month || ' ' || year(line_day) || ', revu dans ' || (doc_id % 7 + 2)
                 || ' semaines, suivi depuis ' || (year(line_day) - 2) || ', rappel le ' || day(line_day) || ' ' || line_month || '.' || chr(10) END || text AS note_text, lang
   FROM (SELECT *, ['janvier', 'février', 'mars', 'avril', 'mai', 'juin', 'juillet', 'août', 'septembre', 'octobre', 'novembre',

@@ -263,7 +263,7 @@ def normalise_text(text: Column) -> Column:
 
 def normalised(notes: DataFrame, text_col: str = "note_text", noise: list[str] = NOISE, out: str = "norm_text",
                align: str = "alignment") -> DataFrame:
-    """X3 with offsets: ``out`` is the text with folded letters, without ``noise`` and with each run of
+    """X3 with offsets: ``out`` is the text with folded letters, without ``noise`` and then with each run of
     white space as one space; ``align`` lists where its segments begin, (norm, raw) characters: place p of
     a segment that begins at norm comes from raw + p - norm."""
     drop = {"noise": "|".join(f"(?:{scoped(p)})" for p in noise), "space": r"\s+"}
@@ -271,15 +271,16 @@ def normalised(notes: DataFrame, text_col: str = "note_text", noise: list[str] =
     text = F.transform("_cut", lambda p: F.when(~p["hit"], fold_letters(p["match"])).when(p["label"] == 1, F.lit(" ")).otherwise(F.lit("")))
 
     def step(at, p):
-        n = F.length(p["match"])
-        made = F.when(~p["hit"], n).when(p["label"] == 1, 1).otherwise(0)
-        state = F.struct((at["norm"] + made).alias("norm"), (at["raw"] + n).alias("raw"))
+        n, space = F.length(p["match"]), p["hit"] & (p["label"] == 1)
+        made = F.when(~p["hit"], n).when(space & ~at["space"], 1).otherwise(0)
+        state = F.struct((at["norm"] + made).alias("norm"), (at["raw"] + n).alias("raw"),
+                         F.when(space, True).when(made > 0, False).otherwise(at["space"]).alias("space"))
         return state, made > 0, [at["norm"], at["raw"]]
 
-    zero = F.struct(F.lit(0).alias("norm"), F.lit(0).alias("raw"))
+    zero = F.struct(F.lit(0).alias("norm"), F.lit(0).alias("raw"), F.lit(False).alias("space"))
     places = let(scan(F.col("_cut"), zero, step), lambda flat: F.transform(
         F.filter(flat, lambda _, i: i % 2 == 0), lambda norm, i: F.struct(norm.alias("norm"), nth(flat, i, 2, 1).alias("raw"))))
-    return x.withColumn(out, F.array_join(text, "")).withColumn(align, places).drop("_cut")
+    return x.withColumn(out, F.regexp_replace(F.array_join(text, ""), " +", " ")).withColumn(align, places).drop("_cut")
 
 
 def raw_places(starts: Column, align: Column) -> Column:

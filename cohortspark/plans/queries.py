@@ -329,7 +329,9 @@ _NOISE_SQL = r"={3,}|-{3,}|_{3,}|\*{3,}|#{3,}|(?i:\bpage [0-9]+(?:/| of | sur )[
 @register("normalised_mentions", "WITH " + O.SELECTED_NOTES + f""",
 nz AS (SELECT note_id, encounter_num, string_split_regex(note_text, '({_NOISE_SQL})|([ \\t\\n\\x0B\\f\\r]+)') AS g,
               regexp_extract_all(note_text, '({_NOISE_SQL})|([ \\t\\n\\x0B\\f\\r]+)') AS m FROM sel),
-nr AS (SELECT *, list_transform(m, lambda x: CASE WHEN trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN ' ' ELSE '' END) AS r FROM nz),
+nw AS (SELECT *, list_transform(m, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '') AS ws FROM nz),
+nr AS (SELECT *, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN ws[i] AND len(list_filter(range(greatest(1, i - 3), i),
+         lambda j: ws[j] AND list_sum(list_transform(g[j + 1:i], lambda x: length(x))) = 0)) = 0 THEN ' ' ELSE '' END) AS r FROM nw),
 nt AS (SELECT note_id, encounter_num, translate(translate(lower(list_reduce(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(r[i], '')), lambda a, b: a || b)),
          'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '’‘«»“”', repeat(chr(39), 2) || repeat(chr(34), 4)) AS note_text,
          list_transform(range(1, len(m) + 1), lambda i: {{'at': CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(r[1:i], lambda x: length(x))) AS BIGINT),

@@ -124,3 +124,69 @@ def test_snippets_and_long_headings(spark):
     assert secs == [title, "History-2"]
     m = text.mentions(df, snippet=5).first()
     assert m.snippet == "Came with pain"[0:14] and m.snippet[m.snippet_start:m.snippet_end] == "with" and m.section == title.lower()
+
+
+def test_scopes_right_cues_stops_and_masked_phrases(spark):
+    cases = {
+        "pain with fever excluded today": {"negation"},                     # right-hand cue
+        "no change with the dose": set(),                                   # a phrase that holds a cue and is none
+        "no change but not so with it": {"negation"},
+        "not here but with it": set(),                                      # the scope ends at "but"
+        "it came with fever. excluded": set(),                              # another sentence
+        "seen with fever but that is excluded": set(),                      # a stop before the right cue
+        "with fever, ruled out, and no pain": {"negation"},
+        "she was there with him": {"history"},
+        "no pain, mother says it came with fever": {"negation", "family", "rspeech"},
+    }
+    rows = [(i, 1, t) for i, t in enumerate(cases)]
+    df = spark.createDataFrame(rows, "note_id long, encounter_num long, note_text string")
+    got = {r.note_id: {q for q in text.QUALIFIERS if r[q]} for r in text.mentions(df, cues=text.SCOPED_CUES).collect()}
+    assert got == {i: want for i, want in enumerate(cases.values())}
+
+
+def test_normalised_text_keeps_the_places(spark):
+    raw = "===== Page 1/2 =====\nÉlan  “avec”\t\tDOULEUR --- et\n\nWITHà with ___ avec."
+    rows = [(1, 1, raw), (2, 1, None), (3, 1, ""), (4, 1, "with" + " x" * 5000 + "   avec")]
+    df = spark.createDataFrame(rows, "note_id long, encounter_num long, note_text string")
+    n = text.normalised(df)
+    texts = {r.note_id: r.norm_text for r in n.collect()}
+    assert texts[1] == ' elan "avec" douleur et witha with avec.' and texts[2] is None and texts[3] == ""
+    m = text.mentions(n, text_col="norm_text", align_col="alignment").collect()
+    full = {i: t for i, _, t in rows}
+    assert sorted((r.note_id, full[r.note_id][r.raw_start:r.raw_end].lower()) for r in m) == [
+        (1, "avec"), (1, "avec"), (1, "with"), (4, "avec"), (4, "with")]
+    assert all(texts[r.note_id][r.start_char:r.end_char] == r.lexical_variant for r in m)
+
+
+def test_time_grows_with_the_length_of_a_note(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, 1, "He came with pain. not so with it for me " * (n // 2))],
+                                   "note_id long, encounter_num long, note_text string")
+        start = time.perf_counter()
+        rows = text.mentions(df).selectExpr("count(*)", "max(sent_id)", "sum(size(words))").first()
+        assert rows[0] == n and rows[1] == n // 2
+        return time.perf_counter() - start
+
+    seconds(200)
+    small, large = seconds(2000), seconds(8000)
+    assert large < 4.5 * small + 1
+
+
+def test_span_filter_on_one_long_chain(spark):
+    import time
+
+    n = 50_000
+    spans = [(1, 3 * i, 3 * i + 4 + i % 3, "a") for i in range(n)]
+    df = spark.createDataFrame(spans, "note_id long, start_char int, end_char int, label string")
+    start = time.perf_counter()
+    got = sorted((r.start_char, r.end_char) for r in text.span_filter(df).collect())
+    assert time.perf_counter() - start < 60
+    taken, want = set(), []
+    for _, s, e, _ in sorted(spans, key=lambda x: (x[1] - x[2], x[1])):
+        if not taken & set(range(s, e)):
+            taken |= set(range(s, e))
+            want.append((s, e))
+    assert got == sorted(want)
+    assert text.span_filter(df.limit(0)).collect() == []

@@ -66,6 +66,15 @@ def stay_rollup(mentions: DataFrame, params: StudyParams = StudyParams()) -> Dat
     ).withColumn("nlp_positive", F.col("n_positive_mentions") >= F.lit(params.threshold_positive))
 
 
+def stay_table(rollup: DataFrame, notes: DataFrame, stays: DataFrame, carried: list[str]) -> DataFrame:
+    """A1 in full: the roll-up with the stay's ``carried`` columns, the distinct categories of its notes
+    (the third array) and its number of notes. ``notes`` are the notes that the mentions come from, with
+    ``n_docs_per_visit``; they are reduced to a row per stay without their text before the join."""
+    per = notes.where(F.col("encounter_num").isNotNull()).groupBy("encounter_num").agg(
+        F.sort_array(F.collect_set("note_category")).alias("concept_cds"), F.max("n_docs_per_visit").alias("n_docs_per_visit"))
+    return rollup.join(per, "encounter_num", "left").join(stays.select("encounter_num", *carried), "encounter_num", "left")
+
+
 def rf_flags(stays: DataFrame, rf_mentions: DataFrame, rf_names: list[str]) -> DataFrame:
     """One boolean column per risk factor, true when the stay has >= 1 kept mention of it.
 

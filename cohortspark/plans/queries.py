@@ -485,6 +485,19 @@ def q_stay_rollup(spark, d):
     return study.text_stays(spark, d)
 
 
+CARRIED = ["patient_num", "visit_start_date", "visit_end_date", "site_label", "admission_mode", "discharge_mode", "birth_date", "sex_cd", "visit_type"]
+
+
+@register("stay_table", "WITH " + O.MENTIONS + ",\n" + O.STAYS.strip().replace(A["visits"] + ",", "", 1) + """,
+nd AS (SELECT encounter_num, count(*) AS n_docs_per_visit FROM notes GROUP BY encounter_num),
+nc AS (SELECT encounter_num, list_sort(list_distinct(list(note_category))) AS concept_cds FROM sel GROUP BY encounter_num)
+SELECT t.*, nc.concept_cds, nd.n_docs_per_visit, """ + ", ".join("s." + c for c in CARRIED) + """
+FROM tstays t JOIN nc USING (encounter_num) JOIN nd USING (encounter_num) JOIN stays s USING (encounter_num)""")
+def q_stay_table(spark, d):
+    """A1 with the carried stay columns and the note categories."""
+    return stay_ops.stay_table(study.text_stays(spark, d), study.selected_notes(spark, d), study.stays(spark, d), CARRIED)
+
+
 @register("positive_terms", "WITH " + O.MENTIONS + """
 SELECT encounter_num, std_positive_lexical_variants FROM tstays""")
 def q_positive_terms(spark, d):
@@ -666,6 +679,10 @@ has AS (SELECT DISTINCT encounter_num FROM notes WHERE note_category IN (""" + "
 SELECT site_label, date, count(*) AS n_visit, count(h.encounter_num) AS n_note, count(h.encounter_num) / count(*) AS rho
 FROM stays LEFT JOIN has h USING (encounter_num) WHERE visit_type IN ('1-URGENT', '2-HIGH') GROUP BY site_label, date""")
 def q_completeness_probe_notes(spark, d):
+    return probe_notes(spark, d)
+
+
+def probe_notes(spark, d):
     """A6 on the notes: stays of the chosen visit types with at least one note of the chosen categories
     that has a text."""
     st = study.stays(spark, d).where(F.col("visit_type").isin("1-URGENT", "2-HIGH")).select("encounter_num", "date", "site_label")
@@ -684,6 +701,23 @@ def q_stay_weight(spark, d):
     return stay_ops.add_weights(st, w)
 
 
+PROBE_NOTES_SQL = "WITH " + O.STAYS + ", " + A["notes"] + """,
+has AS (SELECT DISTINCT encounter_num FROM notes WHERE note_category IN (""" + ", ".join(f"'{c}'" for c in PROBE_CATS) + """)
+        AND note_text IS NOT NULL),
+pr AS (SELECT site_label, date, count(h.encounter_num) / count(*) AS rho
+       FROM stays LEFT JOIN has h USING (encounter_num) WHERE visit_type IN ('1-URGENT', '2-HIGH') GROUP BY site_label, date)"""
+
+
+@register("stay_weight_notes", PROBE_NOTES_SQL + """,
+w AS (SELECT site_label, date, CASE WHEN rho > 0 THEN 1.0 / rho END AS stay_weight FROM pr
+      WHERE date >= DATE '1995-01-01' AND date < DATE '2001-08-01')
+SELECT encounter_num, date, site_label, round(stay_weight, 9) AS stay_weight FROM stays LEFT JOIN w USING (date, site_label)""")
+def q_stay_weight_notes(spark, d):
+    """J10, A7 with weights from the notes' completeness."""
+    st = study.stays(spark, d).select("encounter_num", "date", "site_label")
+    return rounded(stay_ops.add_weights(st, incidence.inverse_weights(probe_notes(spark, d), P)), 9, "stay_weight")
+
+
 GENERIC_TERMS = ["with"]
 
 
@@ -1448,6 +1482,49 @@ def q_weighted_incidence(spark, d):
                     "has_history_ratio")
 
 
+@register("weighted_incidence_notes", O.outcome_cte("claims") + ",\n" + A["notes"] + """,
+has AS (SELECT DISTINCT encounter_num FROM notes WHERE note_category IN (""" + ", ".join(f"'{c}'" for c in PROBE_CATS) + """)
+        AND note_text IS NOT NULL),
+pr AS (SELECT site_label, date, count(h.encounter_num) / count(*) AS rho
+       FROM stays LEFT JOIN has h USING (encounter_num) WHERE visit_type IN ('1-URGENT', '2-HIGH') GROUP BY site_label, date)
+SELECT oc.date, count(*) AS n_sa, round(sum(CASE WHEN rho > 0 THEN 1.0 / rho END), 6) AS weighted_n_sa
+FROM oc LEFT JOIN pr ON pr.date = oc.date AND pr.site_label = oc.site_label GROUP BY oc.date""")
+def q_weighted_incidence_notes(spark, d):
+    """A4 weighted by the notes' completeness, for the stays positive by claims."""
+    st = stay_ops.add_weights(claim_outcomes(spark, d), incidence.inverse_weights(probe_notes(spark, d), P))
+    t = incidence.monthly_table(st, [], P, weight_col="stay_weight")
+    return t.select("date", "n_sa", F.round("weighted_n_sa", 6).alias("weighted_n_sa"))
+
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from cohortspark.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("csv_report", ORACLE["table_by_age"])
+def q_csv_report(spark, d):
+    """A report table written as CSV and read back."""
+    from cohortspark.sources.tables import export_csv
+
+    report, path = q_table_by_age(spark, d), _scratch(spark, "report")
+    export_csv(report, path)
+    return spark.read.schema(report.schema).option("header", True).csv(path)
+
+
+@register("stage_read_back", O.outcome_cte("claims") + """
+SELECT encounter_num, patient_num, date, age_cat FROM oc WHERE sex_cd = 'W' AND age_cat = '26-65'""")
+def q_stage_read_back(spark, d):
+    """S3: a table written in partitions by sex; the reader takes one partition and four columns."""
+    from cohortspark.sources.tables import write_stage
+
+    path = _scratch(spark, "sink")
+    write_stage(claim_outcomes(spark, d).select("encounter_num", "patient_num", "date", "age_cat", "age", "sex_cd"), path, ["sex_cd"])
+    return spark.read.parquet(path).where("sex_cd = 'W' and age_cat = '26-65'").select("encounter_num", "patient_num", "date", "age_cat")
+
+
 @register("report_order", O.outcome_cte("claims") + """,
 g AS (SELECT coalesce(sex_cd, 'all') AS sex_cd, coalesce(age_cat, 'all') AS age_cat, count(*) AS n_sa
       FROM oc GROUP BY GROUPING SETS ((sex_cd, age_cat), (sex_cd), ()))

@@ -65,3 +65,14 @@ def test_bucketed_stage_join_has_no_shuffle(spark):
         assert j.count() == 1000 and "Exchange hashpartitioning" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stay_table_carries_columns_and_categories(spark):
+    from cohortspark.operators.stays import stay_table
+
+    rollup = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "encounter_num long, n_mentions long")
+    notes = spark.createDataFrame([(1, "b", 5, "x"), (1, "a", 5, "x"), (1, "a", 5, "x"), (2, None, 1, "y"), (None, "c", 9, "z")],
+                                  "encounter_num long, note_category string, n_docs_per_visit long, note_text string")
+    stays = spark.createDataFrame([(1, "S"), (2, "T"), (9, "U")], "encounter_num long, site_label string")
+    got = {r.encounter_num: (r.n_mentions, r.concept_cds, r.n_docs_per_visit, r.site_label) for r in stay_table(rollup, notes, stays, ["site_label"]).collect()}
+    assert got == {1: (2, ["a", "b"], 5, "S"), 2: (1, [], 1, "T"), 3: (1, None, None, None)}

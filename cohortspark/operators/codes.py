@@ -21,10 +21,11 @@ def in_range(letter: str, lo: int, hi: int):
     return (code_letter() == F.lit(letter)) & code_number().between(lo, hi)
 
 
-def code_range(claims: DataFrame, letter: str, lo: int, hi: int, diag_type: str | None = None) -> DataFrame:
+def code_range(claims: DataFrame, letter: str, lo: int, hi: int, diag_type: str | None = None, source_system: str | None = None,
+               source_col: str = "sourcesystem_cd") -> DataFrame:
     """Claim rows whose code is in [letter lo, letter hi] (inclusive), optionally one
-    diagnosis type (DP main / DAS associated)."""
-    c = claims
+    diagnosis type (DP main / DAS associated) and one source system."""
+    c = claims if source_system is None else claims.where(F.col(source_col) == F.lit(source_system))
     if diag_type is not None:
         c = c.where(F.col("diag_type") == F.lit(diag_type))
     return c.where(in_range(letter, lo, hi)).withColumn("code_number", code_number())

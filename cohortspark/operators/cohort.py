@@ -31,12 +31,15 @@ def cohort_filter(
     date_to: str | None = None,
     site_labels: list[str] | None = None,
     encounter_subset=None,
+    source_systems: list[str] | None = None,
+    source_col: str = "sourcesystem_cd",
 ) -> DataFrame:
-    """Chained filters, each skipped when None; start >= date_from and < date_to.
+    """Chained filters, each skipped when None; start >= date_from and < date_to. ``source_systems``
+    keeps the stays that one of these systems recorded.
 
     The site filter runs before the one-row-per-stay reduction, so a stay with any listed
     site is kept and carries its smallest listed site label."""
-    v = visits
+    v = visits if source_systems is None else visits.where(F.col(source_col).isin(*source_systems))
     if admission_modes is not None:
         v = v.where(F.col("admission_mode").isin(*admission_modes))
     if visit_types is not None:

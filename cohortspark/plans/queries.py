@@ -114,6 +114,20 @@ def q_cohort_filter(spark, d):
     )
 
 
+def _with_source(df, key: str):
+    """Demo source systems: one row in four comes from billing, the others from the wards."""
+    return df.withColumn("sourcesystem_cd", F.when(F.col(key) % 4 == 0, "BILLING").otherwise("WARD"))
+
+
+@register("cohort_filter_source", "WITH " + A["visits"] + """
+SELECT *, 'WARD' AS sourcesystem_cd FROM visits
+WHERE encounter_num % 4 <> 0 AND visit_type IN ('1-URGENT', '2-HIGH') AND visit_start_date >= TIMESTAMP '1996-01-01'""")
+def q_cohort_filter_source(spark, d):
+    """P1 with the source-system condition."""
+    return cohort.cohort_filter(_with_source(adapters.visits(spark, d), "encounter_num"), visit_types=COHORT_TYPES, date_from="1996-01-01",
+                                source_systems=["WARD"])
+
+
 NOTE_CATS = [f"src{i}" for i in range(0, 12)]
 
 
@@ -252,6 +266,14 @@ def q_code_range(spark, d):
     return codes.code_range(adapters.claims(spark, d), "X", 60, 84, "DAS")
 
 
+@register("code_range_source", "WITH " + A["claims"] + """
+SELECT encounter_num, instance_num, diag_type, concept_cd, 'BILLING' AS sourcesystem_cd, TRY_CAST(substr(concept_cd, 8, 2) AS INTEGER) AS code_number
+FROM claims WHERE encounter_num % 4 = 0 AND substr(concept_cd, 7, 1) = 'S' AND TRY_CAST(substr(concept_cd, 8, 2) AS INTEGER) BETWEEN 0 AND 49""")
+def q_code_range_source(spark, d):
+    """P4 with the source-system condition."""
+    return codes.code_range(_with_source(adapters.claims(spark, d), "encounter_num"), "S", 0, 49, source_system="BILLING")
+
+
 @register("code_rule", "WITH " + O.CLAIM_POS.strip() + "\nSELECT encounter_num, number_codes FROM claim_pos")
 def q_code_rule(spark, d):
     return study.claim_positive(spark, d)

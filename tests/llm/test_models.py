@@ -260,3 +260,22 @@ def test_all_context_orders_are_mixed_and_the_map_is_interpolated():
                                                      np.ones(1, np.int8), np.array([0]), np.array([1]), learn=False)[0] for x in at[0]]
     plain = [2 * 2.0 ** -c - 1 / (1 + math.exp(-x)) for c, x in zip(costs, at[0])]
     assert plain[0] < plain[1] < plain[2]  # between two bins the map has values in between
+
+
+def test_scores_do_not_depend_on_the_files(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 4000)
+    docs = docs_frame(spark, list(enumerate(texts(200, 13))) + [(900, "x" * 9000), (901, None), (None, "al be")])
+    found = []
+    for n in (1, 6):
+        rows = mixing.mixing_scores(docs.repartition(n, "text")).collect()
+        found.append({(r["doc_id"], r["n_bytes"]): r["score"] for r in rows})
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 203
+    assert all(found[1][k] == pytest.approx(v, rel=1e-6) for k, v in found[0].items())
+
+
+def test_an_unbroken_run_keeps_its_word_context_at_a_cut():
+    text = bytes(np.random.default_rng(4).integers(97, 123, mixing.GROUP * 2 + 500).astype(np.uint8))
+    pieces = [(i, before, part, last) for g in mixing.parts_of([text]) for i, before, part, last in g]
+    assert len(pieces) == 3
+    whole = mixing.encode([(0, b"", text, True)])[3]
+    assert (whole == np.concatenate([mixing.encode([p])[3] for p in pieces], axis=1)).all()

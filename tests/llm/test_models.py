@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,12 +209,14 @@ def test_counts_of_contexts_are_exact_and_grow_with_the_corpus(spark, monkeypatc
         rows = spark.createDataFrame([(i, i == 0, len(t), t) for i, t in enumerate(docs)],
                                      "doc_id long, held_out boolean, n_bytes long, text string").coalesce(1)
         parts = mixing.in_parts(rows).select("part", "held_out", "text")
-        got = mixing.context_counts(parts, tree, mixing.TABLE_BITS).collect()
-        assert len({r["part"] for r in got}) > 1
+        got = mixing.context_counts(parts, tree, mixing.TABLE_BITS).toArrow()
+        assert len(set(got["part"].to_pylist())) > 1
         pairs = {}
-        for r in got:
-            for key, c in zip(np.frombuffer(r["keys"], np.int64).tolist(), np.frombuffer(r["counts"], np.uint32).reshape(-1, 2).tolist()):
-                assert pairs.setdefault(key, c) == c
+        for part in set(got["part"].to_pylist()):
+            found, c = mixing.part_counts(got.filter(pc.equal(got["part"], part)))
+            assert len(found.keys) == len(c) and (np.diff(found.keys) > 0).all()
+            for key, x in zip(found.keys.tolist(), c.tolist()):
+                assert pairs.setdefault(key, x) == x
         mine = sorted(c for key, c in pairs.items() if key >> mixing.KEY_BITS == 0 and sum(c))
         nodes = {(c, m) for c, m, _ in want}
         assert mine == sorted([want[(*x, 0)], want[(*x, 1)]] for x in nodes)
@@ -279,3 +282,12 @@ def test_an_unbroken_run_keeps_its_word_context_at_a_cut():
     assert len(pieces) == 3
     whole = mixing.encode([(0, b"", text, True)])[3]
     assert (whole == np.concatenate([mixing.encode([p])[3] for p in pieces], axis=1)).all()
+
+
+def test_packed_numbers_come_back_whole():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(rng.integers(0, 1 << 55, n))
+        counts = np.concatenate([rng.integers(0, 3, (len(keys), 2)), [[2**33, 2**40]]])[:len(keys)]
+        assert (np.cumsum(mixing.unpacked(mixing.packed_keys(keys))) == keys).all()
+        assert (mixing.unpacked_counts(mixing.packed_counts(counts)) == counts).all()

@@ -123,6 +123,17 @@ def select_one_note(notes: DataFrame, method: str = "keep_last", params: StudyPa
     return picked.select("encounter_num", "_n.*", "n_docs_per_visit")
 
 
+def select_note_texts(notes: DataFrame, patterns, method: str = "keep_last", params: StudyParams = StudyParams(),
+                      text_col: str = "note_text") -> DataFrame:
+    """W1 + W2 + P3 with a late read of the text: the note of each stay is chosen among all notes on the narrow
+    columns, and the texts, filtered by the patterns where they are read, are joined to the chosen notes by note
+    id (unique; a null id has no text). No aggregate holds a text, and only matching texts are shuffled. Same
+    rows as ``regex_filter`` after ``select_one_note``."""
+    picked = select_one_note(notes.drop(text_col), method, params)
+    texts = regex_filter(notes.select("note_id", text_col), patterns, text_col)
+    return picked.join(texts, "note_id").select(*notes.columns, "n_docs_per_visit")
+
+
 def notes_per_stay(notes: DataFrame) -> DataFrame:
     """W1 on every note: the stay's note count. The counts are known before the join back, so the notes of a
     hot stay are dealt over many tasks (``hot_join``)."""

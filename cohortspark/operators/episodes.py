@@ -53,7 +53,7 @@ def tag_episodes(
     x = x.withColumn("_local_prev", F.max(end).over(w_local)).withColumn(
         "_bucket_max", F.max(end).over(Window.partitionBy(*keys)))
 
-    # one summary row per (patient, bucket); both branches read the same exchange of x
+    # one summary row per (patient, bucket), from a second, narrow read of the stays
     w_carry = Window.partitionBy("_pk").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         x.groupBy(*keys)
@@ -68,3 +68,14 @@ def tag_episodes(
         .withColumn("recurrent_visit", F.col("_u") & ~new_episode)
         .drop("_u", "_pk", "_salt", "_bucket", "_local_prev", "_bucket_max", "_carry")
     )
+
+
+def tag_positive(stays: DataFrame, positive: DataFrame, params: StudyParams = StudyParams(), stay_id: str = "encounter_num",
+                 **columns) -> DataFrame:
+    """``stays`` with ``positive_visit``, the boolean columns of ``positive`` (one row per positive stay, by
+    ``stay_id``) and ``recurrent_visit``, all False for the other stays. Only the positive stays go through the
+    windows of ``tag_episodes``; all stays take part in one join by stay."""
+    flags = [c for c in positive.columns if c != stay_id]
+    tagged = tag_episodes(stays.join(positive, stay_id).withColumn("positive_visit", F.lit(True)), params, stay_id=stay_id, **columns)
+    names = ["positive_visit", *flags, "recurrent_visit"]
+    return stays.join(tagged.select(stay_id, *names), stay_id, "left").fillna(False, subset=names)

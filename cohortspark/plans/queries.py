@@ -186,6 +186,19 @@ def q_keep_first(spark, d):
     return _keep(spark, d, "keep_first")
 
 
+@register("keep_last_text", "WITH " + A["visits"] + ", " + A["notes"] + r""",
+r AS (SELECT *, count(*) OVER (PARTITION BY encounter_num) AS n_docs_per_visit,
+             row_number() OVER (PARTITION BY encounter_num ORDER BY
+                 CASE WHEN note_category IS NULL OR note_category = 'src0' THEN 0 ELSE 1 END DESC,
+                 document_datetime DESC, note_id DESC) AS rn
+      FROM notes)
+SELECT encounter_num, note_id, note_category, n_docs_per_visit, md5(note_text) AS text_md5 FROM r
+WHERE rn = 1 AND regexp_matches(note_text, '(\bwith\b)|(\bfrom\b)|(\bpour\b)|(\bdans\b)|(\bavec\b)')""")
+def q_keep_last_text(spark, d):
+    n = cohort.select_note_texts(adapters.notes(spark, d), LEXICON, "keep_last", P)
+    return n.select("encounter_num", "note_id", "note_category", "n_docs_per_visit", F.md5("note_text").alias("text_md5"))
+
+
 @register("notes_per_stay", "WITH " + A["visits"] + ", " + A["notes"] + """
 SELECT note_id, encounter_num, count(*) OVER (PARTITION BY encounter_num) AS n_docs_per_visit FROM notes""")
 def q_notes_per_stay(spark, d):

@@ -37,7 +37,7 @@ def run_text_study(spark: SparkSession, sf_dir: str, run_id: str | None = None)
     from pyspark.sql import functions as F
 
     from cohortspark.operators import incidence, its, text
-    from cohortspark.operators.episodes import tag_episodes
+    from cohortspark.operators.episodes import tag_positive
     from cohortspark.operators.stays import flag_mentions, stay_rollup
     from cohortspark.plans import study
     from cohortspark.plans.study import P
@@ -45,11 +45,8 @@ def run_text_study(spark: SparkSession, sf_dir: str, run_id: str | None = None)
     root = stage_root(spark, run_id)
     notes = materialize(study.selected_notes(spark, sf_dir), root, "selected_notes")
     ments = materialize(flag_mentions(study.linked_mentions(spark, sf_dir, notes)), root, "mentions")
-    rolled = stay_rollup(ments, P).where("nlp_positive").select(
-        "encounter_num", F.lit(True).alias("positive_visit"), "has_history")
-    st = study.stays(spark, sf_dir, P).join(rolled, "encounter_num", "left").fillna(
-        False, subset=["positive_visit", "has_history"])
-    stays = materialize(tag_episodes(st, P), root, "stays")
+    rolled = stay_rollup(ments, P).where("nlp_positive").select("encounter_num", "has_history")
+    stays = materialize(tag_positive(study.stays(spark, sf_dir, P), rolled, P), root, "stays")
     outcome = incidence.outcome_stays(stays, P)
     monthly = incidence.monthly_table(outcome, ["sex_cd", "age_cat"], P, history_col="has_history")
     by_sex = outcome.groupBy("sex_cd", "date").agg(F.count(F.lit(1)).alias("n_sa"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.operators.codes import code_rule
-from cohortspark.operators.episodes import tag_episodes
+from cohortspark.operators.episodes import tag_episodes, tag_positive
 from cohortspark.operators.stays import enrich_stays
 from cohortspark.params import StudyParams
 from cohortspark.plans.registry import Registry, Staged
@@ -42,21 +42,19 @@ def claim_positive(spark: SparkSession, d: str) -> DataFrame:
 
 def stays_by_source(spark: SparkSession, d: str, source: str = "all", params: StudyParams = P) -> DataFrame:
     """Stays with ``positive_visit`` and ``recurrent_visit`` for one outcome source. Episodes are
-    tagged on the visits alone, before the patient columns are joined, so the tagging's second branch
-    reads the visits only."""
+    tagged on the visits alone, before the patient columns are joined; of a source that marks some stays
+    only these are windowed, and the tags are joined back."""
     v = adapters.visits(spark, d)
     if source == "all":
-        v = v.withColumn("positive_visit", F.lit(True))
+        tagged = tag_episodes(v.withColumn("positive_visit", F.lit(True)), params)
     elif source == "claims":
-        pos = claim_positive(spark, d).select("encounter_num", F.lit(True).alias("positive_visit"))
-        v = v.join(pos, "encounter_num", "left").fillna(False, subset=["positive_visit"])
+        tagged = tag_positive(v, claim_positive(spark, d).select("encounter_num"), params)
     elif source in ("text", "ml", "model"):
-        pos = text_stays(spark, d, "rule" if source == "text" else source).where("nlp_positive").select(
-            "encounter_num", F.lit(True).alias("positive_visit"), "has_history")
-        v = v.join(pos, "encounter_num", "left").fillna(False, subset=["positive_visit", "has_history"])
+        tagged = tag_positive(v, text_stays(spark, d, "rule" if source == "text" else source).where("nlp_positive").select(
+            "encounter_num", "has_history"), params)
     else:
         raise ValueError(f"unknown source {source!r}")
-    return enrich_stays(tag_episodes(v, params), patients_with_site(spark, d), params)
+    return enrich_stays(tagged, patients_with_site(spark, d), params)
 
 
 # ---------------------------------------------------------------- text path
@@ -69,11 +67,12 @@ def _files(d: str, *names: str) -> list[str]:
 
 
 def note_stage(spark: SparkSession, d: str, method: str = "keep_last") -> Staged:
-    """One note per stay."""
-    from cohortspark.operators import cohort
+    """One note per stay (W1/W2), of those that match a lexicon of the study: the text is read late."""
+    from cohortspark.operators import cohort, text
 
-    return Registry(spark).stage("notes", lambda: cohort.select_one_note(adapters.notes(spark, d), method, P),
-                                 _files(d, "documents", "orders"), params=(method, P))
+    words = [cohort.combined_pattern(x) for x in (text.LEXICON, RF_LEXICON)]
+    return Registry(spark).stage("notes", lambda: cohort.select_note_texts(adapters.notes(spark, d), words, method, P),
+                                 _files(d, "documents", "orders"), params=(method, P, words))
 
 
 def selected_notes(spark: SparkSession, d: str, method: str = "keep_last") -> DataFrame:

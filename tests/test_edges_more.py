@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions.columns import history_flag, mention_flag
 from cohortspark.operators import cohort, incidence, risk, stays
 from cohortspark.params import StudyParams
+from cohortspark.sources import adapters
 
 D = dt.datetime(2020, 1, 1)
 
@@ -80,3 +81,25 @@ def test_modality_mix_cases(spark):
     got = {r.term: round(r.share, 9) for r in incidence.modality_mix(st, ["with"]).collect()}
     assert got == {"Unknown": round(1 / 3, 9), "dans": round(1 / 3, 9), "avec": round(1 / 3, 9)}
     assert abs(sum(got.values()) - 1) < 1e-9
+
+
+def test_late_text_read_equals_the_filter_after_the_choice(spark):
+    rows = [(1, 10, 5, "a", "pain here"), (2, 10, 6, "a", "none"), (3, 10, 4, None, "pain"), (4, 11, 5, "b", None), (5, 11, 5, "b", "Pain, home"),
+            (6, 12, None, "b", "home"), (7, None, 5, "b", "pain"), (8, 13, 5, "b", ""), (9, 14, 5, "src0", "pain"), (10, 14, 4, "b", "nothing")]
+    n = spark.createDataFrame(rows, "note_id long, encounter_num long, day int, note_category string, note_text string").select(
+        "note_id", "encounter_num", "note_category", F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(day)").alias("document_datetime"), "note_text")
+    words = {"p": "(?i)pain", "h": "home"}
+    for method in ("keep_last", "keep_first"):
+        late = cohort.select_note_texts(n, words, method)
+        plain = cohort.regex_filter(cohort.select_one_note(n, method), words)
+        assert sorted(map(str, late.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    assert cohort.select_note_texts(n.where("false"), words).collect() == []
+
+
+def test_no_aggregate_holds_a_text(spark):
+    n = adapters.notes(spark, "/root/testdata/sf0.001")
+    plan = cohort.select_note_texts(n, {"w": "with"})._jdf.queryExecution().optimizedPlan().toString()
+    aggregates = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert aggregates and not any("text" in line for line in aggregates)
+    filters = [line for line in plan.splitlines() if "RLIKE" in line or "rlike" in line.lower()]
+    assert filters

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cohortspark.operators.episodes import tag_episodes
+from cohortspark.operators.episodes import tag_episodes, tag_positive
 from cohortspark.params import StudyParams
 
 D = dt.datetime(2020, 1, 1)
@@ -86,3 +86,19 @@ def test_random_equals_components_and_buckets(spark):
     want = brute(rows, DELTA)
     for bucket in (1, 86400, 30 * 86400, 10 ** 9):
         assert run(spark, rows, episode_bucket_seconds=bucket) == want
+
+
+def test_positive_stays_alone_give_the_same_tags(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        a = dt.datetime(2020, 1, 1) + dt.timedelta(hours=rng.randint(0, 8000))
+        rows.append((i, rng.choice([1, 2, 3, None]), None if i % 41 == 0 else a, None if i % 7 == 0 else a + dt.timedelta(hours=rng.randint(0, 300))))
+    stays = spark.createDataFrame(rows, "encounter_num long, patient_num long, visit_start_date timestamp_ntz, visit_end_date timestamp_ntz")
+    positive = stays.where("encounter_num % 3 = 0").select("encounter_num", (F.col("encounter_num") % 2 == 0).alias("has_history"))
+    got = tag_positive(stays, positive)
+    whole = stays.join(positive.withColumn("positive_visit", F.lit(True)), "encounter_num", "left").fillna(False)
+    want = tag_episodes(whole).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.columns[-3:] == ["positive_visit", "has_history", "recurrent_visit"]
+    assert tag_positive(stays, positive.where("false")).where("positive_visit or recurrent_visit").count() == 0

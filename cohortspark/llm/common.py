@@ -191,15 +191,16 @@ def components(links: DataFrame) -> DataFrame:
     smallest id reachable; only ids that have a link to another id occur.
 
     Alternating large-star and small-star rounds; each round is a staged table. A hub's edges
-    are joined with one row (its minimum), a join that Spark splits where it is skewed."""
+    are joined with one row (its minimum). The minima are staged too: Spark splits a skewed join
+    of two tables, but not one whose other side is an aggregate in the same plan."""
     e = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = stage(e, "edges")
     mark = _mark(e)
     while mark[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = stage(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
+        low2 = stage(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = stage(small.union(low2.select("u", F.col("m").alias("v"))).distinct(), "edges")
         new = _mark(nxt)

@@ -231,8 +231,10 @@ def dropped_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, tile_row
     """Rows (doc_id, row, drop): the numbers of the lines that each document loses."""
     lines = stage(line_classes(docs, edits, min_chars, tile_rows, text_col, id_col), "line-classes")
     place = F.struct("doc_id", "row", "line_no")
-    first = lines.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    gone = lines.join(first.select("class", "first"), "class").where(place != F.col("first"))
+    # staged, so that Spark can split the join at a class that holds many lines
+    first = stage(lines.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(
+        "first <> last").select("class", "first"), "line-firsts")
+    gone = lines.join(first, "class").where(place != F.col("first"))
     return gone.select("doc_id", "row", "line_no").distinct().groupBy("doc_id", "row").agg(
         F.array_sort(F.collect_list("line_no")).alias("drop"))
 

@@ -186,6 +186,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     new = arrow_map(todo.select("digest", "text"), encode, "digest binary, n_tokens long").dropDuplicates(["digest"])
     new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version)
-    counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # staged, so that Spark can split the join at a digest that many documents share
+    counts = stage(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "digest-counts")
     return keys.join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

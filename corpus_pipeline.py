@@ -60,7 +60,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: the document with the smallest id of each class stays, once."""
     classes = simhash_classes(docs, k=3, max_bits=3)
     gone = classes.where("component_id <> doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
-    return _once(docs.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    return _once(docs).join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

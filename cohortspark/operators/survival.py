@@ -79,8 +79,10 @@ def logrank(km: DataFrame, first: str = "pre", second: str = "post") -> DataFram
     p = t.groupBy("duration", "_day").pivot("cohort", [first, second]).agg(F.sum("n_event").alias("d"), F.sum("_n").alias("k"))
     p = p.fillna(0)
     p = _running(p, [], {"n1": f"{first}_k", "n2": f"{second}_k"}, later=True)
-    n1, n2, d1, d2 = F.col("n1"), F.col("n2"), F.col(f"{first}_d"), F.col(f"{second}_d")
-    n, d = n1 + n2, d1 + d2
+    d1, d2 = F.col(f"{first}_d"), F.col(f"{second}_d")
+    # in doubles: the product of four counts leaves the range of a long from some ten thousand stays on
+    n1, n2, d = (c.cast("double") for c in (F.col("n1"), F.col("n2"), d1 + d2))
+    n = n1 + n2
     e1 = d * n1 / n
     v = F.when(n > 1, d * n1 * n2 * (n - d) / (n * n * (n - 1))).otherwise(F.lit(0.0))
     agg = p.where(d > 0).agg(F.sum(d1).alias("observed_1"), F.sum(e1).alias("expected_1"), F.sum(v).alias("variance"))

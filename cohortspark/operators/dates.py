@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.columns import seconds_between
-from cohortspark.operators.text import WORD_L, WORD_R, spans
+from cohortspark.operators.text import WORD_L, WORD_R, begins, spans
 from cohortspark.params import StudyParams
 
 # ---- fixed values: date forms ------------------------------------------------------
@@ -23,13 +23,15 @@ UNITS = r"days?|jours?|weeks?|semaines?|months?|mois|years?|ans?"
 NAMES = "|".join(MONTHS)
 # words for a day near the stay: days from it
 DAY_WORDS = {"avant-hier": -2, "hier": -1, "yesterday": -1, "aujourd'hui": 0, "today": 0, "demain": 1, "tomorrow": 1, "après-demain": 2}
+
+NAME_BEGINS = begins(MONTHS, 3)
 AMOUNT = r"[0-9]+ (?:" + UNITS + ")"
 DAY = r"[0-9]{1,2}(?:er|st|nd|rd|th)?"
 # forms that begin alike stand with the longer one first, so that the first form that fits is the longest
 FORMS = {
     "past": "il y a " + AMOUNT + "|" + AMOUNT + " ago",
     "future": "(?:dans|in) " + AMOUNT,
-    "day_word": "|".join(sorted((w.replace("'", "['’]") for w in DAY_WORDS), key=len, reverse=True)),
+    "day_word": begins(DAY_WORDS, 3) + "(?:" + "|".join(sorted((w.replace("'", "['’]") for w in DAY_WORDS), key=len, reverse=True)) + ")",
     "duration": "(?:pendant|during) " + AMOUNT,
     "amount": AMOUNT,
     "ymd": r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}",
@@ -37,11 +39,13 @@ FORMS = {
     "dmy_short": r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{2}",
     "d_name_y": DAY + " (?:" + NAMES + ") [0-9]{4}",
     "d_name": DAY + " (?:" + NAMES + ")",
-    "name_d_y": "(?:" + NAMES + ") " + DAY + ",? [0-9]{4}",
-    "name_y": "(?:" + NAMES + ") [0-9]{4}",
-    "name_d": "(?:" + NAMES + ") " + DAY,
+    "name_d_y": NAME_BEGINS + "(?:" + NAMES + ") " + DAY + ",? [0-9]{4}",
+    "name_y": NAME_BEGINS + "(?:" + NAMES + ") [0-9]{4}",
+    "name_d": NAME_BEGINS + "(?:" + NAMES + ") " + DAY,
     "year": "(?:19|20)[0-9]{2}",
 }
+# what every form begins with
+FORM_BEGINS = "(?=[0-9]|" + begins(["il", "dans", "in", "pendant", "during", *DAY_WORDS, *MONTHS])[3:]
 RELATIVE_FORMS = ["past", "future", "day_word"]
 # two-digit years up to this one are of the 2000s
 SHORT_YEAR_PIVOT = 68
@@ -51,7 +55,7 @@ MAX_DAYS, MAX_MONTHS = 3_660_000, 120_000
 
 
 def _whole(pattern: str) -> str:
-    return "(?iu)" + WORD_L + "(?:" + pattern + ")" + WORD_R
+    return "(?iu)" + FORM_BEGINS + WORD_L + "(?:" + pattern + ")" + WORD_R
 
 
 def _lookup(key, table: dict):

@@ -13,6 +13,7 @@ characters (U+FDD0, U+FDD1); where a text has one, U+FFFD stands for it.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -65,7 +66,7 @@ WINDOW_AFTER = 10
 
 QUALIFIERS = list(CUES)
 MARK, SEP = "\ufdd0", "\ufdd1"
-SENT_START = r"(?<![^.!?\n])[^.!?\n]"
+SENT_RUN = r"[^.!?\n]+"
 
 
 @dataclass(frozen=True)
@@ -148,8 +149,60 @@ def group_count(p: str) -> int:
     return n
 
 
+def has_alternatives(p: str) -> bool:
+    """Whether a Java pattern has a ``|`` outside all groups, classes and quotes."""
+    i, groups, classes = 0, 0, 0
+    while i < len(p):
+        if p[i:i + 2] == "\\Q":
+            end = p.find("\\E", i)
+            i = len(p) if end < 0 else end + 2
+            continue
+        if p[i] == "\\":
+            i += 2
+            continue
+        if p[i] == "[":
+            classes += 1
+        elif p[i] == "]" and classes:
+            classes -= 1
+        elif not classes:
+            if p[i] == "|" and not groups:
+                return True
+            groups += (p[i] == "(") - (p[i] == ")")
+        i += 1
+    return False
+
+
+#: a pattern's whole-word boundary, perhaps after a look at the letters that follow
+WORD_BEGIN = r"(?:\(\?=[^()]*\))?" + re.escape(WORD_L)
+
+
+def begins(words: list[str], n: int = 2) -> str:
+    """A look at the first ``n`` letters of ``words``, which spares most places the many words that can follow."""
+    return "(?=" + "".join("[" + "".join(sorted({w[i] for w in words})) + "]" for i in range(n)) + ")"
+
+
+def first_words(p: str, n: int) -> list[str] | None:
+    """The pattern, or the words of its leading ``(?:...|...)``, if each begins with ``n`` letters that are not optional."""
+    group = re.match(r"\(\?:([^()\[\]\\]*)\)(?![?*+{])", p)
+    words = group[1].split("|") if group else [p]
+    return words if all(re.match(r"[^\W\d_]{%d}(?![?*+{])" % n, w) for w in words) else None
+
+
 def combined(patterns: dict[str, str]) -> str:
-    """One alternation; each label's pattern is one capture group and keeps its own flags."""
+    """One alternation; each label's pattern is one capture group and keeps its own flags. Of patterns with the
+    same flags that all begin with the same word boundary it is looked at once for each place, not once for
+    each label, and only where the letters that follow are some word's first ones."""
+    parts = [inline_flags(p) for p in patterns.values()]
+    heads = {(m := re.match(WORD_BEGIN, p)) and m[0] for _, p in parts}
+    if len({flags for flags, _ in parts}) == 1 and len(heads) == 1 and heads != {None} and not any(has_alternatives(p) for _, p in parts):
+        flags, head = parts[0][0], heads.pop()
+        rests = [p[len(head):] for _, p in parts]
+        for n in (2, 1) if head == WORD_L else ():
+            words = [first_words(p, n) for p in rests]
+            if None not in words:
+                head = begins([w for ws in words for w in ws], n) + head
+                break
+        return scoped((f"(?{flags})" if flags else "") + f"{head}(?:{'|'.join(f'({p})' for p in rests)})")
     return "|".join(f"({scoped(p)})" for p in patterns.values())
 
 
@@ -166,10 +219,16 @@ def label_groups(patterns: dict[str, str]) -> dict[str, int]:
 
 
 
-def pieces(text: Column, patterns: str | dict[str, str]) -> Column:
+def unmarked(text: Column) -> Column:
+    """The text without markers of its own."""
+    return F.replace(F.replace(text, F.lit(MARK), F.lit("\ufffd")), F.lit(SEP), F.lit("\ufffd"))
+
+
+def pieces(text: Column, patterns: str | dict[str, str], plain: bool = False) -> Column:
     """The text cut at its matches, in order: array of (hit, label, match), label the number of the
-    pattern whose group took part. One pass over the text, however many labels there are."""
-    text = F.translate(text, MARK + SEP, "\ufffd\ufffd")
+    pattern whose group took part. One pass over the text, however many labels there are. ``plain``: the
+    text is ``unmarked``."""
+    text = text if plain else unmarked(text)
     if isinstance(patterns, str):
         pattern, found = patterns, "$0"
     else:
@@ -178,23 +237,28 @@ def pieces(text: Column, patterns: str | dict[str, str]) -> Column:
     return F.transform(cut, lambda p, i: F.struct(
         (i % 2 == 1).alias("hit"),
         (F.length(p) - F.length(F.ltrim(p, F.lit(SEP)))).alias("label"),
-        F.translate(p, SEP, "").alias("match")))
+        F.replace(p, F.lit(SEP), F.lit("")).alias("match")))
+
+
+def piece_tokens(cut: Column) -> Column:
+    """The tokens of each of the ``pieces``."""
+    return F.transform(cut, lambda p: F.regexp_extract_all(p["match"], F.lit(TOKEN), 0))
 
 
-def located(cut: Column, with_tokens: bool = False, with_sentences: bool = False) -> Column:
+def located(cut: Column, with_tokens: bool = False, with_sentences: bool = False, tokens: Column | None = None) -> Column:
     """The spans among ``pieces``, array<struct<match, start, end, tok, ntok, sent, label>>: start and end
     characters, number of tokens before and in it, sentence and label. Pieces and matches are tokenised apart: exact when matches start and end on token
-    boundaries, as whole-word patterns do."""
+    boundaries, as whole-word patterns do. ``tokens``: their ``piece_tokens``, if they are known."""
     zero = F.lit(0)
 
-    def measured(p):
+    def measured(p, i):
         t = p["match"]
         parts = [p["hit"].alias("hit"), p["label"].alias("label"), t.alias("match"), F.length(t).alias("n")]
         if with_tokens:
-            parts.append(F.size(F.regexp_extract_all(t, F.lit(TOKEN), 0)).alias("ntok"))
+            parts.append(F.size(F.regexp_extract_all(t, F.lit(TOKEN), 0) if tokens is None else F.get(tokens, i)).alias("ntok"))
         if with_sentences:  # starts of sentences, and whether the first and the last character are inside one
             inside = lambda at: F.length(F.translate(F.substring(t, at, 1), ".!?\n", "")) == 1
-            parts += [F.size(F.regexp_extract_all(t, F.lit(SENT_START), 0)).alias("starts"), inside(1).alias("first"), inside(-1).alias("last")]
+            parts += [F.size(F.regexp_extract_all(t, F.lit(SENT_RUN), 0)).alias("starts"), inside(1).alias("first"), inside(-1).alias("last")]
         return F.struct(*parts)
 
     def hit(x):
@@ -224,9 +288,10 @@ def located(cut: Column, with_tokens: bool = False, with_sentences: bool = False
     return let(F.transform(cut, measured), found)
 
 
-def spans(text: Column, patterns: str | dict[str, str], with_tokens: bool = False, with_sentences: bool = False) -> Column:
+def spans(text: Column, patterns: str | dict[str, str], with_tokens: bool = False, with_sentences: bool = False,
+          plain: bool = False) -> Column:
     """array of spans (``located``) of all matches of ``patterns`` in ``text`` (``start``/``end``: 0-based characters)."""
-    return located(pieces(text, patterns), with_tokens, with_sentences)
+    return located(pieces(text, patterns, plain), with_tokens, with_sentences)
 
 
 def regex_spans(notes: DataFrame, pattern: str, text_col: str = "note_text", id_col: str = "note_id",
@@ -335,9 +400,10 @@ def mentions(
     classes = rules.classes()
     text = F.col(text_col)
     keep = ["note_id", *keep_cols]
-    x = notes.select(*keep, *([F.col(align_col).alias("_al")] if align_col else []), text.alias("_t"), pieces(text, lexicon).alias("_p"))
-    # a note without a mention needs no further pass
-    x = x.where(F.size("_p") > 1)
+    # a note without a mention needs no further pass; a filter on the pieces would make them twice
+    x = notes.where(unmarked(text).rlike(combined(lexicon)))
+    x = x.select(*keep, *([F.col(align_col).alias("_al")] if align_col else []), text.alias("_t"), unmarked(text).alias("_u"))
+    x = x.withColumn("_p", pieces(F.col("_u"), lexicon, plain=True)).withColumn("_k", piece_tokens(F.col("_p")))
     patterns, roles = rules.groups()
     # what a role does, as a number: 0 ends all scopes, then the classes from the left and from the right
     number = {"stop": 0} | {f"{side} {c}": 1 + i for i, (side, c) in enumerate((s, c) for s in ("left", "right") for c in classes)}
@@ -351,10 +417,9 @@ def mentions(
             F.element_at(role_lists, c["label"] + 1), lambda r: event(c["start"], 2, r, c["sent"]))))
 
     note = F.struct(
-        located(F.col("_p"), True, True).alias("m"),
-        F.flatten(F.transform("_p", lambda p: F.regexp_extract_all(p["match"], F.lit(TOKEN), 0))).alias("w"),
-        wide(F.col("_t")).alias("b"), cue_events(spans(F.col("_t"), patterns, with_sentences=True)).alias("c"),
-        F.transform(spans(F.col("_t"), heading), lambda h: F.struct(
+        located(F.col("_p"), True, True, F.col("_k")).alias("m"), F.flatten("_k").alias("w"),
+        wide(F.col("_t")).alias("b"), cue_events(spans(F.col("_u"), patterns, with_sentences=True, plain=True)).alias("c"),
+        F.transform(spans(F.col("_u"), heading, plain=True), lambda h: F.struct(
             h["start"].alias("start"), F.lower(F.regexp_replace(h["match"], ":$", "")).alias("title"))).alias("h"),
         *([F.col("_al").alias("al")] if align_col else []))
     titles = [w.lower() for w in rules.left.get("history", [])]

@@ -71,7 +71,7 @@ def note_stage(spark: SparkSession, d: str, method: str = "keep_last") -> Staged
     from cohortspark.operators import cohort, text
 
     words = [cohort.combined_pattern(x) for x in (text.LEXICON, RF_LEXICON)]
-    return Registry(spark).stage("notes", lambda: cohort.select_note_texts(adapters.notes(spark, d), words, method, P),
+    return Registry(spark).stage("notes", lambda: cohort.select_note_texts(adapters.notes(spark, d), words, method, P, by_stay=True),
                                  _files(d, "documents", "orders"), params=(method, P, words))
 
 

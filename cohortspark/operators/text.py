@@ -318,7 +318,7 @@ QUOTES, PLAIN_QUOTES = "’‘«»“”", "\'\'\"\"\"\""
 def fold_letters(text: Column) -> Column:
     """Lower case without accents, typographic quotes to ASCII; each character stays one character."""
     t = F.lower(F.translate(text, "İ", "I"))
-    return F.translate(F.translate(t, ACCENTS, PLAIN), QUOTES, PLAIN_QUOTES)
+    return F.translate(t, ACCENTS + QUOTES, PLAIN + PLAIN_QUOTES)
 
 
 def normalise_text(text: Column) -> Column:

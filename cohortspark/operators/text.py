@@ -82,6 +82,9 @@ class CueRules:
     def classes(self) -> list[str]:
         return list(dict.fromkeys([*self.left, *self.right]))
 
+    def phrases(self) -> list[str]:
+        return [w for words in (*self.left.values(), *self.right.values(), self.stops, self.masked) for w in words]
+
     def groups(self) -> tuple[dict[str, str], list[list[str]]]:
         """(label -> pattern, per label its roles): phrases of the same roles share a pattern."""
         roles: dict[str, list[str]] = {w: [] for w in self.masked}
@@ -294,6 +297,21 @@ def spans(text: Column, patterns: str | dict[str, str], with_tokens: bool = Fals
     return located(pieces(text, patterns, plain), with_tokens, with_sentences)
 
 
+#: a cue that cannot reach over the end of a sentence, nor look there for more than a word's boundary
+PLAIN_CUE = re.compile(r"[\w '’-]+")
+
+
+def near_hits(cut: Column) -> Column:
+    """The ``pieces`` without the sentences that lie between two hits and hold none: of a piece with several
+    sentences its first and its last stay. What stays keeps its order, and two places are in one sentence
+    as before. A text with a hit that has the end of a sentence in it stays whole."""
+    over = F.exists(cut, lambda p: p["hit"] & (F.length(F.translate(p["match"], ".!?\n", "")) < F.length(p["match"])))
+    short = F.transform(cut, lambda p: F.struct(
+        p["hit"].alias("hit"), p["label"].alias("label"),
+        F.when(p["hit"], p["match"]).otherwise(F.regexp_replace(p["match"], r"(?s)[.!?\n].*[.!?\n]", "\n")).alias("match")))
+    return F.when(over, cut).otherwise(short)
+
+
 def regex_spans(notes: DataFrame, pattern: str, text_col: str = "note_text", id_col: str = "note_id",
                 window: int = SNIPPET_CHARS) -> DataFrame:
     """One row per match: note id, match text, start/end char, snippet of +-window chars
@@ -404,6 +422,9 @@ def mentions(
     x = notes.where(unmarked(text).rlike(combined(lexicon)))
     x = x.select(*keep, *([F.col(align_col).alias("_al")] if align_col else []), text.alias("_t"), unmarked(text).alias("_u"))
     x = x.withColumn("_p", pieces(F.col("_u"), lexicon, plain=True)).withColumn("_k", piece_tokens(F.col("_p")))
+    # cues count in the sentences of mentions only, so the others are not searched for them
+    one_sentence = all(PLAIN_CUE.fullmatch(w) for w in rules.phrases())
+    x = x.withColumn("_n", near_hits(F.col("_p")) if one_sentence else F.col("_p"))
     patterns, roles = rules.groups()
     # what a role does, as a number: 0 ends all scopes, then the classes from the left and from the right
     number = {"stop": 0} | {f"{side} {c}": 1 + i for i, (side, c) in enumerate((s, c) for s in ("left", "right") for c in classes)}
@@ -418,7 +439,8 @@ def mentions(
 
     note = F.struct(
         located(F.col("_p"), True, True, F.col("_k")).alias("m"), F.flatten("_k").alias("w"),
-        wide(F.col("_t")).alias("b"), cue_events(spans(F.col("_u"), patterns, with_sentences=True, plain=True)).alias("c"),
+        wide(F.col("_t")).alias("b"), located(F.col("_n"), with_sentences=True).alias("n"),
+        cue_events(spans(F.array_join(F.transform("_n", lambda p: p["match"]), ""), patterns, with_sentences=True, plain=True)).alias("c"),
         F.transform(spans(F.col("_u"), heading, plain=True), lambda h: F.struct(
             h["start"].alias("start"), F.lower(F.regexp_replace(h["match"], ":$", "")).alias("title"))).alias("h"),
         *([F.col("_al").alias("al")] if align_col else []))
@@ -430,22 +452,28 @@ def mentions(
         return F.when(e["kind"] != 2, at[cls]).when(e["code"] == number[f"{side} {cls}"], e["sent"]).when(
             e["code"] == 0, F.lit(-1)).otherwise(at[cls])
 
-    def before(r):
-        """Per mention: its section and the classes that a cue before it gives."""
-        # a mention is read before a cue at the same place, after a heading there
+    def headed(r):
+        """Per mention: its section. A mention is read after a heading at the same place."""
         events = F.sort_array(F.concat(F.transform(r["h"], lambda h, i: event(h["start"], 0, i, F.lit(-1))),
-                                       F.transform(r["m"], lambda m: event(m["start"], 1, F.lit(0), m["sent"])), r["c"]))
+                                       F.transform(r["m"], lambda m: event(m["start"], 1, F.lit(0), F.lit(-1)))))
 
         def step(at, e):
-            state = F.struct(F.when(e["kind"] == 0, e["code"]).otherwise(at["section"]).alias("section"),
-                             *[scope(at, e, "left", c).alias(c) for c in classes])
-            return state, e["kind"] == 1, [at["section"], *[at[c] == e["sent"] for c in classes]]
+            return F.struct(F.when(e["kind"] == 0, e["code"]).otherwise(at["section"]).alias("section")), e["kind"] == 1, [at["section"]]
 
-        return scan(events, F.struct(F.lit(-1).alias("section"), *[v.alias(c) for c, v in zero.items()]), step)
+        return scan(events, F.struct(F.lit(-1).alias("section")), step)
+
+    def before(r):
+        """Per mention: the classes that a cue before it gives. A mention is read before a cue at the same place."""
+        events = F.sort_array(F.concat(F.transform(r["n"], lambda m: event(m["start"], 1, F.lit(0), m["sent"])), r["c"]))
+
+        def step(at, e):
+            return F.struct(*[scope(at, e, "left", c).alias(c) for c in classes]), e["kind"] == 1, [at[c] == e["sent"] for c in classes]
+
+        return scan(events, F.struct(*[v.alias(c) for c, v in zero.items()]), step)
 
     def behind(r):
         """The same from the other end: a cue at or after the mention's end reaches back."""
-        events = F.reverse(F.sort_array(F.concat(F.transform(r["m"], lambda m: event(m["end"], 0, F.lit(0), m["sent"])), r["c"])))
+        events = F.reverse(F.sort_array(F.concat(F.transform(r["n"], lambda m: event(m["end"], 0, F.lit(0), m["sent"])), r["c"])))
 
         def step(at, e):
             return F.struct(*[scope(at, e, "right", c).alias(c) for c in classes]), e["kind"] == 0, [at[c] == e["sent"] for c in classes]
@@ -456,15 +484,15 @@ def mentions(
         return raw_places(F.flatten(F.transform(r["m"], lambda m: F.array(m["start"], m["end"] - 1))), r["al"])
 
     def rows(r):
-        tables = [before(r).alias("l")] + ([behind(r).alias("r")] if rules.right else []) + ([raw(r).alias("q")] if align_col else [])
+        tables = [headed(r).alias("s"), before(r).alias("l")] + ([behind(r).alias("r")] if rules.right else []) + ([raw(r).alias("q")] if align_col else [])
         return let(F.struct(*tables), lambda t: F.transform(r["m"], lambda m, i: row(r, t, m, i)))
 
     def row(r, t, m, i):
         low = F.greatest(m["tok"] - k_before, F.lit(0))
         snip = F.greatest(m["start"] - snippet, F.lit(0))
-        at = nth(t["l"], i, 1 + len(classes), 0)
+        at = F.get(t["s"], i)
         section = F.when(at >= 0, F.get(r["h"], at)["title"])
-        flags = {c: nth(t["l"], i, 1 + len(classes), 1 + k) == 1 for k, c in enumerate(classes)}
+        flags = {c: nth(t["l"], i, len(classes), k) == 1 for k, c in enumerate(classes)}
         if rules.right:  # listed from the last mention to the first
             other = F.size(r["m"]) - 1 - i
             flags = {c: f | (nth(t["r"], other, len(classes), k) == 1) for k, (c, f) in enumerate(flags.items())}

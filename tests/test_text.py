@@ -221,3 +221,24 @@ def test_pieces_are_made_once(spark):
     filters = [line for line in m._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter " in line]
     assert filters and not any("regexp_replace" in line for line in filters)
     assert [(r.start_char, r.negation, r.sent_id) for r in m.orderBy("start_char").collect()] == [(4, True, 0), (15, False, 1)]
+
+
+def test_cues_are_searched_in_the_sentences_of_mentions_only(spark, monkeypatch):
+    far = "No care if that was so! "
+    df = spark.createDataFrame([(1, "Not with it. " + far * 50 + "He says with me, excluded. " + far + "from\nno")], "note_id long, note_text string")
+    cut = df.select(text.near_hits(text.pieces(F.col("note_text"), text.LEXICON)).alias("p")).first().p
+    assert "".join(p.match for p in cut) == "Not with it\n He says with me, excluded\n from\nno"
+    # the same rows as a search of the whole texts, also where a mention holds the end of a sentence
+    rng = random.Random(5)
+    words = ["with", "From", "not", "no change", "excluded", "but", "not only", "says", "in the past", "History:", "a", "é", ".", "!", "\n", "?x", "if any"]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    notes = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "note_id long, encounter_num long, note_text string")
+
+    def rows(lexicon, cues):
+        return sorted(map(str, text.mentions(notes, lexicon, cues).collect()))
+
+    cases = [(x, c) for x in (text.LEXICON, {"end": r"[.!?] ?with|with[.!]|x?"}) for c in (text.CUES, text.SCOPED_CUES)]
+    found = [rows(*c) for c in cases]
+    assert all(len(r) > 50 for r in found)
+    monkeypatch.setattr(text, "near_hits", lambda cut: cut)
+    assert [rows(*c) for c in cases] == found

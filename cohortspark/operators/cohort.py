@@ -124,15 +124,17 @@ def select_one_note(notes: DataFrame, method: str = "keep_last", params: StudyPa
 
 
 def select_note_texts(notes: DataFrame, patterns, method: str = "keep_last", params: StudyParams = StudyParams(),
-                      text_col: str = "note_text", by_stay: bool = False) -> DataFrame:
+                      text_col: str = "note_text", by_stay: bool = False, picked: DataFrame | None = None) -> DataFrame:
     """W1 + W2 + P3 with a late read of the text: the note of each stay is chosen among all notes on the narrow
     columns, and the texts, filtered by the patterns where they are read, are joined to the chosen notes by note
     id (unique; a null id has no text). No aggregate holds a text, and only matching texts are shuffled. Same
     rows as ``regex_filter`` after ``select_one_note``.
 
     ``by_stay``: every note has a stay, and its id is of no other stay. Then the texts are joined by stay, and
-    those that a join with the stays has dealt by stay are not shuffled again."""
-    picked = select_one_note(notes.drop(text_col), method, params)
+    those that a join with the stays has dealt by stay are not shuffled again. ``picked``: the chosen notes
+    (``select_one_note`` on all notes), if they are known; then ``notes`` needs to hold these only."""
+    if picked is None:
+        picked = select_one_note(notes.drop(text_col), method, params)
     if by_stay:
         texts = regex_filter(notes.select("encounter_num", F.col("note_id").alias("_id"), text_col), patterns, text_col)
         # no join key: a second one would have the texts dealt by both

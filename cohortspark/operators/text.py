@@ -224,7 +224,8 @@ def label_groups(patterns: dict[str, str]) -> dict[str, int]:
 
 def unmarked(text: Column) -> Column:
     """The text without markers of its own."""
-    return F.replace(F.replace(text, F.lit(MARK), F.lit("\ufffd")), F.lit(SEP), F.lit("\ufffd"))
+    clean = F.replace(F.replace(text, F.lit(MARK), F.lit("\ufffd")), F.lit(SEP), F.lit("\ufffd"))
+    return F.when(text.rlike(f"[{MARK}{SEP}]"), clean).otherwise(text)
 
 
 def pieces(text: Column, patterns: str | dict[str, str], plain: bool = False) -> Column:
@@ -237,10 +238,11 @@ def pieces(text: Column, patterns: str | dict[str, str], plain: bool = False) ->
     else:
         pattern, found = combined(patterns), SEP.join(f"${g}" for g in label_groups(patterns).values())
     cut = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(MARK + found + MARK)), MARK, -1)
+    # only the matches hold marks; the text between them, most of it, is not searched again
     return F.transform(cut, lambda p, i: F.struct(
         (i % 2 == 1).alias("hit"),
-        (F.length(p) - F.length(F.ltrim(p, F.lit(SEP)))).alias("label"),
-        F.replace(p, F.lit(SEP), F.lit("")).alias("match")))
+        F.when(i % 2 == 1, F.length(p) - F.length(F.ltrim(p, F.lit(SEP)))).otherwise(0).alias("label"),
+        F.when(i % 2 == 1, F.replace(p, F.lit(SEP), F.lit(""))).otherwise(p).alias("match")))
 
 
 def piece_tokens(cut: Column) -> Column:

@@ -59,20 +59,44 @@ def stays_by_source(spark: SparkSession, d: str, source: str = "all", params: St
 
 # ---------------------------------------------------------------- text path
 #
-# The steps that several analyses need are stage tables: the selected notes (the only read of the
-# documents), their mentions, their dates, and the mentions linked to dates.
+# The steps that several analyses need are stage tables: the chosen notes without their texts, the visits of their
+# stays, the selected notes (the only reads of the documents), their mentions, their dates, and the mentions
+# linked to dates.
 
 def _files(d: str, *names: str) -> list[str]:
     return [f"{d.rstrip('/')}/{n}.parquet" for n in names]
 
 
+def chosen_stage(spark: SparkSession, d: str, method: str = "keep_last") -> Staged:
+    """One note per stay (W1/W2), chosen on the narrow columns."""
+    from cohortspark.operators import cohort
+
+    return Registry(spark).stage("chosen", lambda: cohort.select_one_note(adapters.notes(spark, d, with_text=False), method, P),
+                                 _files(d, "documents", "orders"), params=(method, P))
+
+
+def visit_stage(spark: SparkSession, d: str, method: str = "keep_last") -> Staged:
+    """The visits of the stays that have a chosen note, all rows of each: what the joins of notes, dates and
+    mentions with the visits need, so that they do not shuffle the other stays."""
+    chosen = chosen_stage(spark, d, method)
+    return Registry(spark).stage("visits", lambda: adapters.visits(spark, d).select("encounter_num", "patient_num", "visit_start_date").join(
+        chosen.df.select("encounter_num"), "encounter_num", "left_semi"), _files(d, "orders"), [chosen])
+
+
 def note_stage(spark: SparkSession, d: str, method: str = "keep_last") -> Staged:
-    """One note per stay (W1/W2), of those that match a lexicon of the study: the text is read late."""
+    """The chosen notes that match a lexicon of the study: only their texts are read, filtered and joined."""
     from cohortspark.operators import cohort, text
 
     words = [cohort.combined_pattern(x) for x in (text.LEXICON, RF_LEXICON)]
-    return Registry(spark).stage("notes", lambda: cohort.select_note_texts(adapters.notes(spark, d), words, method, P, by_stay=True),
-                                 _files(d, "documents", "orders"), params=(method, P, words))
+    chosen, v = chosen_stage(spark, d, method), visit_stage(spark, d, method)
+    return Registry(spark).stage("notes", lambda: cohort.select_note_texts(
+        adapters.notes(spark, d, chosen=chosen.df, stays=v.df), words, method, P, by_stay=True, picked=chosen.df),
+        _files(d, "documents"), [chosen, v], (method, P, words))
+
+
+def _note_visits(spark: SparkSession, d: str, notes: DataFrame | None) -> DataFrame:
+    """The visits that the stays of the selected notes, or of ``notes``, are among."""
+    return visit_stage(spark, d).df if notes is None else adapters.visits(spark, d)
 
 
 def selected_notes(spark: SparkSession, d: str, method: str = "keep_last") -> DataFrame:
@@ -118,7 +142,7 @@ def date_stage(spark: SparkSession, d: str) -> Staged:
 def resolved_dates(spark: SparkSession, d: str, notes: DataFrame | None = None) -> DataFrame:
     from cohortspark.operators import dates
 
-    v = adapters.visits(spark, d).select("encounter_num", "visit_start_date")
+    v = _note_visits(spark, d, notes).select("encounter_num", "visit_start_date")
     return dates.resolve_relative(date_mentions(spark, d, notes).join(v, "encounter_num", "left"))
 
 
@@ -126,7 +150,7 @@ def clean_dates(spark: SparkSession, d: str, notes: DataFrame | None = None) ->
     from cohortspark.operators import dates
 
     p = adapters.patients(spark, d).select("patient_num", "birth_date")
-    v = adapters.visits(spark, d).select("encounter_num", "patient_num")
+    v = _note_visits(spark, d, notes).select("encounter_num", "patient_num")
     x = resolved_dates(spark, d, notes).join(v, "encounter_num", "left").join(p, "patient_num", "left")
     return dates.clean_dates(x).select("note_id", "encounter_num", "label", "start_char", "start", "sent_id", "date_dt", "is_birth_date")
 
@@ -138,13 +162,13 @@ def linked_mentions(spark: SparkSession, d: str, notes: DataFrame | None = None)
 
     dm = clean_dates(spark, d, notes).select("note_id", "sent_id", "start", F.col("start_char").alias("date_id"), "date_dt", "is_birth_date")
     linked = dates.asof_nearest(text_mentions(spark, d, notes), dm, ["note_id", "sent_id"], "start", "date_id", ("date_dt", "is_birth_date"))
-    v = adapters.visits(spark, d).select("encounter_num", "visit_start_date")
+    v = _note_visits(spark, d, notes).select("encounter_num", "visit_start_date")
     return dates.history_by_date(linked.join(v, "encounter_num", "left"), P)
 
 
 def link_stage(spark: SparkSession, d: str) -> Staged:
     return Registry(spark).stage("linked", lambda: linked_mentions(spark, d), _files(d, "orders", "customer"),
-                                 [mention_stage(spark, d), date_stage(spark, d)], P)
+                                 [mention_stage(spark, d), date_stage(spark, d), visit_stage(spark, d)], P)
 
 
 def mention_model(spark: SparkSession, d: str) -> tuple[str, str]:

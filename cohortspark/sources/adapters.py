@@ -129,9 +129,12 @@ def _dated_line():
     )
 
 
-def notes(spark: SparkSession, d: str, with_text: bool = True) -> DataFrame:
+def notes(spark: SparkSession, d: str, with_text: bool = True, chosen: DataFrame | None = None,
+          stays: DataFrame | None = None) -> DataFrame:
+    """``chosen`` (encounter_num, note_id; one row per stay): these notes only. ``stays``: the visits of the notes,
+    if they are known. All joins are by stay, so that a text is shuffled once at most."""
     doc = read_table(spark, d, "documents")
-    v = visits(spark, d).select("encounter_num", "patient_num", "visit_start_date")
+    v = (visits(spark, d) if stays is None else stays).select("encounter_num", "patient_num", "visit_start_date")
     cols = [
         F.col("doc_id").alias("note_id"),
         F.col("encounter_num"),
@@ -141,6 +144,10 @@ def notes(spark: SparkSession, d: str, with_text: bool = True) -> DataFrame:
     ]
     if with_text:
         cols += [F.concat(_dated_line(), F.col("text")).alias("note_text")]
+    if chosen is not None:
+        doc = doc.join(chosen.select(F.col("encounter_num").alias("_stay"), F.col("note_id").alias("_id")), F.expr("doc_id div 3") == F.col("_stay"))
+        # no join key: a second one would have the texts dealt by both
+        doc = doc.where(F.array_contains(F.array("doc_id"), F.col("_id"))).drop("_stay", "_id")
     return doc.join(v, F.expr("doc_id div 3") == v.encounter_num).select(*cols)
 
 

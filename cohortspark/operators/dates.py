@@ -45,7 +45,7 @@ FORMS = {
     "year": "(?:19|20)[0-9]{2}",
 }
 # what every form begins with
-FORM_BEGINS = "(?=[0-9]|" + begins(["il", "dans", "in", "pendant", "during", *DAY_WORDS, *MONTHS])[3:]
+FORM_BEGINS = begins(["il", "dans", "in", "pendant", "during", *DAY_WORDS, *MONTHS], also="[0-9]")
 RELATIVE_FORMS = ["past", "future", "day_word"]
 # two-digit years up to this one are of the 2000s
 SHORT_YEAR_PIVOT = 68

@@ -176,12 +176,25 @@ def has_alternatives(p: str) -> bool:
 
 
 #: a pattern's whole-word boundary, perhaps after a look at the letters that follow
-WORD_BEGIN = r"(?:\(\?=[^()]*\))?" + re.escape(WORD_L)
+WORD_BEGIN = r"(?:\(\?=\(\?-iu:[^()]*\)\))?" + re.escape(WORD_L)
 
 
-def begins(words: list[str], n: int = 2) -> str:
-    """A look at the first ``n`` letters of ``words``, which spares most places the many words that can follow."""
-    return "(?=" + "".join("[" + "".join(sorted({w[i] for w in words})) + "]" for i in range(n)) + ")"
+def either_case(letters: set[str]) -> str:
+    """A class of ``letters`` and whatever equals one in another case. It names both cases, and any letter beyond
+    U+00FF may be one, so that it needs no case folding, which takes far longer than a look-up."""
+    def fold(c):
+        upper = c.upper() if len(c.upper()) == 1 else c
+        return upper.lower() if len(upper.lower()) == 1 else upper
+
+    folds = {fold(c) for c in letters}
+    return "[" + "".join(c if c.isalnum() else "\\" + c for c in map(chr, range(256)) if fold(c) in folds) + r"\u0100-\x{10ffff}]"
+
+
+def begins(words: list[str], n: int = 2, also: str = "") -> str:
+    """A look at the first ``n`` letters of ``words``, or for the class ``also``, which spares most places the many words
+    that can follow. It lets pass some more places than the words do, never fewer."""
+    look = "".join(either_case({w[i] for w in words}) for i in range(n))
+    return "(?=(?-iu:" + (also + "|" if also else "") + look + "))"
 
 
 def first_words(p: str, n: int) -> list[str] | None:

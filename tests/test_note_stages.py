@@ -47,3 +47,26 @@ def test_only_the_visits_of_noted_stays_are_joined(spark, tables):
         [(k, 2 if k == 3 else 1) for k in range(20) if k != 5], "encounter_num long, count long"))
     every = adapters.visits(spark, tables).select("encounter_num", "patient_num", "visit_start_date")
     assert _rows(v) == _rows(every.where(F.col("encounter_num") < 20))
+
+
+def test_first_letters_need_no_case_folding(spark):
+    """A place is looked at in every case of its letters, also those that only Unicode folds; classes name both
+    cases instead of folding each character of a text."""
+    from cohortspark.operators import text
+
+    lexicon = {"six": text.whole_words(["six", "kilo"]), "été": text.whole_words(["été"])}
+    assert "(?-iu:[" in text.combined(lexicon)
+    words = ["six", "SIX", "ſix", "Sıx", "sİx", "kilo", "Kilo", "KILO", "été", "ÉTÉ", "sixt", "xsix"]
+    out = spark.createDataFrame([(" ".join(words),)], "t string").select(text.spans(F.col("t"), lexicon).alias("s")).select(F.explode("s.match"))
+    plain = "|".join(p.removeprefix("(?iu)") for p in lexicon.values())
+    same = spark.createDataFrame([(" ".join(words),)], "t string").select(F.explode(F.regexp_extract_all("t", F.lit("(?iu)" + plain), F.lit(0))))
+    assert [r[0] for r in out.collect()] == [r[0] for r in same.collect()]
+    assert out.count() >= 8
+
+
+def test_marker_characters_of_a_text_stay_no_cuts(spark):
+    from cohortspark.operators import text
+
+    t = f"a{text.MARK}b six {text.SEP}{text.SEP}c six"
+    got = spark.createDataFrame([(t,), (None,)], "t string").select(F.col("t").isNull().alias("no"), text.spans(F.col("t"), {"six": r"six"}).alias("s"))
+    assert [[(s.start, s.end, s.label) for s in r.s or []] for r in got.orderBy("no").collect()] == [[(4, 7, 0), (12, 15, 0)], []]

@@ -22,6 +22,9 @@ from cohortspark.session import checkpoint_dir
 
 #: session setting that places the registry elsewhere (a shared folder)
 ROOT_SETTING = "cohortspark.stages.root"
+#: bytes of a row group of a stage table: a file is read by as many tasks as it has row groups, so that the work on a
+#: stage is dealt over the cluster however few files or row groups its input had
+ROW_GROUP = 8 << 20
 #: digest and schema of the plans that this process has built
 _PLANS: dict[str, tuple] = {}
 
@@ -116,5 +119,5 @@ class Registry:
         """The table that ``build()`` describes. ``params`` has to name whatever else ``build`` depends on."""
         schema: list = []
         digest = self.address(name, build, files, parents, params, schema)
-        path = self.made(name, digest, lambda folder: build().write.parquet(folder))
+        path = self.made(name, digest, lambda folder: build().write.option("parquet.block.size", ROW_GROUP).parquet(folder))
         return Staged(self.spark.read.schema(schema[0]).parquet(path), digest)

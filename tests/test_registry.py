@@ -1,5 +1,7 @@
 import os
 
+from pyspark.sql import functions as F
+
 from cohortspark.plans.registry import Registry, files_digest, plan_digest
 
 
@@ -76,3 +78,16 @@ def test_model_is_saved_once_and_feeds_the_stays(spark, tmp_path):
         assert study.stays_by_source(spark, d, "model").where("positive_visit").count() == study.text_stays(spark, d, "model").where("nlp_positive").count()
     finally:
         spark.conf.unset(ROOT_SETTING)
+
+
+def test_one_file_of_a_stage_is_read_by_many_tasks(spark, tmp_path):
+    """A stage written by one task has row groups of some MB, so that the next step's tasks do not follow its input."""
+    import pyarrow.parquet as pq
+
+    words = F.concat_ws(" ", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(s)), 512) for s in "abc"])
+    df = spark.range(0, 100_000, 1, 1).select("id", words.alias("t"))
+    staged = Registry(spark, str(tmp_path / "s")).stage("big", lambda: df, [])
+    files = [f.removeprefix("file://") for f in staged.df.inputFiles()]
+    groups = [pq.ParquetFile(f).metadata.num_row_groups for f in files]
+    assert len(files) == 1 and groups[0] > 3
+    assert staged.df.agg(F.count("t"), F.sum("id")).first()[:] == (100_000, 100_000 * 99_999 // 2)

@@ -166,8 +166,13 @@ def linked_mentions(spark: SparkSession, d: str, notes: DataFrame | None = None)
     return dates.history_by_date(linked.join(v, "encounter_num", "left"), P)
 
 
+#: columns of a linked mention that flags, scores and roll-ups take; words and snippets stay in the mentions' stage
+LINKED = ["note_id", "encounter_num", "std_lexical_variant", "start_char", "end_char", "negation", "hypothesis", "family", "history", "rspeech"]
+
+
 def link_stage(spark: SparkSession, d: str) -> Staged:
-    return Registry(spark).stage("linked", lambda: linked_mentions(spark, d), _files(d, "orders", "customer"),
+    """The linked mentions without words and snippets, so that the shuffles of the link do not carry them."""
+    return Registry(spark).stage("linked", lambda: linked_mentions(spark, d).select(*LINKED), _files(d, "orders", "customer"),
                                  [mention_stage(spark, d), date_stage(spark, d), visit_stage(spark, d)], P)
 
 

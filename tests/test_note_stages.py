@@ -68,3 +68,17 @@ def test_marker_characters_of_a_text_stay_no_cuts(spark):
     t = f"a{text.MARK}b six {text.SEP}{text.SEP}c six"
     got = spark.createDataFrame([(t,), (None,)], "t string").select(F.col("t").isNull().alias("no"), text.spans(F.col("t"), {"six": r"six"}).alias("s"))
     assert [[(s.start, s.end, s.label) for s in r.s or []] for r in got.orderBy("no").collect()] == [[(4, 7, 0), (12, 15, 0)], []]
+
+
+def test_linked_stage_is_narrow_and_gives_the_same_flags(spark, tables):
+    """Words and snippets, most of a mention, are not shuffled by the link with the dates."""
+    from cohortspark.operators.stays import flag_mentions, stay_rollup
+
+    spark.createDataFrame([(k,) for k in range(7)], "c_custkey long").write.parquet(f"{tables}/customer.parquet")
+    staged, whole = study.link_stage(spark, tables).df, study.linked_mentions(spark, tables)
+    assert not {"words", "snippet", "section", "lexical_variant"} & set(staged.columns)
+    assert {"words", "snippet", "date_dt"} <= set(whole.columns)
+    cols = ["note_id", "encounter_num", "start_char", "end_char", "std_lexical_variant", "instance_flag", "history_flag"]
+    assert _rows(flag_mentions(staged).select(*cols)) == _rows(flag_mentions(whole).select(*cols))
+    assert _rows(study.text_stays(spark, tables)) == _rows(stay_rollup(flag_mentions(whole), study.P))
+    assert staged.count() > 15

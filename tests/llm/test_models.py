@@ -1,6 +1,7 @@
 """Language ID, quality rules and context mixing: brute-force parts and held-out accuracy."""
 
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.llm import langid, mixing, quality
+from cohortspark.session import checkpoint_dir
 
 from helpers import docs_frame, texts
 
@@ -291,3 +293,48 @@ def test_packed_numbers_come_back_whole():
         counts = np.concatenate([rng.integers(0, 3, (len(keys), 2)), [[2**33, 2**40]]])[:len(keys)]
         assert (np.cumsum(mixing.unpacked(mixing.packed_keys(keys))) == keys).all()
         assert (mixing.unpacked_counts(mixing.packed_counts(counts)) == counts).all()
+
+
+def test_scratch_tables_take_no_more_than_the_text(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 50_000)
+    sizes, keep = {}, mixing.stage
+
+    def spy(df, name):
+        out = keep(df, name)
+        sizes[name] = sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(mixing, "stage", spy)
+    rows = list(enumerate(texts(3000, 17)))
+    before = set(os.listdir(checkpoint_dir(spark).removeprefix("file:")))
+    assert mixing.mixing_scores(docs_frame(spark, rows)).count() == 3000
+    assert len({"units", "contexts"} & sizes.keys()) == 2
+    assert sum(sizes.values()) < sum(len(t) for _, t in rows)
+    left = set(os.listdir(checkpoint_dir(spark).removeprefix("file:"))) - before
+    assert not [x for x in left if "units" in x or "contexts" in x]  # nothing reads them any more
+
+
+def test_scores_do_not_depend_on_what_is_worked_on_together(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 3000)
+    docs = docs_frame(spark, list(enumerate(texts(150, 19))) + [(900, "y" * 7000), (901, None), (901, None)])
+    found = []
+    for unit, wide, lanes, keys in ((1, 1, 1, 1 << 24), (5, 1 << 19, 3, 9000)):
+        for name, x in (("UNIT", unit), ("WIDE", wide), ("LANES", lanes), ("BUCKET_KEYS", keys)):
+            monkeypatch.setattr(mixing, name, x)
+        found.append(sorted(((r["doc_id"], r["score"]) for r in mixing.mixing_scores(docs).collect())))
+    assert [x for x, _ in found[0]] == [x for x, _ in found[1]]
+    assert [x for _, x in found[1]] == pytest.approx([x for _, x in found[0]], rel=1e-9)
+
+
+def test_answers_beyond_own_counts_come_back_whole():
+    rng = np.random.default_rng(6)
+    tree = mixing.Tree(rng.integers(0, 50, (256, 257)))
+    entries = np.unique(rng.integers(0, 40, 4000) << 17 | rng.integers(97, 100, 4000) << 9 | rng.integers(0, 257, 4000))
+    times = rng.integers(0, 5, len(entries)) * rng.integers(1, 2**40, len(entries))
+    mine = rng.random(len(entries)) < 0.3
+    own = np.where(mine, rng.integers(0, times + 1), 0)
+    _, whole = next(mixing.paths_of(tree, entries))
+    _, part = next(mixing.paths_of(tree, entries[mine]))
+    met = np.isin(whole.key, part.key)
+    code = whole.coded(whole.counts(times), whole.counts(own), met)
+    assert (part.decoded(*code, part.counts(own[mine])) == whole.counts(times)[met]).all()

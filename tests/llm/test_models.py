@@ -336,5 +336,5 @@ def test_answers_beyond_own_counts_come_back_whole():
     _, whole = next(mixing.paths_of(tree, entries))
     _, part = next(mixing.paths_of(tree, entries[mine]))
     met = np.isin(whole.key, part.key)
-    code = whole.coded(whole.counts(times), whole.counts(own), met)
+    code = whole.coded(whole.counts(times), np.flatnonzero(mine), own[mine])
     assert (part.decoded(*code, part.counts(own[mine])) == whole.counts(times)[met]).all()
